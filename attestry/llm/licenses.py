@@ -1,0 +1,131 @@
+"""Licence scans by sentence rules: sentences → known sentence identifiers → ordered licence rules.
+
+A text that holds none of the stems on which the known sentences are built is passed over at once. Others are cut into sentences,
+at sentence ends followed by white space and at blank lines, and normalised (every run of other than ASCII letters, digits and
+. + - is one blank). Each sentence takes the identifier of the first known sentence that it contains, and the identifiers of a
+document form a sequence such as <apache-2-0><as-is>. Rules are tried in their order; each replaces the stretch that it matches
+by its licence, so that a longer rule takes its sentences away from shorter ones. Identifiers that no rule takes are reported.
+
+DataFrame functions only, row by row: no exchange, no join. Defined results: null text has no sentences; repeated rows give
+repeated results; an empty table gives no rows; other columns aren't read.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: (identifier, stem, pattern of the normalised sentence). The stem, lower-case letters only, occurs in whatever the pattern matches.
+SENTENCES = (
+    ("spdx-tag", "spdx", r"spdx-license-identifier"),
+    ("apache-2-0", "licen", r"licensed under the apache license,? version 2(\.0)?\b"),
+    ("apache-2-0", "licen", r"apache license,? version 2\.0"),
+    ("apache-obtain", "licen", r"you may obtain a copy of the license at"),
+    ("apache-comply", "licen", r"you may not use this file except in compliance with the license"),
+    ("agpl-3", "licen", r"gnu affero general public license,? (version 3|v3)"),
+    ("lgpl-3", "licen", r"gnu lesser general public license,? (version 3|v3)"),
+    ("lgpl-2-1", "licen", r"gnu lesser general public license,? (version 2\.1|v2\.1)"),
+    ("gpl-3", "licen", r"gnu general public license,? (version 3|v3)"),
+    ("gpl-2", "licen", r"gnu general public license,? (version 2|v2)"),
+    ("gpl-any", "licen", r"gnu general public license"),
+    ("gpl-later", "version", r"(at your option,? )?any later version"),
+    ("gpl-received", "licen", r"you should have received a copy of the gnu"),
+    ("mit", "licen", r"(released|licensed|available|distributed) under the( terms of the)? mit( x11)? licen[sc]e"),
+    ("mit-grant", "permission", r"permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit-notice", "permission", r"the above copyright notice and this permission notice shall be included"),
+    ("isc-grant", "permission", r"permission to use copy modify and or distribute this software for any purpose"),
+    ("bsd", "licen", r"(released|licensed|available|distributed) under the( terms of the)? (new |modified |simplified |revised )?bsd licen[sc]e"),
+    ("bsd-grant", "redistribut", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-source", "redistribut", r"redistributions of source code must retain the above copyright notice"),
+    ("bsd-binary", "redistribut", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-endorse", "endorse", r"may be used to endorse or promote products derived from this software"),
+    ("mpl-2", "licen", r"mozilla public license,? (version |v )?2\.0"),
+    ("epl-2", "licen", r"eclipse public license,? (version |v )?2\.0"),
+    ("cc0", "cc", r"\bcc0 1\.0\b"),
+    ("cc-by-nc-nd", "cc", r"\bcc[ -]by-nc-nd[ -]?4\.0"),
+    ("cc-by-nc-sa", "cc", r"\bcc[ -]by-nc-sa[ -]?4\.0"),
+    ("cc-by-nc", "cc", r"\bcc[ -]by-nc[ -]?4\.0"),
+    ("cc-by-sa", "cc", r"\bcc[ -]by-sa[ -]?4\.0"),
+    ("cc-by", "cc", r"\bcc[ -]by[ -]?4\.0"),
+    ("unlicense", "public domain", r"free and unencumbered software released into the public domain"),
+    ("as-is", "as is", r"\bprovided\b.{0,60}\bas is\b|\bas is\b.{0,20}\bwithout warranty"),
+    ("all-rights", "all rights", r"all rights reserved"),
+)
+#: (licence, pattern over the identifiers), longest demands first.
+RULES = (
+    ("Apache-2.0", r"(<apache-comply>)?<apache-obtain>?<apache-2-0>(<apache-comply>)?(<apache-obtain>)?(<as-is>)?"),
+    ("AGPL-3.0-or-later", r"<agpl-3>(<gpl-later>)(<as-is>)?(<gpl-received>)?"),
+    ("AGPL-3.0-only", r"<agpl-3>(<as-is>)?"),
+    ("LGPL-3.0-or-later", r"<lgpl-3>(<gpl-later>)(<as-is>)?(<gpl-received>)?"),
+    ("LGPL-3.0-only", r"<lgpl-3>(<as-is>)?"),
+    ("LGPL-2.1-or-later", r"<lgpl-2-1>(<gpl-later>)(<as-is>)?(<gpl-received>)?"),
+    ("LGPL-2.1-only", r"<lgpl-2-1>(<as-is>)?"),
+    ("GPL-3.0-or-later", r"(<gpl-any>)?<gpl-3>(<gpl-later>)(<as-is>)?(<gpl-received>)?"),
+    ("GPL-3.0-only", r"<gpl-3>(<as-is>)?"),
+    ("GPL-2.0-or-later", r"(<gpl-any>)?<gpl-2>(<gpl-later>)(<as-is>)?(<gpl-received>)?"),
+    ("GPL-2.0-only", r"<gpl-2>(<as-is>)?"),
+    ("MIT", r"<mit-grant>(<mit-notice>)?(<as-is>)?"),
+    ("MIT", r"<mit>(<as-is>)?"),
+    ("ISC", r"<isc-grant>(<mit-notice>)?(<as-is>)?"),
+    ("BSD-3-Clause", r"<bsd-grant>(<bsd-source>)(<bsd-binary>)(<bsd-endorse>)(<as-is>)?"),
+    ("BSD-2-Clause", r"<bsd-grant>(<bsd-source>)(<bsd-binary>)(<as-is>)?"),
+    ("BSD-1-Clause", r"<bsd-grant>(<bsd-source>)(<as-is>)?"),
+    ("BSD", r"<bsd>(<as-is>)?"),
+    ("MPL-2.0", r"<mpl-2>"),
+    ("EPL-2.0", r"<epl-2>"),
+    ("CC0-1.0", r"<cc0>"),
+    ("CC-BY-NC-ND-4.0", r"<cc-by-nc-nd>"),
+    ("CC-BY-NC-SA-4.0", r"<cc-by-nc-sa>"),
+    ("CC-BY-NC-4.0", r"<cc-by-nc>"),
+    ("CC-BY-SA-4.0", r"<cc-by-sa>"),
+    ("CC-BY-4.0", r"<cc-by>"),
+    ("Unlicense", r"<unlicense>(<as-is>)?"),
+)
+END, BLANK, OTHER = r"([.!?;:])[\x20\x09-\x0D]+", r"\n[\x20\x09-\x0D]*\n", r"[^A-Za-z0-9.+-]+"
+STEMS = "|".join(sorted({stem for _, stem, _ in SENTENCES}))
+
+
+def _normal(pattern: str) -> str:
+    """Commas are blanks after normalising."""
+    return "(?i)" + pattern.replace(",? ", " ").replace(",?", "")
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_sentences, sentence_ids, licenses, unmatched): known sentences, their sequence, the distinct licences in order of
+    appearance, joined by commas, and how many identifiers no rule took."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    marked = F.regexp_replace(F.regexp_replace(text, END, "$1\u0001"), BLANK, "\u0001")
+    known = lambda s: F.coalesce(*(F.when(s.rlike(_normal(p)), F.lit(f"<{i}>")) for i, _, p in SENTENCES))
+    likely = lambda s: s.rlike(f"(?i){STEMS}")
+    sentences = F.transform(F.filter(F.split(marked, "\u0001"), likely), lambda s: F.regexp_replace(s, OTHER, " "))
+    ids = F.filter(F.transform(sentences, known), lambda i: i.isNotNull())
+    df = docs.select("doc_id", F.when(likely(text), ids).otherwise(F.array().cast("array<string>")).alias("ids"))
+    df = df.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", "").alias("sentence_ids"))
+    sequence = F.col("sentence_ids")
+    for name, pattern in RULES:
+        sequence = F.regexp_replace(sequence, pattern, f"={name}=")
+    df = df.withColumn("ruled", F.when(F.col("n_sentences") > 0, sequence).otherwise(""))
+    return df.select(
+        "doc_id", "n_sentences", "sentence_ids",
+        F.array_join(F.array_distinct(F.regexp_extract_all("ruled", F.lit("=([^=<>]+)="), F.lit(1))), ",").alias("licenses"),
+        F.regexp_count("ruled", F.lit("<[^<>]+>")).cast("long").alias("unmatched"),
+    )
+
+
+def oracle() -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    case = "case " + " ".join(f"when regexp_matches(s, {quoted(_normal(p))}) then '<{i}>'" for i, _, p in SENTENCES) + " end"
+    ruled = "sentence_ids"
+    for name, pattern in RULES:
+        ruled = f"regexp_replace({ruled}, {quoted(pattern)}, '={name}=', 'g')"
+    return rf"""
+with d as (select doc_id, row_number() over () as row, regexp_replace(regexp_replace(coalesce(text, ''), {quoted(END)}, '\1' || chr(1), 'g'), {quoted(BLANK)}, chr(1), 'g') as t, coalesce(text, '') as whole from documents),
+p as (select row, unnest(string_split(t, chr(1))) as s, unnest(range(1, len(string_split(t, chr(1))) + 1)) as pos from d where regexp_matches(whole, {quoted("(?i)" + STEMS)})),
+n as (select row, pos, regexp_replace(s, {quoted(OTHER)}, ' ', 'g') as s from p where regexp_matches(s, {quoted("(?i)" + STEMS)})),
+i as (select row, pos, {case} as id from n),
+g as (select row, count(*) as n, string_agg(id, '' order by pos) as ids from i where id is not null group by row),
+q as (select doc_id, coalesce(n, 0) as n_sentences, coalesce(ids, '') as sentence_ids from d left join g using (row)),
+r as (select *, {ruled} as ruled from q),
+x as (select *, regexp_extract_all(ruled, '=([^=<>]+)=', 1) as l from r)
+select doc_id, cast(n_sentences as bigint) as n_sentences, sentence_ids, array_to_string(list_filter(l, lambda y, k: list_position(l, y) = k), ',') as licenses, cast(len(regexp_extract_all(ruled, '<[^<>]+>')) as bigint) as unmatched from x
+"""
