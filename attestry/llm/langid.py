@@ -2,7 +2,7 @@
 
 For each language that occurs in the labelled rows, whole texts of a bounded sample are cut into zstandard raw-content
 dictionaries, several for each language, so that sizes, which are whole bytes, add up to a finer measure. A text is compressed
-with each dictionary; the language with the smallest sum wins, and a narrow margin is reported as `rejected`. Texts with nothing
+with each dictionary, lower-cased as they are; the language with the smallest sum wins, and a narrow margin is reported as `rejected`. Texts with nothing
 in common with any dictionary tie; ties go to the language with more labelled rows, then to the name that sorts first.
 
 The sample is the one bound here: about SAMPLE_DOCS distinct texts and at most DICT_BYTES * DICTS bytes for each language, taken by
@@ -25,10 +25,12 @@ from attestry.llm.common import held_out, small_batches
 SAMPLE_DOCS = 120
 HASH_TOP = 2**63 - 1
 DICTS = 3
-DICT_BYTES = 32 << 10
+DICT_BYTES = 64 << 10
+#: Texts of more bytes are compressed with the first dictionary of each language alone: their sizes are fine enough.
+ONE_DICT = 1024
 #: Languages to learn at most would be a bound on labels, not on rows; the driver checks it instead of dropping any.
 MOST_LANGUAGES = 500
-LEVEL = 3
+LEVEL, MIN_MATCH, SEARCH_LOG = 9, 3, 4
 #: A lead of less than this share of the size, or of fewer bytes than LEAD for each dictionary, is narrow.
 MARGIN, LEAD = 0.01, 2
 
@@ -58,7 +60,7 @@ def learn(docs: DataFrame, dicts: int = DICTS, dict_bytes: int = DICT_BYTES, sam
 def _cut(texts: list[bytes], dicts: int, size: int) -> list[bytes]:
     """Deals whole texts out to the dictionaries in turn until each has its size, where the last is cut."""
     parts = [bytearray() for _ in range(dicts)]
-    for t in texts:
+    for t in (t.decode(errors="replace").lower().encode() for t in texts):
         part = min(parts, key=len)
         if len(part) >= size:
             break
@@ -79,7 +81,7 @@ def classifier(learned: list[tuple[str, int, list[bytes]]]):
         own = []
         for p in parts:
             d = zstandard.ZstdCompressionDict(p or b"\0" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            params = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+            params = zstandard.ZstdCompressionParameters.from_level(LEVEL, min_match=MIN_MATCH, search_log=SEARCH_LOG, write_content_size=False, write_checksum=False, write_dict_id=False)
             d.precompute_compress(compression_params=params)
             own.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params))
         compressors.append((lang, own))
@@ -87,8 +89,9 @@ def classifier(learned: list[tuple[str, int, list[bytes]]]):
     def classify(text: str | None):
         if not text or not has_letter(text) or not compressors:
             return "und", 0.0, True
-        data = text.encode()
-        sizes = [(sum(len(c.compress(data)) for c in own), i) for i, (_, own) in enumerate(compressors)]
+        data = text.lower().encode()
+        some = 1 if len(data) > ONE_DICT else None
+        sizes = [(sum(len(c.compress(data)) for c in own[:some]), i) for i, (_, own) in enumerate(compressors)]
         best = min(sizes)
         if len(sizes) == 1:
             return compressors[0][0], 1.0, False
@@ -96,7 +99,7 @@ def classifier(learned: list[tuple[str, int, list[bytes]]]):
         lead = second[0] - best[0]
         share = lead / max(second[0], 1)
         # From one half (a tie) towards 1 as the lead grows.
-        return compressors[best[1]][0], 0.5 + 0.5 * (share / (share + 0.05)), share < MARGIN or lead < LEAD * len(compressors[0][1])
+        return compressors[best[1]][0], 0.5 + 0.5 * (share / (share + 0.05)), share < MARGIN or lead < LEAD * len(compressors[0][1][:some])
 
     return classify
 

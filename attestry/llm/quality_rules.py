@@ -22,7 +22,7 @@ from attestry.llm.common import WORD, save
 MIN_GROUP = 100
 FENCE = 3
 #: The measures and how far beyond the fence a value is still taken for ordinary spread (per thousand; word_length in hundredths).
-SLACK = {"symbols": 60, "dup_lines": 150, "repeats": 150, "word_length": 150, "shouts": 120}
+SLACK = {"symbols": 60, "dup_lines": 350, "repeats": 350, "word_length": 150, "shouts": 120}
 #: Rows of thresholds that may be sent to every executor; beyond, the join shuffles.
 BROADCAST_GROUPS = 50_000
 _P = "__qr_"
@@ -182,8 +182,8 @@ levels as (select 'source' as level, lang, source, measure, bucket, n from s uni
 cum as (select *, sum(n) over (partition by level, lang, source, measure order by bucket) as upto, sum(n) over (partition by level, lang, source, measure) as total from levels),
 q as (select level, lang, source, measure, max(total) as total, min(bucket) filter (where 100 * upto >= 25 * total) as lo, min(bucket) filter (where 100 * upto >= 75 * total) as hi from cum group by all),
 qv as (select *, case when lo < 32 then lo else ((lo - (lo // 16 - 1) * 16 + 1) << cast(lo // 16 - 1 as int)) - 1 end as q25, case when hi < 32 then hi else ((hi - (hi // 16 - 1) * 16 + 1) << cast(hi // 16 - 1 as int)) - 1 end as q75 from q),
-lim as (select level, lang, source, max(total) as docs, max(q75 + 3 * (q75 - q25) + 60) filter (where measure = 'symbols') as l_symbols, max(q75 + 3 * (q75 - q25) + 150) filter (where measure = 'dup_lines') as l_dup_lines,
-  max(q75 + 3 * (q75 - q25) + 150) filter (where measure = 'repeats') as l_repeats, max(q75 + 3 * (q75 - q25) + 150) filter (where measure = 'word_length') as l_word_length, max(q75 + 3 * (q75 - q25) + 120) filter (where measure = 'shouts') as l_shouts from qv group by all),
+lim as (select level, lang, source, max(total) as docs, max(q75 + 3 * (q75 - q25) + 60) filter (where measure = 'symbols') as l_symbols, max(q75 + 3 * (q75 - q25) + 350) filter (where measure = 'dup_lines') as l_dup_lines,
+  max(q75 + 3 * (q75 - q25) + 350) filter (where measure = 'repeats') as l_repeats, max(q75 + 3 * (q75 - q25) + 150) filter (where measure = 'word_length') as l_word_length, max(q75 + 3 * (q75 - q25) + 120) filter (where measure = 'shouts') as l_shouts from qv group by all),
 f as (select m.*, case when o.docs >= 100 then 'source' when l.docs >= 100 then 'lang' else 'all' end as level,
   case when o.docs >= 100 then o.l_symbols when l.docs >= 100 then l.l_symbols else a.l_symbols end as x1, case when o.docs >= 100 then o.l_dup_lines when l.docs >= 100 then l.l_dup_lines else a.l_dup_lines end as x2,
   case when o.docs >= 100 then o.l_repeats when l.docs >= 100 then l.l_repeats else a.l_repeats end as x3, case when o.docs >= 100 then o.l_word_length when l.docs >= 100 then l.l_word_length else a.l_word_length end as x4,
