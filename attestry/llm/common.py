@@ -46,6 +46,14 @@ def forget(*frames: DataFrame) -> None:
             at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished steps now, not when the driver's heap next happens to fill."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Keeps Arrow batches of whole texts small: long documents come by the thousand at worst."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

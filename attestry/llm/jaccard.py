@@ -12,7 +12,8 @@ to the hub after that is compared with everything under that shingle that it isn
 no pair of unconnected documents with a chance is left unverified, and none of the lists is collected.
 
 Defined results: null or wordless text has an empty set, links with nothing and is its own class; a null doc_id stays alone with a
-null class; rows that repeat a doc_id are one document with the sets of all its rows; an empty table gives no rows; other columns
+null class; rows that repeat a doc_id are judged each by its
+own text; an empty table gives no rows; other columns
 aren't read. `keep_one` keeps, with all columns, the rows whose doc_id is its class' smallest (a null doc_id stays).
 """
 
@@ -23,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import forget, save, small_batches
+from attestry.llm.common import forget, save, small_batches, sweep
 
 #: Shingles met in fewer documents aren't told apart from rare ones; the most frequent so many are ranked. Both only shape the order.
 FREQUENT, RANKED = 48, 1 << 16
 #: Groups under one shingle from which a hub is used.
 BUCKET = 40
 MEMORY = 400_000
+FILTER_BITS = 1 << 25
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -111,12 +113,24 @@ def _prefixes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(id, s): the whole sets of the documents in `nodes`."""
-    given = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text")).join(nodes, "id", "left_semi")
+    """(id, s): the whole sets of the documents in `nodes`, and of the few others that share a bit with one of them in a filter of
+    fixed size. Texts stay where they are; what is too much here finds no pair later."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    words = nodes.groupBy(F.floor(bit / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))).alias("bits")).collect()  # FILTER_BITS / 64 at most
+    table = np.zeros(FILTER_BITS // 64, np.uint64)
+    for r in words:
+        table[r["word"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+    given = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
+    given = given.withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)))
 
     def run(batches):
+        t = sent.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, width).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "s"])
+            at = b.column(2).to_numpy()
+            b = b.filter(pa.array((t[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
+            sets = [shingles(x, width).view(np.int64) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
 
     return given.mapInArrow(run, "id long, s array<long>").where(F.size("s") > 0)
 
@@ -157,20 +171,25 @@ def _fits(num: int, den: int):
 def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; two link when den * |A and B| >= num * |A or B|."""
     small_batches(docs.sparkSession, 1000)
-    made = save(_prefixes(docs, width, num, den), "jaccard-prefixes")
+    spark = docs.sparkSession
+    made = save(_prefixes(docs, width, num, den).withColumn("key", F.xxhash64("n", "prefix")), "jaccard-prefixes")
+    sweep(spark)
     real = made.where("n > 0 and doc_id is not null")
-    reps = save(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies")), "jaccard-reps")
-    # Each representative's prefix, looked up by its own id: no key is hot.
-    own = real.join(reps.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
-    grouped = own.select(F.col("doc_id").alias("id"), "n", "prefix", F.xxhash64("n", "prefix").alias("key"))
-    members = grouped.select("id", "key")
-    groups = save(grouped.groupBy("key").agg(F.min("id").alias("g"), F.count(F.lit(1)).alias("size")), "jaccard-groups")
-    leaders = grouped.join(groups.select(F.col("g").alias("id"), "key", "size"), ["id", "key"]).dropDuplicates(["id", "key"])
-    posted = leaders.select(F.col("id").alias("g"), "n", F.posexplode("prefix").alias("pos", "h"))
+    # Size and key follow from the set, so any of its documents' will do.
+    reps = save(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key")), "jaccard-reps")
+    groups = save(reps.groupBy("key").agg(F.min(F.struct("rep", "digest")).alias("first"), F.count(F.lit(1)).alias("size")).select("key", F.col("first.rep").alias("g"), F.col("first.digest").alias("digest"), "size"), "jaccard-groups")
+    # Each group's prefix is looked up by its first member's id and set: no key is hot.
+    own = real.select(F.col("doc_id").alias("g"), "digest", "n", "prefix")
+    posted = groups.select("g", "digest").join(own, ["g", "digest"]).dropDuplicates(["g", "digest"]).select("g", "n", F.posexplode("prefix").alias("pos", "h"))
+    posted = save(posted.select("h", "g", (F.col("n").cast("long") * (1 << 31) + F.col("pos")).alias("np")), "jaccard-posted")
+    sweep(spark)
     counts = posted.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    posts = save(posted.join(counts, "h"), "jaccard-posts")
-    big = save(groups.where("size > 1").select("key", "g"), "jaccard-big")
-    inside = save(big.join(members, "key").select("g", F.col("id").alias("member")), "jaccard-inside")
+    posts = posted.join(counts, "h").select("h", "g", F.shiftright("np", 31).cast("int").alias("n"), F.col("np").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("pos"), "c")
+    posts = save(posts, "jaccard-posts")
+    forget(posted)
+    sweep(spark)
+    big = groups.where("size > 1").select("key", "g")
+    inside = save(big.join(reps.select("key", F.col("rep").alias("member")), "key").select("g", "member"), "jaccard-inside")
 
     cold = posts.where(F.col("c") <= BUCKET)
     # The larger one probes with its whole prefix; the smaller one is met in the shorter prefix that suffices for it.
@@ -189,8 +208,10 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     first = save(cold_pairs.unionByName(to_hub).unionByName(stars).distinct(), "jaccard-first")
     # Members of groups under hot shingles may be compared later even if no pair above has them.
     nodes = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).unionByName(hot.select(F.col("g").alias("id"))).unionByName(inside.select(F.col("member").alias("id"))).distinct()
+    sweep(spark)
     sets = save(_sets(docs, nodes, width), "jaccard-sets")
     links = save(_verified(first, sets, num, den), "jaccard-links")
+    sweep(spark)
     labels = connected_components(links)
 
     def labelled(df: DataFrame, node: str, out: str) -> DataFrame:
@@ -225,7 +246,7 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     # A copy takes its representative's class. The smallest id of a class is always a representative.
     classes = reps.select("digest", F.col("rep").alias("id")).join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component_id"))
     out = save(made.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "digest").join(classes, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component_id")), "jaccard-out")
-    forget(made, reps, groups, posts, big, inside, cold_pairs, hot, hubs, first, sets, links, labels, loose, hot_nodes, second)
+    forget(made, reps, groups, posts, inside, cold_pairs, hot, hubs, first, sets, links, labels, loose, hot_nodes, second)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
