@@ -28,7 +28,7 @@ CAPACITY = 2048
 #: Pieces that one task packs, a few dozen bytes each.
 TASK_PIECES = 120_000
 ROUNDS = 5
-MEMORY = 300_000
+MEMORY = 500_000
 #: Control characters that Python, but not the vocabulary's pre-tokenizer, takes for white space aren't among bytes.split()'s.
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
@@ -45,20 +45,37 @@ class WordIds(dict):
 
         parsed = json.loads(spec)
         self.cuttable = not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in parsed["added_tokens"])
+        self.special = {t["content"].encode() for t in parsed["added_tokens"]} | {t["content"].lower().encode() for t in parsed["added_tokens"]} | {b"<|"}
+        self.lowers = "Lowercase" in json.dumps(parsed["normalizer"])
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        #: What was remembered before the last time that the memory was full; words still in use come back from it.
+        self.older: dict[bytes, bytes] = {}
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    def _remember(self, word: bytes, ids: bytes) -> bytes:
         if len(word) <= 64:
             if len(self) >= MEMORY:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
+    def __missing__(self, word: bytes) -> bytes:
+        if (ids := self.older.get(word)) is not None:
+            return self._remember(word, ids)
+        core = word.rstrip(b".,")
+        if core != word and core and core[-1:].isalpha() and b"<|" not in word:
+            # Between an ASCII letter and a stop or comma the pattern always splits.
+            return self._remember(word, self[core] + self[word[len(core) :]])
+        return self._remember(word, np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes())
+
     def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split())) if self.cuttable else self[text]
+        if not self.cuttable:
+            return self[text]
+        # The vocabulary lower-cases; doing so first lets more words be known. Special tokens are met with their case.
+        words = text.split() if any(t in text for t in self.special) or not self.lowers else text.lower().split()
+        return b"".join(map(self.__getitem__, words))
 
 
 def word_ids(spec: str) -> WordIds:
