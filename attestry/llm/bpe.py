@@ -70,7 +70,9 @@ class ForcedBoundaryCodec:
         any_ws = b"(?:" + ws + b"|" + WIDE + b")"
         #: With wide white space about, a cut comes only before a whole run of white space, where the pre-tokenizer cuts anyway.
         self.wide_cuts = re.compile(any_ws + b"*(?:(?!" + WIDE + b")" + no + b")+|" + any_ws + b"+").findall
+        #: Fragments met lately, and those met before the last time that the memory was full.
         self.memory: dict[bytes, tuple[bytes, bytes]] = {}
+        self.older: dict[bytes, tuple[bytes, bytes]] = {}
 
     @staticmethod
     def forced_pairs(tokens: list[bytes]) -> np.ndarray:
@@ -103,18 +105,28 @@ class ForcedBoundaryCodec:
         return [fragment[i:j] for i, j in zip(edges, edges[1:])]
 
     def _fragment(self, fragment: bytes) -> tuple[bytes, bytes]:
+        if found := self.older.get(fragment):
+            return self._remember(fragment, found)
+        core = fragment.rstrip(b".,")
+        if core != fragment and core[-1:].isalpha() and self.forced[core[-1], fragment[len(core)]]:
+            # A forced pair where the pre-tokenizer splits too: the word and its stop are known apart.
+            tail = fragment[len(core) :]
+            a, b = self.memory.get(core) or self._fragment(core), self.memory.get(tail) or self._fragment(tail)
+            return self._remember(fragment, (a[0] + b[0], a[1] + b[1]))
         ids = [i for part in self._inner(fragment) for i in self.tokenizer.encode(part.decode(), add_special_tokens=False).ids]
-        found = ("".join(f"{i}," for i in ids).encode(), np.array(ids, np.uint32).tobytes())
+        return self._remember(fragment, ("".join(f"{i}," for i in ids).encode(), np.array(ids, np.uint32).tobytes()))
+
+    def _remember(self, fragment: bytes, found: tuple[bytes, bytes]) -> tuple[bytes, bytes]:
         if len(fragment) <= LONGEST:
             if len(self.memory) >= MEMORY:
-                self.memory.clear()
+                self.older, self.memory = self.memory, {}
             self.memory[fragment] = found
         return found
 
     def parts(self, text: bytes) -> list[tuple[bytes, bytes]]:
         """For each fragment its ids as decimal text (a comma after each) and as 32-bit numbers."""
-        know, learn = self.memory.get, self._fragment
-        return [know(f) or learn(f) for f in self.fragments(text)]
+        learn = self._fragment
+        return [self.memory.get(f) or learn(f) for f in self.fragments(text)]
 
     def encode(self, text: bytes) -> np.ndarray:
         return np.frombuffer(b"".join([p[1] for p in self.parts(text)]), np.uint32)
