@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from attestry.llm.common import held_out, small_batches
 
-TRAIN_DOCS = 12_000
+TRAIN_DOCS = 5_000
 BITS = 18
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
@@ -111,10 +111,10 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> np.ndar
                 at, x = features(t)
                 yield pa.RecordBatch.from_arrays([pa.array([h]), pa.array([y], pa.int32()), pa.array([at.astype(np.int32).tobytes()]), pa.array([x.astype(np.float32).tobytes()])], ["h", "y", "at", "x"])
 
+    # Some 8 bytes for each n-gram of the sample come to the driver, and are used as they are.
     rows = texts.mapInArrow(run, "h long, y int, at binary, x binary").collect()
     rows.sort(key=lambda r: (r["h"], r["at"], r["y"]))
-    done = [(np.frombuffer(r["at"], np.int32).astype(np.int64), np.frombuffer(r["x"], np.float32).astype(float), r["y"]) for r in rows]
-    return train(done).astype(np.float32)
+    return train([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32), r["y"]) for r in rows]).astype(np.float32)
 
 
 def _scores(texts, w) -> list[float]:
