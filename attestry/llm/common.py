@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,25 @@ def forget(*frames: DataFrame) -> None:
             at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Keeps a step's rows on the executors' disks. Unlike a local checkpoint it keeps its lineage too: what a lost executor held is
+    made again from its input. For steps of which many follow each other, where writing files would cost more than it saves."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+#: Rows in each file that settle() writes.
+FILE_ROWS = 1_000_000
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """save() into as few files as the rows need, however many partitions they come in."""
+    held = hold(df)
+    files = max(1, -(-held.count() // FILE_ROWS))
+    out = save(held.coalesce(files), name)
+    held.unpersist()
+    return out
+
+
 def sweep(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of finished steps now, not when the driver's heap next happens to fill."""
     import gc

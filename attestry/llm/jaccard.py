@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import forget, save, small_batches, sweep
+from attestry.llm.common import forget, hold, settle, small_batches, sweep
 
 #: Shingles met in fewer documents aren't told apart from rare ones; the most frequent so many are ranked. Both only shape the order.
 FREQUENT, RANKED = 48, 1 << 16
@@ -144,18 +144,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(id, label): the smallest id reachable over (a, b), for the ids that have links. Smallest labels pass along links and are
-    then looked up at the label itself, so chains halve; each round is a written table."""
-    edges = save(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = save(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id"), "cc-labels")
+    then looked up at the label itself, so chains halve from round to round."""
+    edges = settle(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
+    labels = settle(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("id"), "label"), "cc-labels")
     while True:
         seen = edges.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("via"))
         near = labels.join(seen, "id").select("id", F.col("label").alias("old"), F.least("label", "via").alias("label"))
-        far = near.alias("x").join(labels.select(F.col("id").alias("label"), F.col("label").alias("beyond")), "label", "left").select("id", "old", F.least("label", F.coalesce("beyond", "label")).alias("label"))
-        after = save(far, "cc-labels")
-        changed = after.where("label < old").limit(1).count()
+        far = near.join(labels.select(F.col("id").alias("label"), F.col("label").alias("beyond")), "label", "left").select("id", "old", F.least("label", F.coalesce("beyond", "label")).alias("label"))
+        after = settle(far, "cc-labels")
+        changed = after.agg(F.count_if(F.col("label") < F.col("old")).alias("n")).first()["n"]
         forget(labels)
-        labels = after.select("id", "label")
-        labels.saved_at = after.saved_at
+        labels = after
         if not changed:
             forget(edges)
             return labels
@@ -172,24 +171,24 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; two link when den * |A and B| >= num * |A or B|."""
     small_batches(docs.sparkSession, 1000)
     spark = docs.sparkSession
-    made = save(_prefixes(docs, width, num, den).withColumn("key", F.xxhash64("n", "prefix")), "jaccard-prefixes")
+    made = hold(_prefixes(docs, width, num, den).withColumn("key", F.xxhash64("n", "prefix")))
     sweep(spark)
     real = made.where("n > 0 and doc_id is not null")
     # Size and key follow from the set, so any of its documents' will do.
-    reps = save(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key")), "jaccard-reps")
-    groups = save(reps.groupBy("key").agg(F.min(F.struct("rep", "digest")).alias("first"), F.count(F.lit(1)).alias("size")).select("key", F.col("first.rep").alias("g"), F.col("first.digest").alias("digest"), "size"), "jaccard-groups")
+    reps = settle(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key")), "jaccard-reps")
+    groups = settle(reps.groupBy("key").agg(F.min(F.struct("rep", "digest")).alias("first"), F.count(F.lit(1)).alias("size")).select("key", F.col("first.rep").alias("g"), F.col("first.digest").alias("digest"), "size"), "jaccard-groups")
     # Each group's prefix is looked up by its first member's id and set: no key is hot.
     own = real.select(F.col("doc_id").alias("g"), "digest", "n", "prefix")
     posted = groups.select("g", "digest").join(own, ["g", "digest"]).dropDuplicates(["g", "digest"]).select("g", "n", F.posexplode("prefix").alias("pos", "h"))
-    posted = save(posted.select("h", "g", (F.col("n").cast("long") * (1 << 31) + F.col("pos")).alias("np")), "jaccard-posted")
+    posted = hold(posted.select("h", "g", (F.col("n").cast("long") * (1 << 31) + F.col("pos")).alias("np")))
     sweep(spark)
     counts = posted.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     posts = posted.join(counts, "h").select("h", "g", F.shiftright("np", 31).cast("int").alias("n"), F.col("np").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("pos"), "c")
-    posts = save(posts, "jaccard-posts")
-    forget(posted)
+    posts = settle(posts, "jaccard-posts")
+    posted.unpersist()
     sweep(spark)
     big = groups.where("size > 1").select("key", "g")
-    inside = save(big.join(reps.select("key", F.col("rep").alias("member")), "key").select("g", "member"), "jaccard-inside")
+    inside = settle(big.join(reps.select("key", F.col("rep").alias("member")), "key").select("g", "member"), "jaccard-inside")
 
     cold = posts.where(F.col("c") <= BUCKET)
     # The larger one probes with its whole prefix; the smaller one is met in the shorter prefix that suffices for it.
@@ -197,20 +196,20 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     left = cold.select("h", F.col("g").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     right = cold.where(F.col("pos") < index_length).select("h", F.col("g").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     larger = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") > F.col("b")))
-    cold_pairs = save(left.join(right, "h").where(larger & _fits(num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-cold")
+    cold_pairs = settle(left.join(right, "h").where(larger & _fits(num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-cold")
 
-    hot = save(posts.where(F.col("c") > BUCKET).drop("c"), "jaccard-hot")
+    hot = settle(posts.where(F.col("c") > BUCKET).drop("c"), "jaccard-hot")
     heat = hot.groupBy("g").agg(F.count(F.lit(1)).alias("heat"))
     hubs = hot.join(heat, "g").groupBy("h").agg(F.max_by(F.struct("g", "n"), F.struct("heat", -F.col("g"))).alias("hub")).select("h", F.col("hub.g").alias("hub"), F.col("hub.n").alias("hub_n"))
-    hubs = save(hubs, "jaccard-hubs")
+    hubs = settle(hubs, "jaccard-hubs")
     to_hub = hot.join(hubs, "h").where((F.col("g") != F.col("hub")) & (den * F.least("n", "hub_n") >= num * F.greatest("n", "hub_n"))).select(F.least("g", "hub").alias("a"), F.greatest("g", "hub").alias("b"))
     stars = inside.where("g <> member").select(F.col("g").alias("a"), F.col("member").alias("b"))
-    first = save(cold_pairs.unionByName(to_hub).unionByName(stars).distinct(), "jaccard-first")
+    first = settle(cold_pairs.unionByName(to_hub).unionByName(stars).distinct(), "jaccard-first")
     # Members of groups under hot shingles may be compared later even if no pair above has them.
     nodes = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).unionByName(hot.select(F.col("g").alias("id"))).unionByName(inside.select(F.col("member").alias("id"))).distinct()
     sweep(spark)
-    sets = save(_sets(docs, nodes, width), "jaccard-sets")
-    links = save(_verified(first, sets, num, den), "jaccard-links")
+    sets = hold(_sets(docs, nodes, width))
+    links = settle(_verified(first, sets, num, den), "jaccard-links")
     sweep(spark)
     labels = connected_components(links)
 
@@ -220,33 +219,32 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     # What the first round left open: members of groups that aren't connected, and what isn't connected to its hub.
     of = lambda node: inside.select(F.col("g").alias(node), F.col("member").alias(f"{node}_m"))
     expanded = cold_pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("a_m is not null or b_m is not null").select(F.coalesce("a_m", "a").alias("a"), F.coalesce("b_m", "b").alias("b"))
-    loose = save(labelled(inside.select("g", F.col("member").alias("id")), "id", "l").join(labelled(inside.select("g").distinct(), "g", "lg"), "g").where("l <> lg").select("g", "id", "l"), "jaccard-loose")
+    loose = settle(labelled(inside.select("g", F.col("member").alias("id")), "id", "l").join(labelled(inside.select("g").distinct(), "g", "lg"), "g").where("l <> lg").select("g", "id", "l"), "jaccard-loose")
     within = loose.join(inside, "g").where("id <> member").select(F.least("id", "member").alias("a"), F.greatest("id", "member").alias("b"))
     hot_nodes = hot.join(inside, "g", "left").select("h", F.coalesce("member", "g").alias("id"), "n", "pos")
-    hot_nodes = save(labelled(hot_nodes, "id", "l"), "jaccard-hot-nodes")
+    hot_nodes = settle(labelled(hot_nodes, "id", "l"), "jaccard-hot-nodes")
     away = hot_nodes.join(labelled(hubs.select("h", "hub"), "hub", "lh"), "h").where("l <> lh").select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("l").alias("la"), "lh")
     others = hot_nodes.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("l").alias("lb"))
     # Of two that are both away from the hub, one order is enough.
     open_pairs = away.join(others, "h").where((F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("lh")) | (F.col("a") < F.col("b"))) & _fits(num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = expanded.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").unionByName(open_pairs).distinct()
     second = labelled(labelled(rest, "a", "la"), "b", "lb").where("la <> lb").select("a", "b").join(first, ["a", "b"], "left_anti")
-    second = save(second, "jaccard-second")
-    if second.limit(1).count():
-        more = save(_verified(second, sets, num, den), "jaccard-more")
-        if more.limit(1).count():
+    second = settle(second, "jaccard-second")
+    open_left = second.count()
+    if open_left:
+        more = settle(_verified(second, sets, num, den), "jaccard-more")
+        if more.count():
             # Links found now join classes, so classes are linked, not documents.
             joined = labelled(labelled(more, "a", "la"), "b", "lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
             upper = connected_components(joined)
-            labels = save(
-                links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).unionByName(more.select(F.col("a").alias("id"))).unionByName(more.select(F.col("b").alias("id"))).distinct()
-                .join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-                .join(upper.select(F.col("id").alias("label"), F.col("label").alias("up")), "label", "left").select("id", F.coalesce("up", "label").alias("label")),
-                "jaccard-labels",
-            )
+            ends = lambda df: df.select(F.col("a").alias("id")).unionByName(df.select(F.col("b").alias("id")))
+            every = ends(links).unionByName(ends(more)).distinct().join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+            labels = settle(every.join(upper.select(F.col("id").alias("label"), F.col("label").alias("up")), "label", "left").select("id", F.coalesce("up", "label").alias("label")), "jaccard-labels")
     # A copy takes its representative's class. The smallest id of a class is always a representative.
     classes = reps.select("digest", F.col("rep").alias("id")).join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component_id"))
-    out = save(made.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "digest").join(classes, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component_id")), "jaccard-out")
-    forget(made, reps, groups, posts, inside, cold_pairs, hot, hubs, first, sets, links, labels, loose, hot_nodes, second)
+    out = made.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "digest").join(classes, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component_id"))
+    sets.unpersist()
+    forget(groups, posts, cold_pairs, hot, hubs, first, loose, hot_nodes, inside, second)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
