@@ -32,6 +32,8 @@ FREQUENT, RANKED = 48, 1 << 16
 BUCKET = 40
 MEMORY = 400_000
 FILTER_BITS = 1 << 25
+#: Candidates that hang together and meet in one place at most, and about how many documents a place takes.
+CLUSTER, PLACE = 400, 100
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -112,9 +114,9 @@ def _prefixes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return given.mapInArrow(run, "doc_id long, n int, digest binary, prefix array<long>")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(id, s): the whole sets of the documents in `nodes`, and of the few others that share a bit with one of them in a filter of
-    fixed size. Texts stay where they are; what is too much here finds no pair later."""
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, text) of the documents in `nodes`, and of the few others that share a bit with one of them in a filter of fixed size;
+    what is too much here finds no partner in the join that follows. Other texts never leave their task."""
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     words = nodes.groupBy(F.floor(bit / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))).alias("bits")).collect()  # FILTER_BITS / 64 at most
     table = np.zeros(FILTER_BITS // 64, np.uint64)
@@ -128,18 +130,47 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
         t = sent.value
         for b in batches:
             at = b.column(2).to_numpy()
-            b = b.filter(pa.array((t[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
-            sets = [shingles(x, width).view(np.int64) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
-
-    return given.mapInArrow(run, "id long, s array<long>").where(F.size("s") > 0)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of (a, b) those whose sets reach the threshold."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    common = both.select("a", "b", (F.size("sa") + F.size("sb")).cast("long").alias("sum"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"))
-    return common.where(den * F.col("common") >= num * (F.col("sum") - F.col("common"))).select("a", "b").distinct()
+            yield b.select(["id", "text"]).filter(pa.array((t[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
+
+    return given.mapInArrow(run, "id long, text binary")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Of the candidates (a, b) those whose whole sets reach the threshold.
+
+    Candidates that hang together meet in one place, so that each text travels once and is cut into shingles once. Where more than
+    CLUSTER of them hang together they are dealt out by the end of the pair that has fewer candidates; only the other end, such as
+    the original of a large family, is sent to several places. No place holds more than a bounded number of texts on average."""
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    degrees = settle(ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "jaccard-degrees")
+    places = max(1, degrees.count() // PLACE)
+    clusters = connected_components(pairs)
+    large = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CLUSTER)
+    known = clusters.select("id", "label").join(degrees, "id")
+    named = lambda end: known.select(F.col("id").alias(end), F.col("degree").alias(f"d{end}"), *([F.col("label")] if end == "a" else []))
+    joined = pairs.join(named("a"), "a").join(named("b"), "b").join(large, "label", "left")
+    low = F.when((F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b"))), F.col("a")).otherwise(F.col("b"))
+    part = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64(low), F.ceil(F.col("n") / CLUSTER))).otherwise(0)
+    dealt = settle(joined.select("a", "b", F.pmod(F.xxhash64("label", part), F.lit(places)).cast("int").alias("place")), "jaccard-dealt")
+    wanted = dealt.select(F.col("a").alias("id"), F.col("place").alias("goes")).unionByName(dealt.select(F.col("b").alias("id"), F.col("place").alias("goes"))).distinct()
+    texts = _texts(docs, degrees.select("id")).join(wanted, "id").select("goes", "id", "text")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        sets: dict[int, list[np.ndarray]] = {}
+        for i, t in zip(right.column("id").to_pylist(), right.column("text").to_pylist()):
+            # Rows that repeat an id stand for one node; the texts of each are tried.
+            sets.setdefault(i, []).append(shingles(t, width))
+        out = []
+        for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist()):
+            for x in sets.get(a, ()):
+                if any(len(x) and len(y) and den * (n := len(np.intersect1d(x, y, assume_unique=True))) >= num * (len(x) + len(y) - n) for y in sets.get(b, ())):
+                    out.append((a, b))
+                    break
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    links = settle(dealt.groupBy("place").cogroup(texts.groupBy("goes")).applyInArrow(run, "a long, b long").distinct(), "jaccard-links")
+    forget(degrees, clusters, dealt)
+    return links
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -205,11 +236,8 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     to_hub = hot.join(hubs, "h").where((F.col("g") != F.col("hub")) & (den * F.least("n", "hub_n") >= num * F.greatest("n", "hub_n"))).select(F.least("g", "hub").alias("a"), F.greatest("g", "hub").alias("b"))
     stars = inside.where("g <> member").select(F.col("g").alias("a"), F.col("member").alias("b"))
     first = settle(cold_pairs.unionByName(to_hub).unionByName(stars).distinct(), "jaccard-first")
-    # Members of groups under hot shingles may be compared later even if no pair above has them.
-    nodes = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).unionByName(hot.select(F.col("g").alias("id"))).unionByName(inside.select(F.col("member").alias("id"))).distinct()
     sweep(spark)
-    sets = hold(_sets(docs, nodes, width))
-    links = settle(_verified(first, sets, num, den), "jaccard-links")
+    links = _verified(docs, first, width, num, den)
     sweep(spark)
     labels = connected_components(links)
 
@@ -232,7 +260,7 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     second = settle(second, "jaccard-second")
     open_left = second.count()
     if open_left:
-        more = settle(_verified(second, sets, num, den), "jaccard-more")
+        more = _verified(docs, second, width, num, den)
         if more.count():
             # Links found now join classes, so classes are linked, not documents.
             joined = labelled(labelled(more, "a", "la"), "b", "lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
@@ -243,7 +271,6 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     # A copy takes its representative's class. The smallest id of a class is always a representative.
     classes = reps.select("digest", F.col("rep").alias("id")).join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component_id"))
     out = made.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "digest").join(classes, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component_id"))
-    sets.unpersist()
     forget(groups, posts, cold_pairs, hot, hubs, first, loose, hot_nodes, inside, second)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
