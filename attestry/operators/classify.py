@@ -19,11 +19,12 @@ def tokens(text: Column) -> Column:
 
 def shingles(df: DataFrame, key: list[str], text: str, gram: int = GRAM) -> DataFrame:
     """(key..., g): distinct hashes of the word n-grams; a text of fewer words has one, of them all."""
-    words = df.select(*key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("w")).where(F.size("w") > 0)
-    width = F.least(F.size("w"), F.lit(gram))
-    places = F.sequence(F.lit(1), F.size("w") - width + 1)
-    grams = words.withColumn("n", width).withColumn("g", F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, F.col("n")), " ")))))
-    return grams.select(*key, F.explode("g").alias("g"))
+    words = df.select(*key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("w"))
+    n = F.least(F.size("w"), F.lit(gram))
+    hashes = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, F.lit(gram)), " ")))
+    grams = words.withColumn("g", F.when(F.size("w") > 0, F.array_distinct(hashes)))
+    # An outer explode, filtered after: a filter that the optimizer moved below would tokenise each text again for every word.
+    return grams.select(*key, F.explode_outer("g").alias("g")).where("g is not null")
 
 
 def containment(files: DataFrame, key: list[str], corpus: DataFrame, text: str = "text", gram: int = GRAM) -> DataFrame:
