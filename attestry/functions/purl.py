@@ -68,4 +68,4 @@ def source(name: Column, version: Column, repository: Column, kind: str = "gener
 
 
 def is_own_distribution(distribution: Column, own: Column) -> Column:
-    return normalize_pypi(distribution) == F.regexp_replace(normalize_pypi(own), r"^py3(\.?\d+)?-", "")
+    return normalize_pypi(distribution) == normalize_pypi(F.regexp_replace(own, r"^py3(\.\d+)?-", ""))
