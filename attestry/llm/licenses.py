@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: (identifier, stem, pattern of the normalised sentence). The stem, lower-case letters only, occurs in whatever the pattern matches.
+#: (identifier, stem, pattern of the normalised sentence). The stem, one lower-case word or a part of one, occurs in whatever the pattern matches.
 SENTENCES = (
     ("spdx-tag", "spdx", r"spdx-license-identifier"),
     ("apache-2-0", "licen", r"licensed under the apache license,? version 2(\.0)?\b"),
@@ -29,7 +29,7 @@ SENTENCES = (
     ("gpl-2", "licen", r"gnu general public license,? (version 2|v2)"),
     ("gpl-any", "licen", r"gnu general public license"),
     ("gpl-later", "version", r"(at your option,? )?any later version"),
-    ("gpl-received", "licen", r"you should have received a copy of the gnu"),
+    ("gpl-received", "received", r"you should have received a copy of the gnu"),
     ("mit", "licen", r"(released|licensed|available|distributed) under the( terms of the)? mit( x11)? licen[sc]e"),
     ("mit-grant", "permission", r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("mit-notice", "permission", r"the above copyright notice and this permission notice shall be included"),
@@ -47,13 +47,14 @@ SENTENCES = (
     ("cc-by-nc", "cc", r"\bcc[ -]by-nc[ -]?4\.0"),
     ("cc-by-sa", "cc", r"\bcc[ -]by-sa[ -]?4\.0"),
     ("cc-by", "cc", r"\bcc[ -]by[ -]?4\.0"),
-    ("unlicense", "public domain", r"free and unencumbered software released into the public domain"),
-    ("as-is", "as is", r"\bprovided\b.{0,60}\bas is\b|\bas is\b.{0,20}\bwithout warranty"),
-    ("all-rights", "all rights", r"all rights reserved"),
+    ("unlicense", "unencumbered", r"free and unencumbered software released into the public domain"),
+    ("as-is", "provided", r"\bprovided\b.{0,60}\bas is\b"),
+    ("as-is", "warranty", r"\bas is\b.{0,20}\bwithout warranty"),
+    ("all-rights", "reserved", r"all rights reserved"),
 )
 #: (licence, pattern over the identifiers), longest demands first.
 RULES = (
-    ("Apache-2.0", r"(<apache-comply>)?<apache-obtain>?<apache-2-0>(<apache-comply>)?(<apache-obtain>)?(<as-is>)?"),
+    ("Apache-2.0", r"(<apache-comply>)?(<apache-obtain>)?<apache-2-0>(<apache-comply>)?(<apache-obtain>)?(<as-is>)?"),
     ("AGPL-3.0-or-later", r"<agpl-3>(<gpl-later>)(<as-is>)?(<gpl-received>)?"),
     ("AGPL-3.0-only", r"<agpl-3>(<as-is>)?"),
     ("LGPL-3.0-or-later", r"<lgpl-3>(<gpl-later>)(<as-is>)?(<gpl-received>)?"),
