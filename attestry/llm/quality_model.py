@@ -6,8 +6,8 @@ trigrams of whole texts are hashed into 2**BITS weights; a text's value for each
 score is a sparse dot product through the logistic function.
 
 Training uses a bounded sample: TRAIN_DOCS labelled documents (the rest of the corpus only if its labels are fewer), taken by a
-hash of the id over all labelled rows outside the held-out third. Each executor turns its texts into sparse rows; the driver
-makes EPOCHS passes of per-coordinate FTRL-proximal updates over them in a fixed order.
+hash of the id over all labelled rows outside the held-out third. One task turns
+them into sparse rows and makes EPOCHS passes of per-coordinate FTRL-proximal updates over them in a fixed order.
 
 Defined results: null or empty text has no n-grams and scores by the bias alone; labels that are null, or ids labelled both
 ways, teach nothing; with nothing to learn from, every score is 0.5; repeated rows score alike; an empty table gives no rows;
@@ -106,15 +106,16 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> np.ndar
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("h", "y", "text")  # at most `most` rows
 
     def run(batches):
+        rows = []
         for b in batches:
-            for h, y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                at, x = features(t)
-                yield pa.RecordBatch.from_arrays([pa.array([h]), pa.array([y], pa.int32()), pa.array([at.astype(np.int32).tobytes()]), pa.array([x.astype(np.float32).tobytes()])], ["h", "y", "at", "x"])
-
-    # Some 8 bytes for each n-gram of the sample come to the driver, and are used as they are.
-    rows = texts.mapInArrow(run, "h long, y int, at binary, x binary").collect()
-    rows.sort(key=lambda r: (r["h"], r["at"], r["y"]))
-    return train([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32), r["y"]) for r in rows]).astype(np.float32)
+            rows += [(h, t or "", y) for h, y, t in zip(*(b.column(i).to_pylist() for i in range(3)))]
+        rows.sort()
+        made = [(at.astype(np.int32), x.astype(np.float32), y) for (at, x), y in ((features(t), y) for _, t, y in rows)]
+        yield pa.RecordBatch.from_arrays([pa.array([train(made).astype(np.float32).tobytes()], pa.binary())], ["weights"])
+
+    # One task trains on the sample; only the weights, 2**BITS numbers, come to the driver.
+    row = texts.repartition(1).mapInArrow(run, "weights binary").first()
+    return np.frombuffer(row["weights"], np.float32) if row else np.zeros(1 << BITS, np.float32)
 
 
 def _scores(texts, w) -> list[float]:
