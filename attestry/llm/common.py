@@ -53,17 +53,10 @@ def hold(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
-#: Rows in each file that settle() writes.
-FILE_ROWS = 1_000_000
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """save() into as few files as the rows need, however many partitions they come in."""
-    held = hold(df)
-    files = max(1, -(-held.count() // FILE_ROWS))
-    out = save(held.coalesce(files), name)
-    held.unpersist()
-    return out
+def settle(df: DataFrame, name: str, files: int) -> DataFrame:
+    """save() into at most so many files, for small tables that come in many partitions. Each written file costs an executor a
+    process or two; `files` should follow the size of the input."""
+    return save(df.coalesce(max(1, files)), name)
 
 
 def sweep(spark: SparkSession) -> None:

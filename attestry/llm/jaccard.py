@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import forget, hold, settle, small_batches, sweep
+from attestry.llm.common import forget, hold, save, settle, small_batches, sweep
 
 #: Shingles met in fewer documents aren't told apart from rare ones; the most frequent so many are ranked. Both only shape the order.
 FREQUENT, RANKED = 48, 1 << 16
@@ -32,8 +32,10 @@ FREQUENT, RANKED = 48, 1 << 16
 BUCKET = 40
 MEMORY = 400_000
 FILTER_BITS = 1 << 25
-#: Candidates that hang together and meet in one place at most, and about how many documents a place takes.
-CLUSTER, PLACE = 400, 100
+#: Candidates of one shingle that meet in one place at most, and about how many documents a place takes.
+CROWD, PLACE = 400, 100
+#: Documents for each file of a small table.
+FILE_DOCS = 100_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -50,7 +52,7 @@ class Words(dict):
 _words = Words()
 
 
-def shingles(text: bytes | None, width: int) -> np.ndarray:
+def shingles(text: bytes | None, width: int, distinct: bool = True) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles; the whole sequence counts as one if it is shorter."""
     words = (text or b"").lower().split()  # bytes: A-Z only, and exactly the six ASCII white-space bytes
     n = len(words)
@@ -65,23 +67,26 @@ def shingles(text: bytes | None, width: int) -> np.ndarray:
             out ^= out >> np.uint64(31)
         out *= _M2
         out ^= out >> np.uint64(33)
-    return np.unique(out)
+    return np.unique(out) if distinct else out
 
 
 def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, their ranks) of frequent shingles: each batch counts its documents, sums are added up over all."""
+    """(hashes in order, their ranks) of frequent shingles: each batch counts its own, sums are added up over all documents."""
 
     def count(batches):
         for b in batches:
-            sets = [shingles(t, width) for t in b.column(0).to_pylist()]
+            sets = [shingles(t, width, False) for t in b.column(0).to_pylist()]
             h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
             h, n = h[n > 1], n[n > 1]
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
     summed = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    rows = summed.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(RANKED).collect()  # at most RANKED numbers
-    rows.sort(key=lambda r: (r["n"], r["h"]))
-    h, rank = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.arange(1, len(rows) + 1)
+    top = summed.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(RANKED).toArrow()  # at most RANKED pairs of numbers
+    h, n = top.column("h").to_numpy(), top.column("n").to_numpy()
+    by_count = np.lexsort((h, n))
+    rank = np.empty(len(h), np.int64)
+    rank[by_count] = np.arange(1, len(h) + 1)
+    h = h.view(np.uint64)
     order = np.argsort(h)
     return h[order], rank[order]
 
@@ -117,14 +122,15 @@ def _prefixes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, text) of the documents in `nodes`, and of the few others that share a bit with one of them in a filter of fixed size;
     what is too much here finds no partner in the join that follows. Other texts never leave their task."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = nodes.groupBy(F.floor(bit / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))).alias("bits")).collect()  # FILTER_BITS / 64 at most
-    table = np.zeros(FILTER_BITS // 64, np.uint64)
-    for r in words:
-        table[r["word"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (32 * nodes.count()).bit_length()))
+    bit = F.pmod(F.xxhash64("id"), F.lit(bits))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
+    words = nodes.groupBy(F.floor(bit / 64).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()  # FILTER_BITS / 64 pairs of numbers at most
+    table = np.zeros(bits // 64, np.uint64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     sent = docs.sparkSession.sparkContext.broadcast(table)
     given = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
-    given = given.withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)))
+    given = given.withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(bits)))
 
     def run(batches):
         t = sent.value
@@ -135,23 +141,22 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return given.mapInArrow(run, "id long, text binary")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Of the candidates (a, b) those whose whole sets reach the threshold.
+def _verified(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int, files: int) -> DataFrame:
+    """Of the candidates (a, b, h) those whose whole sets reach the threshold.
 
-    Candidates that hang together meet in one place, so that each text travels once and is cut into shingles once. Where more than
-    CLUSTER of them hang together they are dealt out by the end of the pair that has fewer candidates; only the other end, such as
-    the original of a large family, is sent to several places. No place holds more than a bounded number of texts on average."""
+    Candidates of one shingle h meet in one place, so that a text that resembles many travels and is cut into shingles once or a
+    few times. Where a shingle has more than CROWD candidates they are dealt out by the end of the pair that has fewer candidates;
+    only the other end, such as the original of a large family, is sent to several places. No place holds more than a bounded
+    number of texts on average."""
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    degrees = settle(ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "jaccard-degrees")
+    degrees = settle(ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "jaccard-degrees", files)
     places = max(1, degrees.count() // PLACE)
-    clusters = connected_components(pairs)
-    large = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CLUSTER)
-    known = clusters.select("id", "label").join(degrees, "id")
-    named = lambda end: known.select(F.col("id").alias(end), F.col("degree").alias(f"d{end}"), *([F.col("label")] if end == "a" else []))
-    joined = pairs.join(named("a"), "a").join(named("b"), "b").join(large, "label", "left")
+    crowded = pairs.groupBy("h").agg(F.count(F.lit(1)).alias("crowd")).where(F.col("crowd") > CROWD)
+    named = lambda end: degrees.select(F.col("id").alias(end), F.col("degree").alias(f"d{end}"))
+    joined = pairs.join(named("a"), "a").join(named("b"), "b").join(crowded, "h", "left")
     low = F.when((F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b"))), F.col("a")).otherwise(F.col("b"))
-    part = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64(low), F.ceil(F.col("n") / CLUSTER))).otherwise(0)
-    dealt = settle(joined.select("a", "b", F.pmod(F.xxhash64("label", part), F.lit(places)).cast("int").alias("place")), "jaccard-dealt")
+    part = F.when(F.col("crowd").isNotNull(), F.pmod(F.xxhash64(low), F.ceil(F.col("crowd") / CROWD))).otherwise(0)
+    dealt = settle(joined.select("a", "b", F.pmod(F.xxhash64("h", part), F.lit(places)).cast("int").alias("place")), "jaccard-dealt", files)
     wanted = dealt.select(F.col("a").alias("id"), F.col("place").alias("goes")).unionByName(dealt.select(F.col("b").alias("id"), F.col("place").alias("goes"))).distinct()
     texts = _texts(docs, degrees.select("id")).join(wanted, "id").select("goes", "id", "text")
 
@@ -168,21 +173,21 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int)
                     break
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-    links = settle(dealt.groupBy("place").cogroup(texts.groupBy("goes")).applyInArrow(run, "a long, b long").distinct(), "jaccard-links")
-    forget(degrees, clusters, dealt)
+    links = settle(dealt.groupBy("place").cogroup(texts.groupBy("goes")).applyInArrow(run, "a long, b long").distinct(), "jaccard-links", files)
+    forget(degrees, dealt)
     return links
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, files: int) -> DataFrame:
     """(id, label): the smallest id reachable over (a, b), for the ids that have links. Smallest labels pass along links and are
     then looked up at the label itself, so chains halve from round to round."""
-    edges = settle(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = settle(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("id"), "label"), "cc-labels")
+    edges = settle(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges", files)
+    labels = settle(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("id"), "label"), "cc-labels", files)
     while True:
         seen = edges.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("via"))
         near = labels.join(seen, "id").select("id", F.col("label").alias("old"), F.least("label", "via").alias("label"))
         far = near.join(labels.select(F.col("id").alias("label"), F.col("label").alias("beyond")), "label", "left").select("id", "old", F.least("label", F.coalesce("beyond", "label")).alias("label"))
-        after = settle(far, "cc-labels")
+        after = settle(far, "cc-labels", files)
         changed = after.agg(F.count_if(F.col("label") < F.col("old")).alias("n")).first()["n"]
         forget(labels)
         labels = after
@@ -203,11 +208,12 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     small_batches(docs.sparkSession, 1000)
     spark = docs.sparkSession
     made = hold(_prefixes(docs, width, num, den).withColumn("key", F.xxhash64("n", "prefix")))
+    files = 1 + made.count() // FILE_DOCS
     sweep(spark)
     real = made.where("n > 0 and doc_id is not null")
     # Size and key follow from the set, so any of its documents' will do.
-    reps = settle(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key")), "jaccard-reps")
-    groups = settle(reps.groupBy("key").agg(F.min(F.struct("rep", "digest")).alias("first"), F.count(F.lit(1)).alias("size")).select("key", F.col("first.rep").alias("g"), F.col("first.digest").alias("digest"), "size"), "jaccard-groups")
+    reps = settle(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key")), "jaccard-reps", files)
+    groups = settle(reps.groupBy("key").agg(F.min(F.struct("rep", "digest")).alias("first"), F.count(F.lit(1)).alias("size")).select("key", F.col("first.rep").alias("g"), F.col("first.digest").alias("digest"), "size"), "jaccard-groups", files)
     # Each group's prefix is looked up by its first member's id and set: no key is hot.
     own = real.select(F.col("doc_id").alias("g"), "digest", "n", "prefix")
     posted = groups.select("g", "digest").join(own, ["g", "digest"]).dropDuplicates(["g", "digest"]).select("g", "n", F.posexplode("prefix").alias("pos", "h"))
@@ -215,11 +221,11 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     sweep(spark)
     counts = posted.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     posts = posted.join(counts, "h").select("h", "g", F.shiftright("np", 31).cast("int").alias("n"), F.col("np").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("pos"), "c")
-    posts = settle(posts, "jaccard-posts")
+    posts = save(posts, "jaccard-posts")
     posted.unpersist()
     sweep(spark)
     big = groups.where("size > 1").select("key", "g")
-    inside = settle(big.join(reps.select("key", F.col("rep").alias("member")), "key").select("g", "member"), "jaccard-inside")
+    inside = settle(big.join(reps.select("key", F.col("rep").alias("member")), "key").select("g", "member"), "jaccard-inside", files)
 
     cold = posts.where(F.col("c") <= BUCKET)
     # The larger one probes with its whole prefix; the smaller one is met in the shorter prefix that suffices for it.
@@ -227,19 +233,19 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     left = cold.select("h", F.col("g").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     right = cold.where(F.col("pos") < index_length).select("h", F.col("g").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     larger = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") > F.col("b")))
-    cold_pairs = settle(left.join(right, "h").where(larger & _fits(num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-cold")
+    cold_pairs = settle(left.join(right, "h").where(larger & _fits(num, den)).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("h").alias("h")), "jaccard-cold", files)
 
-    hot = settle(posts.where(F.col("c") > BUCKET).drop("c"), "jaccard-hot")
+    hot = settle(posts.where(F.col("c") > BUCKET).drop("c"), "jaccard-hot", files)
     heat = hot.groupBy("g").agg(F.count(F.lit(1)).alias("heat"))
     hubs = hot.join(heat, "g").groupBy("h").agg(F.max_by(F.struct("g", "n"), F.struct("heat", -F.col("g"))).alias("hub")).select("h", F.col("hub.g").alias("hub"), F.col("hub.n").alias("hub_n"))
-    hubs = settle(hubs, "jaccard-hubs")
-    to_hub = hot.join(hubs, "h").where((F.col("g") != F.col("hub")) & (den * F.least("n", "hub_n") >= num * F.greatest("n", "hub_n"))).select(F.least("g", "hub").alias("a"), F.greatest("g", "hub").alias("b"))
-    stars = inside.where("g <> member").select(F.col("g").alias("a"), F.col("member").alias("b"))
-    first = settle(cold_pairs.unionByName(to_hub).unionByName(stars).distinct(), "jaccard-first")
+    hubs = settle(hubs, "jaccard-hubs", files)
+    to_hub = hot.join(hubs, "h").where((F.col("g") != F.col("hub")) & (den * F.least("n", "hub_n") >= num * F.greatest("n", "hub_n"))).select(F.least("g", "hub").alias("a"), F.greatest("g", "hub").alias("b"), "h")
+    stars = inside.where("g <> member").select(F.col("g").alias("a"), F.col("member").alias("b"), F.xxhash64("g").alias("h"))
+    first = settle(cold_pairs.unionByName(to_hub).unionByName(stars).groupBy("a", "b").agg(F.min("h").alias("h")), "jaccard-first", files)
     sweep(spark)
-    links = _verified(docs, first, width, num, den)
+    links = _verified(docs, first, width, num, den, files)
     sweep(spark)
-    labels = connected_components(links)
+    labels = connected_components(links, files)
 
     def labelled(df: DataFrame, node: str, out: str) -> DataFrame:
         return df.join(labels.select(F.col("id").alias(node), F.col("label").alias(out)), node, "left").withColumn(out, F.coalesce(out, node))
@@ -247,27 +253,27 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     # What the first round left open: members of groups that aren't connected, and what isn't connected to its hub.
     of = lambda node: inside.select(F.col("g").alias(node), F.col("member").alias(f"{node}_m"))
     expanded = cold_pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("a_m is not null or b_m is not null").select(F.coalesce("a_m", "a").alias("a"), F.coalesce("b_m", "b").alias("b"))
-    loose = settle(labelled(inside.select("g", F.col("member").alias("id")), "id", "l").join(labelled(inside.select("g").distinct(), "g", "lg"), "g").where("l <> lg").select("g", "id", "l"), "jaccard-loose")
+    loose = settle(labelled(inside.select("g", F.col("member").alias("id")), "id", "l").join(labelled(inside.select("g").distinct(), "g", "lg"), "g").where("l <> lg").select("g", "id", "l"), "jaccard-loose", files)
     within = loose.join(inside, "g").where("id <> member").select(F.least("id", "member").alias("a"), F.greatest("id", "member").alias("b"))
     hot_nodes = hot.join(inside, "g", "left").select("h", F.coalesce("member", "g").alias("id"), "n", "pos")
-    hot_nodes = settle(labelled(hot_nodes, "id", "l"), "jaccard-hot-nodes")
+    hot_nodes = settle(labelled(hot_nodes, "id", "l"), "jaccard-hot-nodes", files)
     away = hot_nodes.join(labelled(hubs.select("h", "hub"), "hub", "lh"), "h").where("l <> lh").select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("l").alias("la"), "lh")
     others = hot_nodes.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("l").alias("lb"))
     # Of two that are both away from the hub, one order is enough.
     open_pairs = away.join(others, "h").where((F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("lh")) | (F.col("a") < F.col("b"))) & _fits(num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = expanded.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").unionByName(open_pairs).distinct()
     second = labelled(labelled(rest, "a", "la"), "b", "lb").where("la <> lb").select("a", "b").join(first, ["a", "b"], "left_anti")
-    second = settle(second, "jaccard-second")
+    second = settle(second, "jaccard-second", files)
     open_left = second.count()
     if open_left:
-        more = _verified(docs, second, width, num, den)
+        more = _verified(docs, second.withColumn("h", F.xxhash64("a")), width, num, den, files)
         if more.count():
             # Links found now join classes, so classes are linked, not documents.
             joined = labelled(labelled(more, "a", "la"), "b", "lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-            upper = connected_components(joined)
+            upper = connected_components(joined, files)
             ends = lambda df: df.select(F.col("a").alias("id")).unionByName(df.select(F.col("b").alias("id")))
             every = ends(links).unionByName(ends(more)).distinct().join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-            labels = settle(every.join(upper.select(F.col("id").alias("label"), F.col("label").alias("up")), "label", "left").select("id", F.coalesce("up", "label").alias("label")), "jaccard-labels")
+            labels = settle(every.join(upper.select(F.col("id").alias("label"), F.col("label").alias("up")), "label", "left").select("id", F.coalesce("up", "label").alias("label")), "jaccard-labels", files)
     # A copy takes its representative's class. The smallest id of a class is always a representative.
     classes = reps.select("digest", F.col("rep").alias("id")).join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component_id"))
     out = made.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "digest").join(classes, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component_id"))
