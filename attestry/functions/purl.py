@@ -57,14 +57,23 @@ def npm_name_from_path(install_path: Column) -> Column:
     return F.substring_index(install_path, "node_modules/", -1)
 
 
-def repository_path(repository: Column) -> Column:
-    """host/path of a repository's address: no scheme, no .git."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(trim_space(repository), r"^[a-z+]+://", ""), r"/\z", ""), r"\.git\z", "")
+# How a repository's address may begin, in the order in which beginnings go.
+SCHEMES = ("https://", "http://", "git+https://", "ssh://", "git@")
 
 
-def source(name: Column, version: Column, repository: Column, kind: str = "generic") -> Column:
-    base = _versioned(F.concat(F.lit(f"pkg:{kind}/"), name), version)
-    return F.when(F.coalesce(repository, F.lit("")) == "", base).otherwise(F.concat(base, F.lit("?vcs_url="), repository_path(repository)))
+def repository_path(repository: Column) -> Column:
+    """host/path of a repository's address, whatever way it is cloned."""
+    out = repository
+    for scheme in SCHEMES:
+        out = F.when(out.startswith(scheme), F.substring(out, F.lit(len(scheme) + 1), F.length(out))).otherwise(out)
+    return F.regexp_replace(out, r"/\z", "")
+
+
+def source(name: Column, version: Column, repository: Column, commit: Column) -> Column:
+    """By the repository at a commit, or at the version; without a repository by the package's own name."""
+    place = F.regexp_replace(repository_path(repository), r"\.git\z", "")
+    at = F.when(F.coalesce(commit, F.lit("")) != "", commit).otherwise(version)
+    return F.when(F.coalesce(repository, F.lit("")) == "", F.concat(F.lit("pkg:apk/"), name, F.lit("@"), version)).otherwise(F.concat(F.lit("pkg:generic/"), place, F.lit("@"), at))
 
 
 def is_own_distribution(distribution: Column, own: Column) -> Column:

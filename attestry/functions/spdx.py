@@ -50,9 +50,9 @@ def is_ref(s: Column) -> Column:
 
 
 def ref(s: Column) -> Column:
-    """A name made a reference, unless it is one."""
+    """A name with the reference prefix, unless it has it or is blank."""
     t = trim_space(s)
-    return F.when(is_ref(t), t).otherwise(F.concat(F.lit("LicenseRef-"), F.regexp_replace(t, r"[^A-Za-z0-9.-]+", "-")))
+    return F.when((t == "") | is_ref(t), t).otherwise(F.concat(F.lit("LicenseRef-"), t))
 
 
 def is_deprecated(s: Column, vocabulary: Vocabulary = VOCABULARY) -> Column:

@@ -185,10 +185,10 @@ def enumerate_installed(installed: DataFrame, own: str = "") -> DataFrame:
 
 
 def source_components(sources: DataFrame) -> DataFrame:
-    """The component itself: sources(component_id, name, version, repository, kind, patches array<struct<path, digest>>). Its digest is
-    that of its patches, with the algorithm named even where there are none."""
-    address = F.when(F.col("kind") == "apk", purl.source(F.col("name"), F.col("version"), F.lit(""), "apk")).otherwise(purl.source(F.col("name"), F.col("version"), F.col("repository")))
+    """The component itself: sources(component_id, name, version, repository, commit, patches array<struct<path, digest>>). It goes by its
+    repository where that is known. Its digest is that of its patches, with the algorithm named even where there are none."""
+    address = purl.source(F.col("name"), F.col("version"), F.col("repository"), F.col("commit"))
     return sources.select(
-        "component_id", address.alias("purl"), "name", "version", F.col("kind").alias("ecosystem"), F.lit("package-source").alias("kind"), digests.patch_set_digest(F.col("patches")).alias("digest"),
-        F.lit("patch-set").alias("digest_algo"), F.lit("").alias("discovered_from"), F.lit("").alias("linkage"),
+        "component_id", address.alias("purl"), F.coalesce(F.nullif(F.col("repository"), F.lit("")), F.col("name")).alias("name"), "version", F.lit("generic").alias("ecosystem"), F.lit("package-source").alias("kind"),
+        digests.patch_set_digest(F.col("patches")).alias("digest"), F.lit("patch-set").alias("digest_algo"), F.lit("").alias("discovered_from"), F.lit("").alias("linkage"),
     )

@@ -78,9 +78,9 @@ def notice_sample(files: DataFrame) -> DataFrame:
 
     The places are those that a fixed stride gives over the sorted paths; files that are empty or hold a zero byte make way for the next."""
     p = F.col("path")
-    candidates = files.where(paths.is_notice_source(p) & (paths.dir_exclusion(p) == "") & ~paths.is_license_file(p)).select("component_id", "path")
-    # Paths alone are counted and numbered; contents join the few that are sampled. The order is that of a walk, directory by directory.
-    by_path = Window.partitionBy("component_id").orderBy(F.split("path", "/"))
+    candidates = files.where(paths.is_notice_source(p) & (paths.dir_exclusion(paths.directory(p)) == "") & ~paths.is_license_file(p)).select("component_id", "path")
+    # Paths alone are counted and numbered; contents join the few that are sampled.
+    by_path = Window.partitionBy("component_id").orderBy("path")
     numbered = candidates.withColumns({"i": F.row_number().over(by_path) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("component_id"))})
     stride = F.when(F.col("n") > MAX_NOTICE_FILES, F.floor(F.col("n") / MAX_NOTICE_FILES)).otherwise(1)
     sampled = numbered.where(F.col("i") % stride == 0).select("component_id", "path", "i")

@@ -117,3 +117,14 @@ def test_literal_cases(spark, name):
     assert sorted(got.columns) == columns
     key = lambda r: tuple(str(x) for x in r)
     assert sorted((tuple(r[c] for c in columns) for r in got.collect()), key=key) == sorted((tuple(dict(zip(want.columns, r))[c] for c in columns) for r in want.fetchall()), key=key)
+
+
+def test_source_addresses(spark):
+    got = lambda repo, commit: one_column(spark, [repo], lambda c: purl.source(F.lit("x"), F.lit("1"), c, F.lit(commit)))[0]
+    assert got("https://github.com/a/b.git", "abc") == got("ssh://git@github.com/a/b.git", "abc") == "pkg:generic/github.com/a/b@abc"
+    assert got("https://github.com/a/b/", "") == "pkg:generic/github.com/a/b@1" and got("", "abc") == "pkg:apk/x@1"
+
+
+def test_refs(spark):
+    assert one_column(spark, ["KUKA", " LicenseRef-x ", ""], spdx.ref) == ["LicenseRef-KUKA", "LicenseRef-x", ""]
+    assert one_column(spark, ["gpl-2.0", "MIT"], spdx.is_deprecated) == [True, False]
