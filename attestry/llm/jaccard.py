@@ -36,6 +36,8 @@ FILTER_BITS = 1 << 25
 CROWD, PLACE = 400, 100
 #: Documents for each file of a small table.
 FILE_DOCS = 100_000
+#: Rows of (document, place), two numbers each, that may be sent to every executor; more are joined by exchange.
+BROADCAST_ROWS = 500_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -92,8 +94,7 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, digest, prefix): the size, a 128-bit digest of the set, and the first shingles of the common order, each as a number
-    that sorts in this order: its rank, then 46 bits of its hash. Two that share a number only make one more candidate."""
+    """(doc_id, n, digest, prefix): the size, a 128-bit digest of the set, and its first shingles in the common order."""
     sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))  # at most RANKED pairs of numbers
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
@@ -109,14 +110,12 @@ def _prefixes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 ns.append(n)
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 p = n - -(-num * n // den) + 1 if n else 0
-                keys = s >> np.uint64(18)
                 if n and len(known):
                     at = np.searchsorted(known, s)
                     at[at == len(known)] = 0
-                    rank = np.where(known[at] == s, ranks[at], 0).astype(np.uint64)
-                    if rank.any():
-                        keys = np.sort(keys | (rank << np.uint64(46)))
-                prefixes.append(keys[:p].view(np.int64))
+                    rank = np.where(known[at] == s, ranks[at], 0)
+                    s = s[np.argsort(rank, kind="stable")] if rank.any() else s
+                prefixes.append(s[:p].view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int32()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "prefix"])
 
     return given.mapInArrow(run, "doc_id long, n int, digest binary, prefix array<long>")
@@ -161,7 +160,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int,
     part = F.when(F.col("crowd").isNotNull(), F.pmod(F.xxhash64(low), F.ceil(F.col("crowd") / CROWD))).otherwise(0)
     dealt = settle(joined.select("a", "b", F.pmod(F.xxhash64("h", part), F.lit(places)).cast("int").alias("place")), "jaccard-dealt", files)
     wanted = dealt.select(F.col("a").alias("id"), F.col("place").alias("goes")).unionByName(dealt.select(F.col("b").alias("id"), F.col("place").alias("goes"))).distinct()
-    texts = _texts(docs, degrees.select("id")).join(wanted, "id").select("goes", "id", "text")
+    wanted = settle(wanted, "jaccard-wanted", files)
+    small = wanted.count() <= BROADCAST_ROWS
+    texts = _texts(docs, degrees.select("id")).join(F.broadcast(wanted) if small else wanted, "id").select("goes", "id", "text")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         sets: dict[int, list[np.ndarray]] = {}
@@ -177,7 +178,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int,
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     links = settle(dealt.groupBy("place").cogroup(texts.groupBy("goes")).applyInArrow(run, "a long, b long").distinct(), "jaccard-links", files)
-    forget(degrees, dealt)
+    forget(degrees, dealt, wanted)
     return links
 
 
@@ -206,18 +207,6 @@ def _fits(num: int, den: int):
     return (den * small >= num * large) & ((den + num) * room >= num * (F.col("na") + F.col("nb")))
 
 
-def _plausible(pairs: DataFrame, leaders: DataFrame, num: int, den: int) -> DataFrame:
-    """Of (a, b, h) those whose whole prefixes leave room. Up to where the prefix that ends first ends, both sets are known; what they
-    share there, and at most what either has left after it, is all that they can share."""
-    side = lambda end: leaders.select(F.col("g").alias(end), F.col("n").alias(f"n{end}"), F.col("prefix").alias(f"p{end}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    last = F.least(F.element_at("pa", -1), F.element_at("pb", -1))
-    # Only numbers below the last one are sure to be passed: of two that share a number one may come after it.
-    passed = lambda end: F.size(F.filter(f"p{end}", lambda x: x < last))
-    most = F.size(F.array_intersect("pa", "pb")) + F.least(F.col("na") - passed("a"), F.col("nb") - passed("b"))
-    return both.where((den + num) * most >= num * (F.col("na") + F.col("nb"))).select("a", "b", "h")
-
-
 def _rest(n: str, num: int, den: int) -> F.Column:
     """The size of a set of n without its prefix."""
     return F.ceil(num * F.col(n) / F.lit(den)).cast("long") - 1
@@ -236,8 +225,7 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     groups = settle(reps.groupBy("key").agg(F.min(F.struct("rep", "digest")).alias("first"), F.count(F.lit(1)).alias("size")).select("key", F.col("first.rep").alias("g"), F.col("first.digest").alias("digest"), "size"), "jaccard-groups", files)
     # Each group's prefix is looked up by its first member's id and set: no key is hot.
     own = real.select(F.col("doc_id").alias("g"), "digest", "n", "prefix")
-    leaders = hold(groups.select("g", "digest").join(own, ["g", "digest"]).dropDuplicates(["g", "digest"]).select("g", "n", "prefix"))
-    posted = leaders.select("g", "n", F.posexplode("prefix").alias("pos", "h"))
+    posted = groups.select("g", "digest").join(own, ["g", "digest"]).dropDuplicates(["g", "digest"]).select("g", "n", F.posexplode("prefix").alias("pos", "h"))
     posted = hold(posted.select("h", "g", (F.col("n").cast("long") * (1 << 31) + F.col("pos")).alias("np")))
     sweep(spark)
     counts = posted.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -259,14 +247,13 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     # Frequent shingles aren't joined here, so every one of them counts as shared.
     most = F.col("k") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) + F.greatest(_rest("na", num, den), _rest("nb", num, den))
     likely = shared.join(of_heat("a"), "a", "left").join(of_heat("b"), "b", "left").where((den + num) * most >= num * (F.col("na") + F.col("nb")))
-    cold_pairs = settle(_plausible(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "h"), leaders, num, den), "jaccard-cold", files)
+    cold_pairs = settle(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "h"), "jaccard-cold", files)
 
     hubs = hot.join(heat, "g").groupBy("h").agg(F.max_by(F.struct("g", "n"), F.struct("heat", -F.col("g"))).alias("hub")).select("h", F.col("hub.g").alias("hub"), F.col("hub.n").alias("hub_n"))
     hubs = settle(hubs, "jaccard-hubs", files)
     to_hub = hot.join(hubs, "h").where((F.col("g") != F.col("hub")) & (den * F.least("n", "hub_n") >= num * F.greatest("n", "hub_n"))).select(F.least("g", "hub").alias("a"), F.greatest("g", "hub").alias("b"), "h")
     stars = inside.where("g <> member").select(F.col("g").alias("a"), F.col("member").alias("b"), F.xxhash64("g").alias("h"))
     first = settle(cold_pairs.unionByName(to_hub).unionByName(stars).groupBy("a", "b").agg(F.min("h").alias("h")), "jaccard-first", files)
-    leaders.unpersist()
     sweep(spark)
     links = _verified(docs, first, width, num, den, files)
     sweep(spark)
