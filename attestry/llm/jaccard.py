@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from attestry.llm.common import forget, hold, save, settle, small_batches, sweep
 
 #: Shingles met in fewer documents aren't told apart from rare ones; the most frequent so many are ranked. Both only shape the order.
-FREQUENT, RANKED = 48, 1 << 16
+FREQUENT, RANKED = 16, 1 << 18
+#: Shingles that a task gathers before it counts them; those that it meets once in so many don't count.
+COUNTED = 4_000_000
 #: Groups under one shingle from which a hub is used.
 BUCKET = 40
 MEMORY = 400_000
@@ -73,14 +75,23 @@ def shingles(text: bytes | None, width: int, distinct: bool = True) -> np.ndarra
 
 
 def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, their ranks) of frequent shingles: each batch counts its own, sums are added up over all documents."""
+    """(hashes in order, their ranks) of frequent shingles: each task counts its own, sums are added up over all documents."""
+
+    def counted(hashes: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(hashes), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["h", "n"])
 
     def count(batches):
+        waiting, size = [], 0
         for b in batches:
-            sets = [shingles(t, width, False) for t in b.column(0).to_pylist()]
-            h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            h, n = h[n > 1], n[n > 1]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+            for t in b.column(0).to_pylist():
+                waiting.append(shingles(t, width, False))
+                size += len(waiting[-1])
+            if size > COUNTED:
+                yield counted(waiting)
+                waiting, size = [], 0
+        if size:
+            yield counted(waiting)
 
     summed = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = summed.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(RANKED).toArrow()  # at most RANKED pairs of numbers
