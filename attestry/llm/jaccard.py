@@ -32,7 +32,7 @@ FREQUENT, RANKED = 16, 1 << 18
 COUNTED = 4_000_000
 #: Groups under one shingle from which a hub is used.
 BUCKET = 40
-MEMORY = 400_000
+MEMORY = 150_000
 FILTER_BITS = 1 << 25
 #: Candidates of one shingle that meet in one place at most, and about how many documents a place takes.
 CROWD, PLACE = 400, 100

@@ -29,7 +29,7 @@ TRAIN_DOCS = 5_000
 BITS = 18
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
-MEMORY = 400_000
+MEMORY = 150_000
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 REPEAT = np.uint64(0x9E3779B97F4A7C15)
 _P2, _P3 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
