@@ -6,15 +6,22 @@ at sentence ends followed by white space and at blank lines, and normalised (eve
 document form a sequence such as <apache-2-0><as-is>. Rules are tried in their order; each replaces the stretch that it matches
 by its licence, so that a longer rule takes its sentences away from shorter ones. Identifiers that no rule takes are reported.
 
+An SPDX tag and the expression after it are a sentence of their own, <spdx-tag:expression>, and its licence is the expression: known
+names as they are listed, former GNU names by their present ones, others as stated. Where more words follow on the tag's line, only
+known names are believed. NONE, NOASSERTION and brackets that don't match give <spdx-tag>, which no rule takes.
+
 DataFrame functions only, row by row: no exchange, no join. Defined results: null text has no sentences; repeated rows give
 repeated results; an empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestry.functions.spdx import VOCABULARY
+from attestry.functions.vocabulary import look_up
+
 #: (identifier, stem, pattern of the normalised sentence). The stem, one lower-case word or a part of one, occurs in whatever the pattern matches.
 SENTENCES = (
     ("spdx-tag", "spdx", r"spdx-license-identifier"),
@@ -84,6 +91,21 @@ RULES = (
 )
 END, BLANK, OTHER = r"([.!?;:])[\x20\x09-\x0D]+", r"\n[\x20\x09-\x0D]*\n", r"[^A-Za-z0-9.+-]+"
 STEMS = "|".join(sorted({stem for _, stem, _ in SENTENCES}))
+#: A tag's expression. The first form ends its line or comment, so that names of any kind and operators of either case are believed.
+TAG, NAME = r"(?i:spdx-license-identifier):", r"[A-Za-z0-9](?:[A-Za-z0-9.+:-]*[A-Za-z0-9+])?"
+OPERAND = rf"(?:\([\x20\t]*)*{NAME}(?:[\x20\t]*\))*"
+
+
+def _expression(space: str, operator: str) -> str:
+    """Closing brackets belong to it only after an opening one."""
+    join = f"{space}+{operator}{space}+"
+    return rf"((?:{NAME}{join})*(?:\([\x20\t]*{OPERAND}(?:{join}{OPERAND})*|{NAME}))"
+
+
+WHOLE_TAG = rf"{TAG}[\x20\t]*{_expression(r'[\x20\t]', '(?i:and|or|with)')}(?=[\x20\t]*[.;,]?[\x20\t]*(?:\*/|-->|[\"'`>)}}\r\n]|\z))"
+PART_TAG = rf"{TAG}[\x20\x09-\x0D]*{_expression(r'[\x20\x09-\x0D]', '(?:AND|OR|WITH)')}"
+#: Lower-case name → present name.
+NAMES = VOCABULARY.current | {n.lower(): only for n, (_, only, _) in VOCABULARY.grants.items()} | {f"{b}+".lower(): later for b, (_, _, later) in VOCABULARY.grants.items()}
 
 
 def _normal(pattern: str) -> str:
@@ -91,18 +113,34 @@ def _normal(pattern: str) -> str:
     return "(?i)" + pattern.replace(",? ", " ").replace(",?", "")
 
 
+def tag_id(sentence: Column) -> Column:
+    """The identifier of a marked tag, with its expression where that is believed."""
+    words = F.regexp_extract_all(sentence, F.lit(r"[()]|[A-Za-z0-9.+:-]+"), F.lit(0))
+    operator = lambda w: F.upper(w).isin("AND", "OR", "WITH")
+    brackets = lambda b: F.size(F.filter(words, lambda w: w == b))
+    # The last bracket of a tag that is itself in brackets isn't the expression's.
+    own = F.slice(words, F.lit(1), F.size(words) - F.when(brackets(")") == brackets("(") + 1, 1).otherwise(0))
+    named = F.transform(own, lambda w: F.when(operator(w), F.upper(w)).otherwise(F.coalesce(look_up(NAMES, F.lower(w)), w)))
+    expression = F.replace(F.replace(F.array_join(named, " "), F.lit("( "), F.lit("(")), F.lit(" )"), F.lit(")"))
+    known = F.forall(own, lambda w: operator(w) | w.isin("(", ")") | look_up(NAMES, F.lower(w)).isNotNull() | w.rlike("^(?:LicenseRef|DocumentRef|AdditionRef)-|(?i:exception|-note$)"))
+    good = (sentence.startswith("\u0002") | known) & brackets(")").isin(brackets("("), brackets("(") + 1) & ~expression.rlike("(?i)^(?:none|noassertion)$")
+    return F.when(good, F.concat(F.lit("<spdx-tag:"), expression, F.lit(">"))).otherwise("<spdx-tag>")
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_sentences, sentence_ids, licenses, unmatched): known sentences, their sequence, the distinct licences in order of
     appearance, joined by commas, and how many identifiers no rule took."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    marked = F.regexp_replace(F.regexp_replace(text, END, "$1\u0001"), BLANK, "\u0001")
+    tagged = F.regexp_replace(F.regexp_replace(F.translate(text, "\u0002\u0004", "\u0003\u0003"), WHOLE_TAG, "\u0001\u0002$1\u0001"), PART_TAG, "\u0001\u0004$1\u0001")
+    marked = F.regexp_replace(F.regexp_replace(tagged, END, "$1\u0001"), BLANK, "\u0001")
     known = lambda s: F.coalesce(*(F.when(s.rlike(_normal(p)), F.lit(f"<{i}>")) for i, _, p in SENTENCES))
     likely = lambda s: s.rlike(f"(?i){STEMS}")
-    sentences = F.transform(F.filter(F.split(marked, "\u0001"), likely), lambda s: F.regexp_replace(s, OTHER, " "))
-    ids = F.filter(F.transform(sentences, known), lambda i: i.isNotNull())
+    is_tag = lambda s: s.rlike("^[\u0002\u0004]")
+    sentences = F.filter(F.split(marked, "\u0001"), lambda s: likely(s) | is_tag(s))
+    ids = F.filter(F.transform(sentences, lambda s: F.when(is_tag(s), tag_id(s)).otherwise(known(F.regexp_replace(s, OTHER, " ")))), lambda i: i.isNotNull())
     df = docs.select("doc_id", F.when(likely(text), ids).otherwise(F.array().cast("array<string>")).alias("ids"))
     df = df.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", "").alias("sentence_ids"))
-    sequence = F.col("sentence_ids")
+    sequence = F.regexp_replace("sentence_ids", "<spdx-tag:([^<>]+)>", "=$1=")
     for name, pattern in RULES:
         sequence = F.regexp_replace(sequence, pattern, f"={name}=")
     df = df.withColumn("ruled", F.when(F.col("n_sentences") > 0, sequence).otherwise(""))

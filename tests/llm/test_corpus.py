@@ -320,6 +320,19 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(docs).count() == len(rows()) and licenses.scan(none).count() == 0
 
 
+def test_license_tags(spark):
+    data = [
+        ("SPDX-License-Identifier: MIT", "MIT"), ("// SPDX-License-Identifier: apache-2.0 OR mit\n#include <x.h>", "Apache-2.0 OR MIT"), ("/* SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note */ int x;", "GPL-2.0-only WITH Linux-syscall-note"),
+        ("# SPDX-License-Identifier: (GPL-2.0+ AND BSD-2-Clause)\n# Released under the MIT License.", "(GPL-2.0-or-later AND BSD-2-Clause),MIT"), ("x\nSPDX-License-Identifier: LicenseRef-Own-1.0 and Beerware.\n\ny", "LicenseRef-Own-1.0 AND Beerware"),
+        ("(SPDX-License-Identifier: MIT) and more", "MIT"), ("SPDX-License-Identifier: MIT Copyright 2020", "MIT"), ("SPDX-License-Identifier: ISC. SPDX-License-Identifier: Zlib", "ISC,Zlib"),
+        ("(SPDX-License-Identifier: (MIT OR ISC)) x", "(MIT OR ISC)"), ("SPDX-License-Identifier: see the file", ""), ("SPDX-License-Identifier: NONE", ""), ("SPDX-License-Identifier: (MIT OR ISC", ""), ("SPDX-License-Identifier: ", ""), ("SPDX-License-Identifier: MIT or later words", "MIT"),
+    ]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(data)], "doc_id bigint, text string")).collect()}
+    assert [got[i]["licenses"] for i in range(len(data))] == [x for _, x in data]
+    assert [got[i]["unmatched"] for i in range(len(data))] == [int(not x) for _, x in data]
+    assert got[1]["sentence_ids"] == "<spdx-tag:Apache-2.0 OR MIT>"
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracles(spark, name):
