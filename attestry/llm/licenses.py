@@ -2,7 +2,7 @@
 
 A text that holds none of the stems on which the known sentences are built is passed over at once. Others are cut into sentences,
 at sentence ends followed by white space and at blank lines, and normalised (every run of other than ASCII letters, digits and
-. + - is one blank). Each sentence takes the identifier of the first known sentence that it contains, and the identifiers of a
+. + - is one blank). Each sentence takes the identifiers of all known statements that it contains, by place, and the identifiers of a
 document form a sequence such as <apache-2-0><as-is>. Rules are tried in their order; each replaces the stretch that it matches
 by its licence, so that a longer rule takes its sentences away from shorter ones. Identifiers that no rule takes are reported.
 
@@ -89,8 +89,53 @@ RULES = (
     ("CC-BY-4.0", r"<cc-by>"),
     ("Unlicense", r"<unlicense>(<as-is>)?"),
 )
+#: What the scan knows beyond SENTENCES and RULES, on which the SQL rests too: (stem, pattern, replacement), before the known
+#: sentences. Replacements bring other wordings into the known form or put an identifier in place of the words.
+FAMILIES = (
+    ("agpl", r"gnu (?:affero general public licen[sc]e(?: agpl)?|agpl)", ("3",)),
+    ("lgpl", r"gnu (?:(?:lesser|library) general public licen[sc]e(?: lgpl)?|lgpl)", ("2-1", "2", "3")),
+    ("gpl", r"gnu (?:general public licen[sc]e(?: gpl)?|gpl)", ("3", "2", "1")),
+)
+VERSIONS = ("2-1", "3", "2", "1")
+
+
+def _version(v: str) -> str:
+    return r"2\.1(?![0-9])" if v == "2-1" else rf"{v}(?:\.0)?(?![0-9]|\.[0-9])"
+
+
+ANY_FAMILY = r"(?:the )?gnu (?:affero |lesser |library )?general public licen[sc]e"
+BEFORE = (
+    ("licen", rf"\bsee {ANY_FAMILY} for more details", " <gpl-see> "),
+    ("received", rf"you should have received a copy of {ANY_FAMILY}", " <gpl-received> "),
+    *(("licen", rf"\b(?:version |v){_version(v)} of the {name}", f" <{f}-{v}> ") for f, name, vs in FAMILIES for v in vs),
+    *(("licen", rf"{name} ?(?:version |v\.? ?|)?{_version(v)}", f" <{f}-{v}> ") for f, name, vs in FAMILIES for v in vs),
+    *(("licen", name, f" <{f}-any> ") for f, name, _ in FAMILIES),
+    *(("version", rf"\b(?:(?:either|foundation) version {_version(v)}|version {_version(v)} of the licen[sc]e|(?<=^ ?)version {_version(v)}(?= ?only| ?\.? *$))(?: of the licen[sc]e)?", f" <version-{v}> ") for v in VERSIONS),
+    *(("version", rf"<(gpl|lgpl|version)-{a}> *(?:and|or) (?:version |v)?{_version(b)}", f" <$1-{a}>  <$1-{b}> ") for a, b in (("2", "3"), ("2-1", "3"))),
+    ("version", r"(<(?:a|l)?(?:gpl|version)-[0-9-]+>) *(?:\+|or (?:later|newer|above|greater)\b)", "$1 <gpl-later> "),
+    ("creative commons", r"creativecommons\.org (?:licenses|publicdomain) (by|zero)([a-z-]*) ", " cc $1$2 "),
+    ("creative commons", r"\bcc zero 1\.0|\bcc0(?: universal)?(?:[ -]v?1\.0)?(?![.0-9])", " <cc0> "),
+    ("creative commons", r"creative commons(?: licen[sc]e)?[ -]attribution", " cc by"),
+    ("cc", r"\bcc[ -]by[ -]non-?commercial", " cc by-nc"),
+    ("cc", r"\bcc[ -](by|by-nc)[ -]share-?alike", " cc $1-sa"),
+    ("cc", r"\bcc[ -](by|by-nc)[ -]no-?deriv(?:ative works|atives|ative|s)", " cc $1-nd"),
+    ("cc", r"\bcc[ -](by(?:[ -](?:nc|sa|nd))*) (?:(?:international|unported|generic|public|licen[sc]e|version|v) ?)+(?=[1-4]\.[0-9])", " cc $1 "),
+    ("cc", r"\bcc[ -]by[ -]nc\b", " cc by-nc"),
+    ("cc", r"\bcc[ -](by|by-nc)[ -](nd|sa)\b", " cc $1-$2"),
+    ("cc", r"\bcc[ -](by(?:-nc)?(?:-nd|-sa)?)[ -]?([1-3]\.[0-9])(?![0-9])", " <cc-$1-$2> "),
+    ("cc", r"\bcc[ -](by-nd)[ -]?(4\.0)(?![0-9])", " <cc-$1-$2> "),
+)
+#: These two keep what stands between their words.
+AS_IS = ((r"\b(provided\b.{0,60}\b)as is\b", "$1 <as-is> "), (r"\bas is\b(.{0,20}\bwithout warranty)", " <as-is> $1"))
+TAIL = "(?:<as-is>|<gpl-see>|<gpl-received>)*"
+GNU_RULES = tuple(
+    (f"{f.upper()}-{v[0]}.{v[2:] or 0}-{grant}", f"(?:<{f}-any>)*(?:<{f}-{v}>|<{f}-any><version-{v}>){later}{TAIL}")
+    for grant, later in (("or-later", "<gpl-later>"), ("only", "")) for f, _, vs in FAMILIES for v in vs
+)
+CC_RULE = r"<cc-(by[a-z-]*-[0-9]\.[0-9])>"
 END, BLANK, OTHER = r"([.!?;:])[\x20\x09-\x0D]+", r"\n[\x20\x09-\x0D]*\n", r"[^A-Za-z0-9.+-]+"
 STEMS = "|".join(sorted({stem for _, stem, _ in SENTENCES}))
+ALL_STEMS = "|".join(sorted({stem for _, stem, _ in SENTENCES} | {stem for stem, _, _ in BEFORE} | {r"gnu\s+[al]?gpl"}))
 #: A tag's expression. The first form ends its line or comment, so that names of any kind and operators of either case are believed.
 TAG, NAME = r"(?i:spdx-license-identifier):", r"[A-Za-z0-9](?:[A-Za-z0-9.+:-]*[A-Za-z0-9+])?"
 OPERAND = rf"(?:\([\x20\t]*)*{NAME}(?:[\x20\t]*\))*"
@@ -127,26 +172,40 @@ def tag_id(sentence: Column) -> Column:
     return F.when(good, F.concat(F.lit("<spdx-tag:"), expression, F.lit(">"))).otherwise("<spdx-tag>")
 
 
+def statements(sentence: Column) -> Column:
+    """All identifiers of a normalised, lower-case sentence in order of place. Each takes the place of its words, so that one that is found later,
+    and says less, doesn't take them again; identifiers alone are left in angle brackets, which normalised sentences don't hold."""
+    for _, pattern, identifier in BEFORE:
+        sentence = F.regexp_replace(sentence, f"(?i){pattern}", identifier)
+    for pattern, identifier in AS_IS:
+        sentence = F.regexp_replace(sentence, f"(?i){pattern}", identifier)
+    for i, _, pattern in SENTENCES:
+        if i != "as-is":
+            sentence = F.regexp_replace(sentence, _normal(pattern), f" <{i}> ")
+    return F.array_join(F.regexp_extract_all(sentence, F.lit("<[^<> ]+>"), F.lit(0)), "")
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_sentences, sentence_ids, licenses, unmatched): known sentences, their sequence, the distinct licences in order of
+    """(doc_id, n_sentences, sentence_ids, licenses, unmatched): sentences with known statements, the sequence of these, the distinct licences in order of
     appearance, joined by commas, and how many identifiers no rule took."""
     text = F.coalesce(F.col("text"), F.lit(""))
     tagged = F.regexp_replace(F.regexp_replace(F.translate(text, "\u0002\u0004", "\u0003\u0003"), WHOLE_TAG, "\u0001\u0002$1\u0001"), PART_TAG, "\u0001\u0004$1\u0001")
     marked = F.regexp_replace(F.regexp_replace(tagged, END, "$1\u0001"), BLANK, "\u0001")
-    known = lambda s: F.coalesce(*(F.when(s.rlike(_normal(p)), F.lit(f"<{i}>")) for i, _, p in SENTENCES))
-    likely = lambda s: s.rlike(f"(?i){STEMS}")
+    likely = lambda s: s.rlike(f"(?i){ALL_STEMS}")
     is_tag = lambda s: s.rlike("^[\u0002\u0004]")
     sentences = F.filter(F.split(marked, "\u0001"), lambda s: likely(s) | is_tag(s))
-    ids = F.filter(F.transform(sentences, lambda s: F.when(is_tag(s), tag_id(s)).otherwise(known(F.regexp_replace(s, OTHER, " ")))), lambda i: i.isNotNull())
+    ids = F.filter(F.transform(sentences, lambda s: F.when(is_tag(s), tag_id(s)).otherwise(statements(F.lower(F.regexp_replace(s, OTHER, " "))))), lambda i: i != "")
     df = docs.select("doc_id", F.when(likely(text), ids).otherwise(F.array().cast("array<string>")).alias("ids"))
     df = df.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", "").alias("sentence_ids"))
     sequence = F.regexp_replace("sentence_ids", "<spdx-tag:([^<>]+)>", "=$1=")
-    for name, pattern in RULES:
+    for name, pattern in GNU_RULES + RULES:
         sequence = F.regexp_replace(sequence, pattern, f"={name}=")
+    sequence = F.regexp_replace(sequence, CC_RULE, "=cc:$1=")
     df = df.withColumn("ruled", F.when(F.col("n_sentences") > 0, sequence).otherwise(""))
+    named = F.transform(F.regexp_extract_all("ruled", F.lit("=([^=<>]+)="), F.lit(1)), lambda x: F.when(x.startswith("cc:"), F.concat(F.lit("CC-"), F.upper(F.substring(x, F.lit(4), F.length(x))))).otherwise(x))
     return df.select(
         "doc_id", "n_sentences", "sentence_ids",
-        F.array_join(F.array_distinct(F.regexp_extract_all("ruled", F.lit("=([^=<>]+)="), F.lit(1))), ",").alias("licenses"),
+        F.array_join(F.array_distinct(named), ",").alias("licenses"),
         F.regexp_count("ruled", F.lit("<[^<>]+>")).cast("long").alias("unmatched"),
     )
 

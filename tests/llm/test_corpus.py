@@ -333,6 +333,25 @@ def test_license_tags(spark):
     assert got[1]["sentence_ids"] == "<spdx-tag:Apache-2.0 OR MIT>"
 
 
+def test_license_statements(spark):
+    notice = lambda name, version: (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version.\n\n"
+        f"It is distributed WITHOUT ANY WARRANTY. See the {name} for more details.\n\nYou should have received a copy of the {name} along with this program. If not, see <https://www.gnu.org/licenses/>."
+    )
+    gpl = "GNU General Public License"
+    data = [
+        (f"{gpl}, version 3 or any later version", "GPL-3.0-or-later"), (f"Apache License, Version 2.0 or {gpl}, version 2", "Apache-2.0,GPL-2.0-only"), (notice(gpl, "2"), "GPL-2.0-or-later"), (notice(gpl, "3").replace(";", ","), "GPL-3.0-or-later"),
+        (notice("GNU Lesser General Public License", "2.1"), "LGPL-2.1-or-later"), (notice("GNU Library General Public License", "2"), "LGPL-2.0-or-later"), (notice("GNU Affero General Public License", "3"), "AGPL-3.0-or-later"),
+        (f"under version 2 of the {gpl}. Nothing more.", "GPL-2.0-only"), (f"under the {gpl} as published by the Free Software Foundation; version 2 of the License.", "GPL-2.0-only"), (f"the {gpl} (GPL) version 2 or 3", "GPL-2.0-only,GPL-3.0-only"), ("GNU GPLv3+", "GPL-3.0-or-later"),
+        ("CC BY-SA 3.0 or CC BY-ND 4.0", "CC-BY-SA-3.0,CC-BY-ND-4.0"), ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "CC-BY-NC-SA-4.0"), ("https://creativecommons.org/licenses/by-nc/2.5/", "CC-BY-NC-2.5"), ("CC0 1.0 Universal", "CC0-1.0"),
+        ("Released under the MIT License, which is provided as is, or released under the BSD license", "MIT,BSD"), ("CC BY 4.0 and CC0", "CC-BY-4.0,CC0-1.0"),
+    ]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(data)], "doc_id bigint, text string")).collect()}
+    assert [got[i]["licenses"] for i in range(len(data))] == [x for _, x in data]
+    assert {i: got[i]["sentence_ids"] for i in range(len(data)) if got[i]["unmatched"]} == {}
+    assert got[1]["n_sentences"] == 1
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracles(spark, name):
