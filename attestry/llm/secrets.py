@@ -1,7 +1,8 @@
 """Secret scans: broad candidates, then a random forest removes false positives.
 
-Candidates are values assigned to names such as password or token, and unbroken runs of sixteen or more letters, digits and
-+ / _ - that hold a digit. Each has measures of its length, of changes between kinds of character, of how much of it dictionary
+Candidates are values assigned to names that contain a word such as password or token (DB_PASSWORD, clientSecret), passwords in
+addresses (user:password@host), private keys in PEM form, from BEGIN to END or to the last line of base64, and unbroken runs of
+sixteen or more letters, digits and + / _ - that hold a digit. A private key needs no measures: its frame says what it is. Each has measures of its length, of changes between kinds of character, of how much of it dictionary
 words cover, of path-like surroundings, and of the words next to it. The forest is trained on labelled findings with Spark's own
 trainer; its trees are then written out as one SQL expression, so that scoring is part of the scan. The labelled findings are
 made here from shapes of real and of harmless strings with hashes for chance, a fixed number of rows whatever the input.
@@ -19,9 +20,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEYS = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)"
-ASSIGN = rf"(?i:\b{KEYS}\b[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?)"
-RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,256}[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
-CANDIDATE = rf"{ASSIGN}[^\s\"',;]{{6,}}|{RUN}"
+#: The key is any identifier with one of the words in it; it is taken from the word on. An author is no key.
+NAMED = KEYS.replace("auth)", "auth(?!or(?!i[sz])))")
+ASSIGN = rf"(?i:{NAMED}[\w.-]*+[\"']?[ \t]{{0,3}}(?:=>|:=|[:=])[ \t]{{0,3}}[\"']?)"
+#: What stands before the password of an address.
+USER = r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:@/\"'<>]{0,256}:"
+ADDRESS = rf"\b{USER}[^\s@/\"'<>]{{6,256}}(?=@)"
+KIND = r"(?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----"
+INSIDE = r"[A-Za-z0-9+/=:,.()\"'\\\s]++"
+PEM = rf"-----BEGIN {KIND}(?:{INSIDE}(?:-(?!-){INSIDE})*+-----END {KIND}|(?:(?:\s|\\[rn]|[\"',])*+[A-Za-z0-9+/]{{16,}}+={{0,2}}){{1,400}}+(?:\s{{1,2}}[A-Za-z0-9+/]{{1,15}}={{1,2}})?)"
+VALUE = rf"(?!{ADDRESS}|-----BEGIN )[^\s\"',;]{{6,}}"
+# A long name with a digit is not a run where it is the key of a value.
+RUN = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{{0,256}}[0-9])(?![A-Za-z0-9+/_-]*?{ASSIGN}{VALUE})[A-Za-z0-9+/_-]{{16,}}+={{0,2}}"
+CANDIDATE = rf"{PEM}|{ADDRESS}|{ASSIGN}{VALUE}|{RUN}"
 #: How many characters before and after a candidate count as its neighbourhood.
 NEAR = 40
 DICTIONARY = (
@@ -90,6 +101,19 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         (f"concat({word('x')}, '-', {word('y')}, '-server-', 2000 + pmod(id, 25))", "''", prose, "' '", 0),
         (f"concat({word('z')}, {word('0')}, {word('1')}, pmod(id, 10))", "''", prose, "' '", 0),
         (f"concat({word('2')}, {word('3')})", f"concat({key}, ': ')", prose, "' '", 0),
+        # Names with more around the word, passwords of words, addresses, bare secrets, and harmless strings that look like these.
+        (f"concat({word('4')}, pmod(id, 97), '!')", f"concat(upper({key}), '=')", f"concat({prose}, 'DB_')", "' '", 1),
+        (f"substr({plain('A')}, 1, 20)", f"concat({key}, '_prod', {eq})", f"concat({prose}, 'my_')", "' '", 1),
+        (f"concat({word('5')}, pmod(id, 997), substr({plain('B')}, 1, 4))", "'postgres://admin:'", prose, "'@db.internal:5432/x '", 1),
+        (f"substr({plain('C')}, 1, 40)", "'ftp://web:'", prose, "'@files.internal '", 1),
+        (f"substr(concat({b64('D')}, {b64('E')}), 1, 40)", "''", prose, "' '", 1),
+        (f"substr({plain('F')}, 1, int(24 + pmod(id, 17)))", "''", prose, "' '", 1),
+        (f"substr(concat(regexp_replace({b64('G')}, '=', ''), {b64('H')}), 1, 64)", "''", "'\n'", "'\n'", 1),
+        (b64("I"), "''", f"concat({prose}, element_at(array('sha256 ', 'checksum ', 'digest: ', 'etag ', 'hash '), int(pmod(id, 5)) + 1))", "' '", 0),
+        (f"substr({plain('J')}, 1, 24)", "''", "'https://www.host.org/'", "' '", 0),
+        (f"concat({word('6')}, initcap({word('7')}), initcap({word('8')}), pmod(id, 10))", "''", prose, "' '", 0),
+        ("element_at(array('password', 'changeme', 'placeholder', 'example', 'password1'), int(pmod(id, 5)) + 1)", "'http://user:'", prose, "'@host.org/ '", 0),
+        (f"concat(substr({word('9')}, 1, 6), element_at(array('.', ':', ')', ''), int(pmod(id, 4)) + 1))", f"concat({key}, ': ')", prose, "' '", 0),
     ]
     n = len(shapes)
     pick = lambda i: "case " + " ".join(f"when shape = {k} then {s[i]}" for k, s in enumerate(shapes)) + " end"
@@ -130,7 +154,7 @@ def _findings(text: Column, trees: list[str]) -> Column:
     matches = F.array_distinct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
 
     def parts(m: Column) -> Column:
-        key = F.regexp_extract(m, "^" + ASSIGN, 0)
+        key = F.regexp_extract(m, f"^(?:{USER}|{ASSIGN})", 0)
         start = F.locate  # 1-based place of the whole match
         at = F.call_function("locate", m, text)
         return F.struct(
@@ -147,10 +171,11 @@ def _findings(text: Column, trees: list[str]) -> Column:
         for t in trees:
             votes = votes + _column(t, x["f"])
         p = x["p"]
+        framed = p["value"].startswith("-----BEGIN ")
         occurrences = ((F.length(text) - F.length(F.replace(text, p["value"], F.lit("")))) / F.greatest(F.length(p["value"]), F.lit(1))).cast("long")
         return F.struct(
-            p["value"].alias("value"), F.when(x["f"]["known_prefix"] > 0, "known-prefix").when(p["key"] != "", "assignment").otherwise("run").alias("rule"), p["start"].alias("start"),
-            F.length(p["value"]).cast("long").alias("length"), occurrences.alias("occurrences"), (votes / len(trees)).alias("score"),
+            p["value"].alias("value"), F.when(framed, "private-key").when(x["f"]["known_prefix"] > 0, "known-prefix").when(p["key"].rlike(f"^{USER}"), "address").when(p["key"] != "", "assignment").otherwise("run").alias("rule"), p["start"].alias("start"),
+            F.length(p["value"]).cast("long").alias("length"), occurrences.alias("occurrences"), F.when(framed, 1.0).otherwise(votes / len(trees)).alias("score"),
         )
 
     return F.transform(F.transform(F.transform(matches, parts), measured), scored)
