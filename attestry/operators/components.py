@@ -145,11 +145,14 @@ def npm_entries(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(x) for x in content], columns=["entries", "dev", "local"])
 
 
-def enumerate_npm(files: DataFrame) -> DataFrame:
-    """From the shrinkwrap file if there is one, else the lockfile."""
+def npm_locks(files: DataFrame) -> DataFrame:
+    """The shrinkwrap file if there is one, else the lockfile."""
     wraps, locks = shallowest(files, "npm-shrinkwrap.json"), shallowest(files, "package-lock.json")
-    chosen = wraps.unionByName(locks.join(wraps.select("component_id"), "component_id", "left_anti"))
-    rows = _content_of(files, chosen).withColumn("r", npm_entries("t")).select("component_id", "path", F.explode("r.entries").alias("x")).select("component_id", "path", F.col("x.name").alias("name"), F.col("x.version").alias("version"), F.col("x.integrity").alias("digest"))
+    return wraps.unionByName(locks.join(wraps.select("component_id"), "component_id", "left_anti"))
+
+
+def enumerate_npm(files: DataFrame) -> DataFrame:
+    rows = _content_of(files, npm_locks(files)).withColumn("r", npm_entries("t")).select("component_id", "path", F.explode("r.entries").alias("x")).select("component_id", "path", F.col("x.name").alias("name"), F.col("x.version").alias("version"), F.col("x.integrity").alias("digest"))
     return _component(rows, purl.npm(F.col("name"), F.col("version")), "npm", "npm-integrity", "bundled")
 
 
@@ -180,6 +183,18 @@ def enumerate_source(files: DataFrame) -> DataFrame:
     return enumerate_go(files).unionByName(enumerate_cargo(files)).unionByName(enumerate_npm(files))
 
 
+def lockfile_gaps(files: DataFrame) -> DataFrame:
+    """(component_id, detail): lockfiles whose dependencies are missing because they can't be read, are too large or don't parse."""
+    cargo, npm = shallowest(files, "Cargo.lock"), npm_locks(files)
+    top = paths.directory(F.col("path"))
+    go = shallowest(files, "go.mod").select("component_id", F.explode(F.transform(F.array(F.lit("go.sum"), F.lit("vendor/modules.txt")), lambda t: F.when(top == ".", t).otherwise(F.concat(top, F.lit("/"), t)))).alias("path"))
+    why = F.coalesce("read_error", F.when(F.col("size_bytes") > MAX_LOCKFILE, "too large"))
+    unread = files.select("component_id", "path", why.alias("why")).where("why is not null").join(cargo.unionByName(npm).unionByName(go), ["component_id", "path"])
+    broken = _content_of(files, cargo).where(cargo_packages("t").isNull()).unionByName(_content_of(files, npm).where(npm_entries("t")["entries"].isNull()))
+    both = unread.unionByName(broken.select("component_id", "path", F.lit("doesn't parse").alias("why")))
+    return both.select("component_id", F.concat("path", F.lit(": "), "why").alias("detail"))
+
+
 def enumerate_installed(installed: DataFrame, own: str = "") -> DataFrame:
     return enumerate_python(installed, own).unionByName(enumerate_java(installed))
 

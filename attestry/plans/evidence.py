@@ -74,10 +74,11 @@ def collect(subjects: DataFrame, files: DataFrame, corpus: DataFrame, installed:
     )
     assessed = assessing.assess(inputs)
     counted = parts.groupBy("component_id").agg(F.array_sort(F.collect_list("purl")).alias("purls"))
-    gaps = F.concat(F.transform("unreadable", lambda d: F.struct(F.lit("license-file").alias("kind"), d.alias("detail"))), F.array(F.struct(F.lit("no-installed-trees").alias("kind"), F.lit("no installed trees were given").alias("detail"))) if installed is None else F.array().cast("array<struct<kind:string,detail:string>>"))
+    lost = components.lockfile_gaps(files).groupBy("component_id").agg(F.array_sort(F.collect_set("detail")).alias("lost"))
+    gaps = F.concat(F.transform(F.coalesce("lost", none), lambda d: F.struct(F.lit("dependencies").alias("kind"), d.alias("detail"))), F.transform("unreadable", lambda d: F.struct(F.lit("license-file").alias("kind"), d.alias("detail"))), F.array(F.struct(F.lit("no-installed-trees").alias("kind"), F.lit("no installed trees were given").alias("detail"))) if installed is None else F.array().cast("array<struct<kind:string,detail:string>>"))
     out = (
         inputs.select("component_id", "files", "unreadable", "declared_expression").join(hashes.drop("files"), "component_id").join(concluded, "component_id")
-        .join(refs, "component_id", "left").join(assessed, "component_id").join(counted, "component_id", "left").withColumn("gaps", gaps)
+        .join(refs, "component_id", "left").join(assessed, "component_id").join(counted, "component_id", "left").join(lost, "component_id", "left").withColumn("gaps", gaps).drop("lost")
     )
     return out.withColumn("purls", F.coalesce("purls", none)).withColumn("license_ref", F.coalesce("license_ref", F.lit("")))
 

@@ -131,3 +131,20 @@ def test_plans_stay_in_the_jvm(spark):
     assert "Python" not in plan and "Arrow" not in plan
     assert detection.discover(tree)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
     assert F is not None
+
+
+def test_lost_lockfiles_are_gaps(spark):
+    rows = [
+        ("a", "Cargo.lock", b"not = = toml", 12, None), ("b", "package-lock.json", b"{", 1, None), ("c", "Cargo.lock", None, 9, "denied"), ("d", "package-lock.json", b"{}", (64 << 20) + 1, None),
+        ("e", "Cargo.lock", b"version = 3", 11, None), ("f", "go.mod", b"module x", 8, None), ("f", "go.sum", None, 5, "denied"),
+    ]
+    files = spark.createDataFrame(rows, "component_id string, path string, content binary, size_bytes bigint, read_error string")
+    from attestry.operators import components
+
+    got = sorted((r["component_id"], r["detail"]) for r in components.lockfile_gaps(files).collect())
+    assert got == [("a", "Cargo.lock: doesn't parse"), ("b", "package-lock.json: doesn't parse"), ("c", "Cargo.lock: denied"), ("d", "package-lock.json: too large"), ("f", "go.sum: denied")]
+    from attestry.plans import evidence
+
+    corpus = spark.createDataFrame([("MIT", "permission is hereby granted")], "id string, text string")
+    gaps = {r["component_id"]: [g["kind"] for g in r["gaps"]] for r in evidence.collect(files.select("component_id").distinct(), files, corpus).collect()}
+    assert all(("dependencies" in gaps[c]) == (c != "e") for c in "abcdef")
