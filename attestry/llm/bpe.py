@@ -161,7 +161,7 @@ def _spec(spark, path: str):
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>): the ids of every whole text."""
     spec = _spec(docs.sparkSession, vocabulary)
-    small_batches(docs.sparkSession, 1000)
+    small_batches(docs.sparkSession)
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches):
@@ -176,7 +176,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, text) of (doc_id, ids); null ids decode to empty text, ids outside the vocabulary to nothing."""
     spec = _spec(encoded.sparkSession, vocabulary)
-    small_batches(encoded.sparkSession, 1000)
+    small_batches(encoded.sparkSession)
     given = encoded.select("doc_id", "ids")
 
     def run(batches):
@@ -194,7 +194,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes, decodes what it encoded, and gives digests instead of arrays."""
     spec = _spec(docs.sparkSession, vocabulary)
-    small_batches(docs.sparkSession, 1000)
+    small_batches(docs.sparkSession)
     given = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
 
     def run(batches):

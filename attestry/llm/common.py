@@ -29,22 +29,29 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes the rows as Parquet into the shared folder and reads them back. The new frame carries its path in `saved_at`."""
+    """Cuts the lineage: writes the rows as Parquet into the shared folder and reads them back. The new frame carries its path in `saved_at`;
+    what forget() hasn't deleted goes when the session ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at, fs = _file_system(spark, path)
+    fs.deleteOnExit(at)  # whoever reads the rows does so in this session
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def forget(*frames: DataFrame) -> None:
     """Deletes what save() wrote for these frames, once nothing reads them any more."""
     for df in frames:
         if path := getattr(df, "saved_at", None):
-            jvm = df.sparkSession.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            at, fs = _file_system(df.sparkSession, path)
+            fs.delete(at, True)
 
 
 def hold(df: DataFrame) -> DataFrame:
@@ -53,12 +60,6 @@ def hold(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
-def settle(df: DataFrame, name: str, files: int) -> DataFrame:
-    """save() into at most so many files, for small tables that come in many partitions. Each written file costs an executor a
-    process or two; `files` should follow the size of the input."""
-    return save(df.coalesce(max(1, files)), name)
-
-
 def sweep(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of finished steps now, not when the driver's heap next happens to fill."""
     import gc
@@ -67,10 +68,15 @@ def sweep(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Keeps Arrow batches of whole texts small: long documents come by the thousand at worst."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+#: Arrow batches of whole texts: long documents come by the thousand at worst. Spark's own values, for which these stand in, are the keys' second entries.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("1000", "10000"), "spark.sql.execution.arrow.maxBytesPerBatch": (str(16 << 20), f"{64 << 20}b")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches small. The settings are the same for all operators, and a session that has chosen its own keeps them."""
+    for key, (ours, default) in BATCHES.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, ours)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
