@@ -2,13 +2,16 @@
 
 Every whole text gives integer measures. Each measure's values go into a sketch of logarithmic buckets (sixteen to a power of
 two, so a quantile is right to within a sixteenth), which is nothing but counts by bucket: partial counts merge by addition in
-any order, so the result is the same however rows are dealt, and a hot source costs no task more than its share. A (language,
-source) pair with at least MIN_GROUP documents uses its own sketch; a smaller one uses the merged sketch of its language, or of
-everything. A document is dropped if a measure lies beyond q75 + FENCE * (q75 - q25) + the measure's slack.
+any order, so the result is the same however rows are dealt, and a hot source costs no task more than its share. Every sketch
+gives each measure a limit, q75 + FENCE * (q75 - q25) + the measure's slack. A (language, source) pair's limit is the mean of its own
+and its language's, weighted by its documents against `prior` documents; a language's is weighted alike against that of everything.
+Large pairs so follow their own sketch, small ones mostly the merged one, with no size at which one takes the other's place. A
+document is dropped if a measure lies beyond its pair's limit. Where a quarter of a large pair's documents are junk by a measure,
+that measure's limit lies beyond the junk and rejects none of it there; so it is with any threshold that follows the data.
 
 DataFrame functions only. Defined results: null text has no words and fails the base rule; null lang or source is a value of
-its own; repeated rows are judged alike; an empty table gives no rows; clashing names in other columns don't matter to
-`measure`, and `keep` returns its input's columns untouched.
+its own; very long texts are counted whole; ties with a limit are kept; repeated rows are judged alike; an empty table gives no
+rows; clashing names in other columns don't matter to `measure`, and `keep` returns its input's columns untouched.
 """
 
 from __future__ import annotations
@@ -16,10 +19,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import WORD, save
+from attestry.llm.common import WORD, forget, save
 
-#: Documents that a (language, source) pair or a language needs for thresholds of its own.
-MIN_GROUP = 100
+#: As how many documents the next larger group's limit counts in a group's own.
+PRIOR = 100
 FENCE = 3
 #: The measures and how far beyond the fence a value is still taken for ordinary spread (per thousand; word_length in hundredths).
 SLACK = {"symbols": 60, "dup_lines": 350, "repeats": 350, "word_length": 150, "shouts": 120}
@@ -120,19 +123,22 @@ def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return quartiles.groupBy(*keys).agg(F.max("total").alias("docs"), *(F.max(F.when(F.col("measure") == k, limit + s)).alias(f"limit_{k}") for k, s in SLACK.items()))
 
 
-def thresholds(measured: DataFrame) -> DataFrame:
-    """(lang, source, level, limit_<measure>): each pair's limits, from its own sketch or the next larger one."""
-    # A group whose documents all fail the base rule isn't in the sketch; its pair takes the language's or the overall limits.
+def thresholds(measured: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """(lang, source, group_docs, limit_<measure>): each pair's limits and the documents in its own sketch."""
+    # A group whose documents all fail the base rule isn't in the sketch; its pair takes the larger groups' limits.
     sketch = sketches(measured)
     pairs = measured.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("__n")).drop("__n")
     own, by_lang = _fences(sketch, ["lang", "source"]), _fences(sketch, ["lang"])
-    overall = _fences(sketch.withColumn("__all", F.lit(1)), ["__all"]).drop("__all")
-    name = lambda df, p: df.select(*(F.col(x).alias(x if x in ("lang", "source") else p + x) for x in df.columns))
+    overall = _fences(sketch.withColumn("__all", F.lit(1)), ["__all"])
+    name = lambda df, p: df.select(*(F.col(x).alias(x if x in ("lang", "source", "__all") else p + x) for x in df.columns))
     joined = pairs.join(name(own, "o_"), ["lang", "source"], "left").join(name(by_lang, "l_"), ["lang"], "left")
-    joined = joined.withColumn("__all", F.lit(1)).join(F.broadcast(name(overall, "a_").withColumn("__all", F.lit(1))), "__all", "left")  # one row
-    level = F.when(F.col("o_docs") >= MIN_GROUP, "source").when(F.col("l_docs") >= MIN_GROUP, "lang").otherwise("all")
-    pick = lambda k: F.when(F.col("level") == "source", F.col(f"o_limit_{k}")).when(F.col("level") == "lang", F.col(f"l_limit_{k}")).otherwise(F.col(f"a_limit_{k}"))
-    return joined.withColumn("level", level).select("lang", "source", "level", *(pick(k).alias(f"limit_{k}") for k in MEASURES))
+    joined = joined.withColumn("__all", F.lit(1)).join(F.broadcast(name(overall, "a_")), "__all", "left")  # one row
+
+    def weighed(docs: str, own: str, wider: str) -> str:
+        return f"(coalesce({docs}, 0) * coalesce({own}, 0) + {prior} * {wider}) div (coalesce({docs}, 0) + {prior})"
+
+    limits = (F.expr(weighed("o_docs", f"o_limit_{k}", weighed("l_docs", f"l_limit_{k}", f"a_limit_{k}"))).alias(f"limit_{k}") for k in MEASURES)
+    return joined.select("lang", "source", F.coalesce("o_docs", F.lit(0)).cast("long").alias("group_docs"), *limits)
 
 
 def _beyond() -> F.Column:
@@ -140,10 +146,10 @@ def _beyond() -> F.Column:
     return F.array_join(F.filter(F.array(*(F.when(o, F.lit(k)) for o, k in zip(over, MEASURES))), lambda x: x.isNotNull()), ",")
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """measure() and level, beyond (the measures over their limit, joined by commas) and kept."""
+def judge(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """measure() and group_docs, beyond (the measures over their limit, joined by commas) and kept."""
     measured = save(measure(docs), "quality-measures")
-    limits = save(thresholds(measured), "quality-limits")
+    limits = save(thresholds(measured, prior), "quality-limits")
     small = limits.count() <= BROADCAST_GROUPS
     return (
         measured.join(F.broadcast(limits) if small else limits, ["lang", "source"], "left")
@@ -153,9 +159,11 @@ def judge(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep(docs: DataFrame) -> DataFrame:
+def keep(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """The rows of `docs` that are kept, with its columns. Limits are taken from one pass, the filter is a second: texts don't move."""
-    limits = save(thresholds(save(measure(docs), "quality-measures")), "quality-limits")
+    measured = save(measure(docs), "quality-measures")
+    limits = save(thresholds(measured, prior), "quality-limits")
+    forget(measured)
     small = limits.count() <= BROADCAST_GROUPS
     limits = limits.select(F.col("lang").alias(_P + "lang"), F.col("source").alias(_P + "source"), *(F.col(f"limit_{k}").alias(f"{_P}limit_{k}") for k in MEASURES))
     df = _counts(docs).withColumns({_P + "lang": F.coalesce("lang", F.lit("")), _P + "source": F.coalesce("source", F.lit(""))})
@@ -184,12 +192,14 @@ q as (select level, lang, source, measure, max(total) as total, min(bucket) filt
 qv as (select *, case when lo < 32 then lo else ((lo - (lo // 16 - 1) * 16 + 1) << cast(lo // 16 - 1 as int)) - 1 end as q25, case when hi < 32 then hi else ((hi - (hi // 16 - 1) * 16 + 1) << cast(hi // 16 - 1 as int)) - 1 end as q75 from q),
 lim as (select level, lang, source, max(total) as docs, max(q75 + 3 * (q75 - q25) + 60) filter (where measure = 'symbols') as l_symbols, max(q75 + 3 * (q75 - q25) + 350) filter (where measure = 'dup_lines') as l_dup_lines,
   max(q75 + 3 * (q75 - q25) + 350) filter (where measure = 'repeats') as l_repeats, max(q75 + 3 * (q75 - q25) + 150) filter (where measure = 'word_length') as l_word_length, max(q75 + 3 * (q75 - q25) + 120) filter (where measure = 'shouts') as l_shouts from qv group by all),
-f as (select m.*, case when o.docs >= 100 then 'source' when l.docs >= 100 then 'lang' else 'all' end as level,
-  case when o.docs >= 100 then o.l_symbols when l.docs >= 100 then l.l_symbols else a.l_symbols end as x1, case when o.docs >= 100 then o.l_dup_lines when l.docs >= 100 then l.l_dup_lines else a.l_dup_lines end as x2,
-  case when o.docs >= 100 then o.l_repeats when l.docs >= 100 then l.l_repeats else a.l_repeats end as x3, case when o.docs >= 100 then o.l_word_length when l.docs >= 100 then l.l_word_length else a.l_word_length end as x4,
-  case when o.docs >= 100 then o.l_shouts when l.docs >= 100 then l.l_shouts else a.l_shouts end as x5
+f as (select m.*, coalesce(o.docs, 0) as group_docs,
+  (coalesce(o.docs, 0) * coalesce(o.l_symbols, 0) + 100 * (coalesce(l.docs, 0) * coalesce(l.l_symbols, 0) + 100 * a.l_symbols) // (coalesce(l.docs, 0) + 100)) // (coalesce(o.docs, 0) + 100) as x1,
+  (coalesce(o.docs, 0) * coalesce(o.l_dup_lines, 0) + 100 * (coalesce(l.docs, 0) * coalesce(l.l_dup_lines, 0) + 100 * a.l_dup_lines) // (coalesce(l.docs, 0) + 100)) // (coalesce(o.docs, 0) + 100) as x2,
+  (coalesce(o.docs, 0) * coalesce(o.l_repeats, 0) + 100 * (coalesce(l.docs, 0) * coalesce(l.l_repeats, 0) + 100 * a.l_repeats) // (coalesce(l.docs, 0) + 100)) // (coalesce(o.docs, 0) + 100) as x3,
+  (coalesce(o.docs, 0) * coalesce(o.l_word_length, 0) + 100 * (coalesce(l.docs, 0) * coalesce(l.l_word_length, 0) + 100 * a.l_word_length) // (coalesce(l.docs, 0) + 100)) // (coalesce(o.docs, 0) + 100) as x4,
+  (coalesce(o.docs, 0) * coalesce(o.l_shouts, 0) + 100 * (coalesce(l.docs, 0) * coalesce(l.l_shouts, 0) + 100 * a.l_shouts) // (coalesce(l.docs, 0) + 100)) // (coalesce(o.docs, 0) + 100) as x5
   from m left join lim o on o.level = 'source' and o.lang = m.lang and o.source = m.source left join lim l on l.level = 'lang' and l.lang = m.lang left join lim a on a.level = 'all')
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and not (coalesce(m_symbols > x1, false) or coalesce(m_dup_lines > x2, false) or coalesce(m_repeats > x3, false) or coalesce(m_word_length > x4, false) or coalesce(m_shouts > x5, false)) as kept,
-  level from f
+  cast(group_docs as bigint) as group_docs from f
 """

@@ -33,7 +33,7 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "level")
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "group_docs")
 
 
 def op5_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
