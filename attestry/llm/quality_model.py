@@ -6,12 +6,13 @@ trigrams of whole texts are hashed into 2**BITS weights; a text's value for each
 score is a sparse dot product through the logistic function.
 
 Training uses a bounded sample: TRAIN_DOCS labelled documents (the rest of the corpus only if its labels are fewer), taken by a
-hash of the id over all labelled rows outside the held-out third. One task turns
-them into sparse rows and makes EPOCHS passes of per-coordinate FTRL-proximal updates over them in a fixed order.
+hash of the id over all labelled rows outside the held-out third, one text an id (the first in byte order, where rows repeat it).
+They are turned into sparse rows where they are; one task makes EPOCHS passes of per-coordinate FTRL-proximal updates over these in a
+fixed order.
 
 Defined results: null or empty text has no n-grams and scores by the bias alone; labels that are null, or ids labelled both
-ways, teach nothing; with nothing to learn from, every score is 0.5; repeated rows score alike; an empty table gives no rows;
-other columns aren't read. `keep` returns its input's columns and rows in which the model predicts 1.
+ways, teach nothing; with nothing to learn from, every score is 0.5; a score of exactly 0.5 predicts 1; very long texts give all
+their n-grams; repeated rows score alike; an empty table gives no rows; other columns aren't read. `keep` returns its input's columns and rows in which the model predicts 1.
 """
 
 from __future__ import annotations
@@ -101,20 +102,28 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> np.ndar
     """The weights. Labels of held-out ids aren't read; documents are looked up by the sampled ids, a bounded list."""
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     one = usable.groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = hi")
-    sample = one.select("doc_id", F.col("hi").alias("y"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(most)
+    sample = one.select("doc_id", F.col("hi").cast("int").alias("y"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(most)
     small_batches(docs.sparkSession)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("h", "y", "text")  # at most `most` rows
+    # At most `most` rows, even where rows repeat an id.
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("h", "doc_id", "y").agg(F.min("text").alias("text")).select("h", "y", "text")
 
-    def run(batches):
+    def sparse(batches):
+        for b in batches:
+            made = [features(t) for t in b.column(2).to_pylist()]
+            at, x = ([m[i] for m in made] for i in range(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())), pa.array([a.astype(np.float32) for a in x], pa.list_(pa.float32()))], ["h", "y", "at", "x"])
+
+    def fit(batches):
         rows = []
         for b in batches:
-            rows += [(h, t or "", y) for h, y, t in zip(*(b.column(i).to_pylist() for i in range(3)))]
-        rows.sort()
-        made = [(at.astype(np.int32), x.astype(np.float32), y) for (at, x), y in ((features(t), y) for _, t, y in rows)]
-        yield pa.RecordBatch.from_arrays([pa.array([train(made).astype(np.float32).tobytes()], pa.binary())], ["weights"])
+            cols = [b.column(i) for i in range(4)]
+            rows += [(h.as_py(), at.values.to_numpy(), x.values.to_numpy(), y.as_py()) for h, y, at, x in zip(*cols)]
+        if rows:
+            rows.sort(key=lambda r: r[0])
+            yield pa.RecordBatch.from_arrays([pa.array([train([r[1:] for r in rows]).astype(np.float32).tobytes()], pa.binary())], ["weights"])
 
     # One task trains on the sample; only the weights, 2**BITS numbers, come to the driver.
-    row = texts.repartition(1).mapInArrow(run, "weights binary").first()
+    row = texts.mapInArrow(sparse, "h long, y int, at array<int>, x array<float>").repartition(1).mapInArrow(fit, "weights binary").first()
     return np.frombuffer(row["weights"], np.float32) if row else np.zeros(1 << BITS, np.float32)
 
 
