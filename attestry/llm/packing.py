@@ -4,10 +4,12 @@ Every partition packs its own pieces by best-fit decreasing and compares its num
 feasible functions. Where the two agree, the partition is certified: no packing of its pieces needs fewer bins. The whole
 result is measured the same way. While it has more bins than the bound over all pieces, partitions exchange documents:
 pieces of bins with a gap move, by hash, into fewer partitions, which rerun best-fit decreasing; a rerun that needs no
-fewer bins is discarded. Rounds end when the bound is met, when one partition has held all that is open, or after `rounds`.
+fewer bins is discarded. Rounds end when the bound is met, when one partition has held all that is open, or when what is open can't be
+held by fewer partitions and a round has taken less than WORTH of the bins above the bound. `report` gets bins, bound and rounds.
 
-Defined results: null text is an empty document, which is the end id alone; repeated rows are packed each by itself; an
-empty table gives no rows; a null doc_id is kept; other columns are ignored whatever their names.
+Defined results: null text is an empty document, which is the end id alone; a very long text is encoded whole and cut into full
+pieces and one rest; repeated rows are packed each by itself, dealt out like any others; pieces of equal length are packed in order
+of their ids; an empty table gives no rows; a null doc_id is kept; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ from attestry.llm.common import forget, save, small_batches
 CAPACITY = 2048
 #: Pieces that one task packs, a few dozen bytes each.
 TASK_PIECES = 120_000
-ROUNDS = 5
 MEMORY = 500_000
+#: What a round must gain, as a share of the bins above the bound, for another of the same width.
+WORTH = 0.05
 #: Control characters that Python, but not the vocabulary's pre-tokenizer, takes for white space aren't among bytes.split()'s.
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
@@ -89,7 +92,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     """(doc_id, piece, start, length, ids_crc32): every document's ids and the end id, cut only if longer than a bin."""
     with open(vocabulary, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())  # a few MB, fixed in size
-    small_batches(docs.sparkSession, 1000)
+    small_batches(docs.sparkSession)
     given = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     last = np.array([end_id], "<u4").tobytes()
 
@@ -162,7 +165,7 @@ def _pack_once(items: DataFrame, parts: int, round_no: int, capacity: int) -> Da
     """Deals the pieces into `parts` partitions by hash and packs each. Adds the bin, the place in it, the bin's gap, and the
     partition with its number of bins and its bound."""
     kind = items.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "row"]
 
     def run(batches):
         from pyspark import TaskContext
@@ -170,7 +173,7 @@ def _pack_once(items: DataFrame, parts: int, round_no: int, capacity: int) -> Da
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        t = pa.Table.from_batches(got).select(names).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        t = pa.Table.from_batches(got).select(names).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending"), ("row", "ascending")])
         n = t.column("length").to_numpy()
         bins, offsets, gaps = best_fit_decreasing(n, capacity)
         part = TaskContext.get().partitionId()
@@ -178,7 +181,7 @@ def _pack_once(items: DataFrame, parts: int, round_no: int, capacity: int) -> Da
         bound, used = lower_bound(values, counts, capacity), int(bins.max()) + 1
         size = len(n)
         t = (
-            t.append_column("sequence_id", pa.array(bins + (part << 28) + (round_no << 56)))
+            t.append_column("sequence_id", pa.array(bins + (part << 28) + (round_no << 50)))
             .append_column("offset", pa.array(offsets))
             .append_column("gap", pa.array(gaps))
             .append_column("part", pa.array(np.full(size, part)))
@@ -187,40 +190,46 @@ def _pack_once(items: DataFrame, parts: int, round_no: int, capacity: int) -> Da
         )
         yield from t.to_batches(50_000)
 
-    dealt = items.select(*names, F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(round_no)).alias("deal")).repartition(parts, "deal")
-    return dealt.mapInArrow(run, PIECES.format(id=kind) + ", sequence_id long, offset long, gap long, part long, part_bins long, part_bound long")
+    dealt = items.select(*names, F.xxhash64("row", F.lit(round_no)).alias("deal")).repartition(parts, "deal")
+    return dealt.mapInArrow(run, PIECES.format(id=kind) + ", row long, sequence_id long, offset long, gap long, part long, part_bins long, part_bound long")
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, task_pieces: int = TASK_PIECES, rounds: int = ROUNDS) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, task_pieces: int = TASK_PIECES, report: dict | None = None) -> DataFrame:
     """Packs (doc_id, piece, start, length, ids_crc32) into sequences of at most `capacity`; `certified` says that the
-    partition which packed the piece met its bound."""
-    items = save(items, "pieces")
+    partition which packed the piece met its bound. `report`, if given, gets bins, bound and rounds."""
+    # Numbered once and written, so that rows alike in all else are told apart, and the same way if a task is repeated.
+    items = save(items.withColumn("row", F.monotonically_increasing_id()), "pieces")
     by_length = items.groupBy("length").count().collect()  # at most `capacity` rows
     total = sum(r["count"] for r in by_length)
     bound = lower_bound(np.array([r["length"] for r in by_length]), np.array([r["count"] for r in by_length]), capacity)
     parts = max(1, -(-total // task_pieces))
     done, open_now = [], save(_pack_once(items, parts, 0, capacity), "packed-0")
-    first = open_now.where("offset = 0").agg(F.count(F.lit(1)).alias("bins")).first()["bins"]
-    closed_bins, open_bins, width = 0, first, parts
-    for k in range(1, rounds + 1):
-        if closed_bins + open_bins <= bound or width == 1:
-            break
+    open_bins = open_now.where("offset = 0").count()
+    closed_bins, width, k = 0, parts, 0
+    while closed_bins + open_bins > bound and width > 1:
+        k += 1
         full, gaps = open_now.where("gap = 0"), open_now.where("gap > 0")
         seen = gaps.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("offset") == 0).alias("bins")).first()
-        width = max(1, -(-seen["n"] // task_pieces), min(width - 1, width // 8))
+        least = max(1, -(-seen["n"] // task_pieces))
+        before, width = width, max(least, min(width - 1, width // 8))
         again = save(_pack_once(gaps, width, k, capacity), f"packed-{k}")
         bins = again.where("offset = 0").count()
-        if bins >= seen["bins"]:
+        gain, above = seen["bins"] - bins, closed_bins + open_bins - bound
+        if gain > 0:
+            done.append(full)
+            closed_bins, open_bins, open_now = closed_bins + open_bins - seen["bins"], bins, again
+        else:
             forget(again)
-            continue
-        done.append(full)
-        closed_bins, open_bins, open_now = closed_bins + open_bins - seen["bins"], bins, again
+        if gain < WORTH * above and (width == least or width >= before):
+            break
     out = open_now
     for d in done:
         out = out.unionByName(d)
     forget(items)
-    return out.withColumn("certified", F.col("part_bins") == F.col("part_bound")).drop("part_bins", "part_bound", "part")
+    if report is not None:
+        report.update(bins=closed_bins + open_bins, bound=bound, rounds=k)
+    return out.withColumn("certified", F.col("part_bins") == F.col("part_bound")).drop("part_bins", "part_bound", "part", "row")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, task_pieces: int = TASK_PIECES) -> DataFrame:
-    return pack(pieces(docs, vocabulary, capacity), capacity, task_pieces)
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, task_pieces: int = TASK_PIECES, report: dict | None = None) -> DataFrame:
+    return pack(pieces(docs, vocabulary, capacity), capacity, task_pieces, report)
