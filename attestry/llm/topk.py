@@ -2,42 +2,45 @@
 
 Vectors become whole numbers (floor(scale * x)), so scores and squared distances are exact. Pivots are chosen from a bounded
 sample, far from one another. Each vector is keyed by its nearest pivot and its distance to it; the keys of one pivot are cut
-into annuli of bounded size by a histogram of the distances. Vectors of an annulus that one task can't hold (many at the same
-distance, such as copies) are split further by hash. A query first searches the annulus that its own key falls into, which gives
-it a k-th score to beat. Then, pivot by pivot, it expands outwards to the annuli that may still hold a better one: by the
-triangle inequality |d(q, p) - d(x, p)| is at most d(q, x), and q.x = (|q|^2 + |x|^2 - d(q, x)^2) / 2, so with the annulus'
-radii and its longest vector no x in it can score more than the bound. Annuli whose bound is under the k-th score are left out.
-
-Defined results: vectors that are null, empty, or hold null or non-finite components take no part; vectors of unlike length are
-never compared; ties go to the smaller id; rows that repeat an id are candidates of their own, but never of a query with that id;
-an empty table gives no rows; a null id takes no part.
+into annuli by a histogram of the distances, at most CELLS a pivot however many vectors there are. A query sorts the annuli by the
+best score that they may hold: by the triangle inequality |d(q, p) - d(x, p)| is at most d(q, x), and q.x = (|q|^2 + |x|^2 - d(q, x)^2) / 2,
+so an annulus' radii and its longest vector bound every score in it. In that order it expands outwards, in rounds of one, then eight,
+then sixty-four annuli and so on, and its k-th score so far rises; it stops at the first annulus whose bound is under that score, as all
+later ones are too. An annulus is searched in blocks of a bounded number of vectors and queries.
+
+Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do those with components so
+large that an inner product might not fit 64 bits (at 64 dimensions about 740,000 times the scale's 256); vectors of unlike length are
+never compared; ties go to the smaller id; rows that repeat an id are candidates of their own, but never of a query with that id; a
+query id with several different vectors is as many queries, each with ranks of its own; an empty table gives no rows; a null id takes
+no part.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attestry.llm.common import save
+from attestry.llm.common import forget, save
 
 SAMPLE = 2048
 PIVOTS = 32
-#: Vectors in an annulus, and queries that meet it in one task.
-BLOCK = 2048
-QUERIES = 2048
-#: Histogram cells for each pivot's distances.
-CELLS = 256
+#: Histogram cells for each pivot's distances, so annuli at most; vectors that an annulus has at least, but for a pivot's last.
+CELLS, ANNULUS = 256, 2048
+#: Vectors and queries that meet in one task.
+BLOCK, QUERIES = 8192, 8192
+#: How many times as many annuli each round takes as the one before.
+GROW = 8
 
 
 def whole(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """(id, dim, v array<long>) of the vectors that take part."""
     x = F.col(vector_col)
-    fine = F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    most = F.sqrt(F.lit(2.0**61) / F.size(x))
+    # A comparison with NaN or beyond infinity is false or caught by the bound; null makes forall null.
+    fine = F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.coalesce(F.forall(x, lambda c: ~F.isnan(c) & (F.abs(c.cast("double") * scale) < most)), F.lit(False))
     quantised = F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long"))
     return vectors.where(fine).select(F.col(id_col).cast("long").alias("id"), F.size(x).alias("dim"), quantised.alias("v"))
 
@@ -51,11 +54,7 @@ def _matrix(column) -> np.ndarray:
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact a @ b.T: in floating point where every sum stays below 2**53, else in whole numbers."""
     top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    if top < 2**53:
-        return (a.astype(float) @ b.astype(float).T).astype(np.int64)
-    if top < 2**63:
-        return a @ b.T
-    raise OverflowError("inner products don't fit 64 bits: use a smaller scale")
+    return (a.astype(float) @ b.astype(float).T).astype(np.int64) if top < 2**53 else a @ b.T
 
 
 def pivots_of(sample: np.ndarray, most: int) -> np.ndarray:
@@ -89,48 +88,50 @@ def _keyed(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     return vectors.mapInArrow(run, "id long, dim int, v array<long>, pivot int, d2 long, norm long")
 
 
-def index(keyed: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """(the vectors with their block, one row of radii for each block). Blocks are numbered (pivot, annulus, part of it)."""
+def index(keyed: DataFrame, annulus: int = ANNULUS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(the vectors with annulus and block, one row of radii for each annulus). Annuli are numbered (pivot, annulus), blocks are parts of them by hash."""
     spread = keyed.groupBy("pivot").agg(F.min("d2").alias("lo"), F.max("d2").alias("hi"))
     cells = keyed.join(F.broadcast(spread), "pivot")  # one row for each pivot
     width = F.greatest(F.lit(1.0), (F.sqrt("hi") - F.sqrt("lo")) / CELLS)
     celled = cells.withColumn("cell", F.floor((F.sqrt("d2") - F.sqrt("lo")) / width).cast("int")).drop("lo", "hi")
     counts = celled.groupBy("pivot", "cell").agg(F.count(F.lit(1)).alias("n"))  # at most CELLS + 1 rows a pivot
     upto = F.sum("n").over(Window.partitionBy("pivot").orderBy("cell"))
-    annuli = counts.withColumn("annulus", F.floor((upto - F.col("n")) / block).cast("int")).withColumn("n", F.sum("n").over(Window.partitionBy("pivot", "annulus"))).withColumn("split", F.ceil(F.col("n") / block).cast("int")).drop("n")
-    placed = celled.join(F.broadcast(annuli), ["pivot", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("split")).cast("int")).drop("cell", "split")
-    placed = placed.withColumn("block", F.concat_ws("/", "pivot", "annulus", "part"))
-    radii = placed.groupBy("block", "pivot", "dim").agg(F.min("d2").alias("r_min2"), F.max("d2").alias("r_max2"), F.max("norm").alias("norm_max"), F.count(F.lit(1)).alias("n"))
+    annuli = counts.withColumn("annulus", F.floor((upto - F.col("n")) / annulus).cast("long")).withColumn("n", F.sum("n").over(Window.partitionBy("pivot", "annulus"))).withColumn("parts", F.ceil(F.col("n") / block).cast("int")).drop("n")
+    placed = celled.join(F.broadcast(annuli), ["pivot", "cell"]).withColumn("part", F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int")).drop("cell")
+    radii = placed.groupBy("pivot", "annulus", "dim").agg(F.min("d2").alias("r_min2"), F.max("d2").alias("r_max2"), F.max("norm").alias("norm_max"), F.count(F.lit(1)).alias("n"), F.max("parts").alias("parts"))
     return placed, radii
 
 
 def _search(queries: DataFrame, assigned: DataFrame, placed: DataFrame, k: int, chunks: int) -> DataFrame:
-    """Each query's k best of each block it is assigned to. A block meets a bounded chunk of queries in a task."""
-    left = queries.select("id", "v").join(assigned.select("id", "block"), "id").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
-    right = placed.select("block", "id", "v").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))) if chunks > 1 else F.lit(0))
+    """Each query's k best of each block of the annuli that it is assigned to, but for rows of its own id."""
+    block = ["pivot", "annulus", "part"]
+    left = queries.join(assigned, "q").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("chunk", F.pmod(F.xxhash64("q"), F.lit(chunks)).cast("int"))
+    left = left.select("q", "id", "v", *block, "chunk")
+    met = left.select(*(F.col(c).alias(f"r_{c}") for c in (*block, "chunk"))).distinct()
+    right = placed.select("id", "v", *(F.col(c).alias(f"r_{c}") for c in block)).join(met, [f"r_{c}" for c in block])
 
     def run(q: pa.Table, x: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+        schema = pa.schema([("q", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
         if not q.num_rows or not x.num_rows:
             return schema.empty_table()
-        qi, xi = q.column("id").to_numpy(), x.column("id").to_numpy()
+        nth, qi, xi = q.column("q").to_numpy(), q.column("id").to_numpy(), x.column("id").to_numpy()
         order = np.argsort(xi, kind="stable")
         xi = xi[order]
         xv = _matrix(x.column("v").combine_chunks())[order]
         qv = _matrix(q.column("v").combine_chunks())
         out = []
-        for at in range(0, len(qi), 512):
-            s = products(qv[at : at + 512], xv)
-            own = qi[at : at + 512, None] == xi[None]
-            s = np.where(own, np.iinfo(np.int64).min + 1, s)  # can be negated
+        for at in range(0, len(qi), 256):
+            s = products(qv[at : at + 256], xv)
+            own = qi[at : at + 256, None] == xi[None]
+            s[own] = np.iinfo(np.int64).min + 1  # can be negated
             best = np.argsort(-s, axis=1, kind="stable")[:, :k] if s.shape[1] <= 4 * k else _best(s, k)
             rows = np.repeat(np.arange(len(s)), best.shape[1])
             cols = best.ravel()
             keep = ~own[rows, cols]
-            out.append((qi[at + rows[keep]], xi[cols[keep]], s[rows[keep], cols[keep]]))
+            out.append((nth[at + rows[keep]], xi[cols[keep]], s[rows[keep], cols[keep]]))
         return pa.table([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], schema=schema)
 
-    return left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(run, "query_id long, vec_id long, score long")
+    return left.groupBy(*block, "chunk").cogroup(right.groupBy(*(f"r_{c}" for c in (*block, "chunk")))).applyInArrow(run, "q long, vec_id long, score long")
 
 
 def _best(s: np.ndarray, k: int) -> np.ndarray:
@@ -144,18 +145,26 @@ def _best(s: np.ndarray, k: int) -> np.ndarray:
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k highest inner products of each row of `queries` with rows of other ids."""
+def _queries(asked: DataFrame) -> DataFrame:
+    """Adds q, a number for each distinct (id, vector)."""
+    # Numbered once and written: a task that is repeated finds the same numbers.
+    return save(asked.dropDuplicates(["id", "v"]).withColumn("q", F.monotonically_increasing_id()), "topk-queries")
+
+
+def search(
+    vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, pivots: int = PIVOTS, annulus: int = ANNULUS, block: int = BLOCK, report: dict | None = None
+) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k highest inner products of each row of `queries` with rows of other ids. `report`, if given,
+    gets the rounds, and how many scores were computed of how many that a search of everything computes."""
     spark = vectors.sparkSession
     base = whole(vectors, id_col, vector_col, scale)
     dims = {r["dim"]: r["n"] for r in base.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each length
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not dims:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     chosen: dict[int, np.ndarray] = {}
     for dim, n in dims.items():
         share = -(2**63) + int(2**64 * min(1.0, 1.2 * SAMPLE / n)) - 1
@@ -164,52 +173,60 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
             rows = base.where(F.col("dim") == dim).select("v").limit(SAMPLE).collect()
         chosen[dim] = pivots_of(np.array([r["v"] for r in rows], np.int64), pivots)
     keyed = save(_keyed(base, chosen), "topk-keyed")
-    placed, radii = index(keyed, block)
-    placed, radii = save(placed, "topk-placed"), save(radii, "topk-radii")
-    asked = _keyed(whole(queries, id_col, vector_col, scale).where(F.col("dim").isin(*dims)), chosen)
-    asked = save(asked, "topk-queries")
-    chunks = max(1, math.ceil(asked.count() / QUERIES))
-    blocks = radii.collect()  # one small row for each block of vectors
-    sent = spark.sparkContext.broadcast((chosen, [tuple(b) for b in blocks]))
-    sizes = np.cumsum([0, *(len(p) for p in chosen.values())]).tolist()
-    first = dict(zip(chosen, sizes))
-
-    def annuli(batches, later: bool):
-        """Home blocks of each query, or later those that its k-th score doesn't rule out."""
-        pv, bl = sent.value
-        name, piv = np.array([b[0] for b in bl], object), np.array([b[1] for b in bl])
-        dim_of, lo, hi = np.array([b[2] for b in bl]), np.sqrt([float(b[3]) for b in bl]), np.sqrt([float(b[4]) for b in bl])
-        norm_max = np.array([float(b[5]) for b in bl])
+    placed, radii = (save(df, f"topk-{name}") for df, name in zip(index(keyed, annulus, block), ("placed", "radii")))
+    asked = _queries(_keyed(whole(queries, id_col, vector_col, scale).where(F.col("dim").isin(*dims)), chosen))
+    n_queries = asked.count()
+    chunks = max(1, -(-n_queries // QUERIES))
+    # At most PIVOTS * (CELLS + 1) annuli for each length of vector.
+    annuli = radii.orderBy("pivot", "annulus", "dim").toPandas()
+    sent = spark.sparkContext.broadcast((chosen, {c: annuli[c].to_numpy() for c in annuli}))
+    first = dict(zip(chosen, np.cumsum([0, *(len(p) for p in chosen.values())]).tolist()))
+
+    def expand(batches, start: int, end: int):
+        """The annuli from place `start` to `end` of each query's order, as far as its k-th score allows."""
+        pv, a = sent.value
+        lo, hi, longest = np.sqrt(a["r_min2"].astype(float)), np.sqrt(a["r_max2"].astype(float)), a["norm_max"].astype(float)
         for b in batches:
-            ids, blocks_out = [], []
-            cols = [b.column(n).to_pylist() for n in ("id", "dim", "v", "norm")] + [b.column("kth").to_pylist() if later else [None] * b.num_rows]
-            for i, dim, v, norm, kth in zip(*cols):
-                q, p = np.array(v, np.int64), pv[dim]
-                d = np.sqrt(((p - q).astype(float) ** 2).sum(1))
-                mine = np.flatnonzero(dim_of == dim)
-                own = piv[mine] - first[dim]
-                gap = np.maximum(0, np.maximum(d[own] - hi[mine], lo[mine] - d[own]))
-                home = own == int(d.argmin())
-                near = gap + np.where(home, 0, 1e18)
-                start = near == near.min()
-                if later:
-                    # One more than the bound in floating point: rounding never rules out a block.
-                    bound = (norm + norm_max[mine] - gap**2) / 2 * (1 + 1e-12) + 1
-                    pick = mine[~start & ((bound >= kth) if kth is not None else True)]
-                else:
-                    pick = mine[start]
-                ids += [i] * len(pick)
-                blocks_out += name[pick].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blocks_out, pa.string())], ["id", "block"])
-
-    begin = asked.dropDuplicates(["id", "v"]).select("id", "dim", "v", "norm")
-    start = begin.mapInArrow(lambda it: annuli(it, False), "id long, block string")
-    found = save(_top(_search(begin, start, placed, k, chunks), k), "topk-start")
-    kth = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
-    rest = begin.join(kth, "id", "left").select("id", "dim", "v", "norm", "kth").mapInArrow(lambda it: annuli(it, True), "id long, block string")
-    more = _search(begin, rest, placed, k, chunks)
-    out = _top(found.drop("rank").unionByName(more), k)
-    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            qs, picks = [], []
+            for q, dim, v, norm, kth in zip(*(b.column(n).to_pylist() for n in ("q", "dim", "v", "norm", "kth"))):
+                d2 = ((pv[dim] - np.array(v, np.int64)).astype(float) ** 2).sum(1)
+                mine = np.flatnonzero(a["dim"] == dim)
+                d = np.sqrt(d2)[a["pivot"][mine] - first[dim]]
+                gap = np.maximum(0, np.maximum(d - hi[mine], lo[mine] - d))
+                # A little more than the bound, so that rounding never rules out an annulus.
+                bound = (norm + longest[mine] - gap**2) / 2 + (norm + longest[mine] + d**2) * 1e-12 + 1
+                order = np.argsort(-bound, kind="stable")[start:end]
+                if kth is not None:
+                    order = order[bound[order] >= kth]
+                qs.append(np.full(len(order), q, np.int64))
+                picks.append(mine[order])
+            pick = np.concatenate([*picks, np.empty(0, np.int64)]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*qs, np.empty(0, np.int64)]).astype(np.int64)), pa.array(a["pivot"][pick], pa.int32()), pa.array(a["annulus"][pick], pa.int64()), pa.array(a["parts"][pick], pa.int32()), pa.array(a["n"][pick], pa.int64())], ["q", "pivot", "annulus", "parts", "n"])
+
+    found, start, take, rounds, scores = None, 0, 1, 0, 0
+    # Annuli of one length of vector: no query has more.
+    longest = int(annuli.groupby("dim").size().max())
+    while start < longest:
+        kth = found.where(F.col("rank") == k).select("q", F.col("score").alias("kth")) if found is not None else None
+        state = asked.select("q", "dim", "v", "norm")
+        state = state.join(kth, "q", "left") if kth is not None else state.withColumn("kth", F.lit(None).cast("long"))
+        end = start + take
+        assigned = save(state.mapInArrow(lambda it, i=start, j=end: expand(it, i, j), "q long, pivot int, annulus long, parts int, n long"), "topk-assigned")
+        computed = assigned.agg(F.sum("n").alias("n")).first()["n"]
+        if not computed:
+            forget(assigned)
+            break
+        new = _search(asked.select("q", "id", "v"), assigned, placed, k, chunks)
+        after = save(_top(new if found is None else found.drop("rank").unionByName(new), k), "topk-found")
+        forget(assigned, *([found] if found is not None else []))
+        found, start, take, rounds, scores = after, end, take * GROW, rounds + 1, scores + computed
+    if report is not None:
+        per_dim = {r["dim"]: r["n"] for r in asked.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+        report.update(rounds=rounds, annuli=len(annuli), scores=scores, of=sum(n * dims[d] for d, n in per_dim.items()))
+    forget(keyed, placed, radii)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return found.join(asked.select("q", F.col("id").alias("query_id")), "q").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 ORACLE = """
