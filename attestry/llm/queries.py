@@ -59,7 +59,7 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "rule", "start", "length", "occurrences", "score", F.sha2("value", 256).alias("value_sha256"))
+    return found.select("doc_id", "rule", "start", "length", "score", F.sha2("value", 256).alias("value_sha256"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,13 @@ words cover, of path-like surroundings, and of the words next to it. The forest
 trainer; its trees are then written out as one SQL expression, so that scoring is part of the scan. The labelled findings are
 made here from shapes of real and of harmless strings with hashes for chance, a fixed number of rows whatever the input.
 
-DataFrame functions only, row by row: no exchange of texts, no join. Defined results: null text has no findings; a candidate
-that occurs again in its text is one finding with its first place and its number of occurrences; repeated rows give repeated
-results; an empty table gives no rows. `redact` returns its input's rows and columns with confirmed secrets replaced.
+A text is cut at its candidates, so every candidate is judged at its own place, by what stands around it there, and replaced there.
+
+DataFrame functions only, row by row: no exchange of texts, no join. Defined results: null text has no findings; each place of a
+value that occurs again is a finding of its own; very long texts are scanned whole, and no candidate is cut (a private key without
+its END line goes up to 400 lines; what follows is judged line by line); of candidates that overlap the first counts; repeated rows
+give repeated results; an empty table gives no rows; other columns aren't read. `redact` returns its input's rows and columns with
+confirmed secrets replaced.
 """
 
 from __future__ import annotations
@@ -24,14 +28,14 @@ KEYS = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)"
 NAMED = KEYS.replace("auth)", "auth(?!or(?!i[sz])))")
 ASSIGN = rf"(?i:{NAMED}[\w.-]*+[\"']?[ \t]{{0,3}}(?:=>|:=|[:=])[ \t]{{0,3}}[\"']?)"
 #: What stands before the password of an address.
-USER = r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:@/\"'<>]{0,256}:"
-ADDRESS = rf"\b{USER}[^\s@/\"'<>]{{6,256}}(?=@)"
+USER = r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:@/\"'<>]*+:"
+ADDRESS = rf"\b{USER}[^\s@/\"'<>]{{6,}}+(?=@)"
 KIND = r"(?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----"
 INSIDE = r"[A-Za-z0-9+/=:,.()\"'\\\s]++"
 PEM = rf"-----BEGIN {KIND}(?:{INSIDE}(?:-(?!-){INSIDE})*+-----END {KIND}|(?:(?:\s|\\[rn]|[\"',])*+[A-Za-z0-9+/]{{16,}}+={{0,2}}){{1,400}}+(?:\s{{1,2}}[A-Za-z0-9+/]{{1,15}}={{1,2}})?)"
 VALUE = rf"(?!{ADDRESS}|-----BEGIN )[^\s\"',;]{{6,}}"
 # A long name with a digit is not a run where it is the key of a value.
-RUN = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{{0,256}}[0-9])(?![A-Za-z0-9+/_-]*?{ASSIGN}{VALUE})[A-Za-z0-9+/_-]{{16,}}+={{0,2}}"
+RUN = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?![A-Za-z0-9+/_-]*?{ASSIGN}{VALUE})[A-Za-z0-9+/_-]{{16,}}+={{0,2}}"
 CANDIDATE = rf"{PEM}|{ADDRESS}|{ASSIGN}{VALUE}|{RUN}"
 #: How many characters before and after a candidate count as its neighbourhood.
 NEAR = 40
@@ -46,6 +50,8 @@ MARK = "[secret removed]"
 TREES, DEPTH, FINDINGS, SEED = 15, 6, 4800, 11
 #: Share of trees that must agree.
 VOTES = 0.5
+#: Lengths that are added up at a time.
+STRIDE = 256
 
 
 def features(value: Column, key: Column, before: Column, after: Column) -> dict[str, Column]:
@@ -149,36 +155,63 @@ def train(spark: SparkSession) -> list[str]:
     return [_tree_sql([x for x in t.split("\n") if x.strip()]) for t in trees]
 
 
-def _findings(text: Column, trees: list[str]) -> Column:
-    """array<struct(value, rule, start, length, occurrences, score)>: each distinct candidate of a text with the share of trees for it."""
-    matches = F.array_distinct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
+def let(value: Column, body) -> Column:
+    """body(value) with the value made once, however often the body names it, and in whichever lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _pieces(text: Column) -> Column:
+    """struct(between, matches): what stands before, between and after the candidates, and the candidates, both in order of place."""
+    return F.struct(F.split(text, CANDIDATE, -1).alias("between"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("matches"))
+
+
+def _woven(first: Column, second: Column) -> Column:
+    """The strings of two arrays in turn, as one string."""
+    return F.array_join(F.flatten(F.zip_with(first, second, lambda a, b: F.array(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))), "")
+
 
-    def parts(m: Column) -> Column:
-        key = F.regexp_extract(m, f"^(?:{USER}|{ASSIGN})", 0)
-        start = F.locate  # 1-based place of the whole match
-        at = F.call_function("locate", m, text)
-        return F.struct(
-            F.substring(m, F.length(key) + 1, F.length(m)).alias("value"), key.alias("key"), (at + F.length(key) - 1).cast("long").alias("start"),
-            F.substring(text, F.greatest(at - NEAR, F.lit(1)), F.least(at - 1, F.lit(NEAR))).alias("before"), F.substring(text, at + F.length(m), F.lit(NEAR)).alias("after"),
-        )
+def _judged(pieces: Column, trees: list[str]) -> Column:
+    """array<struct(value, key, rule, score)>: each candidate with the share of trees for it, judged by what stands next to it."""
+    between, matches = pieces["between"], pieces["matches"]
+
+    def beside(m: Column, i: Column) -> Column:
+        # Candidates are six characters at least, so that six of them and what stands between fill the neighbourhood.
+        first, n = F.greatest(i - 5, F.lit(1)), F.least(i, F.lit(6))
+        before = F.concat(_woven(F.slice(between, first, n), F.slice(matches, first, n)), F.get(between, i))
+        after = F.concat(F.get(between, i + 1), _woven(F.slice(matches, i + 2, 6), F.slice(between, i + 3, 6)))
+        return F.struct(m.alias("m"), F.regexp_extract(m, f"^(?:{USER}|{ASSIGN})", 0).alias("key"), F.right(before, F.lit(NEAR)).alias("before"), F.left(after, F.lit(NEAR)).alias("after"))
+
+    def parted(p: Column) -> Column:
+        return F.struct(F.substring(p["m"], F.length(p["key"]) + 1, F.length(p["m"])).alias("value"), p["key"].alias("key"), p["before"].alias("before"), p["after"].alias("after"))
 
     def measured(p: Column) -> Column:
         f = features(p["value"], p["key"], p["before"], p["after"])
-        return F.struct(p.alias("p"), F.struct(*(F.coalesce(c.cast("double"), F.lit(0.0)).alias(k) for k, c in f.items())).alias("f"))
+        return F.struct(p["value"].alias("value"), p["key"].alias("key"), F.struct(*(F.coalesce(c.cast("double"), F.lit(0.0)).alias(k) for k, c in f.items())).alias("f"))
 
     def scored(x: Column) -> Column:
         votes = F.lit(0.0)
         for t in trees:
             votes = votes + _column(t, x["f"])
-        p = x["p"]
-        framed = p["value"].startswith("-----BEGIN ")
-        occurrences = ((F.length(text) - F.length(F.replace(text, p["value"], F.lit("")))) / F.greatest(F.length(p["value"]), F.lit(1))).cast("long")
-        return F.struct(
-            p["value"].alias("value"), F.when(framed, "private-key").when(x["f"]["known_prefix"] > 0, "known-prefix").when(p["key"].rlike(f"^{USER}"), "address").when(p["key"] != "", "assignment").otherwise("run").alias("rule"), p["start"].alias("start"),
-            F.length(p["value"]).cast("long").alias("length"), occurrences.alias("occurrences"), F.when(framed, 1.0).otherwise(votes / len(trees)).alias("score"),
-        )
+        framed = x["value"].startswith("-----BEGIN ")
+        rule = F.when(framed, "private-key").when(x["f"]["known_prefix"] > 0, "known-prefix").when(x["key"].rlike(f"^{USER}"), "address").when(x["key"] != "", "assignment").otherwise("run")
+        return F.struct(x["value"].alias("value"), x["key"].alias("key"), rule.alias("rule"), F.when(framed, 1.0).otherwise(votes / len(trees)).alias("score"))
+
+    return F.transform(F.transform(F.transform(F.transform(matches, beside), parted), measured), scored)
+
+
+def _starts(pieces: Column) -> Column:
+    """Where each candidate begins. Lengths are added up by strides first, so that a text of very many candidates costs no square of them."""
+    between, matches = pieces["between"], pieces["matches"]
+    total = lambda array: F.aggregate(array, F.lit(0).cast("long"), lambda a, x: a + x)
+    lengths = F.zip_with(between, matches, lambda b, m: (F.length(b) + F.coalesce(F.length(m), F.lit(0))).cast("long"))
+    stride = lambda i: F.floor(i / STRIDE).cast("int")
+
+    def placed(n: Column, upto: Column) -> Column:
+        return F.transform(matches, lambda _, i: F.get(upto, stride(i)) + total(F.slice(n, stride(i) * STRIDE + 1, F.pmod(i, F.lit(STRIDE)))) + F.length(F.get(between, i)))
 
-    return F.transform(F.transform(F.transform(matches, parts), measured), scored)
+    strides = lambda n: F.transform(F.sequence(F.lit(0), stride(F.size(n))), lambda j: total(F.slice(n, j * STRIDE + 1, STRIDE)))
+    upto = lambda s: F.transform(s, lambda _, j: total(F.slice(s, F.lit(1), j)))
+    return let(lengths, lambda n: let(let(strides(n), upto), lambda u: placed(n, u)))
 
 
 def _column(sql: str, f: Column) -> Column:
@@ -202,21 +235,22 @@ def _column(sql: str, f: Column) -> Column:
 
 
 def scan(docs: DataFrame, trees: list[str] | None = None) -> DataFrame:
-    """(doc_id, rule, start, length, occurrences, score, value): one row for each confirmed secret; places count code points from 0."""
+    """(doc_id, rule, start, length, score, value): one row for each confirmed secret, at each of its places; these count code points from 0."""
     trees = trees or train(docs.sparkSession)
     # Only texts with a candidate come to the second step.
     given = docs.select("doc_id", "text").where(F.col("text").rlike(CANDIDATE))
-    found = given.select("doc_id", F.filter(_findings(F.col("text"), trees), lambda x: x["score"] > VOTES).alias("found"))
+    placed = lambda f, at: F.struct(f["rule"].alias("rule"), (at + F.length(f["key"])).cast("long").alias("start"), F.length(f["value"]).cast("long").alias("length"), f["score"].alias("score"), f["value"].alias("value"))
+    found = let(_pieces(F.col("text")), lambda p: F.filter(F.zip_with(_judged(p, trees), _starts(p), placed), lambda x: x["score"] > VOTES))
     # An outer explode: from a plain one the optimizer infers a filter on the array, which would compute it twice.
-    return found.select("doc_id", F.explode_outer("found").alias("f")).where("f is not null").select("doc_id", "f.rule", "f.start", "f.length", "f.occurrences", "f.score", "f.value")
+    return given.select("doc_id", F.explode_outer(found).alias("x")).where("x is not null").select("doc_id", "x.*")
 
 
 def redact(docs: DataFrame, trees: list[str] | None = None) -> DataFrame:
-    """The rows and columns of `docs`, confirmed secrets replaced by MARK, longest first; n_chars, where there is one, follows the text."""
+    """The rows and columns of `docs`, confirmed secrets replaced by MARK where they stand; n_chars, where there is one, follows the text."""
     trees = trees or train(docs.sparkSession)
     text = F.col("text")
-    found = F.sort_array(F.transform(F.filter(_findings(text, trees), lambda x: x["score"] > VOTES), lambda x: F.struct(x["length"].alias("n"), x["value"].alias("v"))), asc=False)
-    clean = F.when(text.rlike(CANDIDATE), F.aggregate(found, text, lambda acc, x: F.replace(acc, x["v"], F.lit(MARK)))).otherwise(text)
+    mark = lambda m, x: F.when(x["score"] > VOTES, F.concat(x["key"], F.lit(MARK))).otherwise(m)
+    clean = F.when(text.rlike(CANDIDATE), let(_pieces(text), lambda p: _woven(p["between"], F.zip_with(p["matches"], _judged(p, trees), mark)))).otherwise(text)
     out = docs.withColumn("text", clean)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
