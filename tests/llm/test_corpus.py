@@ -105,6 +105,9 @@ def test_packing(docs, none):
         assert [o for o, _ in b] == [sum(n for _, n in b[:i]) for i in range(len(b))] and sum(n for _, n in b) <= 2048
     tokens = sum(n for _, _, _, n, _ in want.elements())
     assert len(bins) <= -(-tokens // 2048) + 3
+    report = {}
+    packed = packing.pack_documents(docs.unionByName(docs.where("doc_id = 91").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(300))))), vocabulary(WORD_BPE), task_pieces=20, report=report)
+    assert report["bins"] == packed.where("offset = 0").count() >= report["bound"] and report["rounds"] >= 0
     assert len({r["sequence_id"] for r in packing.pack_documents(docs, vocabulary(WORD_BPE)).collect()}) == -(-tokens // 2048)
     assert packing.pack_documents(none, vocabulary(WORD_BPE)).count() == 0
 
@@ -159,6 +162,41 @@ def test_quality_rules(docs, none):
     assert quality_rules.judge(none).count() == 0 and quality_rules.keep(none).count() == 0
 
 
+@pytest.mark.parametrize("prior", [5, 100])
+def test_quality_limits_by_brute_force(spark, prior):
+    """A hot source, small ones, one whose documents all fail, ties and nulls: limits worked out from plain lists."""
+    rng = random.Random(prior)
+    data = []
+    for i in range(400):
+        lang, source = rng.choice([("en", "hot"), ("en", "hot"), ("en", "hot"), ("en", f"s{i % 9}"), ("de", "s1"), (None, "s2"), ("fr", None)])
+        text = " ".join(rng.choice(WORDS) + rng.choice(["", "", "", "#", "$%&"]) * rng.choice([0, 1, 4]) for _ in range(rng.choice([20, 60, 90]))) + "\n" + rng.choice(["", "same line\nsame line\n" * 9]) + "".join(f" $&$&$&{j}$&$&$&$ LOUD{j}!!" for j in range(90 if i % 40 == 7 else 0))
+        data.append((i, None if i % 50 == 0 else text, lang, source))
+    d = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string")
+    measured = [r.asDict() for r in quality_rules.measure(d).collect()]
+
+    def limit(rows, m):
+        """q75 + 3 * (q75 - q25) of values rounded up to the ends of their buckets, plus the slack."""
+        values = sorted(r[f"m_{m}"] for r in rows)
+        up = lambda v: v if v < 32 else (((v >> v.bit_length() - 5) + 1) << v.bit_length() - 5) - 1
+        q = lambda share: up(values[-(-share * len(values) // 100) - 1])
+        return 4 * q(75) - 3 * q(25) + quality_rules.SLACK[m]
+
+    fine = [r for r in measured if not r["base_failed"]]
+    got = {r["doc_id"]: r for r in quality_rules.judge(d, prior).collect()}
+    for r in measured:
+        lang = [x for x in fine if x["lang"] == r["lang"]]
+        own = [x for x in lang if x["source"] == r["source"]]
+        beyond = []
+        for m in quality_rules.MEASURES:
+            at = limit(fine, m)
+            for group in (lang, own):
+                at = ((len(group) * limit(group, m) if group else 0) + prior * at) // (len(group) + prior)
+            beyond += [m] if r[f"m_{m}"] > at else []
+        g = got[r["doc_id"]]
+        assert (g["beyond"], g["kept"], g["group_docs"]) == (",".join(beyond), not r["base_failed"] and not beyond, len(own)), r
+    assert sum(r["kept"] for r in got.values()) < len(fine)
+
+
 def test_quality_rules_stay_native(docs):
     plan = quality_rules.measure(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -178,6 +216,15 @@ def test_sharding(docs, none, spark):
         size[r["shard"]] += r["size"]
     assert len(size) == 10 and max(size.values()) < 1.03 * min(size.values())
     assert sharding.shard(none, 4).count() == 0
+    # A third of all rows are one row over and over; what can't be told apart is dealt out all the same.
+    copies = many.limit(2000).select("doc_id", "text").unionByName(spark.range(1000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("one row").alias("text")))
+    rows_ = sharding.shard(copies, 10, range_rows=100).collect()
+    size = Counter()
+    for r in rows_:
+        size[r["shard"]] += r["size"]
+    assert len(rows_) == 3000 and len(size) == 10 and max(size.values()) < 1.05 * min(size.values())
+    for i in range(10):
+        assert sorted(r["slot"] for r in rows_ if r["shard"] == i) == list(range(sum(r["shard"] == i for r in rows_)))
 
 
 def test_language(spark, none):
@@ -193,6 +240,66 @@ def test_language(spark, none):
     assert langid.identify(none).count() == 0
 
 
+def test_language_by_brute_force(spark):
+    """Every prediction is that of the smallest of the plainly computed sizes; texts of every length take the same way."""
+    import zstandard
+
+    rng = random.Random(12)
+    speak = {"aa": "bla blo blu kra kre ".split(), "bb": "xing zong pang teng".split(), "cc": "ulla ettu onno".split()}
+    data = [(i, " ".join(rng.choice(speak[lang]) for _ in range(rng.choice([1, 3, 60, 3000]))), lang) for i, lang in ((i, rng.choice(["aa", "aa", "bb", "cc"])) for i in range(200))]
+    data += [(300, "ЖЖЖ", None), (301, "xing " * 40_000, None), (302, data[0][1], None), (302, data[0][1], None), (303, "blo xing", None)]
+    d = spark.createDataFrame(data, "doc_id bigint, text string, lang string").withColumns({c: F.lit(1) for c in ("h", "n", "long", "top", "held_out", "score")})
+    learned = langid.learn(d)
+    rows = [(i, lang) for i, _, lang in data if lang and zlib.crc32(str(i).encode()) % 3 != 1]
+    count = Counter(lang for _, lang in rows)
+    assert [(lang, n) for lang, n, _ in learned] == sorted(count.items(), key=lambda x: (-x[1], x[0]))
+    params = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, min_match=langid.MIN_MATCH, search_log=langid.SEARCH_LOG, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def sizes(text):
+        return [len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params).compress(text.lower().encode())) for _, _, c in learned]
+
+    for r in langid.identify(d).collect():
+        s = sizes(dict((i, t) for i, t, _ in data)[r["doc_id"]])
+        assert r["lang_pred"] == learned[s.index(min(s))][0] and 0.5 <= r["score"] <= 1
+    many = spark.createDataFrame([(i, f"wort{i} " * 5, f"l{i:04}") for i in range(900)], "doc_id bigint, text string, lang string")
+    assert len(langid.learn(many)) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(900))
+
+
+def test_training_by_brute_force():
+    """The vectorised updates against the published algorithm, coordinate by coordinate."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(60):
+        at = np.concatenate([[0], np.sort(rng.choice(np.arange(1, 256), 12, replace=False))])
+        rows.append((at, rng.random(13), int(at[1] % 2)))
+    z, n = [0.0] * 256, [0.0] * 256
+    ones = sum(y for _, _, y in rows)
+    weight = {0: len(rows) / (2 * (len(rows) - ones)), 1: len(rows) / (2 * ones)}
+
+    def w(i):
+        return 0.0 if abs(z[i]) <= quality_model.L1 else -(z[i] - (quality_model.L1 if z[i] > 0 else -quality_model.L1)) / ((quality_model.BETA + n[i] ** 0.5) / quality_model.ALPHA + quality_model.L2)
+
+    for _ in range(2):
+        for at, x, y in rows:
+            now = {int(i): w(i) for i in at}
+            p = 1 / (1 + np.exp(-sum(now[int(i)] * v for i, v in zip(at, x))))
+            for i, v in zip(at.tolist(), x.tolist()):
+                g = (p - y) * v * weight[y]
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / quality_model.ALPHA
+                z[i] += g - sigma * now[i]
+                n[i] += g * g
+    assert np.allclose(quality_model.train(rows, 8, 2), [w(i) for i in range(256)])
+
+
+def test_training_takes_one_text_an_id(spark):
+    rng = random.Random(7)
+    data = [(i, words(rng, 40) if i % 2 else words(rng, 40).replace(" ", " %%% ")) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(120)], "doc_id bigint, quality int, toxic int")
+    once = spark.createDataFrame(data, "doc_id bigint, text string")
+    again = spark.createDataFrame(data + [data[3]] * 500 + [(data[3][0], "~ later in byte order")] * 300, "doc_id bigint, text string")
+    assert np.array_equal(quality_model.learn(once, labels), quality_model.learn(again, labels))
+
+
 def test_quality_model(spark, docs, none):
     rng = random.Random(6)
     good = lambda: words(rng, 60)
@@ -241,6 +348,8 @@ def test_jaccard(docs, none, width, num):
 
 def test_jaccard_edges(docs, none, spark):
     assert jaccard.link(none, 4, 85, 100).count() == 0
+    again = spark.createDataFrame([(1, "a b c d e f g h i j", 1), (1, "a b c d e f g h i j", 2), (2, "a b c d e f g h i j", 3), (3, "x", 4), (3, "y", 5), (None, "x", 6)], "doc_id bigint, text string, rows int")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in jaccard.keep_one(again, 5, 80, 100).collect()) == [(0, "x"), (1, "a b c d e f g h i j"), (3, "x"), (3, "y")]
     kept = jaccard.keep_one(docs, 5, 80, 100)
     assert kept.columns == docs.columns
     want = brute([r for r in rows() if r[0] is not None], 5, 80, 100)
@@ -279,13 +388,20 @@ def test_topk(spark):
     rows_ = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1050, [1.0, None] + [0.0] * 6), (1100, [float("nan")] * 8), (1150, [float("inf")] * 8), (1200, []), (1250, [1.0, 2.0]), (1300, [2.0, 1.0])]
     v = spark.createDataFrame(rows_, "vec_id bigint, embedding array<float>").withColumn("label", F.lit(1))
     got = {}
-    for r in topk.search(v, v.where("vec_id % 50 = 0"), 5, block=64).collect():
+    for r in topk.search(v, v.where("vec_id % 50 = 0"), 5, annulus=64, block=50).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
     whole = {i: np.floor(256 * np.array(e, np.float32).astype(float)).astype(int) for i, e in rows_ if e and all(c is not None and np.isfinite(c) for c in e)}
     for q in [i for i in whole if i % 50 == 0]:
         s = sorted(((-int(whole[q] @ w), i) for i, w in whole.items() if i != q and len(w) == len(whole[q])))[:5]
         assert [got[q][k + 1] for k in range(len(s))] == [(i, -n) for n, i in s]
     assert set(got) == {i for i in whole if i % 50 == 0}
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 2.0]), (2, [0.0, 2.0]), (3, [1e20, 0.0]), (4, [-5e5, 0.0])], "vec_id bigint, embedding array<double>")
+    ranked = sorted(tuple(r) for r in topk.search(twice, twice.where("vec_id = 0"), 3).collect())
+    assert ranked == sorted([(0, 1, 1, 196608), (0, 2, 2, 0), (0, 3, 2, 0), (0, 1, 2, 131072), (0, 2, 2, 131072), (0, 3, 1, 0)])
+    report = {}
+    near = spark.createDataFrame([(c * 1000 + i, [float(c * 50), float(i) / 1000]) for c in range(-9, 10) for i in range(60)], "vec_id bigint, embedding array<double>")
+    assert topk.search(near, near.where("vec_id % 50 = 0"), 5, annulus=20, report=report).count() > 0
+    assert report["scores"] < 0.5 * report["of"]  # clusters far apart: most annuli are ruled out
     assert topk.search(v.where("false"), v, 5).count() == 0
 
 
@@ -297,8 +413,10 @@ def test_secrets(spark, docs, none):
     d = spark.createDataFrame(data, "doc_id bigint, text string").withColumn("n_chars", F.length("text"))
     trees = secrets.train(spark)
     got = {r["doc_id"]: r for r in secrets.scan(d, trees).collect()}
-    assert set(got) == {1, 2, 3} and got[1]["occurrences"] == 2
-    assert all(dict(data)[i][r["start"] : r["start"] + r["length"]] == r["value"] for i, r in got.items())
+    assert set(got) == {1, 2, 3}
+    found = secrets.scan(d, trees).collect()
+    assert sorted(r["start"] for r in found if r["doc_id"] == 1) == [2, 25]
+    assert all(dict(data)[r["doc_id"]][r["start"] : r["start"] + r["length"]] == r["value"] for r in found)
     clean = {r["doc_id"]: r for r in secrets.redact(d, trees).collect()}
     assert clean[3]["text"] == f"the password={secrets.MARK} in" and clean[4]["text"] == dict(data)[4] and clean[7]["text"] is None
     assert clean[1]["n_chars"] == len(clean[1]["text"])
@@ -325,6 +443,59 @@ def test_secret_shapes(spark):
     assert clean[0] == f"set DB_PASSWORD={secrets.MARK} here" and clean[8] == f"a {secrets.MARK} b"
 
 
+def brute_secrets(text, trees):
+    """Candidates one after another by a search over the text, measures in Python, trees walked as they are printed."""
+    import regex
+
+    flat = lambda pattern, x: len(regex.sub(pattern, "", x, flags=regex.A))
+    out = []
+    for m in regex.finditer(secrets.CANDIDATE, text, flags=regex.A):
+        key = (regex.match(f"(?:{secrets.USER}|{secrets.ASSIGN})", m[0], flags=regex.A) or [""])[0]
+        v, before, after = m[0][len(key) :], text[max(0, m.start() - 40) : m.start()], text[m.end() : m.end() + 40]
+        n, kinds = max(len(v), 1), "".join("a" if "a" <= c <= "z" else "B" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "-" for c in v)
+        f = {
+            "length": n, "changes": (len(regex.sub(r"(.)\1+", r"\1", kinds)) - 1) / n, "covered": (n - flat(f"(?i)(?:{secrets.WORDS})", v)) / n, "digits": (n - flat(r"\d", v)) / n, "distinct": len(set(v)) / n, "upper": (n - flat("[A-Z]", v)) / n,
+            "hex": bool(regex.fullmatch("[0-9a-f]+", v)), "slashes": v.count("/"), "after_slash": before[-1:] in ("/", ".", "\\") and before != "" or bool(regex.match(r"[.][a-z]{2,4}\b", after, flags=regex.A)), "dashes": (v.count("-") + v.count("_")) / n,
+            "assigned": key != "", "near_secret": bool(regex.search(secrets.SECRET_WORDS, before + key)), "near_harmless": bool(regex.search(secrets.HARMLESS_WORDS, before + " " + after, flags=regex.A)),
+            "known_prefix": bool(regex.match("AKIA|ASIA|ghp_|gho_|xox[bp]-|sk_live_|AIza|eyJ", v)),
+        }
+
+        def walk(tokens):
+            t = tokens.pop(0)
+            if t != "CASE":
+                return float(t)
+            name, cut = (tokens.pop(0), tokens.pop(0), tokens.pop(0), tokens.pop(0))[1::2]
+            tokens.pop(0)
+            yes, _, no, _ = walk(tokens), tokens.pop(0), walk(tokens), tokens.pop(0)
+            return yes if f[name.strip("{}")] <= float(cut) else no
+
+        if v.startswith("-----BEGIN ") or sum(walk(t.split()) for t in trees) / len(trees) > secrets.VOTES:
+            out.append((m.start() + len(key), v))
+    return out
+
+
+def test_secrets_by_brute_force(spark):
+    rng = random.Random(21)
+    some = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    parts = [
+        lambda: rng.choice(["report", "orders é", "the commit", "sha256", "see", "path/to.", "12", "\n", "ünï"]), lambda: f"{rng.choice(['password', 'DB_TOKEN', 'client_secret', 'apiKey'])}{rng.choice(['=', ': ', ' := '])}{some('abcXYZ0189!#', rng.randrange(5, 30))}",
+        lambda: some("0123456789abcdef", rng.choice([8, 20, 40])), lambda: some("abcdefGHIJKL0123456789+/", rng.randrange(10, 50)), lambda: "AKIA" + some("ABCDEFGH0123", 16), lambda: f"https://u:{some('abcXYZ019', 12)}@h.org/x", lambda: f"https://www.h.org/{some('abc-', 9)}/{some('abc019', 18)}.html",
+    ]
+    data = [(i, rng.choice([" ", ", ", ""]).join(rng.choice(parts)() for _ in range(rng.randrange(1, 40)))) for i in range(80)]
+    data += [(100, "a" * 300 + "1b2c3d4e5f6a7b8c"), (101, "password=1beb58b8 and commit 1beb58b8af68854f0e01"), (102, " ".join(f"token=aZ3kQ9xT5w{i % 10}" for i in range(700))), (103, data[0][1]), (103, data[0][1])]
+    trees = secrets.train(spark)
+    d = spark.createDataFrame(data, "doc_id bigint, text string").withColumns({c: F.lit(1) for c in ("score", "start", "value", "found", "p", "x")})
+    got = sorted((r["doc_id"], r["start"], r["value"]) for r in secrets.scan(d, trees).collect())
+    want = sorted((i, at, v) for i, t in data for at, v in brute_secrets(t, trees))
+    assert got == want and len(got) > 700
+    assert re.search(secrets.RUN.replace("*+", "*").replace("}+", "}"), data[80][1])  # however long the run, its digits make it a candidate
+    for r in secrets.redact(d, trees).collect():
+        text, shift = dict(data)[r["doc_id"]], 0
+        for at, v in brute_secrets(text, trees):
+            text, shift = text[: at + shift] + secrets.MARK + text[at + shift + len(v) :], shift + len(secrets.MARK) - len(v)
+        assert r["text"] == text
+
+
 def test_licenses(spark, docs, none):
     data = [
         (1, "Some words.\nLicensed under the Apache License, Version 2.0.\nMore words."), (2, "Released under the MIT License. Released under the MIT License."), (3, "This work is licensed under the GNU General Public License, version 3.\nx"),
