@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = " \t\n\x0b\x0c\r"
 
+#: Input rows for each file of a small table beyond the least number of files.
+FILE_ROWS, LEAST_FILES = 100_000, 6
+
 _own: dict[str, str] = {}
 
 
@@ -60,6 +63,12 @@ def hold(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
+def settle(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """save() of a small table into few files, as many as `rows` of the input call for. The rows are dealt out anew after the step,
+    which itself runs in as many tasks as it comes in."""
+    return save(df.repartition(LEAST_FILES + rows // FILE_ROWS), name)
+
+
 def sweep(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of finished steps now, not when the driver's heap next happens to fill."""
     import gc

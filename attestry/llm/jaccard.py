@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import forget, hold, save, small_batches, sweep
+from attestry.llm.common import forget, hold, save, settle, small_batches, sweep
 
 #: Shingles met in fewer documents aren't told apart from rare ones; of others the most frequent are ranked, one for so many documents within
 #: these bounds (what is sent is then at most 64 MB). All this only shapes the order.
 FREQUENT, RANKED_DOCS, RANKED = 16, 64, (1 << 18, 1 << 22)
 #: Shingles that a task gathers before it counts them; those that it meets once in so many don't count.
-COUNTED = 4_000_000
+COUNTED = 2_000_000
 #: Groups under one shingle from which a hub is used.
 BUCKET = 40
 MEMORY = 150_000
@@ -103,9 +103,9 @@ def _frequent(docs: DataFrame, width: int, ranked: int) -> tuple[np.ndarray, np.
     return h[order], rank[order]
 
 
-def _prefixes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _prefixes(docs: DataFrame, width: int, num: int, den: int, rows: int) -> DataFrame:
     """(doc_id, n, digest, prefix): the size, a 128-bit digest of the set, and its first shingles in the common order."""
-    ranked = min(max(RANKED[0], docs.count() // RANKED_DOCS), RANKED[1])
+    ranked = min(max(RANKED[0], rows // RANKED_DOCS), RANKED[1])
     sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width, ranked))  # at most RANKED[1] pairs of numbers
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
@@ -154,7 +154,7 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return given.mapInArrow(run, "id long, text binary")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int, rows: int) -> DataFrame:
     """Of the candidates (a, b, h) those whose whole sets reach the threshold.
 
     Candidates of one shingle h meet in one place, so that a text that resembles many travels and is cut into shingles once or a
@@ -162,16 +162,16 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int)
     only the other end, such as the original of a large family, is sent to several places. No place holds more than a bounded
     number of texts on average."""
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    degrees = save(ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "jaccard-degrees")
+    degrees = settle(ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "jaccard-degrees", rows)
     places = max(1, degrees.count() // PLACE)
     crowded = pairs.groupBy("h").agg(F.count(F.lit(1)).alias("crowd")).where(F.col("crowd") > CROWD)
     named = lambda end: degrees.select(F.col("id").alias(end), F.col("degree").alias(f"d{end}"))
     joined = pairs.join(named("a"), "a").join(named("b"), "b").join(crowded, "h", "left")
     low = F.when((F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b"))), F.col("a")).otherwise(F.col("b"))
     part = F.when(F.col("crowd").isNotNull(), F.pmod(F.xxhash64(low), F.ceil(F.col("crowd") / CROWD))).otherwise(0)
-    dealt = save(joined.select("a", "b", F.pmod(F.xxhash64("h", part), F.lit(places)).cast("int").alias("place")), "jaccard-dealt")
+    dealt = settle(joined.select("a", "b", F.pmod(F.xxhash64("h", part), F.lit(places)).cast("int").alias("place")), "jaccard-dealt", rows)
     wanted = dealt.select(F.col("a").alias("id"), F.col("place").alias("goes")).unionByName(dealt.select(F.col("b").alias("id"), F.col("place").alias("goes"))).distinct()
-    wanted = save(wanted, "jaccard-wanted")
+    wanted = settle(wanted, "jaccard-wanted", rows)
     small = wanted.count() <= BROADCAST_ROWS
     texts = _texts(docs, degrees.select("id")).join(F.broadcast(wanted) if small else wanted, "id").select("goes", "id", "text")
 
@@ -188,21 +188,21 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int)
                     break
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-    links = save(dealt.groupBy("place").cogroup(texts.groupBy("goes")).applyInArrow(run, "a long, b long").distinct(), "jaccard-links")
+    links = settle(dealt.groupBy("place").cogroup(texts.groupBy("goes")).applyInArrow(run, "a long, b long").distinct(), "jaccard-links", rows)
     forget(degrees, dealt, wanted)
     return links
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, rows: int) -> DataFrame:
     """(id, label): the smallest id reachable over (a, b), for the ids that have links. Smallest labels pass along links and are
     then looked up at the label itself, so chains halve from round to round."""
-    edges = save(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = save(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("id"), "label"), "cc-labels")
+    edges = settle(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges", rows)
+    labels = settle(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("id"), "label"), "cc-labels", rows)
     while True:
         seen = edges.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("via"))
         near = labels.join(seen, "id").select("id", F.col("label").alias("old"), F.least("label", "via").alias("label"))
         far = near.join(labels.select(F.col("id").alias("label"), F.col("label").alias("beyond")), "label", "left").select("id", "old", F.least("label", F.coalesce("beyond", "label")).alias("label"))
-        after = save(far, "cc-labels")
+        after = settle(far, "cc-labels", rows)
         changed = after.agg(F.count_if(F.col("label") < F.col("old")).alias("n")).first()["n"]
         forget(labels)
         labels = after
@@ -227,11 +227,12 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; two link when den * |A and B| >= num * |A or B|."""
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    made = hold(_prefixes(docs, width, num, den).withColumn("key", F.xxhash64("n", "prefix")))
+    rows = docs.count()
+    made = hold(_prefixes(docs, width, num, den, rows).withColumn("key", F.xxhash64("n", "prefix")))
     real = made.where("n > 0 and doc_id is not null")
     # Size and key follow from the set, so any of its documents' will do.
-    reps = save(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key")), "jaccard-reps")
-    groups = save(reps.groupBy("key").agg(F.min(F.struct("rep", "digest")).alias("first"), F.count(F.lit(1)).alias("size")).select("key", F.col("first.rep").alias("g"), F.col("first.digest").alias("digest"), "size"), "jaccard-groups")
+    reps = settle(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key")), "jaccard-reps", rows)
+    groups = settle(reps.groupBy("key").agg(F.min(F.struct("rep", "digest")).alias("first"), F.count(F.lit(1)).alias("size")).select("key", F.col("first.rep").alias("g"), F.col("first.digest").alias("digest"), "size"), "jaccard-groups", rows)
     # Each group's prefix is looked up by its first member's id and set: no key is hot.
     own = real.select(F.col("doc_id").alias("g"), "digest", "n", "prefix")
     posted = groups.select("g", "digest").join(own, ["g", "digest"]).dropDuplicates(["g", "digest"]).select("g", "n", F.posexplode("prefix").alias("pos", "h"))
@@ -244,10 +245,10 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     sweep(spark)
     # Sets of n shingles that differ share at most n - 1, which small ones can't afford.
     big = groups.where("size > 1").join(own.select("g", "digest", "n"), ["g", "digest"]).select("key", "g", (den * (F.col("n") - 1) >= num * (F.col("n") + 1)).alias("may")).distinct()
-    inside = save(big.join(reps.select("key", F.col("rep").alias("member")), "key").select("g", "member", "may"), "jaccard-inside")
+    inside = settle(big.join(reps.select("key", F.col("rep").alias("member")), "key").select("g", "member", "may"), "jaccard-inside", rows)
 
-    hot = save(posts.where(F.col("c") > BUCKET).drop("c"), "jaccard-hot")
-    heat = save(hot.groupBy("g").agg(F.count(F.lit(1)).alias("heat")), "jaccard-heat")
+    hot = settle(posts.where(F.col("c") > BUCKET).drop("c"), "jaccard-hot", rows)
+    heat = settle(hot.groupBy("g").agg(F.count(F.lit(1)).alias("heat")), "jaccard-heat", rows)
     # How many shingles two prefixes share bounds what the sets can share: beyond the prefix that ends first, at most all its rest.
     cold = posts.where(F.col("c") <= BUCKET)
     left, right = cold.select("h", F.col("g").alias("a"), F.col("n").alias("na")), cold.select("h", F.col("g").alias("b"), F.col("n").alias("nb"))
@@ -257,17 +258,17 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     # Frequent shingles aren't joined here, so every one of them counts as shared.
     most = F.col("k") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) + F.greatest(_rest("na", num, den), _rest("nb", num, den))
     likely = shared.join(of_heat("a"), "a", "left").join(of_heat("b"), "b", "left").where((den + num) * most >= num * (F.col("na") + F.col("nb")))
-    cold_pairs = save(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "h"), "jaccard-cold")
+    cold_pairs = settle(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "h"), "jaccard-cold", rows)
 
     hubs = hot.join(heat, "g").groupBy("h").agg(F.max_by(F.struct("g", "n"), F.struct("heat", -F.col("g"))).alias("hub")).select("h", F.col("hub.g").alias("hub"), F.col("hub.n").alias("hub_n"))
-    hubs = save(hubs, "jaccard-hubs")
+    hubs = settle(hubs, "jaccard-hubs", rows)
     to_hub = hot.join(hubs, "h").where((F.col("g") != F.col("hub")) & (den * F.least("n", "hub_n") >= num * F.greatest("n", "hub_n"))).select(F.least("g", "hub").alias("a"), F.greatest("g", "hub").alias("b"), "h")
     stars = inside.where("g <> member and may").select(F.col("g").alias("a"), F.col("member").alias("b"), F.xxhash64("g").alias("h"))
-    first = save(cold_pairs.unionByName(to_hub).unionByName(stars).groupBy("a", "b").agg(F.min("h").alias("h")), "jaccard-first")
+    first = settle(cold_pairs.unionByName(to_hub).unionByName(stars).groupBy("a", "b").agg(F.min("h").alias("h")), "jaccard-first", rows)
     sweep(spark)
-    links = _verified(docs, first, width, num, den)
+    links = _verified(docs, first, width, num, den, rows)
     sweep(spark)
-    labels = connected_components(links)
+    labels = connected_components(links, rows)
 
     def labelled(df: DataFrame, node: str, out: str) -> DataFrame:
         return df.join(labels.select(F.col("id").alias(node), F.col("label").alias(out)), node, "left").withColumn(out, F.coalesce(out, node))
@@ -275,27 +276,27 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     # What the first round left open: members of groups that aren't connected, and what isn't connected to its hub.
     of = lambda node: inside.select(F.col("g").alias(node), F.col("member").alias(f"{node}_m"))
     expanded = cold_pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("a_m is not null or b_m is not null").select(F.coalesce("a_m", "a").alias("a"), F.coalesce("b_m", "b").alias("b"))
-    loose = save(labelled(inside.where("may").select("g", F.col("member").alias("id")), "id", "l").join(labelled(inside.select("g").distinct(), "g", "lg"), "g").where("l <> lg").select("g", "id", "l"), "jaccard-loose")
+    loose = settle(labelled(inside.where("may").select("g", F.col("member").alias("id")), "id", "l").join(labelled(inside.select("g").distinct(), "g", "lg"), "g").where("l <> lg").select("g", "id", "l"), "jaccard-loose", rows)
     within = loose.join(inside, "g").where("id <> member").select(F.least("id", "member").alias("a"), F.greatest("id", "member").alias("b"))
     hot_nodes = hot.join(inside, "g", "left").select("h", F.coalesce("member", "g").alias("id"), "n", "pos")
-    hot_nodes = save(labelled(hot_nodes, "id", "l"), "jaccard-hot-nodes")
+    hot_nodes = settle(labelled(hot_nodes, "id", "l"), "jaccard-hot-nodes", rows)
     away = hot_nodes.join(labelled(hubs.select("h", "hub"), "hub", "lh"), "h").where("l <> lh").select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("l").alias("la"), "lh")
     others = hot_nodes.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("l").alias("lb"))
     # Of two that are both away from the hub, one order is enough.
     open_pairs = away.join(others, "h").where((F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("lh")) | (F.col("a") < F.col("b"))) & _fits(num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = expanded.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").unionByName(open_pairs).distinct()
     second = labelled(labelled(rest, "a", "la"), "b", "lb").where("la <> lb").select("a", "b").join(first, ["a", "b"], "left_anti")
-    second = save(second, "jaccard-second")
+    second = settle(second, "jaccard-second", rows)
     open_left = second.count()
     if open_left:
-        more = _verified(docs, second.withColumn("h", F.xxhash64("a")), width, num, den)
+        more = _verified(docs, second.withColumn("h", F.xxhash64("a")), width, num, den, rows)
         if more.count():
             # Links found now join classes, so classes are linked, not documents.
             joined = labelled(labelled(more, "a", "la"), "b", "lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-            upper = connected_components(joined)
+            upper = connected_components(joined, rows)
             ends = lambda df: df.select(F.col("a").alias("id")).unionByName(df.select(F.col("b").alias("id")))
             every = ends(links).unionByName(ends(more)).distinct().join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-            labels = save(every.join(upper.select(F.col("id").alias("label"), F.col("label").alias("up")), "label", "left").select("id", F.coalesce("up", "label").alias("label")), "jaccard-labels")
+            labels = settle(every.join(upper.select(F.col("id").alias("label"), F.col("label").alias("up")), "label", "left").select("id", F.coalesce("up", "label").alias("label")), "jaccard-labels", rows)
     # A copy takes its representative's class. The smallest id of a class is always a representative.
     classes = reps.select("digest", F.col("rep").alias("id")).join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component_id"))
     out = made.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "digest").join(classes, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component_id"))
