@@ -12,15 +12,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Identifiers known without a list.
-IDENTIFIERS = """
-0BSD AFL-3.0 AGPL-1.0-only AGPL-1.0-or-later AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BSD-1-Clause BSD-2-Clause
-BSD-2-Clause-Views BSD-3-Clause BSD-4-Clause BSL-1.0 BUSL-1.1 Bitstream-Vera BlueOak-1.0.0 CC-BY-4.0 CC-BY-SA-4.0 CC-PDDC CC0-1.0 CDDL-1.0 CDDL-1.1 Clips
-EPL-1.0 EPL-2.0 EUPL-1.2 GPL-1.0-only GPL-1.0-or-later GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.0-only
-LGPL-2.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0 NIST-PD OLDAP-2.8 OFL-1.1 PSF-2.0
-Python-2.0 Ruby Unicode-3.0 Unlicense W3C-19980720 WTFPL X11 XFree86-1.1 ZPL-2.1 Zlib curl libpng-2.0 libselinux-1.0
-""".split()
+IDENTIFIERS = (
+    "0BSD", "AFL-3.0", "AGPL-1.0-only", "AGPL-1.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-1.1", "Apache-2.0", "Artistic-2.0",
+    "BSD-1-Clause", "BSD-2-Clause", "BSD-2-Clause-Views", "BSD-3-Clause", "BSD-4-Clause", "BSL-1.0", "BUSL-1.1", "Bitstream-Vera", "BlueOak-1.0.0",
+    "CC-BY-4.0", "CC-BY-SA-4.0", "CC-PDDC", "CC0-1.0", "CDDL-1.0", "CDDL-1.1", "Clips", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "GPL-1.0-only",
+    "GPL-1.0-or-later", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.0-only", "LGPL-2.0-or-later",
+    "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-1.1", "MPL-2.0", "NIST-PD", "OLDAP-2.8",
+    "OFL-1.1", "PSF-2.0", "Python-2.0", "Ruby", "Unicode-3.0", "Unlicense", "W3C-19980720", "WTFPL", "X11", "XFree86-1.1", "ZPL-2.1", "Zlib", "curl",
+    "libpng-2.0", "libselinux-1.0",
+)
 # Identifiers that are no longer current, and so resolve elsewhere or stay references.
-DEPRECATED = "AGPL-1.0 AGPL-3.0 GPL-1.0 GPL-1.0+ GPL-2.0 GPL-2.0+ GPL-3.0 GPL-3.0+ LGPL-2.0 LGPL-2.0+ LGPL-2.1 LGPL-2.1+ LGPL-3.0 LGPL-3.0+ Nunit wxWindows".split()
+DEPRECATED = (
+    "AGPL-1.0", "AGPL-3.0", "GPL-1.0", "GPL-1.0+", "GPL-2.0", "GPL-2.0+", "GPL-3.0", "GPL-3.0+", "LGPL-2.0", "LGPL-2.0+", "LGPL-2.1", "LGPL-2.1+",
+    "LGPL-3.0", "LGPL-3.0+", "Nunit", "wxWindows",
+)
 # Names that classifiers use for identifiers.
 CLASSIFIER_NAMES = {
     "Apache-with-LLVM-Exception": "Apache-2.0 WITH LLVM-exception",
@@ -34,15 +39,18 @@ CLASSIFIER_NAMES = {
     "cURL": "curl",
 }
 # Classifier names that no list holds; they stay references even where a synonym might seem to fit.
-UNLISTED = """
-ANTLR AdColony-SDK Android-SDK Apache-2.0-Modified Apache-with-Runtime-Exception Atmel Autodesk-3D-Studio-File-Toolkit BCL BLAS BSD-2-Clause-Flex BSD-3-Clause-OpenMPI
-BSD-FatFs BSD-No-Other-Rights BSD-Rice BabelstoneIDS BeOpen Bitstream Boost-original CERN-OHL-WR-v2 CERN-OHL-v1.2 Cloud-Pre-GA Commons-Clause DBAD Entenssa FFT2D
-Facebook-2-Clause Facebook-3-Clause Facebook-Examples GD-Graphic-Library GIAJWTOU-2.0 GIF-Encoder GNU-All-permissive-Copying-License GUST-Font-License GenericIntel
-HTK IDA InnerNet JTidy JasPer KUKA Khronos Khronos_OpenCL LZMA Lattice-Semiconductor LicenseRef-C-Ares LicenseRef-MIT-Lucent LicenseRef-Nordic-binary
-LicenseRef-SendMail LicenseRef-iccjpeg LicenseRef-nacl LicenseRef-takuya-ooura LicenseRef-uthash Lil-1.0 MTK NCBI NREL OROMatcher Open-Game-License-1.0a
-Oracle-Open-Symphony PIL PPP Python-2.0-complete RCSB-PDB RSA Rijndael-3.0 SPL-SQRT-FLOOR SQLite Sflow TPM-2 Tensilica UFL-1.0 USGovernment VMAC Waymo1P
-Windows-SDK-10 WordNet-3.0 X11-Lucent XZ Xcode Zendesk aopalliance bzip2 dso geant4 getopt pffft re2c tcl_tk unicode_org wxWindows-3.1
-""".split()
+UNLISTED = (
+    "ANTLR", "AdColony-SDK", "Android-SDK", "Apache-2.0-Modified", "Apache-with-Runtime-Exception", "Atmel", "Autodesk-3D-Studio-File-Toolkit", "BCL",
+    "BLAS", "BSD-2-Clause-Flex", "BSD-3-Clause-OpenMPI", "BSD-FatFs", "BSD-No-Other-Rights", "BSD-Rice", "BabelstoneIDS", "BeOpen", "Bitstream",
+    "Boost-original", "CERN-OHL-WR-v2", "CERN-OHL-v1.2", "Cloud-Pre-GA", "Commons-Clause", "DBAD", "Entenssa", "FFT2D", "Facebook-2-Clause",
+    "Facebook-3-Clause", "Facebook-Examples", "GD-Graphic-Library", "GIAJWTOU-2.0", "GIF-Encoder", "GNU-All-permissive-Copying-License",
+    "GUST-Font-License", "GenericIntel", "HTK", "IDA", "InnerNet", "JTidy", "JasPer", "KUKA", "Khronos", "Khronos_OpenCL", "LZMA",
+    "Lattice-Semiconductor", "LicenseRef-C-Ares", "LicenseRef-MIT-Lucent", "LicenseRef-Nordic-binary", "LicenseRef-SendMail", "LicenseRef-iccjpeg",
+    "LicenseRef-nacl", "LicenseRef-takuya-ooura", "LicenseRef-uthash", "Lil-1.0", "MTK", "NCBI", "NREL", "OROMatcher", "Open-Game-License-1.0a",
+    "Oracle-Open-Symphony", "PIL", "PPP", "Python-2.0-complete", "RCSB-PDB", "RSA", "Rijndael-3.0", "SPL-SQRT-FLOOR", "SQLite", "Sflow", "TPM-2",
+    "Tensilica", "UFL-1.0", "USGovernment", "VMAC", "Waymo1P", "Windows-SDK-10", "WordNet-3.0", "X11-Lucent", "XZ", "Xcode", "Zendesk", "aopalliance",
+    "bzip2", "dso", "geant4", "getopt", "pffft", "re2c", "tcl_tk", "unicode_org", "wxWindows-3.1",
+)
 # Licences whose text doesn't say whether later versions are granted.
 GRANT_BASES = ("AGPL-1.0", "AGPL-3.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0")
 # The same with an exception: name → (base, exception).
@@ -56,20 +64,46 @@ GRANT_EXCEPTIONS = {
     "GPL-3.0-with-autoconf-exception": ("GPL-3.0", "Autoconf-exception-3.0"),
     "GPL-3.0-with-bison-exception": ("GPL-3.0", "Bison-exception-2.2"),
 }
-# Which wordings of a notice grant later versions. Name → variants of each grant.
-HEADER_VARIANTS = {
-    "AGPL-3.0": ("", "header"),
-    "GPL-1.0": ("", "a b"),
-    "GPL-2.0": ("e f g h i j k", "a b c d header"),
-    "GPL-2.0-with-autoconf-exception": ("", "a b header"),
-    "GPL-2.0-with-classpath-exception": ("header", ""),
-    "GPL-3.0": ("a b", "header"),
-    "GPL-3.0-with-autoconf-exception": ("", "a header"),
-    "GPL-3.0-with-bison-exception": ("", "header"),
-    "LGPL-2.0": ("header", "a"),
-    "LGPL-2.1": ("c d qt_dual qt_toolkit", "a b header"),
-    "LGPL-3.0": ("b header", "a"),
-}
+# What each wording of a notice grants: (name, wording, grant).
+HEADER_VARIANTS = (
+    ("AGPL-3.0", "header.txt", "AGPL-3.0-or-later"),
+    ("GPL-1.0", "a.txt", "GPL-1.0-or-later"),
+    ("GPL-1.0", "b.txt", "GPL-1.0-or-later"),
+    ("GPL-2.0", "a.txt", "GPL-2.0-or-later"),
+    ("GPL-2.0", "b.txt", "GPL-2.0-or-later"),
+    ("GPL-2.0", "c.txt", "GPL-2.0-or-later"),
+    ("GPL-2.0", "d.txt", "GPL-2.0-or-later"),
+    ("GPL-2.0", "e.txt", "GPL-2.0-only"),
+    ("GPL-2.0", "f.txt", "GPL-2.0-only"),
+    ("GPL-2.0", "g.txt", "GPL-2.0-only"),
+    ("GPL-2.0", "h.txt", "GPL-2.0-only"),
+    ("GPL-2.0", "header.txt", "GPL-2.0-or-later"),
+    ("GPL-2.0", "i.txt", "GPL-2.0-only"),
+    ("GPL-2.0", "j.txt", "GPL-2.0-only"),
+    ("GPL-2.0", "k.txt", "GPL-2.0-only"),
+    ("GPL-2.0-with-autoconf-exception", "a.txt", "GPL-2.0-or-later WITH Autoconf-exception-2.0"),
+    ("GPL-2.0-with-autoconf-exception", "b.txt", "GPL-2.0-or-later WITH Autoconf-exception-2.0"),
+    ("GPL-2.0-with-autoconf-exception", "header.txt", "GPL-2.0-or-later WITH Autoconf-exception-2.0"),
+    ("GPL-2.0-with-classpath-exception", "header.txt", "GPL-2.0-only WITH Classpath-exception-2.0"),
+    ("GPL-3.0", "a.txt", "GPL-3.0-only"),
+    ("GPL-3.0", "b.txt", "GPL-3.0-only"),
+    ("GPL-3.0", "header.txt", "GPL-3.0-or-later"),
+    ("GPL-3.0-with-autoconf-exception", "a.txt", "GPL-3.0-or-later WITH Autoconf-exception-3.0"),
+    ("GPL-3.0-with-autoconf-exception", "header.txt", "GPL-3.0-or-later WITH Autoconf-exception-3.0"),
+    ("GPL-3.0-with-bison-exception", "header.txt", "GPL-3.0-or-later WITH Bison-exception-2.2"),
+    ("LGPL-2.0", "a.txt", "LGPL-2.0-or-later"),
+    ("LGPL-2.0", "header.txt", "LGPL-2.0-only"),
+    ("LGPL-2.1", "a.txt", "LGPL-2.1-or-later"),
+    ("LGPL-2.1", "b.txt", "LGPL-2.1-or-later"),
+    ("LGPL-2.1", "c.txt", "LGPL-2.1-only"),
+    ("LGPL-2.1", "d.txt", "LGPL-2.1-only"),
+    ("LGPL-2.1", "header.txt", "LGPL-2.1-or-later"),
+    ("LGPL-2.1", "qt_dual.txt", "LGPL-2.1-only"),
+    ("LGPL-2.1", "qt_toolkit.txt", "LGPL-2.1-only"),
+    ("LGPL-3.0", "a.txt", "LGPL-3.0-or-later"),
+    ("LGPL-3.0", "b.txt", "LGPL-3.0-only"),
+    ("LGPL-3.0", "header.txt", "LGPL-3.0-only"),
+)
 # Normalised wordings that name one licence.
 SYNONYMS = {
     "the apache software license version 2 0": "Apache-2.0",
@@ -137,8 +171,8 @@ def look_up(values: dict[str, str], key: Column) -> Column:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    identifiers: tuple[str, ...] = tuple(IDENTIFIERS)
-    deprecated: tuple[str, ...] = tuple(DEPRECATED)
+    identifiers: tuple[str, ...] = IDENTIFIERS
+    deprecated: tuple[str, ...] = DEPRECATED
     names: dict[str, str] = field(default_factory=lambda: dict(NAMES))
     addresses: dict[str, str] = field(default_factory=lambda: dict(ADDRESSES))
 
@@ -156,11 +190,7 @@ class Vocabulary:
     @cached_property
     def header_grants(self) -> dict[str, str]:
         """name/variant → what the wording grants."""
-        out = {}
-        for name, variants in HEADER_VARIANTS.items():
-            for names, grant in zip(variants, self.grants[name][1:]):
-                out |= {f"{name}/{v}.txt": grant for v in names.split()}
-        return out
+        return {f"{name}/{wording}": grant for name, wording, grant in HEADER_VARIANTS}
 
     @classmethod
     def from_list(cls, licenses: list[dict]) -> Vocabulary:

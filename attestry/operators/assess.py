@@ -10,12 +10,12 @@ MANIFEST_CREDIT, PROSE_CREDIT, CHOICE_CREDIT, CONFIDENT = 0.8, 0.5, 0.95, 0.9
 _NONE = "cast(array() as array<string>)"
 
 
-def assess(inputs: DataFrame) -> DataFrame:
+def assess(inputs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row a component of inputs(component_id, files array<struct<path, license, confidence, excluded, err, ids>>, manifest_license,
     manifest_sets array<array<string>> (the names in each manifest that parses), has_manifest, has_prose, states_choice,
     declared array<string>, incomplete int): score and its three terms, flags joined by commas, unknown, relationship.
 
-    files are in discovery order; ids are a file's confident identifiers."""
+    files are in discovery order; ids are a file's confident identifiers. `keep` names columns of inputs to pass on."""
     df = inputs.withColumn("scope", F.filter("files", lambda f: f["excluded"] == ""))
     df = df.withColumns(
         {
@@ -36,6 +36,10 @@ def assess(inputs: DataFrame) -> DataFrame:
     relation = F.when((F.size("detected") < 2) | composed, 1.0).when(F.col("states_choice"), F.lit(CHOICE_CREDIT)).otherwise(0.0)
     df = df.withColumns({"project_license": known(project), "text_resolution": known(resolution), "relation": known(relation)})
     declared = F.array_sort(F.array_distinct(F.coalesce("declared", F.expr(_NONE))))
+    detail = F.format_string(
+        "project %.2f; text resolution %.2f, %d of %d classified; relation %.2f; score %.2f", "project_license", "text_resolution", "resolved", "total", "relation", F.col("project_license") * F.col("text_resolution") * F.col("relation")
+    )
+    nothing = F.when(F.col("incomplete") > 0, F.format_string("no evidence: %d gaps", "incomplete")).otherwise(F.format_string("no evidence: none of %d files could be read", "total"))
     flags = F.array(
         F.when((F.size(declared) > 0) & (F.size("detected") > 0) & (declared != F.col("detected")), "declared-conflict"),
         F.when(F.col("relation") == 0, "relationship-ambiguous"),
@@ -45,4 +49,5 @@ def assess(inputs: DataFrame) -> DataFrame:
         "component_id", (F.col("project_license") * F.col("text_resolution") * F.col("relation")).alias("score"), "project_license", "text_resolution", "relation",
         F.when(F.col("unknown"), "").otherwise(F.array_join(F.filter(flags, lambda f: f.isNotNull()), ",")).alias("flags"), "unknown",
         F.when(~F.col("unknown") & (F.size("detected") >= 2) & (F.col("relation") == F.lit(CHOICE_CREDIT)), "OR").otherwise("").alias("relationship"), F.col("total").cast("long").alias("license_files"),
+        F.when(F.col("unknown"), nothing).otherwise(detail).alias("rationale"), F.col("detected").alias("detected"), *keep,
     )

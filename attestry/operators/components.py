@@ -30,8 +30,12 @@ def shallowest(files: DataFrame, name: Column | str) -> DataFrame:
     return named.groupBy("component_id").agg(F.min_by("path", F.struct(F.size(F.split("path", "/")).alias("d"), F.split("path", "/").alias("s"))).alias("path"))
 
 
+#: Names of what _content_of may be asked for; other files' contents don't come near the join.
+LOCK_NAMES = ("go.sum", "modules.txt", "Cargo.lock", "npm-shrinkwrap.json", "package-lock.json")
+
+
 def _content_of(files: DataFrame, chosen: DataFrame) -> DataFrame:
-    return files.where((F.col("size_bytes") <= MAX_LOCKFILE) & F.col("read_error").isNull()).join(chosen, ["component_id", "path"]).select("component_id", "path", F.col("content").cast("string").alias("t"))
+    return files.where(paths.base_name(F.col("path")).isin(*LOCK_NAMES) & (F.col("size_bytes") <= MAX_LOCKFILE) & F.col("read_error").isNull()).join(chosen, ["component_id", "path"]).select("component_id", "path", F.col("content").cast("string").alias("t"))
 
 
 def _component(df: DataFrame, address: Column, ecosystem: str, algorithm: Column | str, linkage: str) -> DataFrame:
@@ -72,11 +76,13 @@ def enumerate_go(files: DataFrame) -> DataFrame:
     at = lambda tail: F.when(F.col("dir") == "", F.lit(tail)).otherwise(F.concat("dir", F.lit("/" + tail)))
     sums = _content_of(files, roots.select("component_id", at("go.sum").alias("path")))
     lists = _content_of(files, roots.select("component_id", at("vendor/modules.txt").alias("path")))
-    lines = sums.select("component_id", "path", F.explode(go_sum_lines(F.col("t"))).alias("x")).select("component_id", "path", "x.*")
+    lines = sums.select("component_id", "path", F.posexplode(go_sum_lines(F.col("t"))).alias("line", "x")).select("component_id", "path", "line", "x.*")
     listed = lists.select("component_id", "path", F.explode(vendor_modules(F.col("t"))).alias("x")).select("component_id", "path", F.col("x.module").alias("name"), F.col("x.version").alias("version"))
-    h1 = lines.groupBy("component_id", "key").agg(F.last("h1").alias("digest"))
+    h1 = lines.groupBy("component_id", "key").agg(F.max_by("h1", "line").alias("digest"))  # of lines that repeat a key the last holds
     from_list = listed.withColumn("key", F.concat("name", F.lit("@"), "version")).join(h1, ["component_id", "key"], "left")
-    alone = lines.join(lists.select("component_id").distinct(), "component_id", "left_anti").select("component_id", "path", F.col("module").alias("name"), "version", F.col("h1").alias("digest"))
+    # One component a key, as with the list.
+    keyed = lines.groupBy("component_id", "path", "key").agg(F.max_by(F.struct("module", "version", "h1"), "line").alias("x"))
+    alone = keyed.join(lists.select("component_id").distinct(), "component_id", "left_anti").select("component_id", "path", F.col("x.module").alias("name"), "x.version", F.col("x.h1").alias("digest"))
     both = from_list.select("component_id", "path", "name", "version", "digest").unionByName(alone)
     return _component(both, purl.golang(F.col("name"), F.col("version")), "golang", "h1", "static")
 
@@ -195,6 +201,31 @@ def lockfile_gaps(files: DataFrame) -> DataFrame:
     return both.select("component_id", F.concat("path", F.lit(": "), "why").alias("detail"))
 
 
+def installed_gaps(installed: DataFrame) -> DataFrame:
+    """(component_id, detail): how many jars give no coordinates, and how many distributions no readable metadata."""
+    jars = installed.where(F.lower("path").endswith(".jar")).select("component_id", "path")
+    named = jar_coordinates(installed.where("read_error is null")).where("group_id is not null").select("component_id", "path").distinct().withColumn("named", F.lit(1))
+    lost = jars.join(named, ["component_id", "path"], "left").groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.count("named").alias("good")).where("good < n")
+    of_jars = lost.select("component_id", F.format_string("maven: %d of %d jars carry no coordinates", F.col("n") - F.col("good"), "n").alias("detail"))
+    inside = F.regexp_extract("path", r"^((?:.*/)?[^/]*\.dist-info)/", 1)
+    # A directory is known by the files in it.
+    dirs = installed.select("component_id", inside.alias("dir"), (F.col("path") == F.concat(inside, F.lit("/METADATA"))).alias("meta"), F.col("read_error").isNull().alias("ok")).where("dir <> '' and not dir rlike '[.]dist-info/'")
+    poor = dirs.groupBy("component_id", "dir").agg(F.max(F.col("meta") & F.col("ok")).alias("good")).where("not good").groupBy("component_id").agg(F.count(F.lit(1)).alias("n"))
+    return of_jars.unionByName(poor.select("component_id", F.format_string("pypi: %d dist-info directories had no readable METADATA", "n").alias("detail")))
+
+
+def notes(files: DataFrame, parts: DataFrame) -> DataFrame:
+    """(component_id, note): what enumeration left out on purpose, and how wide a list without a vendored one is."""
+    npm = _content_of(files, npm_locks(files)).select("component_id", npm_entries("t").alias("r"))
+    cargo = _content_of(files, shallowest(files, "Cargo.lock")).select("component_id", F.size(F.filter(cargo_packages("t"), lambda x: x["source"] == "")).alias("n"))
+    sums = parts.where(F.col("discovered_from").endswith("go.sum")).groupBy("component_id").agg(F.count(F.lit(1)).alias("n"))
+    note = lambda df, n, text: df.where(n > 0).select("component_id", F.format_string(text, n).alias("note"))
+    return (
+        note(npm, F.col("r.dev"), "npm: %d development dependencies excluded; they are not shipped").unionByName(note(npm, F.col("r.local"), "npm: %d workspace or non-registry entries covered by the package source"))
+        .unionByName(note(cargo, F.col("n"), "cargo: %d workspace-local crates covered by the package source")).unionByName(note(sums, F.col("n"), "go: %d module identities from go.sum, which may include modules that the build prunes"))
+    )
+
+
 def enumerate_installed(installed: DataFrame, own: str = "") -> DataFrame:
     return enumerate_python(installed, own).unionByName(enumerate_java(installed))
 

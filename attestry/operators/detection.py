@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from attestry.functions import digests, paths
 from attestry.functions.spdx import tag
-from attestry.functions.text import head_bytes
+from attestry.functions.text import head_bytes, trim_space
 
 # Bounds.
 MAX_TEXT_BYTES, MAX_NOTICE_FILES, MAX_NOTICE_BYTES, MAX_HINTS, MAX_EXCERPT, MAX_MANIFEST, MAX_LOCKFILE = 131072, 24, 2048, 10, 300, 4 << 20, 64 << 20
@@ -54,9 +54,9 @@ def prose_hints(files: DataFrame) -> DataFrame:
     """(component_id, path, line, excerpt): the first lines of top-level prose files that mention a licence."""
     prose = files.where((paths.depth(F.col("path")) == 0) & paths.is_prose_file(F.col("path")) & F.col("read_error").isNull())
     lines = prose.select("component_id", "path", F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("n", "whole"))
-    hits = lines.where(F.col("whole").rlike(paths.LICENSE_MENTION))
+    hits = lines.withColumn("trimmed", trim_space(F.col("whole"))).where(F.col("trimmed").rlike(paths.LICENSE_MENTION)).drop("whole")
     first = hits.withColumn("nth", F.row_number().over(Window.partitionBy("component_id", "path").orderBy("n"))).where(F.col("nth") <= MAX_HINTS)
-    trimmed = F.trim(F.regexp_replace("whole", r"\r\z", ""))
+    trimmed = F.col("trimmed")
     excerpt = F.when(F.octet_length(trimmed) > MAX_EXCERPT, F.concat(head_bytes(trimmed, MAX_EXCERPT).cast("string"), F.lit("..."))).otherwise(trimmed)
     return first.select("component_id", "path", (F.col("n") + 1).cast("long").alias("line"), excerpt.alias("excerpt"))
 
@@ -74,7 +74,7 @@ def choice_of_license(hints: DataFrame) -> DataFrame:
 
 
 def notice_sample(files: DataFrame) -> DataFrame:
-    """(component_id, path, text, nth): an even sample of source files by path, at most MAX_NOTICE_FILES readable ones.
+    """(component_id, path, text, nth, truncated): an even sample of source files by path, at most MAX_NOTICE_FILES readable ones.
 
     The places are those that a fixed stride gives over the sorted paths; files that are empty or hold a zero byte make way for the next."""
     p = F.col("path")
@@ -85,10 +85,11 @@ def notice_sample(files: DataFrame) -> DataFrame:
     stride = F.when(F.col("n") > MAX_NOTICE_FILES, F.floor(F.col("n") / MAX_NOTICE_FILES)).otherwise(1)
     sampled = numbered.where(F.col("i") % stride == 0).select("component_id", "path", "i")
     head = head_bytes(F.col("content"), MAX_NOTICE_BYTES)
-    read = files.select("component_id", "path", head.alias("head"), "read_error").join(sampled, ["component_id", "path"])
+    # Of other files not even the head goes into the join.
+    read = files.where(paths.is_notice_source(p)).select("component_id", "path", head.alias("head"), "read_error", (F.col("size_bytes") > MAX_NOTICE_BYTES).alias("truncated")).join(sampled, ["component_id", "path"])
     good = read.where(F.col("read_error").isNull() & (F.octet_length("head") > 0) & ~F.contains(F.col("head").cast("string"), F.lit("\0")))
     kept = good.withColumn("nth", F.row_number().over(Window.partitionBy("component_id").orderBy("i"))).where(F.col("nth") <= MAX_NOTICE_FILES)
-    return kept.select("component_id", "path", F.col("head").cast("string").alias("text"), F.col("nth").cast("long").alias("nth"))
+    return kept.select("component_id", "path", F.col("head").cast("string").alias("text"), F.col("nth").cast("long").alias("nth"), "truncated")
 
 
 def header_of(text: Column) -> Column:

@@ -86,8 +86,10 @@ def pyproject_license(content: pd.Series) -> pd.DataFrame:
 
 
 def setup_cfg_license(content: Column) -> Column:
-    value = trim_space(F.regexp_extract(content, r"(?mi)^[\t ]*license(?:_expression)?[\t ]*=[\t ]*([^\n\r]*)$", 1))
-    return F.when(F.lower(value).startswith("file:"), "").otherwise(value)
+    """The value may stand on a later line than its key; `file:` in lower case names a file instead."""
+    white = r"[\t\n\f\r ]"
+    value = trim_space(F.regexp_extract(content, rf"(?dmi)^{white}*license(?:_expression)?{white}*={white}*(.+?){white}*$", 1))
+    return F.when(value.startswith("file:"), "").otherwise(value)
 
 
 def metadata_headers(content: Column) -> Column:

@@ -23,11 +23,12 @@ def vendored_roots(components: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def component_hashes(components: DataFrame, files: DataFrame) -> DataFrame:
-    """(component_id, license_content_hash, files): a component without files has the empty set's hash."""
-    covered = files.where(paths.is_license_file(F.col("path"))).select("component_id", "path", digests.file_digest(F.col("content")).alias("digest"))
-    hashed = covered.groupBy("component_id").agg(digests.content_hash_agg(F.col("path"), F.col("digest")).alias("h"), F.count(F.lit(1)).alias("n"))
+    """(component_id, license_content_hash, files, error): a component without files has the empty set's hash. One with a file that
+    can't be read has no key at all, as any would stand for another set; `error` names the first such file."""
+    covered = files.where(paths.is_license_file(F.col("path"))).select("component_id", "path", digests.file_digest(F.col("content")).alias("digest"), F.when(F.col("read_error").isNotNull(), F.concat("path", F.lit(": "), "read_error")).alias("e"))
+    hashed = covered.groupBy("component_id").agg(digests.content_hash_agg(F.col("path"), F.col("digest")).alias("h"), F.count(F.lit(1)).alias("n"), F.min("e").alias("error"))
     empty = digests.content_hash(F.array().cast("array<struct<path:string,digest:string>>"))
-    return components.select("component_id").join(hashed, "component_id", "left").select("component_id", F.coalesce("h", empty).alias("license_content_hash"), F.coalesce("n", F.lit(0)).cast("long").alias("files"))
+    return components.select("component_id").join(hashed, "component_id", "left").select("component_id", F.when(F.col("error").isNull(), F.coalesce("h", empty)).alias("license_content_hash"), F.coalesce("n", F.lit(0)).cast("long").alias("files"), "error")
 
 
 def own_files(files: DataFrame, roots: DataFrame) -> DataFrame:
@@ -44,10 +45,16 @@ def vendored_hashes(files: DataFrame, roots: DataFrame) -> DataFrame:
     return records.groupBy("component_id", "root").agg(digests.content_hash_agg(F.col("path"), F.col("digest")).alias("license_content_hash"))
 
 
-def verify(local: DataFrame, published: DataFrame) -> DataFrame:
+def verify(local: DataFrame, published: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """(purl, verdict, reason) of local(purl, path, digest) against published(purl, path, digest, ord): every local file must be there
-    with its content; the first by path that isn't gives the reason. Of a path published twice the last counts."""
+    with its content; the first by path that isn't gives the reason. Of a path published twice the last counts. Nothing published is no
+    pass for a copy that has files; a copy without files is pristine. `asked`(purl), if given, names all copies, else local and published do."""
     there = published.groupBy("purl", "path").agg(F.max_by("digest", "ord").alias("published"))
+    some = published.select("purl").distinct().withColumn("some", F.lit(True))
     joined = local.join(there, ["purl", "path"], "left")
     fault = F.when(F.col("published").isNull(), F.concat(F.col("path"), F.lit(" is not published"))).when(F.col("published") != F.col("digest"), F.concat(F.col("path"), F.lit(" differs")))
-    return joined.withColumn("fault", fault).groupBy("purl").agg(F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("path"))).alias("reason")).select("purl", F.when(F.col("reason").isNull(), "pristine").otherwise("diverged").alias("verdict"), F.coalesce("reason", F.lit("")).alias("reason"))
+    first = joined.withColumn("fault", fault).groupBy("purl").agg(F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("path"))).alias("fault"), F.count(F.lit(1)).alias("files"))
+    every = (asked if asked is not None else local.select("purl").unionByName(published.select("purl"))).select("purl").distinct()
+    out = every.join(first, "purl", "left").join(some, "purl", "left")
+    reason = F.when((F.coalesce("files", F.lit(0)) > 0) & F.col("some").isNull(), "nothing is published to compare with").otherwise(F.coalesce("fault", F.lit("")))
+    return out.select("purl", F.when(reason == "", "pristine").otherwise("diverged").alias("verdict"), reason.alias("reason"))

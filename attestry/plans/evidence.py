@@ -10,77 +10,138 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestry.functions import paths, spdx
-from attestry.functions.digests import content_hash, file_digest
+from attestry.functions.digests import content_hash, content_hash_agg, file_digest
+from attestry.functions.text import trim_space
 from attestry.operators import assess as assessing
 from attestry.operators import classify, components, conclude, detection, manifests, ownership
+from attestry.sources.scratch import materialise
 
 SCHEMA_VERSION = 1
+# The record's fields that stand even where they are empty.
+ALWAYS = (
+    "schema_version", "package", "name", "files", "path", "weight", "license", "confidence", "size_bytes", "digest", "ecosystem", "line", "excerpt", "notices_sampled", "source", "components", "purl", "kind", "discovered_from",
+    "root", "license_content_hash", "score", "license_files", "rationale", "project_license", "text_resolution", "relation", "detail",
+)
+
+
+#: Matches below this share of a known text are chance.
+WEAK = 0.25
+_STRINGS, _KEY = "array<string>", ["component_id", "path"]
 
 
 def declared_expression(declarations: DataFrame) -> DataFrame:
     """(component_id, declared): distinct declared licences in their order, joined by AND."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.trim("license").alias("license")))), lambda x: x["license"])
-    return declarations.where("trim(license) <> ''").groupBy("component_id").agg(F.array_join(F.array_distinct(ordered), " AND ").alias("declared"))
+    said = declarations.withColumn("license", trim_space(F.col("license"))).where("license <> ''")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "license"))), lambda x: x["license"])
+    return said.groupBy("component_id").agg(F.array_join(F.array_distinct(ordered), " AND ").alias("declared"))
+
+
+def found_files(files: DataFrame, declarations: DataFrame) -> DataFrame:
+    """(component_id, path, weight, excluded, size_bytes, read_error, digest, text, truncated, declared): the files that discovery names and those
+    that are declared only, read once; a declared file that isn't in the tree is a row with its error. Contents go no further."""
+    columns = [*_KEY, "weight", "excluded", "size_bytes", "read_error", "digest", "text", "truncated"]
+    named = detection.read_files(detection.discover(files, "tree")).select(*columns)
+    latest = declarations.groupBy(*_KEY).agg(F.max_by("license", "ord").alias("declared"))
+    # Only names are told apart before the join, and only files that discovery doesn't take can be met in it.
+    others = files.where(~paths.is_license_file(F.col("path")))
+    extra = detection.read_files(others.join(latest.select(*_KEY), _KEY, "left_semi").withColumns({"weight": F.lit(0.0), "excluded": paths.exclusion(F.col("path"))})).select(*columns)
+    there = latest.join(files.select(*_KEY), _KEY, "left_anti").select(*_KEY, F.lit(0.0).alias("weight"), paths.exclusion(F.col("path")).alias("excluded"), F.lit(0).cast("long").alias("size_bytes"), F.lit("declared, but not in the tree").alias("read_error"))
+    return named.unionByName(extra).unionByName(there, allowMissingColumns=True).join(latest, _KEY, "left")
+
+
+def _gathered(subjects: DataFrame, *parts: DataFrame) -> DataFrame:
+    """Subjects with the columns of all parts, which have one row a component at most: one union, one aggregate."""
+    every = subjects.select("component_id")
+    for p in parts:
+        every = every.unionByName(p, allowMissingColumns=True)
+    return every.groupBy("component_id").agg(*(F.first(c, ignorenulls=True).alias(c) for c in every.columns if c != "component_id")).join(subjects.select("component_id").distinct(), "component_id", "left_semi")
+
+
+def _list(df: DataFrame, name: str, order: list, *fields) -> DataFrame:
+    """(component_id, name): the component's rows as structs of `fields`, in order."""
+    return df.groupBy("component_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*fields).alias("f")))), lambda x: x["f"]).alias(name))
 
 
 def collect(subjects: DataFrame, files: DataFrame, corpus: DataFrame, installed: DataFrame | None = None, declarations: DataFrame | None = None) -> DataFrame:
-    """One row for each of subjects(component_id): the parts of its evidence and the record made of them.
+    """One row for each of subjects(component_id and, where known, name, version, repository, commit): the parts of its evidence and the
+    record made of them.
 
-    `files` is read by several branches: give it materialised (a table), so that each branch scans only its columns."""
+    Four steps are written once and then read by what follows: the files found with their texts, the notices, the manifests and the
+    components. Lists of a component are bounded by its own licence files, manifests and lockfiles."""
     spark = subjects.sparkSession
     empty = lambda schema: spark.createDataFrame([], schema)
     declarations = declarations if declarations is not None else empty("component_id string, path string, license string, ord int")
-    key = ["component_id", "path"]
-    found = detection.read_files(detection.ordered(detection.discover(files, "tree")))
-    matched = classify.matches_by_file(classify.identify(found.select(*key, "text"), key, corpus), key)
-    named = found.join(matched, key, "left").withColumn("names", F.transform(F.coalesce("matches", F.array().cast("array<struct<name:string,confidence:double>>")), lambda m: m["name"]))
-    listed = manifests.manifests(files)
-    hints = detection.prose_hints(files)
-    notices = detection.notice_sample(files)
-    granted = detection.grants(notices)
-    expressions = notices.groupBy("component_id").agg(F.count(F.lit(1)).alias("sampled")).join(granted.groupBy("component_id").agg(F.collect_set("expression").alias("expressions")), "component_id", "left")
+    blank = F.lit("")
+    found = materialise(found_files(files, declarations), "found")
+    notices = materialise(detection.notice_sample(files), "notices")
+    listed = materialise(manifests.manifests(files), "manifests")
+    roots = components.shallowest(files, "go.mod").select("component_id", F.when(paths.directory(F.col("path")) == ".", "vendor").otherwise(F.concat(paths.directory(F.col("path")), F.lit("/vendor"))).alias("vendor_root"))
     parts = components.enumerate_source(files)
+    lost = components.lockfile_gaps(files)
     if installed is not None:
-        parts = parts.unionByName(components.enumerate_installed(installed))
-    parts = components.finalize(parts)
-    roots = components.shallowest(files, "go.mod").select("component_id", F.when(paths.directory(F.col("path")) == ".", "vendor").otherwise(F.concat(paths.directory(F.col("path")), F.lit("/vendor"))).alias("vendor_root"))
-    vendored = ownership.vendored_roots(parts.join(roots, "component_id"), files)
-    own = ownership.own_files(files, vendored.select("component_id", "root"))
-    hashes = ownership.component_hashes(subjects, own)
-    concluded = conclude.conclude(subjects, named.select(*key, "excluded", "size_bytes", "read_error", "names"), expressions)
-    refs = conclude.license_ref_of(named.select(*key, "weight", "excluded", "size_bytes", "read_error", "names", "text"))
+        parts, lost = parts.unionByName(components.enumerate_installed(installed)), lost.unionByName(components.installed_gaps(installed))
+    parts = materialise(components.finalize(parts), "components")
+    # A matches entry is whatever a file holds a fair share of; names are the confident ones.
+    matched = classify.matches_by_file(classify.identify(found.select(*_KEY, "text"), _KEY, corpus, threshold=WEAK), _KEY)
+    named = found.join(matched, _KEY, "left").withColumn("matches", F.coalesce("matches", F.array().cast("array<struct<name:string,confidence:double>>")))
+    named = named.withColumn("names", F.transform(F.filter("matches", lambda m: m["confidence"] >= classify.THRESHOLD), lambda m: m["name"]))
+    named = materialise(named, "named")
+
+    granted = detection.grants(notices)
+    per_component = notices.groupBy("component_id").agg(F.count(F.lit(1)).alias("sampled"))
+    expressions = per_component.join(granted.groupBy("component_id").agg(F.collect_set("expression").alias("expressions")), "component_id", "left")
+    concluded = conclude.conclude(subjects, named.select(*_KEY, "excluded", "size_bytes", "read_error", "names"), expressions)
+    refs = conclude.license_ref_of(named.select(*_KEY, "weight", "excluded", "size_bytes", "read_error", "names", "text"))
+
+    # What is the component's own, and what each vendored copy's: paths and digests only.
+    covered = found.where(F.col("digest").isNotNull() & paths.is_license_file(F.col("path"))).select(*_KEY, "excluded", "digest")
+    vendored = ownership.vendored_roots(parts.join(roots, "component_id"), found.select(*_KEY)).select("component_id", "purl", "root").distinct()
+    owned = ownership.owners(covered, vendored)
+    own = owned.where(F.col("root").isNull() & ~paths.belongs_to_another(F.col("excluded")))
+    own_hash = own.groupBy("component_id").agg(content_hash_agg(F.col("path"), F.col("digest")).alias("license_content_hash"))
+    copies = owned.where("root is not null").groupBy("component_id", "root").agg(content_hash_agg(F.expr("substring(path, length(root) + 2)"), F.col("digest")).alias("license_content_hash"))
+    hashed = vendored.join(copies, ["component_id", "root"], "left").withColumn("license_content_hash", F.coalesce("license_content_hash", content_hash(F.array().cast("array<struct<path:string,digest:string>>"))))
+
     ids = F.array_sort(F.array_distinct(F.transform("names", conclude.identifier_of)))
-    rows = named.select(
-        "component_id", F.struct("ord", F.struct("path", F.coalesce(F.get("names", F.lit(0)), F.lit("")).alias("license"), F.coalesce(F.get("matches", F.lit(0))["confidence"], F.lit(0.0)).alias("confidence"), "excluded", F.coalesce("read_error", F.lit("")).alias("err"), ids.alias("ids"), F.coalesce("digest", F.lit("")).alias("digest"), "size_bytes").alias("f")).alias("x"),
+    first = F.get("matches", F.lit(0))
+    by_file = _list(
+        named, "files", [(-F.col("weight")).alias("w"), "path"], "path", "weight", "excluded", F.coalesce(first["name"], blank).alias("license"), F.coalesce(first["confidence"], F.lit(0.0)).alias("confidence"),
+        F.slice("matches", F.lit(2), F.greatest(F.size("matches") - 1, F.lit(0))).alias("additional_licenses"), F.coalesce("declared", blank).alias("declared"), "size_bytes", F.coalesce("digest", blank).alias("digest"), F.coalesce("text", blank).alias("text"),
+        F.coalesce("truncated", F.lit(False)).alias("truncated"), F.coalesce("read_error", blank).alias("err"), ids.alias("ids"),
     )
-    # Discovery keeps to licence files, a handful a component; a component's rows are bounded by its own licence files.
-    by_file = rows.groupBy("component_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["f"]).alias("files"))
     canonical = spdx.parse_column(listed.where("license <> ''").withColumn("e", spdx.canonicalize(F.col("license"))), "e", "p")
     by_manifest = canonical.groupBy("component_id").agg(F.min_by("license", "path").alias("manifest_license"), F.collect_list(spdx.operands(F.col("p"))).alias("manifest_sets"))
     # A component's declaration is the caller's, or else its manifests'.
     said = declared_expression(declarations).unionByName(listed.where("license <> ''").join(declarations.select("component_id"), "component_id", "left_anti").groupBy("component_id").agg(F.min_by("license", "path").alias("declared")))
-    read = spdx.parse_column(said.withColumn("e", spdx.canonicalize(F.col("declared"))), "e", "p").select("component_id", "declared", spdx.lenient_operands(F.col("e"), F.col("p")).alias("declared_ids"))
-    unreadable = files.where("read_error is not null").groupBy("component_id").agg(F.array_sort(F.collect_set(F.concat("path", F.lit(": "), "read_error"))).alias("unreadable"))
-    none = F.array().cast("array<string>")
-    gathered = (
-        subjects.select("component_id").join(by_file, "component_id", "left").join(by_manifest, "component_id", "left")
-        .join(listed.groupBy("component_id").agg(F.count(F.lit(1)).alias("n_manifests")), "component_id", "left")
-        .join(hints.groupBy("component_id").agg(F.count(F.lit(1)).alias("n_prose"), F.coalesce(F.bool_or(detection.is_choice(F.col("excerpt"))), F.lit(False)).alias("states_choice")), "component_id", "left")
-        .join(read, "component_id", "left").join(unreadable, "component_id", "left")
-    )
-    inputs = gathered.select(
-        "component_id", F.coalesce("files", F.array().cast(by_file.schema["files"].dataType)).alias("files"), "manifest_license", "manifest_sets", (F.coalesce("n_manifests", F.lit(0)) > 0).alias("has_manifest"), (F.coalesce("n_prose", F.lit(0)) > 0).alias("has_prose"),
-        F.coalesce("states_choice", F.lit(False)).alias("states_choice"), F.col("declared_ids").alias("declared"), F.coalesce("declared", F.lit("")).alias("declared_expression"), F.coalesce("unreadable", none).alias("unreadable"), F.size(F.coalesce("unreadable", none)).alias("incomplete"),
-    )
-    assessed = assessing.assess(inputs)
-    counted = parts.groupBy("component_id").agg(F.array_sort(F.collect_list("purl")).alias("purls"))
-    lost = components.lockfile_gaps(files).groupBy("component_id").agg(F.array_sort(F.collect_set("detail")).alias("lost"))
-    gaps = F.concat(F.transform(F.coalesce("lost", none), lambda d: F.struct(F.lit("dependencies").alias("kind"), d.alias("detail"))), F.transform("unreadable", lambda d: F.struct(F.lit("license-file").alias("kind"), d.alias("detail"))), F.array(F.struct(F.lit("no-installed-trees").alias("kind"), F.lit("no installed trees were given").alias("detail"))) if installed is None else F.array().cast("array<struct<kind:string,detail:string>>"))
-    out = (
-        inputs.select("component_id", "files", "unreadable", "declared_expression").join(hashes.drop("files"), "component_id").join(concluded, "component_id")
-        .join(refs, "component_id", "left").join(assessed, "component_id").join(counted, "component_id", "left").join(lost, "component_id", "left").withColumn("gaps", gaps).drop("lost")
+    read = spdx.parse_column(said.withColumn("e", spdx.canonicalize(F.col("declared"))), "e", "p").select("component_id", F.col("declared").alias("declared_expression"), spdx.lenient_operands(F.col("e"), F.col("p")).alias("declared_ids"))
+    hints = detection.prose_hints(files)
+    by_hint = hints.groupBy("component_id").agg(F.bool_or(detection.is_choice(F.col("excerpt"))).alias("states_choice"), F.array_sort(F.collect_list(F.struct("path", "line", "excerpt"))).alias("prose"))
+    listed_parts = parts.join(hashed.select("component_id", "purl", "license_content_hash"), ["component_id", "purl"], "left")
+    fields = ("purl", "name", F.coalesce("version", blank).alias("version"), "ecosystem", "kind", "digest", "digest_algo", F.coalesce("license_content_hash", blank).alias("license_content_hash"), "discovered_from", "linkage")
+    note = components.notes(files, parts).unionByName(vendored.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).select("component_id", F.format_string("%d components have a vendored copy in the tree, hashed for verification", "n").alias("note")))
+    out = _gathered(
+        subjects, by_file, by_manifest, by_hint, read, concluded, refs, own_hash, roots, per_component,
+        _list(listed, "manifests", ["path"], *_KEY[1:], "ecosystem", "license", "license_file"), _list(notices, "notices", ["nth"], "path", "text", F.coalesce("truncated", F.lit(False)).alias("truncated")),
+        _list(granted, "grants", ["expression"], "expression", "source", "path", "files"), _list(listed_parts, "parts", ["ord"], *fields), _list(vendored, "vendored_copies", ["purl"], "purl", "root"),
+        lost.groupBy("component_id").agg(F.array_sort(F.collect_set("detail")).alias("lost")), note.groupBy("component_id").agg(F.array_sort(F.collect_set("note")).alias("notes")),
+        named.where("read_error is not null").groupBy("component_id").agg(F.array_sort(F.collect_set(F.concat("path", F.lit(": "), "read_error"))).alias("unreadable")),
     )
-    return out.withColumn("purls", F.coalesce("purls", none)).withColumn("license_ref", F.coalesce("license_ref", F.lit("")))
+    none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind)).alias(c)
+    kinds = {f.name: f.dataType for f in out.schema if f.name in ("files", "manifests", "prose", "notices", "grants", "parts", "vendored_copies", "lost", "notes", "unreadable", "identifiers")}
+    out = out.select(*(none(c, kinds[c]) if c in kinds else F.col(c) for c in out.columns))
+    gap = lambda kind, details: F.transform(details, lambda d: F.struct(F.lit(kind).alias("kind"), d.alias("detail")))
+    no_trees = gap("no-installed-trees", F.array(F.lit("no installed tree supplied; " + ", ".join(components.INSTALLED_ECOSYSTEMS) + " components were not enumerated")))
+    gaps = F.concat(*([no_trees] if installed is None else []), gap("dependencies", F.col("lost")), gap("license-file", F.col("unreadable")))
+    empty_hash = content_hash(F.array().cast("array<struct<path:string,digest:string>>"))
+    out = out.withColumns({"gaps": gaps, "purls": F.array_sort(F.transform("parts", lambda p: p["purl"])), "license_ref": F.coalesce("license_ref", blank), "license_content_hash": F.coalesce("license_content_hash", empty_hash), "incomplete": F.size(gaps), "declared": F.col("declared_ids")})
+    out = out.withColumns({"has_manifest": F.size("manifests") > 0, "has_prose": F.size("prose") > 0, "states_choice": F.coalesce("states_choice", F.lit(False)), "vendor_root": F.coalesce("vendor_root", blank), "declared_expression": F.coalesce("declared_expression", blank), "sampled": F.coalesce("sampled", F.lit(0)).cast("long")})
+    kept = ("files", "manifests", "prose", "notices", "sampled", "grants", "parts", "purls", "vendor_root", "vendored_copies", "license_content_hash", "expression", "reason", "identifiers", "grant_basis", "license_ref", "declared_expression", "unreadable", "gaps", "notes")
+    done = assessing.assess(out, kept)
+    about = subjects.select("component_id", *(F.col(c).cast("string").alias(c) if c in subjects.columns else F.lit(None).cast("string").alias(c) for c in ("name", "version", "repository", "commit"))).dropDuplicates(["component_id"])
+    about = about.withColumns({"name": F.coalesce("name", "component_id"), "version": F.coalesce("version", blank), "repository": F.coalesce("repository", blank), "commit": F.coalesce("commit", blank)})
+    source = components.source_components(about.withColumn("patches", F.array().cast("array<struct<path:string,digest:string>>")))
+    lead = source.select("component_id", F.struct("purl", "name", "version", "ecosystem", "kind", "digest", "digest_algo", "discovered_from", "linkage").alias("source"))
+    return done.join(about.select("component_id", F.struct(F.col("name").alias("package"), "version", "repository", "commit").alias("subject")), "component_id").join(lead, "component_id")
 
 
 @F.pandas_udf(T.StringType())
@@ -89,7 +150,7 @@ def encode(record: pd.Series) -> pd.Series:
 
     def trimmed(x):
         if isinstance(x, dict):
-            return {k: trimmed(v) for k, v in x.items() if v is not None and v != "" and v != [] and v is not False or k in ("files", "components", "score", "notices_sampled", "license_content_hash", "schema_version", "confidence", "weight", "size_bytes")}
+            return {k: trimmed(v) for k, v in x.items() if v is not None and v != "" and v != [] and v is not False or k in ALWAYS and not (k == "digest" and "purl" in x)}
         return [trimmed(v) for v in x] if isinstance(x, list) else x
 
     def number(text):
@@ -104,10 +165,16 @@ def encode(record: pd.Series) -> pd.Series:
 
 
 def bundles(collected: DataFrame) -> DataFrame:
-    """(component_id, bundle, bundle_digest)."""
+    """(component_id, bundle, bundle_digest): the source component leads the list of components."""
+    c, blank = F.col, F.lit("")
+    own = F.struct(*(c(f"source.{n}").alias(n) for n in ("purl", "name", "version", "ecosystem", "kind", "digest", "digest_algo")), c("license_content_hash").alias("license_content_hash"), c("source.discovered_from").alias("discovered_from"), c("source.linkage").alias("linkage"))
+    files = F.transform("files", lambda f: F.struct(*(f[n].alias(n) for n in ("path", "weight", "excluded", "license", "confidence", "additional_licenses", "declared", "size_bytes", "digest", "text", "truncated")), f["err"].alias("error")))
+    flags = F.when(c("flags") == blank, F.array().cast(_STRINGS)).otherwise(F.split("flags", ","))
     record = F.struct(
-        F.lit(SCHEMA_VERSION).alias("schema_version"), F.struct(F.col("component_id").alias("name")).alias("subject"), "files", F.col("purls").alias("components"), "license_content_hash",
-        F.struct("expression", "reason", "identifiers", "grant_basis", "license_ref").alias("conclusion"), F.struct("score", "project_license", "text_resolution", "relation", "flags", "unknown", "relationship").alias("assessment"), "gaps",
+        F.lit(SCHEMA_VERSION).alias("schema_version"), F.struct(c("subject.package").alias("package"), c("subject.version").alias("version"), F.struct(c("subject.package").alias("name"), c("subject.version").alias("version"), c("subject.repository").alias("repository"), c("subject.commit").alias("commit")).alias("source")).alias("subject"),
+        files.alias("files"), "manifests", "prose", "notices", c("sampled").alias("notices_sampled"), "grants", F.concat(F.array(own), c("parts")).alias("components"), "vendor_root", "vendored_copies", "license_content_hash",
+        F.struct("expression", "reason", "identifiers", "grant_basis", "license_ref").alias("conclusion"),
+        F.struct("score", "unknown", F.array_sort(flags).alias("flags"), "relationship", c("detected").alias("identifiers"), "license_files", "rationale", "project_license", "text_resolution", "relation").alias("assessment"), "gaps", "notes",
     )
     return collected.select("component_id", encode(F.to_json(record)).alias("bundle")).withColumn("bundle_digest", file_digest(F.col("bundle")))
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import lzma
+import struct
 import tarfile
 import zipfile
 import zlib
@@ -22,6 +24,10 @@ class Refused(ValueError):
     """The archive breaks a bound or contradicts itself."""
 
 
+#: What reading damaged archives raises, whatever they are packed with: ValueError takes in wrong UTF-8, OSError damaged bzip2 data.
+DAMAGED = (Refused, zipfile.BadZipFile, tarfile.TarError, zlib.error, lzma.LZMAError, EOFError, OSError, ValueError, NotImplementedError, RuntimeError, struct.error)
+
+
 def _retained():
     import re
 
@@ -75,10 +81,13 @@ class _Bounded(io.RawIOBase):
         out = bytearray()
         while len(out) < n:
             if not self.ready:
+                if self.inflate.eof:  # another member may follow
+                    self.at -= len(self.inflate.unused_data)
+                    self.inflate = zlib.decompressobj(31)
                 feed = self.inflate.unconsumed_tail or bytes(self.given[self.at : self.at + 65536])
                 if not self.inflate.unconsumed_tail:
                     self.at += len(feed)
-                if not feed or self.inflate.eof:
+                if not feed or not feed.strip(b"\0"):  # zeros may fill the rest
                     break
                 self.ready = self.inflate.decompress(feed, 1 << 20)
                 self.left -= len(self.ready)
@@ -127,7 +136,7 @@ def expand_all(archives: DataFrame) -> DataFrame:
             for cid, name, content, prefix in zip(*(b.column(i).to_pylist() for i in range(4))):
                 try:
                     rows = [(cid, p, c, len(c), None) for p, c in sorted(expand(name or "", content or b"", prefix).items())]
-                except (Refused, zipfile.BadZipFile, tarfile.TarError, zlib.error, EOFError, NotImplementedError, RuntimeError) as e:
+                except DAMAGED as e:
                     rows = [(cid, name, None, 0, f"{type(e).__name__}: {e}")]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
@@ -151,7 +160,7 @@ def jar_coordinates(jars: DataFrame) -> DataFrame:
                                 p = {k.strip(): v.strip() for k, _, v in (x.partition("=") for x in lines if "=" in x and not x.startswith("#"))}
                                 if all(p.get(k) for k in ("groupId", "artifactId", "version")):
                                     rows.append((cid, path, p["groupId"], p["artifactId"], p["version"]))
-                except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError):
+                except DAMAGED:
                     rows.append((cid, path, None, None, None))  # a failure, for the caller to name
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], ["component_id", "path", "group_id", "artifact_id", "version"])

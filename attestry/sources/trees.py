@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.functions.paths import normalize_path
+from attestry.functions.paths import BUILD_OUTPUT, normalize_path
 
 #: component_id, path, content, size_bytes, read_error.
 FILES = "component_id string, path string, content binary, size_bytes bigint, read_error string"
@@ -30,7 +30,7 @@ def files_of(df: DataFrame) -> DataFrame:
 
 #: How documents stand in for trees: sixteen kinds of place, {} is the document's id.
 TEMPLATES = (
-    "LICENSE-{}", "COPYING-{}.md", "d{}/LICENSE", "docs/d{}/LICENSE.md", "vendor/m{}/LICENSE", "third_party/m{}/COPYING", "tests/t{}/LICENSE", "melange-out/p{}/LICENSE",
+    "LICENSE-{}", "COPYING-{}.md", "d{}/LICENSE", "docs/d{}/LICENSE.md", "vendor/m{}/LICENSE", "third_party/m{}/COPYING", "tests/t{}/LICENSE", BUILD_OUTPUT[0] + "/p{}/LICENSE",
     "node_modules/n{}/LICENSE.txt", "d{}/PATENTS", "tests/t{}/PATENTS", "n{}/README.md", "src/s{}.c", "src/s{}.py", "rust-1.86.0-src/r{}/COPYING", "license{}.go",
 )
 

@@ -17,10 +17,11 @@ LICENSE_NAMES = {
     "README.md": False, "copyme": False, "COPY": False, "license.go": False, "LICENSE.gemspec": False, "LICENSE.spdx": False, "src/LICENSE": True, "vendor/LICENSE": True, "LICENSE\n": False, "LICENSE.GO": True,
 }
 WEIGHTS = {"LICENSE": 1.0, "LICENSE.md": 0.95, "COPYING": 0.9, "LICENSE.textile": 0.8, "LICENSE-MIT": 0.7, "PATENTS": 0.35}
+BUILT = paths.BUILD_OUTPUT[0]
 EXCLUDED = {
-    "LICENSE": "", "docs/LICENSE": "", "vendor/x/LICENSE": "vendored", "third_party/y/COPYING": "vendored", "VENDOR/x/LICENSE": "vendored", "internal/vendored/LICENSE": "", "testdata/LICENSE": "test-fixture", "src/test/resources/LICENSE": "test-fixture",
-    "testify/LICENSE": "", "vendor/x/testdata/LICENSE": "vendored", "melange-out/foo/usr/share/doc/PATENTS": "build-output", "PATENTS": "supplementary", "sub/dir/PATENTS": "supplementary", "COPYRIGHT": "", "vendor/x/PATENTS": "vendored",
-    "rust-1.86.0-src/library/std/LICENSE-MIT": "vendored", "environment/LICENSE": "", "src/rust-src-tools/LICENSE": "", "tests/t/PATENTS": "supplementary",
+    "COPYING": "", "manual/LICENSE.txt": "", "vendor/left/COPYING": "vendored", "a/third_party/right/LICENSE": "vendored", "Node_Modules/q/LICENSE": "vendored", "vendors/LICENSE": "", "pkg/fixtures/LICENSE": "test-fixture", "a/spec/b/COPYING": "test-fixture",
+    "specials/LICENSE": "", "deps/a/samples/LICENSE": "vendored", f"{BUILT}/a/share/NOTICE": "build-output", "NOTICE": "supplementary", "deep/down/AUTHORS": "supplementary", "LICENCE": "", "external/x/CREDITS": "vendored",
+    "rustc-1.80.2-src/vendor.txt/COPYING": "vendored", "envelope/COPYING": "", "lib/rust-srcs/COPYING": "", "demo/d/NOTICE": "supplementary",
 }
 
 
@@ -31,7 +32,7 @@ def test_license_names(spark):
 
 def test_exclusion(spark):
     assert one_column(spark, list(EXCLUDED), paths.exclusion) == list(EXCLUDED.values())
-    assert one_column(spark, ["authors", ".", "src/melange-outputs", "node_modules/left-pad"], paths.dir_exclusion) == ["", "", "", "vendored"]
+    assert one_column(spark, ["authors", ".", f"src/{BUILT}s", "node_modules/left-pad"], paths.dir_exclusion) == ["", "", "", "vendored"]
 
 
 def test_ancestors_and_members(spark):

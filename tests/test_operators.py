@@ -148,3 +148,82 @@ def test_lost_lockfiles_are_gaps(spark):
     corpus = spark.createDataFrame([("MIT", "permission is hereby granted")], "id string, text string")
     gaps = {r["component_id"]: [g["kind"] for g in r["gaps"]] for r in evidence.collect(files.select("component_id").distinct(), files, corpus).collect()}
     assert all(("dependencies" in gaps[c]) == (c != "e") for c in "abcdef")
+
+
+def test_verify_without_either_side(spark):
+    local = spark.createDataFrame([("p", "a", "1")], "purl string, path string, digest string")
+    published = spark.createDataFrame([("q", "a", "1", 0)], "purl string, path string, digest string, ord int")
+    asked = spark.createDataFrame([("p",), ("q",), ("r",)], "purl string")
+    got = {r["purl"]: (r["verdict"], r["reason"]) for r in ownership.verify(local, published, asked).collect()}
+    assert got == {"p": ("diverged", "nothing is published to compare with"), "q": ("pristine", ""), "r": ("pristine", "")}
+
+
+def test_unreadable_files_leave_no_key(spark):
+    rows = [("a", "LICENSE", b"x", 1, None), ("a", "COPYING", None, 0, "denied"), ("b", "LICENSE", b"x", 1, None), ("c", "main.c", None, 0, "denied")]
+    tree = spark.createDataFrame(rows, "component_id string, path string, content binary, size_bytes bigint, read_error string")
+    got = {r["component_id"]: (r["license_content_hash"], r["error"]) for r in ownership.component_hashes(tree.select("component_id").distinct(), tree).collect()}
+    assert got["a"] == (None, "COPYING: denied") and got["b"][0].startswith("v1-") and got["b"][1] is None and got["c"][0].startswith("v1-e3b0c442")
+
+
+def test_archives_of_several_members_and_damaged_ones(spark):
+    import bz2
+    import gzip
+
+    whole = tarred([("x/LICENSE", b"l" * 2000)])
+    plain = gzip.decompress(whole)
+    assert archives.expand("x.tgz", gzip.compress(plain[:700]) + gzip.compress(plain[700:]), "x") == {"LICENSE": b"l" * 2000}
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_BZIP2) as z:
+        z.writestr("LICENSE", b"some text of a file " * 500)
+    body = bytearray(out.getvalue())
+    at = body.find(b"BZh") + 20
+    body[at : at + 30] = b"\xff" * 30
+    assert bz2 is not None
+    df = spark.createDataFrame([("a", "x.zip", body, ""), ("b", "x.tgz", bytearray(whole[:60]), "")], "component_id string, name string, content binary, prefix string")
+    assert all(r["read_error"] for r in archives.expand_all(df).collect())
+
+
+def test_prose_is_trimmed_of_all_white_space(spark):
+    tree = files(spark, [("c", "README.md", "\t\u00a0License: MIT\u2003\t\r\nnothing\n \x0blicence\x0c ")])
+    assert [(r["line"], r["excerpt"]) for r in detection.prose_hints(tree).orderBy("line").collect()] == [(1, "License: MIT"), (3, "licence")]
+
+
+def test_setup_cfg_across_lines(spark):
+    from attestry.operators.manifests import setup_cfg_license
+    from tests.conftest import one_column
+
+    assert one_column(spark, ["[metadata]\nlicense =\n    MIT\nname = x", "license = File: x", "LICENSE= BSD \r\n", "license_expression = MIT", "license = file: x", "other = 1"], setup_cfg_license) == ["MIT", "File: x", "BSD", "MIT", "", ""]
+
+
+def test_last_line_of_a_checksum_file_holds(spark):
+    tree = files(spark, [("c", "go.mod", "module x"), ("c", "go.sum", "a.org/b v1.0.0 h1:one=\na.org/c v1.0.0 h1:q=\na.org/b v1.0.0 h1:two=")])
+    assert sorted((r["purl"], r["digest"]) for r in components.enumerate_go(tree).collect()) == [("pkg:golang/a.org/b@v1.0.0", "h1:two="), ("pkg:golang/a.org/c@v1.0.0", "h1:q=")]
+
+
+def test_whole_record(spark):
+    """Declared-only and missing files, weak matches, vendored copies, lost jars and metadata, notes; the source component leads."""
+    import json
+
+    mit, isc = (" ".join(f"{w}{i}" for i in range(50)) for w in ("mit", "isc"))
+    half = " ".join(f"isc{i}" for i in range(24))
+    tree = files(spark, [
+        ("c", "LICENSE", mit), ("c", "odd-terms.rst", half), ("c", "vendor/a.org/b/LICENSE", isc), ("c", "go.mod", "module x"), ("c", "go.sum", "a.org/b v1.0.0 h1:q="), ("c", "vendor/modules.txt", "# a.org/b v1.0.0\n"), ("c", "README.md", "Dual licensed, see the license files"),
+        ("c", "package.json", '{"license": "MIT"}'), ("c", "package-lock.json", '{"packages": {"node_modules/d": {"version": "1", "dev": true}, "node_modules/l": {"link": true}}}'), ("c", "src/a.c", "// SPDX-License-Identifier: MIT\nint x;"),
+    ])
+    installed = spark.createDataFrame([("c", "lib/x.jar", bytearray(b"no jar"), 6, None), ("c", "p/y-1.dist-info/RECORD", bytearray(b""), 0, None), ("c", "p/z-1.dist-info/METADATA", bytearray(b"Name: z\nVersion: 1\n"), 20, None)], "component_id string, path string, content binary, size_bytes long, read_error string")
+    declared = spark.createDataFrame([("c", "odd-terms.rst", "ISC", 0), ("c", "gone.txt", "MIT", 1)], "component_id string, path string, license string, ord int")
+    subjects = spark.createDataFrame([("c", "thing", "1.2"), ("empty", None, None)], "component_id string, name string, version string")
+    out = evidence.collect(subjects, tree, spark.createDataFrame([("MIT", mit), ("ISC", isc)], "id string, text string"), installed, declared)
+    records = {r["component_id"]: json.loads(r["bundle"]) for r in evidence.bundles(out).collect()}
+    r = records["c"]
+    listed = {f["path"]: f for f in r["files"]}
+    assert [f["path"] for f in r["files"]][0] == "LICENSE" and listed["odd-terms.rst"]["declared"] == "ISC" and 0.4 < listed["odd-terms.rst"]["confidence"] < 0.5 and listed["gone.txt"]["error"]
+    assert listed["LICENSE"]["text"] == mit and listed["vendor/a.org/b/LICENSE"]["excluded"] == "vendored"
+    assert [p["purl"] for p in r["components"]] == ["pkg:apk/thing@1.2", "pkg:golang/a.org/b@v1.0.0", "pkg:pypi/z@1"] and r["components"][0]["kind"] == "package-source"
+    assert r["components"][1]["license_content_hash"].startswith("v1-") and "license_content_hash" in r["components"][0] and r["components"][1]["license_content_hash"] != r["license_content_hash"]
+    assert r["vendor_root"] == "vendor" and r["vendored_copies"] == [{"purl": "pkg:golang/a.org/b@v1.0.0", "root": "vendor/a.org/b"}]
+    assert r["manifests"] == [{"path": "go.mod", "ecosystem": "golang", "license": ""}, {"path": "package.json", "ecosystem": "npm", "license": "MIT"}] and r["prose"][0]["line"] == 1 and r["notices_sampled"] == 1 and r["grants"][0]["expression"] == "MIT"
+    assert [g["kind"] for g in r["gaps"]] == ["dependencies", "dependencies", "license-file"] and "1 of 1 jars" in r["gaps"][0]["detail"] and "1 dist-info" in r["gaps"][1]["detail"] and "gone.txt" in r["gaps"][2]["detail"]
+    assert len(r["notes"]) == 3 and r["assessment"]["rationale"].startswith("project ") and "declared-conflict" in r["assessment"]["flags"]
+    assert records["empty"]["files"] == [] and records["empty"]["conclusion"]["reason"] == "no-license-text" and len(records["empty"]["components"]) == 1
+
