@@ -1,8 +1,8 @@
 """Language identification by compression: whichever language's dictionary compresses a text best is its language.
 
 For each language that occurs in the labelled rows, whole texts of a bounded sample make a zstandard raw-content dictionary. A
-text is compressed with each of them, lower-cased as they are; the language with the smallest size wins, and a narrow margin is
-reported as `rejected`. Texts with nothing in common with any dictionary tie; ties go to the language with more labelled rows,
+text is compressed with each of them, brought to the same form: lower case, letters alone, one blank for whatever stands between them.
+The language with the smallest size wins, and a narrow margin is reported as `rejected`. Texts with nothing in common with any dictionary tie; ties go to the language with more labelled rows,
 then to the name that sorts first.
 
 The sample is the one bound here: about SAMPLE_DOCS distinct texts and at most DICT_BYTES bytes for each language (less where so many
@@ -17,6 +17,7 @@ rows; other columns aren't read.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -25,13 +26,15 @@ from pyspark.sql import functions as F
 
 from attestry.llm.common import held_out, small_batches
 
-SAMPLE_DOCS = 120
+SAMPLE_DOCS = 160
 HASH_TOP = 2**63 - 1
-DICT_BYTES, ALL_BYTES = 128 << 10, 64 << 20
+DICT_BYTES, ALL_BYTES = 192 << 10, 64 << 20
 LEVEL, MIN_MATCH, SEARCH_LOG = 5, 3, 3
 #: A lead of less than this share of the size, or of fewer bytes than LEAD, is narrow.
 MARGIN, LEAD = 0.01, 2
 
+NO_LETTERS = re.compile(r"[\W\d_]+")
+
 Learned = list[tuple[str, int, bytes]]
 
 
@@ -56,13 +59,17 @@ def learn(docs: DataFrame, dict_bytes: int = DICT_BYTES, sample: int = SAMPLE_DO
     return sorted(((lang, n, dictionary(texts.get(lang, []), dict_bytes)) for lang, n in counts.items()), key=lambda x: (-x[1], x[0]))
 
 
+def letters(text: str) -> bytes:
+    return NO_LETTERS.sub(" ", text.lower()).encode()
+
+
 def dictionary(texts: list[bytes], size: int) -> bytes:
     """Whole texts one after another, the last one cut."""
     out = bytearray()
     for t in texts:
         if len(out) >= size:
             break
-        out += t.decode(errors="replace").lower().encode() + b"\n"
+        out += letters(t.decode(errors="replace")) + b"\n"
     return bytes(out[:size])
 
 
@@ -84,7 +91,7 @@ def classifier(learned: Learned):
     def classify(text: str | None):
         if not text or not has_letter(text) or not compressors:
             return "und", 0.0, True
-        data = text.lower().encode()
+        data = letters(text)
         sizes = [(len(c.compress(data)), i) for i, c in enumerate(compressors)]
         best = min(sizes)
         if len(sizes) == 1:

@@ -256,7 +256,7 @@ def test_language_by_brute_force(spark):
     params = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, min_match=langid.MIN_MATCH, search_log=langid.SEARCH_LOG, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def sizes(text):
-        return [len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params).compress(text.lower().encode())) for _, _, c in learned]
+        return [len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params).compress(re.sub(r"[\W\d_]+", " ", text.lower()).encode())) for _, _, c in learned]
 
     for r in langid.identify(d).collect():
         s = sizes(dict((i, t) for i, t, _ in data)[r["doc_id"]])
