@@ -36,11 +36,13 @@ def declared_expression(declarations: DataFrame) -> DataFrame:
     return said.groupBy("component_id").agg(F.array_join(F.array_distinct(ordered), " AND ").alias("declared"))
 
 
-def found_files(files: DataFrame, declarations: DataFrame) -> DataFrame:
+def found_files(files: DataFrame, declarations: DataFrame | None) -> DataFrame:
     """(component_id, path, weight, excluded, size_bytes, read_error, digest, text, truncated, declared): the files that discovery names and those
     that are declared only, read once; a declared file that isn't in the tree is a row with its error. Contents go no further."""
     columns = [*_KEY, "weight", "excluded", "size_bytes", "read_error", "digest", "text", "truncated"]
     named = detection.read_files(detection.discover(files, "tree")).select(*columns)
+    if declarations is None:
+        return named.withColumn("declared", F.lit(None).cast("string"))
     latest = declarations.groupBy(*_KEY).agg(F.max_by("license", "ord").alias("declared"))
     # Only names are told apart before the join, and only files that discovery doesn't take can be met in it.
     others = files.where(~paths.is_license_file(F.col("path")))
@@ -68,9 +70,6 @@ def collect(subjects: DataFrame, files: DataFrame, corpus: DataFrame, installed:
 
     Four steps are written once and then read by what follows: the files found with their texts, the notices, the manifests and the
     components. Lists of a component are bounded by its own licence files, manifests and lockfiles."""
-    spark = subjects.sparkSession
-    empty = lambda schema: spark.createDataFrame([], schema)
-    declarations = declarations if declarations is not None else empty("component_id string, path string, license string, ord int")
     blank = F.lit("")
     found = materialise(found_files(files, declarations), "found")
     notices = materialise(detection.notice_sample(files), "notices")
@@ -112,7 +111,9 @@ def collect(subjects: DataFrame, files: DataFrame, corpus: DataFrame, installed:
     canonical = spdx.parse_column(listed.where("license <> ''").withColumn("e", spdx.canonicalize(F.col("license"))), "e", "p")
     by_manifest = canonical.groupBy("component_id").agg(F.min_by("license", "path").alias("manifest_license"), F.collect_list(spdx.operands(F.col("p"))).alias("manifest_sets"))
     # A component's declaration is the caller's, or else its manifests'.
-    said = declared_expression(declarations).unionByName(listed.where("license <> ''").join(declarations.select("component_id"), "component_id", "left_anti").groupBy("component_id").agg(F.min_by("license", "path").alias("declared")))
+    said = listed.where("license <> ''").groupBy("component_id").agg(F.min_by("license", "path").alias("declared"))
+    if declarations is not None:
+        said = declared_expression(declarations).unionByName(said.join(declarations.select("component_id"), "component_id", "left_anti"))
     read = spdx.parse_column(said.withColumn("e", spdx.canonicalize(F.col("declared"))), "e", "p").select("component_id", F.col("declared").alias("declared_expression"), spdx.lenient_operands(F.col("e"), F.col("p")).alias("declared_ids"))
     hints = detection.prose_hints(files)
     by_hint = hints.groupBy("component_id").agg(F.bool_or(detection.is_choice(F.col("excerpt"))).alias("states_choice"), F.array_sort(F.collect_list(F.struct("path", "line", "excerpt"))).alias("prose"))
