@@ -29,7 +29,7 @@ from attestry.llm.common import forget, save, small_batches
 CAPACITY = 2048
 #: Pieces that one task packs, a few dozen bytes each.
 TASK_PIECES = 120_000
-MEMORY = 200_000
+MEMORY = 350_000
 #: What a round must gain, as a share of the bins above the bound, for another of the same width.
 WORTH = 0.05
 #: Control characters that Python, but not the vocabulary's pre-tokenizer, takes for white space aren't among bytes.split()'s.
