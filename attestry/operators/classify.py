@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestry.sources.scratch import materialise
+
 GRAM, THRESHOLD = 5, 0.9
 #: Rows of corpus shingles that may be sent to every executor; a larger corpus is joined by exchange.
 BROADCAST_GRAMS = 500_000
@@ -30,11 +32,11 @@ def shingles(df: DataFrame, key: list[str], text: str, gram: int = GRAM) -> Data
 def containment(files: DataFrame, key: list[str], corpus: DataFrame, text: str = "text", gram: int = GRAM) -> DataFrame:
     """(key..., id, confidence): the share of each corpus(id, text) entry's shingles found in a file. A file of several licences
     matches each of them. Only shingles of the corpus leave the scan: the join comes before any exchange of files' shingles."""
-    known = shingles(corpus, ["id"], "text", gram).persist()
+    known = materialise(shingles(corpus, ["id"], "text", gram), "corpus-shingles")
     sizes = known.groupBy("id").agg(F.count(F.lit(1)).alias("total"))
     small = known.count() <= BROADCAST_GRAMS
     found = shingles(files, key, text, gram).join(F.broadcast(known) if small else known, "g")
-    return found.groupBy(*key, "id").agg(F.count(F.lit(1)).alias("hit")).join(F.broadcast(sizes), "id").select(*key, "id", (F.col("hit") / F.col("total")).alias("confidence"))
+    return found.groupBy(*key, "id").agg(F.count(F.lit(1)).alias("hit")).join(F.broadcast(sizes) if small else sizes, "id").select(*key, "id", (F.col("hit") / F.col("total")).alias("confidence"))
 
 
 def identify(files: DataFrame, key: list[str], corpus: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
