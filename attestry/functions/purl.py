@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,7 +67,7 @@ def repository_path(repository: Column) -> Column:
     """host/path of a repository's address, whatever way it is cloned."""
     out = repository
     for scheme in SCHEMES:
-        out = F.when(out.startswith(scheme), F.substring(out, F.lit(len(scheme) + 1), F.length(out))).otherwise(out)
+        out = F.regexp_replace(out, "^" + re.escape(scheme), "")
     return F.regexp_replace(out, r"/\z", "")
 
 

@@ -88,13 +88,14 @@ def check_artifacts(artifacts: DataFrame, checksums: DataFrame) -> DataFrame:
 def pom_licenses(poms: DataFrame) -> DataFrame:
     """(gav, license): each POM's own licence, or its nearest ancestor's. poms(gav, parent, license); cycles end the walk.
 
-    At most POM_ANCESTRY joins, unrolled; each carries two short columns, and rows that are settled stay as they are."""
+    At most POM_ANCESTRY joins, unrolled; each carries two short columns. Rows that are settled join by their own name behind a mark
+    that no name has, so that they stay as they are and don't meet in one partition."""
     known = poms.select(F.col("gav").alias("at"), F.col("parent").alias("up"), F.col("license").alias("own"))
     walk = poms.select("gav", F.coalesce(F.col("license"), F.lit("")).alias("license"), F.col("parent").alias("next"), F.array("gav").alias("seen"))
     for _ in range(POM_ANCESTRY - 1):
         open_now = (F.col("license") == "") & F.col("next").isNotNull() & ~F.array_contains("seen", F.col("next"))
-        step = walk.withColumn("key", F.when(open_now, F.col("next"))).join(known, F.col("key") == F.col("at"), "left")
-        walk = step.select("gav", F.when(F.col("key").isNotNull(), F.coalesce("own", F.lit(""))).otherwise(F.col("license")).alias("license"), F.when(F.col("key").isNotNull(), F.col("up")).alias("next"), F.when(F.col("key").isNotNull(), F.concat("seen", F.array("key"))).otherwise(F.col("seen")).alias("seen"))
+        step = walk.withColumns({"open": F.coalesce(open_now, F.lit(False)), "key": F.when(open_now, F.col("next")).otherwise(F.concat(F.lit("\0"), F.col("gav")))}).join(known, F.col("key") == F.col("at"), "left")
+        walk = step.select("gav", F.when(F.col("open"), F.coalesce("own", F.lit(""))).otherwise(F.col("license")).alias("license"), F.when(F.col("open"), F.col("up")).alias("next"), F.when(F.col("open"), F.concat("seen", F.array("key"))).otherwise(F.col("seen")).alias("seen"))
     return walk.select("gav", "license")
 
 
