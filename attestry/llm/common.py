@@ -88,6 +88,17 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, ours)
 
 
+_remembered: dict = {}
+
+
+def remembered(owner, make):
+    """What a Python worker keeps for one operator between batches and tasks. Workers outlive an operator; what another one kept goes first."""
+    if owner not in _remembered:
+        _remembered.clear()
+        _remembered[owner] = make()
+    return _remembered[owner]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

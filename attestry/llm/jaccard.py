@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import forget, hold, save, settle, small_batches, sweep
+from attestry.llm.common import forget, hold, remembered, save, settle, small_batches, sweep
 
 #: Shingles met in fewer documents aren't told apart from rare ones; of others the most frequent are ranked, one for so many documents within
 #: these bounds (what is sent is then at most 64 MB). All this only shapes the order.
@@ -52,16 +52,13 @@ class Words(dict):
         return h
 
 
-_words = Words()
-
-
 def shingles(text: bytes | None, width: int, distinct: bool = True) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles; the whole sequence counts as one if it is shorter."""
     words = (text or b"").lower().split()  # bytes: A-Z only, and exactly the six ASCII white-space bytes
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
+    h = np.fromiter(map(remembered("shingles", Words).__getitem__, words), np.uint64, n)
     k = min(n, width)
     with np.errstate(over="ignore"):
         out = np.full(n - k + 1, k, np.uint64)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import held_out, small_batches
+from attestry.llm.common import held_out, remembered, small_batches
 
 TRAIN_DOCS = 5_000
 BITS = 18
@@ -48,16 +48,13 @@ class Tokens(dict):
         return h
 
 
-_tokens = Tokens()
-
-
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(indices, values) of a whole text; index 0 is the bias."""
     found = TOKEN.findall(text or "")
     n = len(found)
     if not n:
         return np.zeros(1, np.int64), np.ones(1)
-    h = np.fromiter(map(_tokens.__getitem__, found), np.uint64, n)
+    h = np.fromiter(map(remembered("classifier", Tokens).__getitem__, found), np.uint64, n)
     again = np.zeros(n, bool)
     again[1:] = h[1:] == h[:-1]
     h = np.where(again, REPEAT, h)

@@ -554,3 +554,15 @@ def test_oracles(spark, name):
     assert sorted(got.columns) == columns
     key = lambda r: tuple(str(x) for x in r)
     assert sorted((tuple(r[c] for c in columns) for r in got.collect()), key=key) == sorted((tuple(dict(zip(want.columns, r))[c] for c in columns) for r in want.fetchall()), key=key)
+
+
+def test_workers_keep_one_operators_memory_and_small_ones_give_the_same(spark):
+    from attestry.llm import common, jaccard, packing, quality_model
+
+    quality_model.features("some words here")
+    jaccard.shingles(b"some words here now", 4)
+    assert list(common._remembered) == ["shingles"]
+    rows = [(i, " ".join(f"word{(i * 7 + j * j) % 50}" for j in range(40 * i))) for i in range(30)] + [(30, None), (31, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    wide, narrow = (sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packing.pieces(df, vocabulary("word_bpe_49k.json"), memory=m).collect()) for m in (packing.MEMORY, 3))
+    assert wide == narrow and len({d for d, *_ in wide}) == 32
