@@ -35,9 +35,12 @@ def secret_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset, gap, certified."""
-    return packing.pack_documents(docs, vocabulary(WORD_BPE))
+    return packing.pack_documents(docs, vocabulary(WORD_BPE), memory=WORDS)
 
 
+#: Words that a worker remembers in packing. Workers of a pipeline share their executor with all that its stages have grown.
+WORDS = 75_000
+
 STAGES = [("quality classifier", quality_classifier), ("quality rules", quality_filter), ("n-gram Jaccard join", near_duplicates), ("secret scans", secret_removal), ("best-fit packing", packed)]
 
 #: A trained model takes part, so SQL can't give the rows; tests compare them with a brute-force version.
