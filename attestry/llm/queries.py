@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import bpe, jaccard, langid, licenses, packing, quality_model, quality_rules, secrets, sharding, topk
+from attestry.llm import bpe, fim, jaccard, langid, licenses, linededup, merkle, packing, quality_model, quality_rules, secrets, sharding, topk
 from attestry.llm.common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -62,6 +62,23 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "rule", "start", "length", "score", F.sha2("value", 256).alias("value_sha256"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50)
+    digests = (F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(docs["doc_id"].cast("string").cast("binary")) % 2 == 0
+    return merkle.verified(docs, tampered, F.replace(docs["text"], F.lit("\n"), F.lit("")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,6 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_best_fit_packing, op3_bpe_round_trip, op4_quality_rules, op5_histogram_sharding, op6_language_id, op7_quality_classifier, op8_jaccard_join, op9_topk_search, op10_secret_scan, pipeline)
+    for f in (op1_license_scan, op2_best_fit_packing, op3_bpe_round_trip, op4_quality_rules, op5_histogram_sharding, op6_language_id, op7_quality_classifier, op8_jaccard_join, op9_topk_search, op10_secret_scan, op11_line_dedup, op12_fill_in_middle, op13_merkle_manifest, pipeline)
 }
 ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle(), "op4_quality_rules": quality_rules.ORACLE, "op8_jaccard_join": jaccard.ORACLE, "op9_topk_search": topk.ORACLE}
+ORACLES |= {"op11_line_dedup": linededup.ORACLE, "op12_fill_in_middle": fim.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
