@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attestry.functions import digests, paths
-from attestry.functions.spdx import tag
+from attestry.functions.spdx import header_grant, tag
 from attestry.functions.text import head_bytes, trim_space
+from attestry.operators.notices import header_grants
+from attestry.operators.notices import headers as headers_of
 
 # Bounds.
 MAX_TEXT_BYTES, MAX_NOTICE_FILES, MAX_NOTICE_BYTES, MAX_HINTS, MAX_EXCERPT, MAX_MANIFEST, MAX_LOCKFILE = 131072, 24, 2048, 10, 300, 4 << 20, 64 << 20
@@ -92,23 +94,15 @@ def notice_sample(files: DataFrame) -> DataFrame:
     return kept.select("component_id", "path", F.col("head").cast("string").alias("text"), F.col("nth").cast("long").alias("nth"), "truncated")
 
 
-def header_of(text: Column) -> Column:
-    """What a version-granting notice without a tag grants: licence and version named, later versions offered or not."""
-    flat = F.regexp_replace(text, r"[\s*#/;]+", " ")
-    kind = F.regexp_extract(flat, r"(?i)GNU (Affero |Lesser |Library )?General Public License", 1)
-    version = F.regexp_extract(flat, r"(?i)version (\d(?:\.\d)?)", 1)
-    number = F.when(F.contains(version, F.lit(".")), version).otherwise(F.concat(version, F.lit(".0")))
-    base = F.concat(F.when(F.lower(kind).startswith("affero"), "AGPL-").when(kind != "", "LGPL-").otherwise("GPL-"), number)
-    grant = F.when(flat.rlike(r"(?i)any later version"), F.concat(base, F.lit("-or-later"))).otherwise(F.concat(base, F.lit("-only")))
-    return F.when(flat.rlike(r"(?i)GNU (Affero |Lesser |Library )?General Public License") & (version != ""), grant)
-
-
-def grants(notices: DataFrame) -> DataFrame:
-    """(component_id, expression, source, path, files) of (component_id, path, text, nth): the tag of each notice, else its header; the
-    first place in notice order is kept."""
-    found = notices.withColumns({"t": tag(F.col("text")), "h": header_of(F.col("text"))}).withColumn("expression", F.coalesce("t", "h")).where("expression is not null")
-    kind = F.when(F.col("t").isNotNull(), "spdx-tag").otherwise("header")
+def grants(notices: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """(component_id, expression, source, path, files) of (component_id, path, text, nth): the tag of each notice, else what the first of `headers`
+    (operators.notices) found in it grants; the first place in notice order is kept."""
+    key = ["component_id", "path", "nth"]
+    read = notices.withColumn("tag", tag(F.col("text")))
+    tagged = read.where("tag is not null").select(*key, F.col("tag").alias("expression"), F.lit("spdx-tag").alias("source"))
+    wordings = headers_of(notices.sparkSession) if headers is None else headers
+    worded = header_grants(read.where("tag is null"), key, wordings, header_grant).withColumn("source", F.lit("header"))
     return (
-        found.groupBy("component_id", "expression").agg(F.min_by(F.struct(kind.alias("source"), F.col("path").alias("path")), F.struct("nth", "path")).alias("first"), F.count(F.lit(1)).alias("files"))
+        tagged.unionByName(worded).groupBy("component_id", "expression").agg(F.min_by(F.struct("source", "path"), F.struct("nth", "path")).alias("first"), F.count(F.lit(1)).alias("files"))
         .select("component_id", "expression", "first.source", "first.path", F.col("files").cast("long").alias("files"))
     )
