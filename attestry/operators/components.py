@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import json
-import tomllib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from attestry.functions import digests, paths, purl
-from attestry.functions.text import is_usable_identifier, trim_space
-from attestry.operators.detection import MAX_LOCKFILE
+from attestry.functions.text import is_usable_identifier
+from attestry.operators import locks
 from attestry.operators.manifests import metadata_headers
 from attestry.sources.archives import jar_coordinates
 
 FIELDS = ("component_id", "purl", "name", "version", "ecosystem", "kind", "digest", "digest_algo", "discovered_from", "linkage")
-CARGO_PACKAGES = T.ArrayType(T.StructType().add("name", "string").add("version", "string").add("source", "string").add("checksum", "string"))
-NPM_ENTRIES = T.StructType().add("entries", T.ArrayType(T.StructType().add("name", "string").add("version", "string").add("integrity", "string"))).add("dev", "long").add("local", "long")
 SOURCE_ECOSYSTEMS, INSTALLED_ECOSYSTEMS = ("golang", "cargo", "npm"), ("pypi", "maven")
 
 
@@ -30,14 +23,6 @@ def shallowest(files: DataFrame, name: Column | str) -> DataFrame:
     return named.groupBy("component_id").agg(F.min_by("path", F.struct(F.size(F.split("path", "/")).alias("d"), F.split("path", "/").alias("s"))).alias("path"))
 
 
-#: Names of what _content_of may be asked for; other files' contents don't come near the join.
-LOCK_NAMES = ("go.sum", "modules.txt", "Cargo.lock", "npm-shrinkwrap.json", "package-lock.json")
-
-
-def _content_of(files: DataFrame, chosen: DataFrame) -> DataFrame:
-    return files.where(paths.base_name(F.col("path")).isin(*LOCK_NAMES) & (F.col("size_bytes") <= MAX_LOCKFILE) & F.col("read_error").isNull()).join(chosen, ["component_id", "path"]).select("component_id", "path", F.col("content").cast("string").alias("t"))
-
-
 def _component(df: DataFrame, address: Column, ecosystem: str, algorithm: Column | str, linkage: str) -> DataFrame:
     """Digest and algorithm are set together or not at all."""
     digest = F.coalesce(F.col("digest"), F.lit(""))
@@ -48,118 +33,17 @@ def _component(df: DataFrame, address: Column, ecosystem: str, algorithm: Column
     )
 
 
-def go_sum_lines(text: Column) -> Column:
-    """array<struct<key: module@version, h1>> of the lines that speak of content."""
-    fields = F.transform(F.split(text, r"\r?\n"), lambda x: F.filter(F.split(x, r"[\t ]+"), lambda f: f != ""))
-    zips = F.filter(fields, lambda f: (F.size(f) == 3) & ~F.get(f, F.lit(1)).endswith("/go.mod"))
-    return F.transform(zips, lambda f: F.struct(F.concat(f[0], F.lit("@"), f[1]).alias("key"), f[0].alias("module"), f[1].alias("version"), f[2].alias("h1")))
-
-
-def vendor_modules(text: Column) -> Column:
-    """array<struct<module, version>> of a vendored module list; a replaced module keeps its path and has the other's version."""
-    lines = F.transform(F.filter(F.split(text, r"\r?\n"), lambda x: x.startswith("# ")), lambda x: trim_space(F.substring(x, F.lit(3), F.length(x))))
-    words = lambda s: F.filter(F.split(s, r"[\t ]+"), lambda w: w != "")
-
-    def one(x: Column) -> Column:
-        sides = F.split(x, " => ", 2)
-        replaced = F.size(sides) == 2
-        left, right = words(F.get(sides, F.lit(0))), words(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
-        version = F.when(replaced, F.try_element_at(right, F.lit(-1))).otherwise(F.get(left, F.lit(1)))
-        return F.struct(F.get(left, F.lit(0)).alias("module"), F.coalesce(version, F.lit("")).alias("version"))
-
-    return F.filter(F.transform(lines, one), lambda m: F.coalesce(m["module"], F.lit("")) != "")
-
-
 def enumerate_go(files: DataFrame) -> DataFrame:
-    """The vendored list where there is one, else the checksum file; checksums join by module and version."""
-    roots = shallowest(files, "go.mod").select("component_id", F.regexp_replace(paths.directory(F.col("path")), r"^\.\z", "").alias("dir"))
-    at = lambda tail: F.when(F.col("dir") == "", F.lit(tail)).otherwise(F.concat("dir", F.lit("/" + tail)))
-    sums = _content_of(files, roots.select("component_id", at("go.sum").alias("path")))
-    lists = _content_of(files, roots.select("component_id", at("vendor/modules.txt").alias("path")))
-    lines = sums.select("component_id", "path", F.posexplode(go_sum_lines(F.col("t"))).alias("line", "x")).select("component_id", "path", "line", "x.*")
-    listed = lists.select("component_id", "path", F.explode(vendor_modules(F.col("t"))).alias("x")).select("component_id", "path", F.col("x.module").alias("name"), F.col("x.version").alias("version"))
-    h1 = lines.groupBy("component_id", "key").agg(F.max_by("h1", "line").alias("digest"))  # of lines that repeat a key the last holds
-    from_list = listed.withColumn("key", F.concat("name", F.lit("@"), "version")).join(h1, ["component_id", "key"], "left")
-    # One component a key, as with the list.
-    keyed = lines.groupBy("component_id", "path", "key").agg(F.max_by(F.struct("module", "version", "h1"), "line").alias("x"))
-    alone = keyed.join(lists.select("component_id").distinct(), "component_id", "left_anti").select("component_id", "path", F.col("x.module").alias("name"), "x.version", F.col("x.h1").alias("digest"))
-    both = from_list.select("component_id", "path", "name", "version", "digest").unionByName(alone)
-    return _component(both, purl.golang(F.col("name"), F.col("version")), "golang", "h1", "static")
-
-
-@F.pandas_udf(CARGO_PACKAGES)
-def cargo_packages(content: pd.Series) -> pd.Series:
-    """The packages of a Cargo lockfile. Checksums of its first version are in a table of their own; the package's own comes first."""
-
-    def one(text):
-        try:
-            doc = tomllib.loads(text or "")
-        except tomllib.TOMLDecodeError:
-            return None
-        table = doc.get("metadata", {}) if isinstance(doc.get("metadata"), dict) else {}
-        out = []
-        for p in doc.get("package", []):
-            name, version, source = (str(p.get(k, "")) for k in ("name", "version", "source"))
-            out.append({"name": name, "version": version, "source": source, "checksum": str(p.get("checksum") or table.get(f"checksum {name} {version} ({source})", ""))})
-        return out
-
-    return content.map(one)
+    return locks.parts(locks.stream(files).where(F.col("kind").isin(locks.SUMS, locks.MODULES)))
 
 
 def enumerate_cargo(files: DataFrame) -> DataFrame:
     """Packages with a source; those without are the workspace's own."""
-    locks = _content_of(files, shallowest(files, "Cargo.lock"))
-    rows = locks.select("component_id", "path", F.explode(cargo_packages("t")).alias("x")).where("x.source <> ''").select("component_id", "path", F.col("x.name").alias("name"), F.col("x.version").alias("version"), F.nullif(F.col("x.checksum"), F.lit("")).alias("digest"))
-    return _component(rows, purl.cargo(F.col("name"), F.col("version")), "cargo", "sha256", "static")
-
-
-@F.pandas_udf(NPM_ENTRIES)
-def npm_entries(content: pd.Series) -> pd.DataFrame:
-    """Published packages of an npm lockfile, flat layout before nested, and how many are for development or local."""
-
-    def flat(packages):
-        for where, p in packages.items():
-            if where and isinstance(p, dict):
-                yield p.get("name") or where.rsplit("node_modules/", 1)[-1], p, bool(p.get("link"))
-
-    def nested(deps):
-        waiting = list((deps or {}).items())
-        while waiting:
-            name, p = waiting.pop()
-            if isinstance(p, dict):
-                yield name, p, False
-                waiting += list((p.get("dependencies") or {}).items())
-
-    def one(text):
-        try:
-            doc = json.loads(text or "")
-        except ValueError:
-            return None, 0, 0
-        if not isinstance(doc, dict):
-            return None, 0, 0
-        found, dev, local = {}, 0, 0
-        for name, p, link in flat(doc["packages"]) if doc.get("packages") else nested(doc.get("dependencies")):
-            version = p.get("version") or ""
-            if p.get("dev"):
-                dev += 1
-            elif not name or not version or link or not str(p.get("resolved") or "").startswith("https://"):
-                local += 1
-            else:
-                found[(name, version, p.get("integrity") or "")] = None
-        return [{"name": n, "version": v, "integrity": i} for n, v, i in sorted(found)], dev, local
-
-    return pd.DataFrame([one(x) for x in content], columns=["entries", "dev", "local"])
-
-
-def npm_locks(files: DataFrame) -> DataFrame:
-    """The shrinkwrap file if there is one, else the lockfile."""
-    wraps, locks = shallowest(files, "npm-shrinkwrap.json"), shallowest(files, "package-lock.json")
-    return wraps.unionByName(locks.join(wraps.select("component_id"), "component_id", "left_anti"))
+    return locks.parts(locks.stream(files).where(F.col("kind") == locks.CARGO))
 
 
 def enumerate_npm(files: DataFrame) -> DataFrame:
-    rows = _content_of(files, npm_locks(files)).withColumn("r", npm_entries("t")).select("component_id", "path", F.explode("r.entries").alias("x")).select("component_id", "path", F.col("x.name").alias("name"), F.col("x.version").alias("version"), F.col("x.integrity").alias("digest"))
-    return _component(rows, purl.npm(F.col("name"), F.col("version")), "npm", "npm-integrity", "bundled")
+    return locks.parts(locks.stream(files).where(F.col("kind") == locks.NPM))
 
 
 def enumerate_python(installed: DataFrame, own: str = "") -> DataFrame:
@@ -172,40 +56,42 @@ def enumerate_python(installed: DataFrame, own: str = "") -> DataFrame:
     return _component(rows, purl.pypi(F.col("name"), F.col("version")), "pypi", "sha256", "bundled")
 
 
-def enumerate_java(installed: DataFrame) -> DataFrame:
-    rows = jar_coordinates(installed).where("group_id is not null").select("component_id", "path", F.concat("group_id", F.lit(":"), "artifact_id").alias("name"), "group_id", "artifact_id", "version", F.lit(None).cast("string").alias("digest"))
+def enumerate_java(installed: DataFrame, jars: DataFrame | None = None) -> DataFrame:
+    """`jars` is jar_coordinates() of the trees, where the caller has it already."""
+    found = (jar_coordinates(installed) if jars is None else jars).where("group_id is not null")
+    rows = found.select("component_id", "path", F.concat("group_id", F.lit(":"), "artifact_id").alias("name"), "group_id", "artifact_id", "version", F.lit(None).cast("string").alias("digest"))
     return _component(rows, purl.maven(F.col("group_id"), F.col("artifact_id"), F.col("version")), "maven", "sha1", "bundled")
 
 
 def finalize(components: DataFrame) -> DataFrame:
     """Malformed identities dropped, one row for each (component_id, purl, digest); `ord` puts the source component first."""
+    return one_each(components).withColumn("ord", F.row_number().over(Window.partitionBy("component_id").orderBy(F.col("kind") != "package-source", "purl", "digest")))
+
+
+def one_each(components: DataFrame) -> DataFrame:
+    """Usable identities, one row for each (component_id, purl, digest): the first by where it was found. Repeats are combined before they travel."""
     usable = components.where(is_usable_identifier(F.col("purl")) & is_usable_identifier(F.col("name")))
-    w = Window.partitionBy("component_id", "purl", "digest").orderBy("discovered_from", "linkage", "kind")
-    one = usable.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
-    return one.withColumn("ord", F.row_number().over(Window.partitionBy("component_id").orderBy(F.col("kind") != "package-source", "purl", "digest")))
+    rest = [c for c in FIELDS if c not in ("component_id", "purl", "digest")]
+    first = usable.groupBy("component_id", "purl", "digest").agg(F.min_by(F.struct(*rest), F.struct("discovered_from", "linkage", "kind", "name")).alias("x"))
+    return first.select("component_id", "purl", "digest", "x.*").select(*FIELDS)
 
 
 def enumerate_source(files: DataFrame) -> DataFrame:
-    return enumerate_go(files).unionByName(enumerate_cargo(files)).unionByName(enumerate_npm(files))
+    return locks.parts(locks.stream(files))
 
 
 def lockfile_gaps(files: DataFrame) -> DataFrame:
     """(component_id, detail): lockfiles whose dependencies are missing because they can't be read, are too large or don't parse."""
-    cargo, npm = shallowest(files, "Cargo.lock"), npm_locks(files)
-    top = paths.directory(F.col("path"))
-    go = shallowest(files, "go.mod").select("component_id", F.explode(F.transform(F.array(F.lit("go.sum"), F.lit("vendor/modules.txt")), lambda t: F.when(top == ".", t).otherwise(F.concat(top, F.lit("/"), t)))).alias("path"))
-    why = F.coalesce("read_error", F.when(F.col("size_bytes") > MAX_LOCKFILE, "too large"))
-    unread = files.select("component_id", "path", why.alias("why")).where("why is not null").join(cargo.unionByName(npm).unionByName(go), ["component_id", "path"])
-    broken = _content_of(files, cargo).where(cargo_packages("t").isNull()).unionByName(_content_of(files, npm).where(npm_entries("t")["entries"].isNull()))
-    both = unread.unionByName(broken.select("component_id", "path", F.lit("doesn't parse").alias("why")))
-    return both.select("component_id", F.concat("path", F.lit(": "), "why").alias("detail"))
+    return locks.failures(locks.stream(files))
 
 
-def installed_gaps(installed: DataFrame) -> DataFrame:
+def installed_gaps(installed: DataFrame, jars: DataFrame | None = None) -> DataFrame:
     """(component_id, detail): how many jars give no coordinates, and how many distributions no readable metadata."""
-    jars = installed.where(F.lower("path").endswith(".jar")).select("component_id", "path")
-    named = jar_coordinates(installed.where("read_error is null")).where("group_id is not null").select("component_id", "path").distinct().withColumn("named", F.lit(1))
-    lost = jars.join(named, ["component_id", "path"], "left").groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.count("named").alias("good")).where("good < n")
+    read = jar_coordinates(installed.where("read_error is null")) if jars is None else jars
+    # A jar is one name here however many coordinates it has; one that wasn't read at all still counts.
+    named = read.select("component_id", "path", F.col("group_id").isNotNull().cast("int").alias("good"))
+    every = installed.where(F.lower("path").endswith(".jar")).select("component_id", "path", F.lit(0).alias("good")).unionByName(named)
+    lost = every.groupBy("component_id", "path").agg(F.max("good").alias("good")).groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good")).where("good < n")
     of_jars = lost.select("component_id", F.format_string("maven: %d of %d jars carry no coordinates", F.col("n") - F.col("good"), "n").alias("detail"))
     inside = F.regexp_extract("path", r"^((?:.*/)?[^/]*\.dist-info)/", 1)
     # A directory is known by the files in it.
@@ -214,27 +100,26 @@ def installed_gaps(installed: DataFrame) -> DataFrame:
     return of_jars.unionByName(poor.select("component_id", F.format_string("pypi: %d dist-info directories had no readable METADATA", "n").alias("detail")))
 
 
-def notes(files: DataFrame, parts: DataFrame) -> DataFrame:
-    """(component_id, note): what enumeration left out on purpose, and how wide a list without a vendored one is."""
-    npm = _content_of(files, npm_locks(files)).select("component_id", npm_entries("t").alias("r"))
-    cargo = _content_of(files, shallowest(files, "Cargo.lock")).select("component_id", F.size(F.filter(cargo_packages("t"), lambda x: x["source"] == "")).alias("n"))
-    sums = parts.where(F.col("discovered_from").endswith("go.sum")).groupBy("component_id").agg(F.count(F.lit(1)).alias("n"))
-    note = lambda df, n, text: df.where(n > 0).select("component_id", F.format_string(text, n).alias("note"))
-    return (
-        note(npm, F.col("r.dev"), "npm: %d development dependencies excluded; they are not shipped").unionByName(note(npm, F.col("r.local"), "npm: %d workspace or non-registry entries covered by the package source"))
-        .unionByName(note(cargo, F.col("n"), "cargo: %d workspace-local crates covered by the package source")).unionByName(note(sums, F.col("n"), "go: %d module identities from go.sum, which may include modules that the build prunes"))
-    )
+def notes(files: DataFrame) -> DataFrame:
+    """(component_id, note): what enumeration left out on purpose, how wide a list without a vendored one is, identities dropped."""
+    read = locks.stream(files)
+    return locks.notes(read).unionByName(locks.dropped(locks.parts(read)))
 
 
-def enumerate_installed(installed: DataFrame, own: str = "") -> DataFrame:
-    return enumerate_python(installed, own).unionByName(enumerate_java(installed))
+def enumerate_installed(installed: DataFrame, own: str = "", jars: DataFrame | None = None) -> DataFrame:
+    return enumerate_python(installed, own).unionByName(enumerate_java(installed, jars))
 
 
-def source_components(sources: DataFrame) -> DataFrame:
-    """The component itself: sources(component_id, name, version, repository, commit, patches array<struct<path, digest>>). It goes by its
-    repository where that is known. Its digest is that of its patches, with the algorithm named even where there are none."""
+def source_of() -> Column:
+    """struct of the component itself, of columns name, version, repository, commit, patches array<struct<path, digest>>. It goes by its repository where that
+    is known. Its digest is that of its patches, with the algorithm named even where there are none."""
     address = purl.source(F.col("name"), F.col("version"), F.col("repository"), F.col("commit"))
-    return sources.select(
-        "component_id", address.alias("purl"), F.coalesce(F.nullif(F.col("repository"), F.lit("")), F.col("name")).alias("name"), "version", F.lit("generic").alias("ecosystem"), F.lit("package-source").alias("kind"),
+    return F.struct(
+        address.alias("purl"), F.coalesce(F.nullif(F.col("repository"), F.lit("")), F.col("name")).alias("name"), F.col("version").alias("version"), F.lit("generic").alias("ecosystem"), F.lit("package-source").alias("kind"),
         digests.patch_set_digest(F.col("patches")).alias("digest"), F.lit("patch-set").alias("digest_algo"), F.lit("").alias("discovered_from"), F.lit("").alias("linkage"),
     )
+
+
+def source_components(sources: DataFrame) -> DataFrame:
+    """(component_id and the fields of source_of) of sources(component_id, name, version, repository, commit, patches)."""
+    return sources.select("component_id", source_of().alias("s")).select("component_id", "s.*")

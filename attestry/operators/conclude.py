@@ -46,21 +46,27 @@ def conclude(components: DataFrame, files: DataFrame, granted: DataFrame) -> Dat
     df = components.select("component_id").join(per, "component_id", "left").join(granted, "component_id", "left")
     none = F.array().cast("array<string>")
     df = df.withColumns({"identifiers": F.coalesce("identifiers", none), "expressions": F.coalesce("expressions", none), "sampled": F.coalesce("sampled", F.lit(0)), "unrecognized": F.coalesce("unrecognized", F.lit(False))})
+    settled = settle(F.col("identifiers"), F.col("unrecognized"), F.col("expressions"), F.col("sampled"))
+    return df.select("component_id", *(settled[c].alias(c) for c in ("expression", "reason")), "identifiers", settled["grant_basis"].alias("grant_basis"), "unrecognized")
+
+
+def settle(identifiers: Column, unrecognized: Column, granted: Column, sampled: Column) -> dict[str, Column]:
+    """expression, reason and grant_basis of a component's identifiers, given what its notices grant and how many were read."""
     # The one identifier is resolved anew, so a base that lost its exception resolves without it.
-    df = df.withColumn("r", spdx.normalize(F.get("identifiers", F.lit(0))))
-    expr, hits = grant_for(F.col("r.only"), F.col("r.or_later"), F.col("expressions"))
-    df = df.withColumns({"granted": expr, "hits": hits, "one": F.size("identifiers") == 1})
-    needs = F.col("one") & F.col("r.grant_base").isNotNull()
+    r = spdx.normalize(F.get(identifiers, F.lit(0)))
+    expr, hits = grant_for(r["only"], r["or_later"], granted)
+    one = F.size(identifiers) == 1
+    needs = one & r["grant_base"].isNotNull()
     reason = (
-        F.when((F.size("identifiers") == 0) & F.col("unrecognized"), "unrecognized-license-text")
-        .when(F.size("identifiers") == 0, "no-license-text")
-        .when(F.size("identifiers") > 1, "several-licenses")
-        .when(needs & (F.col("hits") > 1), "grant-undecided")
+        F.when((F.size(identifiers) == 0) & unrecognized, "unrecognized-license-text")
+        .when(F.size(identifiers) == 0, "no-license-text")
+        .when(F.size(identifiers) > 1, "several-licenses")
+        .when(needs & (hits > 1), "grant-undecided")
         .otherwise("")
     )
-    expression = F.when(F.col("one") & ~needs, F.get("identifiers", F.lit(0))).when(needs & (F.col("hits") == 1), F.col("granted")).when(needs & (F.col("hits") == 0), F.col("r.only")).otherwise("")
-    basis = F.when(~needs, "").when(F.col("hits") == 1, "notice").when(F.col("hits") > 1, "mixed").when(F.col("sampled") > 0, "absent").otherwise("unknown")
-    return df.select("component_id", expression.alias("expression"), reason.alias("reason"), "identifiers", basis.alias("grant_basis"), "unrecognized")
+    expression = F.when(one & ~needs, F.get(identifiers, F.lit(0))).when(needs & (hits == 1), expr).when(needs & (hits == 0), r["only"]).otherwise("")
+    basis = F.when(~needs, "").when(hits == 1, "notice").when(hits > 1, "mixed").when(sampled > 0, "absent").otherwise("unknown")
+    return {"expression": expression, "reason": reason, "grant_basis": basis}
 
 
 def license_ref_of(files: DataFrame) -> DataFrame:

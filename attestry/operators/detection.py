@@ -13,7 +13,7 @@ from attestry.operators.notices import header_grants
 from attestry.operators.notices import headers as headers_of
 
 # Bounds.
-MAX_TEXT_BYTES, MAX_NOTICE_FILES, MAX_NOTICE_BYTES, MAX_HINTS, MAX_EXCERPT, MAX_MANIFEST, MAX_LOCKFILE = 131072, 24, 2048, 10, 300, 4 << 20, 64 << 20
+MAX_TEXT_BYTES, MAX_NOTICE_FILES, MAX_NOTICE_BYTES, MAX_HINTS, MAX_EXCERPT, MAX_MANIFEST = 131072, 24, 2048, 10, 300, 4 << 20
 # Wordings that leave the choice of licence to the user.
 CHOICE = (
     r"\bat your option\b", r"\bat the user'?s option\b", r"\b(dual|tri|triple|quad|multi)[\s-]*licen[sc]ed\b", r"\bunder either\b",
@@ -52,15 +52,22 @@ def with_declarations(candidates: DataFrame, declarations: DataFrame) -> DataFra
     return both.withColumns({"weight": F.coalesce("weight", F.lit(0.0)), "excluded": F.coalesce("excluded", paths.exclusion(F.col("path")))})
 
 
+def is_prose() -> Column:
+    """Of a files table: prose at the top that can be read."""
+    return (paths.depth(F.col("path")) == 0) & paths.is_prose_file(F.col("path")) & F.col("read_error").isNull()
+
+
+def hints(content: Column) -> Column:
+    """array<struct<line, excerpt>>: the first lines of a text that mention a licence."""
+    trimmed = F.transform(F.split(content.cast("string"), "\n"), lambda x, i: F.struct((i + 1).cast("long").alias("line"), trim_space(x).alias("excerpt")))
+    first = F.slice(F.filter(trimmed, lambda x: x["excerpt"].rlike(paths.LICENSE_MENTION)), 1, MAX_HINTS)
+    cut = lambda x: F.when(F.octet_length(x) > MAX_EXCERPT, F.concat(F.make_valid_utf8(head_bytes(x, MAX_EXCERPT).cast("string")), F.lit("..."))).otherwise(F.make_valid_utf8(x))
+    return F.transform(first, lambda x: F.struct(x["line"].alias("line"), cut(x["excerpt"]).alias("excerpt")))
+
+
 def prose_hints(files: DataFrame) -> DataFrame:
     """(component_id, path, line, excerpt): the first lines of top-level prose files that mention a licence."""
-    prose = files.where((paths.depth(F.col("path")) == 0) & paths.is_prose_file(F.col("path")) & F.col("read_error").isNull())
-    lines = prose.select("component_id", "path", F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("n", "whole"))
-    hits = lines.withColumn("trimmed", trim_space(F.col("whole"))).where(F.col("trimmed").rlike(paths.LICENSE_MENTION)).drop("whole")
-    first = hits.withColumn("nth", F.row_number().over(Window.partitionBy("component_id", "path").orderBy("n"))).where(F.col("nth") <= MAX_HINTS)
-    trimmed = F.col("trimmed")
-    excerpt = F.when(F.octet_length(trimmed) > MAX_EXCERPT, F.concat(head_bytes(trimmed, MAX_EXCERPT).cast("string"), F.lit("..."))).otherwise(trimmed)
-    return first.select("component_id", "path", (F.col("n") + 1).cast("long").alias("line"), excerpt.alias("excerpt"))
+    return files.where(is_prose()).select("component_id", "path", F.explode(hints(F.col("content"))).alias("h")).select("component_id", "path", "h.*")
 
 
 def is_choice(excerpt: Column) -> Column:
@@ -75,23 +82,29 @@ def choice_of_license(hints: DataFrame) -> DataFrame:
     return hints.where(is_choice(F.col("excerpt"))).groupBy("component_id").agg(F.min_by("excerpt", F.struct("path", "line")).alias("excerpt"))
 
 
-def notice_sample(files: DataFrame) -> DataFrame:
-    """(component_id, path, text, nth, truncated): an even sample of source files by path, at most MAX_NOTICE_FILES readable ones.
-
-    The places are those that a fixed stride gives over the sorted paths; files that are empty or hold a zero byte make way for the next."""
+def notice_paths(files: DataFrame) -> DataFrame:
+    """(component_id, path, i): an even sample of source files: the places that a fixed stride gives over the sorted paths. Paths alone are numbered."""
     p = F.col("path")
     candidates = files.where(paths.is_notice_source(p) & (paths.dir_exclusion(paths.directory(p)) == "") & ~paths.is_license_file(p)).select("component_id", "path")
-    # Paths alone are counted and numbered; contents join the few that are sampled.
     by_path = Window.partitionBy("component_id").orderBy("path")
     numbered = candidates.withColumns({"i": F.row_number().over(by_path) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("component_id"))})
     stride = F.when(F.col("n") > MAX_NOTICE_FILES, F.floor(F.col("n") / MAX_NOTICE_FILES)).otherwise(1)
-    sampled = numbered.where(F.col("i") % stride == 0).select("component_id", "path", "i")
-    head = head_bytes(F.col("content"), MAX_NOTICE_BYTES)
-    # Of other files not even the head goes into the join.
-    read = files.where(paths.is_notice_source(p)).select("component_id", "path", head.alias("head"), "read_error", (F.col("size_bytes") > MAX_NOTICE_BYTES).alias("truncated")).join(sampled, ["component_id", "path"])
+    return numbered.where(F.col("i") % stride == 0).select("component_id", "path", "i")
+
+
+def notice_heads(read: DataFrame) -> DataFrame:
+    """(component_id, path, text, nth, truncated) of (component_id, path, i, head, size_bytes, read_error): at most MAX_NOTICE_FILES of the sampled files; those that are
+    empty, can't be read or hold a zero byte make way for the next."""
     good = read.where(F.col("read_error").isNull() & (F.octet_length("head") > 0) & ~F.contains(F.col("head").cast("string"), F.lit("\0")))
     kept = good.withColumn("nth", F.row_number().over(Window.partitionBy("component_id").orderBy("i"))).where(F.col("nth") <= MAX_NOTICE_FILES)
-    return kept.select("component_id", "path", F.col("head").cast("string").alias("text"), F.col("nth").cast("long").alias("nth"), "truncated")
+    return kept.select("component_id", "path", F.col("head").cast("string").alias("text"), F.col("nth").cast("long").alias("nth"), (F.col("size_bytes") > MAX_NOTICE_BYTES).alias("truncated"))
+
+
+def notice_sample(files: DataFrame) -> DataFrame:
+    """(component_id, path, text, nth, truncated): an even sample of source files by path, at most MAX_NOTICE_FILES readable ones."""
+    # Of files that are no sources not even the head goes into the join.
+    heads = files.where(paths.is_notice_source(F.col("path"))).select("component_id", "path", head_bytes(F.col("content"), MAX_NOTICE_BYTES).alias("head"), "size_bytes", "read_error")
+    return notice_heads(heads.join(notice_paths(files), ["component_id", "path"]))
 
 
 def grants(notices: DataFrame, headers: DataFrame | None = None) -> DataFrame:

@@ -43,46 +43,43 @@ def package_json_license(content: Column) -> Column:
     return F.coalesce(empty_to_null(_json_field(doc, "license")), _json_field(doc, "licenses"), F.lit(""))
 
 
-@F.pandas_udf(LICENSE_AND_FILE)
-def cargo_license(content: pd.Series) -> pd.DataFrame:
-    """Spark reads no TOML. The declared licence, else the file named in its place."""
+def _said(value) -> str:
+    return value.strip() if isinstance(value, str) else ""
 
-    def one(text):
-        try:
-            package = tomllib.loads(text or "").get("package", {})
-            declared = package.get("license", "")
-            declared = declared.strip() if isinstance(declared, str) else ""
-            file = package.get("license-file", "")
-            return (declared, "") if declared else ("", file.strip() if isinstance(file, str) else "")
-        except (tomllib.TOMLDecodeError, AttributeError):
-            return "", ""
 
-    return pd.DataFrame([one(x) for x in content], columns=["license", "license_file"])
+def _table(doc, key: str) -> dict:
+    return doc[key] if isinstance(doc, dict) and isinstance(doc.get(key), dict) else {}
 
 
-@F.pandas_udf(LICENSE_AND_FILE)
-def pyproject_license(content: pd.Series) -> pd.DataFrame:
+def cargo_license(doc: dict) -> tuple[str, str]:
+    """The declared licence, else the file named in its place."""
+    package = _table(doc, "package")
+    declared = _said(package.get("license"))
+    return (declared, "") if declared else ("", _said(package.get("license-file")))
+
+
+def pyproject_license(doc: dict) -> tuple[str, str]:
     """The project table's licence as text or table, else poetry's."""
+    value = _table(doc, "project").get("license")
+    if _said(value):
+        return _said(value), ""
+    if isinstance(value, dict) and (_said(value.get("text")) or _said(value.get("file"))):
+        return (_said(value["text"]), "") if _said(value.get("text")) else ("", _said(value["file"]))
+    return _said(_table(_table(doc, "tool"), "poetry").get("license")), ""
+
 
-    def one(text):
+@F.pandas_udf(LICENSE_AND_FILE)
+def toml_license(name: pd.Series, content: pd.Series) -> pd.DataFrame:
+    """Spark reads no TOML. What isn't text or doesn't parse declares nothing."""
+
+    def one(name, content):
         try:
-            doc = tomllib.loads(text or "")
-        except tomllib.TOMLDecodeError:
+            doc = tomllib.loads(bytes(content or b"").decode("utf-8"))
+        except (ValueError, RecursionError):
             return "", ""
-        project = doc.get("project") if isinstance(doc.get("project"), dict) else {}
-        value = project.get("license")
-        if isinstance(value, str) and value.strip():
-            return value.strip(), ""
-        if isinstance(value, dict):
-            if isinstance(value.get("text"), str) and value["text"].strip():
-                return value["text"].strip(), ""
-            if isinstance(value.get("file"), str) and value["file"].strip():
-                return "", value["file"].strip()
-        tool = doc.get("tool") if isinstance(doc.get("tool"), dict) else {}
-        poetry = tool.get("poetry", {}).get("license") if isinstance(tool.get("poetry"), dict) else None
-        return (poetry.strip(), "") if isinstance(poetry, str) else ("", "")
-
-    return pd.DataFrame([one(x) for x in content], columns=["license", "license_file"])
+        return (cargo_license if name == "Cargo.toml" else pyproject_license)(doc)
+
+    return pd.DataFrame([one(n, c) for n, c in zip(name, content)], columns=["license", "license_file"])
 
 
 def setup_cfg_license(content: Column) -> Column:
@@ -115,22 +112,31 @@ def pom_license(content: Column) -> Column:
     return F.coalesce(join_choice(entries), F.lit(""))
 
 
-def manifests(files: DataFrame) -> DataFrame:
-    """(component_id, path, ecosystem, license, license_file) of top-level manifests, those that declare nothing included."""
+TOML = ("Cargo.toml", "pyproject.toml")
+
+
+def is_manifest() -> Column:
+    """Of a files table: a manifest at the top that can be read."""
     name = F.col("path")
-    top = files.where((paths.depth(name) == 0) & paths.is_manifest_file(name) & (F.col("size_bytes") <= MAX_MANIFEST) & F.col("read_error").isNull())
-    text = top.withColumn("t", F.col("content").cast("string"))
-    # Each reader sees only its own files: the TOML ones, which leave the JVM, are kept apart.
-    toml = text.where(name.isin("Cargo.toml", "pyproject.toml"))
-    cargo = toml.where(name == "Cargo.toml").withColumn("r", cargo_license("t")).select("component_id", "path", F.lit("cargo").alias("ecosystem"), "r.license", "r.license_file")
-    pyproject = toml.where(name == "pyproject.toml").withColumn("r", pyproject_license("t")).select("component_id", "path", F.lit("pypi").alias("ecosystem"), "r.license", "r.license_file")
-    ecosystem = F.when(name == "package.json", "npm").when(name == "go.mod", "golang").when(name.startswith("pom"), "maven").otherwise("pypi")
+    return (paths.depth(name) == 0) & paths.is_manifest_file(name) & (F.col("size_bytes") <= MAX_MANIFEST) & F.col("read_error").isNull()
+
+
+def manifest(name: Column, content: Column) -> Column:
+    """struct<ecosystem, license, license_file> of a manifest: each is read by its own reader, TOML ones alone outside of the JVM."""
+    # Bytes that are no UTF-8 don't get further than here.
+    text = F.make_valid_utf8(content.cast("string"))
+    ecosystem = F.when(name == "package.json", "npm").when(name == "go.mod", "golang").when(name == "Cargo.toml", "cargo").when(name.startswith("pom"), "maven").otherwise("pypi")
+    toml = toml_license(name, F.when(name.isin(*TOML), content))
     declared = (
-        F.when(name == "package.json", package_json_license(F.col("t"))).when(name == "setup.cfg", setup_cfg_license(F.col("t")))
-        .when(name.startswith("pom"), pom_license(F.col("t"))).when(name.isin("METADATA", "PKG-INFO"), metadata_license(F.col("t"))).otherwise("")
+        F.when(name == "package.json", package_json_license(text)).when(name == "setup.cfg", setup_cfg_license(text)).when(name.startswith("pom"), pom_license(text))
+        .when(name.isin("METADATA", "PKG-INFO"), metadata_license(text)).when(name.isin(*TOML), toml["license"]).otherwise("")
     )
-    native = text.where(~name.isin("Cargo.toml", "pyproject.toml")).select("component_id", "path", ecosystem.alias("ecosystem"), F.coalesce(declared, F.lit("")).alias("license"), F.lit("").alias("license_file"))
-    return native.unionByName(cargo).unionByName(pyproject)
+    return F.struct(ecosystem.alias("ecosystem"), F.coalesce(declared, F.lit("")).alias("license"), F.coalesce(F.when(name.isin(*TOML), toml["license_file"]), F.lit("")).alias("license_file"))
+
+
+def manifests(files: DataFrame) -> DataFrame:
+    """(component_id, path, ecosystem, license, license_file) of top-level manifests, those that declare nothing included."""
+    return files.where(is_manifest()).withColumn("m", manifest(F.col("path"), F.col("content"))).select("component_id", "path", "m.*")
 
 
 def declared_license(found: DataFrame) -> DataFrame:

@@ -5,15 +5,16 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestry.functions import paths, spdx
-from attestry.functions.digests import content_hash, content_hash_agg, file_digest
-from attestry.functions.text import trim_space
+from attestry.functions.digests import content_hash, file_digest, license_ref
+from attestry.functions.text import head_bytes, trim_space
 from attestry.operators import assess as assessing
-from attestry.operators import classify, components, conclude, detection, manifests, ownership
+from attestry.operators import classify, components, conclude, detection, locks, manifests, spans
+from attestry.sources.archives import jar_coordinates
 from attestry.sources.scratch import materialise
 
 SCHEMA_VERSION = 1
@@ -26,123 +27,199 @@ ALWAYS = (
 
 #: Matches below this share of a known text are chance.
 WEAK = 0.25
-_STRINGS, _KEY = "array<string>", ["component_id", "path"]
+_KEY = ["component_id", "path"]
 
 
-def declared_expression(declarations: DataFrame) -> DataFrame:
-    """(component_id, declared): distinct declared licences in their order, joined by AND."""
-    said = declarations.withColumn("license", trim_space(F.col("license"))).where("license <> ''")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "license"))), lambda x: x["license"])
-    return said.groupBy("component_id").agg(F.array_join(F.array_distinct(ordered), " AND ").alias("declared"))
+def is_unread_directory() -> Column:
+    """Of a files table: a directory that couldn't be listed; its path ends in a slash."""
+    return F.col("path").endswith("/") & F.col("read_error").isNotNull()
 
 
-def found_files(files: DataFrame, declarations: DataFrame | None) -> DataFrame:
-    """(component_id, path, weight, excluded, size_bytes, read_error, digest, text, truncated, declared): the files that discovery names and those
-    that are declared only, read once; a declared file that isn't in the tree is a row with its error. Contents go no further."""
-    columns = [*_KEY, "weight", "excluded", "size_bytes", "read_error", "digest", "text", "truncated"]
-    named = detection.read_files(detection.discover(files, "tree")).select(*columns)
+def named_files(files: DataFrame, declarations: DataFrame | None = None) -> DataFrame:
+    """One pass over contents for all that names decide: licence files and those that are declared only (weight, excluded, digest, text, truncated, declared),
+    manifests (manifest), prose (hints), and directories that couldn't be listed. What a row isn't is null. A declared file that isn't there
+    is a row with its error."""
+    p = F.col("path")
+    weight = paths.license_weight(p) + F.when(paths.depth(p) == 0, F.lit(paths.ROOT_BONUS)).otherwise(0.0)
+    rows = files.select(*_KEY, "content", "size_bytes", "read_error", weight.alias("weight"))
     if declarations is None:
-        return named.withColumn("declared", F.lit(None).cast("string"))
-    latest = declarations.groupBy(*_KEY).agg(F.max_by("license", "ord").alias("declared"))
-    # Only names are told apart before the join, and only files that discovery doesn't take can be met in it.
-    others = files.where(~paths.is_license_file(F.col("path")))
-    extra = detection.read_files(others.join(latest.select(*_KEY), _KEY, "left_semi").withColumns({"weight": F.lit(0.0), "excluded": paths.exclusion(F.col("path"))})).select(*columns)
-    there = latest.join(files.select(*_KEY), _KEY, "left_anti").select(*_KEY, F.lit(0.0).alias("weight"), paths.exclusion(F.col("path")).alias("excluded"), F.lit(0).cast("long").alias("size_bytes"), F.lit("declared, but not in the tree").alias("read_error"))
-    return named.unionByName(extra).unionByName(there, allowMissingColumns=True).join(latest, _KEY, "left")
-
-
-def _gathered(subjects: DataFrame, *parts: DataFrame) -> DataFrame:
-    """Subjects with the columns of all parts, which have one row a component at most: one union, one aggregate."""
-    every = subjects.select("component_id")
-    for p in parts:
-        every = every.unionByName(p, allowMissingColumns=True)
-    return every.groupBy("component_id").agg(*(F.first(c, ignorenulls=True).alias(c) for c in every.columns if c != "component_id")).join(subjects.select("component_id").distinct(), "component_id", "left_semi")
-
-
-def _list(df: DataFrame, name: str, order: list, *fields) -> DataFrame:
-    """(component_id, name): the component's rows as structs of `fields`, in order."""
-    return df.groupBy("component_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*fields).alias("f")))), lambda x: x["f"]).alias(name))
+        rows = rows.withColumn("declared", F.lit(None).cast("string"))
+    else:
+        latest = declarations.groupBy(*_KEY).agg(F.max_by("license", "ord").alias("declared"))
+        # Contents of files that neither names nor declarations ask for stay out of the join.
+        there = rows.join(latest, _KEY, "left")
+        missing = latest.join(files.select(*_KEY), _KEY, "left_anti").select(*_KEY, F.lit(None).cast("binary").alias("content"), F.lit(0).cast("long").alias("size_bytes"), F.lit("declared, but not in the tree").alias("read_error"), F.lit(None).cast("double").alias("weight"), "declared")
+        rows = there.unionByName(missing)
+    licence = F.col("weight").isNotNull() | F.col("declared").isNotNull()
+    rows = rows.where(licence | manifests.is_manifest() | detection.is_prose() | is_unread_directory())
+    ok = licence & F.col("read_error").isNull()
+    is_manifest = manifests.is_manifest()
+    read = rows.select(
+        *_KEY, "size_bytes", "read_error", "declared", licence.alias("is_licence"), F.when(licence, F.coalesce("weight", F.lit(0.0))).alias("weight"), F.when(licence, paths.exclusion(p)).alias("excluded"), F.when(ok, file_digest(F.col("content"))).alias("digest"),
+        F.when(ok, head_bytes(F.col("content"), detection.MAX_TEXT_BYTES).cast("string")).alias("text"), (ok & (F.col("size_bytes") > detection.MAX_TEXT_BYTES)).alias("truncated"),
+        F.when(detection.is_prose(), detection.hints(F.col("content"))).alias("hints"), is_manifest.alias("is_manifest"), manifests.manifest(p, F.when(is_manifest, F.col("content"))).alias("m"),
+    )
+    said = F.when(F.col("is_manifest") & (F.col("m.license") != ""), spdx.canonicalize(F.col("m.license")))
+    parsed = read.withColumn("postfix", spdx.parse(said))
+    whole = F.struct("path", "m.ecosystem", "m.license", "m.license_file", F.when(F.col("postfix").isNotNull(), spdx.operands(F.col("postfix"))).alias("names"))
+    return parsed.withColumn("manifest", F.when(F.col("is_manifest"), whole)).drop("postfix", "m", "is_manifest")
+
+
+def chosen_files(files: DataFrame) -> DataFrame:
+    """(component_id, kind, path, i, size_bytes, read_error, content): lockfiles whole and sampled sources by their heads, chosen by paths alone and then read
+    together; size is null where a chosen file isn't there."""
+    p = F.col("path")
+    lock = paths.base_name(p).isin(*locks.NAMES)
+    content = F.when(lock, locks.payload()).otherwise(head_bytes(F.col("content"), detection.MAX_NOTICE_BYTES))
+    held = files.where(lock | paths.is_notice_source(p)).select(*_KEY, "size_bytes", "read_error", content.alias("content"))
+    wanted = locks.chosen(files).withColumn("i", F.lit(None).cast("int")).unionByName(detection.notice_paths(files).withColumn("kind", F.lit("notice")))
+    return wanted.join(held, _KEY, "left")
+
+
+def _sorted(rows: str, *order: str) -> Column:
+    """The structs of a collected list in the order of some of their fields."""
+    keyed = F.transform(rows, lambda x: F.struct(F.struct(*(x[o] for o in order)).alias("o"), x.alias("x")))
+    return F.transform(F.array_sort(keyed), lambda y: y["x"])
+
+
+def observations(subjects: DataFrame, files: DataFrame, corpus: DataFrame, installed: DataFrame | None, declarations: DataFrame | None) -> DataFrame:
+    """All that was seen as rows of (component_id, one column a kind of thing): each reader gives one stream. Four steps are written once."""
+    named = materialise(named_files(files, declarations), "named")
+    chosen = materialise(chosen_files(files), "chosen")
+    notices = materialise(detection.notice_heads(chosen.where("kind = 'notice'").withColumnRenamed("content", "head")), "notices")
+    read = materialise(locks.read(chosen.where("kind <> 'notice'")), "locks")
+
+    texts = named.where("is_licence")
+    near = spans.identify(texts.select(*_KEY, "text"), _KEY, corpus).where(F.col("confidence") >= WEAK)
+    matched = classify.matches_by_file(near, _KEY)
+    matches = F.coalesce("matches", F.expr("cast(array() as array<struct<name:string,confidence:double>>)"))
+    names = F.transform(F.filter(matches, lambda m: m["confidence"] >= classify.THRESHOLD), lambda m: m["name"])
+    ids = F.array_sort(F.array_distinct(F.transform(names, conclude.identifier_of)))
+    file = F.struct(
+        (-F.col("weight")).alias("w"), "path", "weight", "excluded", matches.alias("matches"), F.coalesce("declared", F.lit("")).alias("declared"), "size_bytes", F.coalesce("digest", F.lit("")).alias("digest"), F.coalesce("text", F.lit("")).alias("text"),
+        "truncated", F.coalesce("read_error", F.lit("")).alias("err"), ids.alias("ids"),
+    )
+    prose = F.transform("hints", lambda h: F.struct(F.col("path").alias("path"), h["line"].alias("line"), h["excerpt"].alias("excerpt")))
+    unlisted = F.when(is_unread_directory() & ~F.col("is_licence"), F.concat(F.regexp_replace("path", "/$", ""), F.lit(": could not be read")))
+    seen = named.join(matched, _KEY, "left").select("component_id", F.when(F.col("is_licence"), file).alias("file"), "manifest", prose.alias("prose"), F.when(F.col("hints").isNotNull(), True).alias("is_prose"), unlisted.alias("unlisted"))
+
+    granted = detection.grants(notices).select("component_id", F.struct((-F.col("files")).alias("o"), "expression", "source", "path", "files").alias("granted"))
+    sampled = notices.select("component_id", F.struct("nth", "path", "text", "truncated").alias("notice"))
+    found = locks.parts(read)
+    said = locks.notes(read).unionByName(locks.dropped(found))
+    lost = locks.failures(read)
+    if installed is not None:
+        jars = materialise(jar_coordinates(installed.where("read_error is null")), "jars")
+        found, lost = found.unionByName(components.enumerate_installed(installed, jars=jars)), lost.unionByName(components.installed_gaps(installed, jars))
+    parts = components.one_each(found).select("component_id", F.struct(*(c for c in components.FIELDS if c != "component_id")).alias("part"))
+    streams = [seen, granted, sampled, parts, said, lost.withColumnRenamed("detail", "lost"), read.where("kind = 'vendor-root'").select("component_id", F.col("path").alias("vendor_root"))]
+    if installed is not None:
+        streams.append(installed.groupBy("component_id").agg(F.lit(True).alias("has_installed")))
+    if declarations is not None:
+        streams.append(declarations.select("component_id", F.struct("ord", trim_space(F.col("license")).alias("license")).alias("said")))
+    known = [c if c in subjects.columns else F.lit(None).cast("string").alias(c) for c in ("name", "version", "repository", "commit", "origin", "source_error", "installed_error")]
+    out = subjects.select("component_id", F.struct(*(F.col(c).cast("string").alias(c) if isinstance(c, str) else c for c in known)).alias("subject"))
+    for s in streams:
+        out = out.unionByName(s, allowMissingColumns=True)
+    return out
 
 
 def collect(subjects: DataFrame, files: DataFrame, corpus: DataFrame, installed: DataFrame | None = None, declarations: DataFrame | None = None) -> DataFrame:
-    """One row for each of subjects(component_id and, where known, name, version, repository, commit): the parts of its evidence and the
-    record made of them.
-
-    Four steps are written once and then read by what follows: the files found with their texts, the notices, the manifests and the
-    components. Lists of a component are bounded by its own licence files, manifests and lockfiles."""
-    blank = F.lit("")
-    found = materialise(found_files(files, declarations), "found")
-    notices = materialise(detection.notice_sample(files), "notices")
-    listed = materialise(manifests.manifests(files), "manifests")
-    roots = components.shallowest(files, "go.mod").select("component_id", F.when(paths.directory(F.col("path")) == ".", "vendor").otherwise(F.concat(paths.directory(F.col("path")), F.lit("/vendor"))).alias("vendor_root"))
-    parts = components.enumerate_source(files)
-    lost = components.lockfile_gaps(files)
-    if installed is not None:
-        parts, lost = parts.unionByName(components.enumerate_installed(installed)), lost.unionByName(components.installed_gaps(installed))
-    parts = materialise(components.finalize(parts), "components")
-    # A matches entry is whatever a file holds a fair share of; names are the confident ones.
-    matched = classify.matches_by_file(classify.identify(found.select(*_KEY, "text"), _KEY, corpus, threshold=WEAK), _KEY)
-    named = found.join(matched, _KEY, "left").withColumn("matches", F.coalesce("matches", F.array().cast("array<struct<name:string,confidence:double>>")))
-    named = named.withColumn("names", F.transform(F.filter("matches", lambda m: m["confidence"] >= classify.THRESHOLD), lambda m: m["name"]))
-    named = materialise(named, "named")
-
-    granted = detection.grants(notices)
-    per_component = notices.groupBy("component_id").agg(F.count(F.lit(1)).alias("sampled"))
-    expressions = per_component.join(granted.groupBy("component_id").agg(F.collect_set("expression").alias("expressions")), "component_id", "left")
-    concluded = conclude.conclude(subjects, named.select(*_KEY, "excluded", "size_bytes", "read_error", "names"), expressions)
-    refs = conclude.license_ref_of(named.select(*_KEY, "weight", "excluded", "size_bytes", "read_error", "names", "text"))
-
-    # What is the component's own, and what each vendored copy's: paths and digests only.
-    covered = found.where(F.col("digest").isNotNull() & paths.is_license_file(F.col("path"))).select(*_KEY, "excluded", "digest")
-    vendored = ownership.vendored_roots(parts.join(roots, "component_id"), found.select(*_KEY)).select("component_id", "purl", "root").distinct()
-    owned = ownership.owners(covered, vendored)
-    own = owned.where(F.col("root").isNull() & ~paths.belongs_to_another(F.col("excluded")))
-    own_hash = own.groupBy("component_id").agg(content_hash_agg(F.col("path"), F.col("digest")).alias("license_content_hash"))
-    copies = owned.where("root is not null").groupBy("component_id", "root").agg(content_hash_agg(F.expr("substring(path, length(root) + 2)"), F.col("digest")).alias("license_content_hash"))
-    hashed = vendored.join(copies, ["component_id", "root"], "left").withColumn("license_content_hash", F.coalesce("license_content_hash", content_hash(F.array().cast("array<struct<path:string,digest:string>>"))))
-
-    ids = F.array_sort(F.array_distinct(F.transform("names", conclude.identifier_of)))
-    first = F.get("matches", F.lit(0))
-    by_file = _list(
-        named, "files", [(-F.col("weight")).alias("w"), "path"], "path", "weight", "excluded", F.coalesce(first["name"], blank).alias("license"), F.coalesce(first["confidence"], F.lit(0.0)).alias("confidence"),
-        F.slice("matches", F.lit(2), F.greatest(F.size("matches") - 1, F.lit(0))).alias("additional_licenses"), F.coalesce("declared", blank).alias("declared"), "size_bytes", F.coalesce("digest", blank).alias("digest"), F.coalesce("text", blank).alias("text"),
-        F.coalesce("truncated", F.lit(False)).alias("truncated"), F.coalesce("read_error", blank).alias("err"), ids.alias("ids"),
-    )
-    canonical = spdx.parse_column(listed.where("license <> ''").withColumn("e", spdx.canonicalize(F.col("license"))), "e", "p")
-    by_manifest = canonical.groupBy("component_id").agg(F.min_by("license", "path").alias("manifest_license"), F.collect_list(spdx.operands(F.col("p"))).alias("manifest_sets"))
-    # A component's declaration is the caller's, or else its manifests'.
-    said = listed.where("license <> ''").groupBy("component_id").agg(F.min_by("license", "path").alias("declared"))
-    if declarations is not None:
-        said = declared_expression(declarations).unionByName(said.join(declarations.select("component_id"), "component_id", "left_anti"))
-    read = spdx.parse_column(said.withColumn("e", spdx.canonicalize(F.col("declared"))), "e", "p").select("component_id", F.col("declared").alias("declared_expression"), spdx.lenient_operands(F.col("e"), F.col("p")).alias("declared_ids"))
-    hints = detection.prose_hints(files)
-    by_hint = hints.groupBy("component_id").agg(F.bool_or(detection.is_choice(F.col("excerpt"))).alias("states_choice"), F.array_sort(F.collect_list(F.struct("path", "line", "excerpt"))).alias("prose"))
-    listed_parts = parts.join(hashed.select("component_id", "purl", "license_content_hash"), ["component_id", "purl"], "left")
-    fields = ("purl", "name", F.coalesce("version", blank).alias("version"), "ecosystem", "kind", "digest", "digest_algo", F.coalesce("license_content_hash", blank).alias("license_content_hash"), "discovered_from", "linkage")
-    note = components.notes(files, parts).unionByName(vendored.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).select("component_id", F.format_string("%d components have a vendored copy in the tree, hashed for verification", "n").alias("note")))
-    out = _gathered(
-        subjects, by_file, by_manifest, by_hint, read, concluded, refs, own_hash, roots, per_component,
-        _list(listed, "manifests", ["path"], *_KEY[1:], "ecosystem", "license", "license_file"), _list(notices, "notices", ["nth"], "path", "text", F.coalesce("truncated", F.lit(False)).alias("truncated")),
-        _list(granted, "grants", ["expression"], "expression", "source", "path", "files"), _list(listed_parts, "parts", ["ord"], *fields), _list(vendored, "vendored_copies", ["purl"], "purl", "root"),
-        lost.groupBy("component_id").agg(F.array_sort(F.collect_set("detail")).alias("lost")), note.groupBy("component_id").agg(F.array_sort(F.collect_set("note")).alias("notes")),
-        named.where("read_error is not null").groupBy("component_id").agg(F.array_sort(F.collect_set(F.concat("path", F.lit(": "), "read_error"))).alias("unreadable")),
+    """One row for each of subjects(component_id and, where known, name, version, repository, commit, origin, source_error, installed_error): the parts of
+    its evidence and the record made of them.
+
+    observations() are folded by one aggregate; all that follows is within a row. A row's lists are a component's own licence files,
+    manifests, packages and sampled notices."""
+    none = lambda c, kind: F.coalesce(F.col(c), F.expr(f"cast(array() as array<{kind}>)"))
+    seen = observations(subjects, files, corpus, installed, declarations)
+    for c, kind in (("has_installed", "boolean"), ("said", "struct<ord:int,license:string>")):
+        if c not in seen.columns:
+            seen = seen.withColumn(c, F.lit(None).cast(kind))
+    lists = ("file", "manifest", "prose", "granted", "notice", "part", "note", "lost", "unlisted", "said")
+    g = seen.groupBy("component_id").agg(
+        F.first("subject", ignorenulls=True).alias("subject"), *(F.collect_list(c).alias(c) for c in lists), F.max("is_prose").alias("is_prose"), F.first("vendor_root", ignorenulls=True).alias("vendor_root"), F.max("has_installed").alias("has_installed")
+    ).where("subject is not null")
+    parts = F.transform(_sorted("part", "purl", "digest"), lambda p: p)
+    g = g.select(
+        "component_id", "subject", _sorted("file", "w", "path").alias("files"), _sorted("manifest", "path").alias("manifests"), F.array_sort(F.flatten("prose")).alias("prose"), F.array_sort("granted").alias("granted"),
+        _sorted("notice", "nth").alias("notices"), parts.alias("parts"), F.array_sort(F.array_distinct("note")).alias("noted"), F.array_sort(F.array_distinct("lost")).alias("lost"), F.array_sort(F.array_distinct("unlisted")).alias("unlisted"),
+        F.array_sort("said").alias("said"), F.coalesce("is_prose", F.lit(False)).alias("has_prose"), F.coalesce("vendor_root", F.lit("")).alias("vendor_root"), F.coalesce("has_installed", F.lit(False)).alias("has_installed"),
     )
-    none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind)).alias(c)
-    kinds = {f.name: f.dataType for f in out.schema if f.name in ("files", "manifests", "prose", "notices", "grants", "parts", "vendored_copies", "lost", "notes", "unreadable", "identifiers")}
-    out = out.select(*(none(c, kinds[c]) if c in kinds else F.col(c) for c in out.columns))
+    return _recorded(_owned(g))
+
+
+def _owned(g: DataFrame) -> DataFrame:
+    """Whose files are whose: a copy of a package under the vendor root, with licence files in it, owns what no deeper copy does."""
+    covered = F.filter("files", lambda f: (f["digest"] != "") & paths.is_license_file(f["path"]))
+    g = g.withColumn("covered", F.transform(covered, lambda f: F.struct(f["path"].alias("path"), f["digest"].alias("digest"), f["excluded"].alias("excluded"), paths.ancestors(f["path"]).alias("above"))))
+    at = lambda name: F.concat("vendor_root", F.lit("/"), name)
+    named = F.transform(F.filter("parts", lambda p: (p["name"] != "") & (F.col("vendor_root") != "")), lambda p: at(p["name"]))
+    # Files without a digest mark a copy as being there all the same.
+    above = F.flatten(F.transform(F.filter("files", lambda f: paths.is_license_file(f["path"])), lambda f: paths.ancestors(f["path"])))
+    g = g.withColumn("roots", F.array_intersect(named, above))
+    owner = lambda c: F.array_max(F.transform(F.array_intersect(c["above"], F.col("roots")), lambda r: F.struct(F.length(r).alias("n"), r.alias("root"))))["root"]
+    g = g.withColumn("covered", F.transform("covered", lambda c: F.struct(c["path"].alias("path"), c["digest"].alias("digest"), c["excluded"].alias("excluded"), owner(c).alias("root"))))
+    record = lambda path, c: F.struct(path.alias("path"), c["digest"].alias("digest"))
+    mine = F.filter("covered", lambda c: c["root"].isNull() & ~paths.belongs_to_another(c["excluded"]))
+    below = lambda r: F.transform(F.filter("covered", lambda c: c["root"] == r), lambda c: record(F.substring(c["path"], F.length(r) + 2, F.length(c["path"])), c))
+    g = g.withColumns({"license_content_hash": content_hash(F.transform(mine, lambda c: record(c["path"], c))), "copies": F.transform("roots", lambda r: F.struct(r.alias("root"), content_hash(below(r)).alias("h")))})
+    copy_of = lambda p: F.get(F.filter("copies", lambda k: k["root"] == at(p["name"])), F.lit(0))
+    fields = [c for c in components.FIELDS if c != "component_id"]
+    order = (*fields[:7], "license_content_hash", *fields[7:])
+    whole = lambda p: F.struct(*((F.coalesce(copy_of(p)["h"], F.lit("")) if c == "license_content_hash" else p[c]).alias(c) for c in order))
+    g = g.withColumn("parts", F.transform("parts", whole))
+    held = F.filter("parts", lambda p: p["license_content_hash"] != "")
+    return g.withColumn("vendored_copies", F.array_sort(F.array_distinct(F.transform(held, lambda p: F.struct(p["purl"].alias("purl"), at(p["name"]).alias("root")))))).drop("covered", "copies")
+
+
+def _recorded(g: DataFrame) -> DataFrame:
+    """Conclusion, gaps, notes and assessment of a folded row."""
+    blank, none = F.lit(""), F.expr("cast(array() as array<string>)")
+    # Where a component has an in-scope file at the top, even an unreadable one, only such files count.
+    scope = F.filter("files", lambda f: f["excluded"] == "")
+    g = g.withColumn("scope", scope).withColumn("top", F.exists("scope", lambda f: ~F.contains(f["path"], F.lit("/"))))
+    g = g.withColumn("readable", F.filter("scope", lambda f: (~F.col("top") | ~F.contains(f["path"], F.lit("/"))) & (f["err"] == "")))
+    unread = F.filter("readable", lambda f: (F.size(f["ids"]) == 0) & (f["size_bytes"] > 0))
+    g = g.withColumns({"identifiers": F.array_sort(F.array_distinct(F.flatten(F.transform("readable", lambda f: f["ids"])))), "unrecognised": unread, "sampled": F.size("notices").cast("long")})
+    settled = conclude.settle(F.col("identifiers"), F.size("unrecognised") > 0, F.transform("granted", lambda x: x["expression"]), F.col("sampled"))
+    g = g.withColumns({**settled, "license_ref": F.coalesce(license_ref(F.get("unrecognised", F.lit(0))["text"]), blank)})
+
     gap = lambda kind, details: F.transform(details, lambda d: F.struct(F.lit(kind).alias("kind"), d.alias("detail")))
-    no_trees = gap("no-installed-trees", F.array(F.lit("no installed tree supplied; " + ", ".join(components.INSTALLED_ECOSYSTEMS) + " components were not enumerated")))
-    gaps = F.concat(*([no_trees] if installed is None else []), gap("dependencies", F.col("lost")), gap("license-file", F.col("unreadable")))
-    empty_hash = content_hash(F.array().cast("array<struct<path:string,digest:string>>"))
-    out = out.withColumns({"gaps": gaps, "purls": F.array_sort(F.transform("parts", lambda p: p["purl"])), "license_ref": F.coalesce("license_ref", blank), "license_content_hash": F.coalesce("license_content_hash", empty_hash), "incomplete": F.size(gaps), "declared": F.col("declared_ids")})
-    out = out.withColumns({"has_manifest": F.size("manifests") > 0, "has_prose": F.size("prose") > 0, "states_choice": F.coalesce("states_choice", F.lit(False)), "vendor_root": F.coalesce("vendor_root", blank), "declared_expression": F.coalesce("declared_expression", blank), "sampled": F.coalesce("sampled", F.lit(0)).cast("long")})
-    kept = ("files", "manifests", "prose", "notices", "sampled", "grants", "parts", "purls", "vendor_root", "vendored_copies", "license_content_hash", "expression", "reason", "identifiers", "grant_basis", "license_ref", "declared_expression", "unreadable", "gaps", "notes")
-    done = assessing.assess(out, kept)
-    about = subjects.select("component_id", *(F.col(c).cast("string").alias(c) if c in subjects.columns else F.lit(None).cast("string").alias(c) for c in ("name", "version", "repository", "commit"))).dropDuplicates(["component_id"])
-    about = about.withColumns({"name": F.coalesce("name", "component_id"), "version": F.coalesce("version", blank), "repository": F.coalesce("repository", blank), "commit": F.coalesce("commit", blank)})
-    source = components.source_components(about.withColumn("patches", F.array().cast("array<struct<path:string,digest:string>>")))
-    lead = source.select("component_id", F.struct("purl", "name", "version", "ecosystem", "kind", "digest", "digest_algo", "discovered_from", "linkage").alias("source"))
-    return done.join(about.select("component_id", F.struct(F.col("name").alias("package"), "version", "repository", "commit").alias("subject")), "component_id").join(lead, "component_id")
+    maybe = lambda kind, detail: gap(kind, F.filter(F.array(detail), lambda d: d.isNotNull()))
+    no_trees = F.when(~F.col("has_installed") & F.col("subject.installed_error").isNull(), F.lit("no installed tree supplied; " + ", ".join(components.INSTALLED_ECOSYSTEMS) + " components were not enumerated"))
+    unreadable = F.transform(F.filter("files", lambda f: f["err"] != ""), lambda f: F.concat(f["path"], F.lit(": "), f["err"]))
+    gaps = F.concat(
+        maybe("source", F.col("subject.source_error")), gap("unreadable-tree", F.col("unlisted")), maybe("installed", F.col("subject.installed_error")), maybe("no-installed-trees", no_trees), gap("dependencies", F.col("lost")), gap("license-file", unreadable)
+    )
+    cut, copies = F.size(F.filter("files", lambda f: f["truncated"])), F.size("vendored_copies")
+    made = lambda n, text: F.when(n > 0, F.format_string(text, n))
+    notes = F.filter(F.concat(F.array(made(cut, f"%d texts cut at {detection.MAX_TEXT_BYTES} bytes")), F.col("noted"), F.array(made(copies, "%d components have a vendored copy in the tree, hashed for verification"))), lambda n: n.isNotNull())
+    declared = F.filter(F.array_distinct(F.transform("said", lambda s: s["license"])), lambda x: x != "")
+    stated = F.filter("manifests", lambda m: m["license"] != "")
+    g = g.withColumns({
+        "gaps": gaps, "notes": notes, "purls": F.array_sort(F.transform("parts", lambda p: p["purl"])), "manifest_license": F.get(stated, F.lit(0))["license"], "manifest_sets": F.transform(F.filter(stated, lambda m: m["names"].isNotNull()), lambda m: m["names"]),
+        "has_manifest": F.size("manifests") > 0, "states_choice": F.exists("prose", lambda p: detection.is_choice(p["excerpt"])),
+        "declared_expression": F.coalesce(F.when(F.size(declared) > 0, F.array_join(declared, " AND ")), F.get(stated, F.lit(0))["license"], blank), "unreadable": unreadable,
+        "grants": F.transform("granted", lambda x: F.struct(*(x[c].alias(c) for c in ("expression", "source", "path", "files")))), "notices": F.transform("notices", lambda n: F.struct(*(n[c].alias(c) for c in ("path", "text", "truncated")))),
+    })
+    g = g.withColumns({"incomplete": F.size("gaps"), "canonical": F.when(F.col("declared_expression") != "", spdx.canonicalize(F.col("declared_expression")))})
+    g = g.withColumn("postfix", spdx.parse(F.col("canonical")))
+    g = g.withColumn("declared", F.when(F.col("canonical").isNotNull(), spdx.lenient_operands(F.col("canonical"), F.col("postfix"))).otherwise(none))
+    first = lambda f: F.get(f["matches"], F.lit(0))
+    rest = lambda f: F.slice(f["matches"], F.lit(2), F.greatest(F.size(f["matches"]) - 1, F.lit(0)))
+    listed = lambda f: F.struct(
+        *(f[c].alias(c) for c in ("path", "weight", "excluded")), F.coalesce(first(f)["name"], blank).alias("license"), F.coalesce(first(f)["confidence"], F.lit(0.0)).alias("confidence"), rest(f).alias("additional_licenses"),
+        *(f[c].alias(c) for c in ("declared", "size_bytes", "digest", "text", "truncated", "err", "ids")),
+    )
+    g = g.withColumn("files", F.transform("files", listed))
+    kept = ("subject", "files", "manifests", "prose", "notices", "sampled", "grants", "parts", "purls", "vendor_root", "vendored_copies", "license_content_hash", "expression", "reason", "identifiers", "grant_basis", "license_ref", "declared_expression", "unreadable", "gaps", "notes")
+    done = assessing.assess(g, kept)
+    s = lambda c: F.coalesce(F.col(f"subject.{c}"), blank).alias(c)
+    about = F.struct(F.coalesce("subject.name", "component_id").alias("package"), s("version"), s("repository"), s("commit"), s("origin"))
+    done = done.withColumn("subject", about)
+    names = done.select("*", F.col("subject.package").alias("name"), "subject.version", "subject.repository", "subject.commit", F.expr("cast(array() as array<struct<path:string,digest:string>>)").alias("patches"))
+    own = components.source_of()
+    return names.withColumn("source", own).drop("name", "version", "repository", "commit", "patches")
 
 
 @F.pandas_udf(T.StringType())
@@ -170,10 +247,10 @@ def bundles(collected: DataFrame) -> DataFrame:
     c, blank = F.col, F.lit("")
     own = F.struct(*(c(f"source.{n}").alias(n) for n in ("purl", "name", "version", "ecosystem", "kind", "digest", "digest_algo")), c("license_content_hash").alias("license_content_hash"), c("source.discovered_from").alias("discovered_from"), c("source.linkage").alias("linkage"))
     files = F.transform("files", lambda f: F.struct(*(f[n].alias(n) for n in ("path", "weight", "excluded", "license", "confidence", "additional_licenses", "declared", "size_bytes", "digest", "text", "truncated")), f["err"].alias("error")))
-    flags = F.when(c("flags") == blank, F.array().cast(_STRINGS)).otherwise(F.split("flags", ","))
+    flags = F.when(c("flags") == blank, F.expr("cast(array() as array<string>)")).otherwise(F.split("flags", ","))
     record = F.struct(
-        F.lit(SCHEMA_VERSION).alias("schema_version"), F.struct(c("subject.package").alias("package"), c("subject.version").alias("version"), F.struct(c("subject.package").alias("name"), c("subject.version").alias("version"), c("subject.repository").alias("repository"), c("subject.commit").alias("commit")).alias("source")).alias("subject"),
-        files.alias("files"), "manifests", "prose", "notices", c("sampled").alias("notices_sampled"), "grants", F.concat(F.array(own), c("parts")).alias("components"), "vendor_root", "vendored_copies", "license_content_hash",
+        F.lit(SCHEMA_VERSION).alias("schema_version"), F.struct(c("subject.package").alias("package"), c("subject.version").alias("version"), F.struct(c("subject.package").alias("name"), c("subject.version").alias("version"), c("subject.repository").alias("repository"), c("subject.commit").alias("commit")).alias("source"), c("subject.origin").alias("origin")).alias("subject"),
+        files.alias("files"), F.transform("manifests", lambda m: F.struct(*(m[n].alias(n) for n in ("path", "ecosystem", "license", "license_file")))).alias("manifests"), "prose", "notices", c("sampled").alias("notices_sampled"), "grants", F.concat(F.array(own), c("parts")).alias("components"), "vendor_root", "vendored_copies", "license_content_hash",
         F.struct("expression", "reason", "identifiers", "grant_basis", "license_ref").alias("conclusion"),
         F.struct("score", "unknown", F.array_sort(flags).alias("flags"), "relationship", c("detected").alias("identifiers"), "license_files", "rationale", "project_license", "text_resolution", "relation").alias("assessment"), "gaps", "notes",
     )

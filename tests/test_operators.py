@@ -106,6 +106,40 @@ def test_collect(spark):
     assert bundle["bundle"].startswith('{"schema_version":1,"subject"') and bundle["bundle"].endswith("\n")
 
 
+def test_every_kind_of_gap_and_note(spark):
+    mit = " ".join(f"mit{i}" for i in range(50))
+    rows = [
+        ("c", "LICENSE", mit.encode(), None), ("c", "COPYING", None, "denied"), ("c", "deep/", None, "no permission"), ("c", "package-lock.json", b'{"packages": {"node_modules/a b": {"version": "1", "resolved": "https://r.org/x"}, "node_modules/d": {"dev": true}}}', None),
+        ("c", "big/LICENSE", b"long " * 40_000, None), ("c", "README", b"x\nLicensed \xff as you like\n", None), ("c", "Cargo.lock", b"package = 1", None), ("c", "go.mod", b"module x", None),
+    ]
+    files = spark.createDataFrame([(c, p, b, len(b or b""), e) for c, p, b, e in rows], "component_id string, path string, content binary, size_bytes bigint, read_error string")
+    subjects = spark.createDataFrame([("c", "1.0", None, "denied"), ("lost", None, "no tree", None), ("bare", None, None, None)], "component_id string, version string, source_error string, installed_error string")
+    corpus = spark.createDataFrame([("MIT", mit)], "id string, text string")
+    said = spark.createDataFrame([("c", "LICENSE", "MIT", 0), ("c", "TERMS", "Own", 1), ("c", "src/notes.c", " MIT ", 2)], "component_id string, path string, license string, ord int")
+    collected = evidence.collect(subjects, files, corpus, declarations=said)
+    got = {r["component_id"]: r for r in collected.collect()}
+    gaps = {c: [(g["kind"], g["detail"]) for g in r["gaps"]] for c, r in got.items()}
+    assert gaps["c"] == [
+        ("unreadable-tree", "deep: could not be read"), ("installed", "denied"), ("dependencies", "cargo: Cargo.lock: doesn't parse: package is of another kind"), ("license-file", "COPYING: denied"),
+        ("license-file", "TERMS: declared, but not in the tree"), ("license-file", "src/notes.c: declared, but not in the tree"),
+    ]
+    assert [k for k, _ in gaps["lost"]] == ["source", "no-installed-trees"] and [k for k, _ in gaps["bare"]] == ["no-installed-trees"] and got["lost"]["unknown"]
+    assert got["c"]["notes"] == [
+        "1 texts cut at 131072 bytes", "1 component identities dropped for blanks or control characters", "go: no list and no checksums of modules beside go.mod; none is enumerated", "npm: 1 development dependencies excluded; they are not shipped"
+    ]
+    assert got["c"]["declared_expression"] == "MIT AND Own" and got["c"]["subject"]["version"] == "1.0" and [p["excerpt"] for p in got["c"]["prose"]] == ["Licensed � as you like"]
+    made = {r["component_id"]: r["bundle"] for r in evidence.bundles(collected).collect()}
+    assert '"relationship"' not in made["lost"] and '"gaps":[{"kind":"source","detail":"no tree"}' in made["lost"]
+
+
+def test_the_account_is_one_fold(spark):
+    rows = spark.createDataFrame([("c", "LICENSE", "x")], "component_id string, path string, content string")
+    tree = files_of(rows)
+    corpus = spark.createDataFrame([("MIT", "permission is hereby granted")], "id string, text string")
+    plan = evidence.collect(tree.select("component_id").distinct(), tree, corpus)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") < 20 and plan.count("Union") < 8, (plan.count("Scan parquet"), plan.count("Union"))
+
+
 def test_read_trees(spark, tmp_path):
     (tmp_path / "one" / "src").mkdir(parents=True)
     (tmp_path / "one" / "LICENSE").write_text("x")
@@ -142,7 +176,9 @@ def test_lost_lockfiles_are_gaps(spark):
     from attestry.operators import components
 
     got = sorted((r["component_id"], r["detail"]) for r in components.lockfile_gaps(files).collect())
-    assert got == [("a", "Cargo.lock: doesn't parse"), ("b", "package-lock.json: doesn't parse"), ("c", "Cargo.lock: denied"), ("d", "package-lock.json: too large"), ("f", "go.sum: denied")]
+    assert [(c, d.split(": ")[:3]) for c, d in got] == [
+        ("a", ["cargo", "Cargo.lock", "doesn't parse"]), ("b", ["npm", "package-lock.json", "doesn't parse"]), ("c", ["cargo", "Cargo.lock", "denied"]), ("d", ["npm", "package-lock.json", f"is larger than the {64 << 20} byte limit"]), ("f", ["golang", "go.sum", "denied"])
+    ]
     from attestry.plans import evidence
 
     corpus = spark.createDataFrame([("MIT", "permission is hereby granted")], "id string, text string")
