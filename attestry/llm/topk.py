@@ -8,8 +8,12 @@ so an annulus' radii and its longest vector bound every score in it. In that ord
 then sixty-four annuli and so on, and its k-th score so far rises; it stops at the first annulus whose bound is under that score, as all
 later ones are too. An annulus is searched in blocks of a bounded number of vectors and queries.
 
-Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do those with components so
-large that an inner product might not fit 64 bits (at 64 dimensions about 740,000 times the scale's 256); vectors of unlike length are
+Blocks stay where the exchange puts them and queries stream past: a task holds one block and one batch of queries, and a block is copied
+only for each QUERIES queries that ask for it.
+
+Defined results: vectors that are null, empty, or hold null or non-finite components take no part. Products are exact whatever their size:
+where 64 bits might not hold a sum, whole numbers of any length are used. Only a score among the k highest that 64 bits don't hold, or a
+component that no double holds when scaled, ends the job, with an error that says so. Vectors of unlike length are
 never compared; ties go to the smaller id; rows that repeat an id are candidates of their own, but never of a query with that id; a
 query id with several different vectors is as many queries, each with ranks of its own; an empty table gives no rows; a null id takes
 no part.
@@ -23,25 +27,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attestry.llm.common import forget, save
+from attestry.llm.common import forget, save, shuffle_partitions
 
 SAMPLE = 2048
 PIVOTS = 32
 #: Histogram cells for each pivot's distances, so annuli at most; vectors that an annulus has at least, but for a pivot's last.
 CELLS, ANNULUS = 256, 2048
-#: Vectors and queries that meet in one task.
-BLOCK, QUERIES = 8192, 8192
+#: Vectors of a block, and queries that pass it in one task.
+BLOCK, QUERIES = 8192, 262_144
+#: Stands for a score that is too low for 64 bits.
+LOWEST = -(2**63) + 1
 #: How many times as many annuli each round takes as the one before.
 GROW = 8
 
 
 def whole(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, dim, v array<long>) of the vectors that take part."""
+    """(id, dim, v array<double>) of the vectors that take part, in whole numbers."""
     x = F.col(vector_col)
-    most = F.sqrt(F.lit(2.0**61) / F.size(x))
-    # A comparison with NaN or beyond infinity is false or caught by the bound; null makes forall null.
-    fine = F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.coalesce(F.forall(x, lambda c: ~F.isnan(c) & (F.abs(c.cast("double") * scale) < most)), F.lit(False))
-    quantised = F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long"))
+    # NaN is beyond infinity here; null makes forall null.
+    fine = F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.coalesce(F.forall(x, lambda c: F.abs(c.cast("double")) < float("inf")), F.lit(False))
+
+    def scaled(c):
+        # A double holds every such whole number exactly; from 2**52 on it is one already.
+        y = c.cast("double") * scale
+        small, fits = F.abs(y) < 2.0**52, F.abs(y) < float("inf")
+        return F.when(small, F.floor(y).cast("double")).when(fits, y).otherwise(F.raise_error(F.lit("a component of a vector is beyond all doubles when scaled")).cast("double"))
+
+    quantised = F.transform(x, scaled)
     return vectors.where(fine).select(F.col(id_col).cast("long").alias("id"), F.size(x).alias("dim"), quantised.alias("v"))
 
 
@@ -52,23 +64,28 @@ def _matrix(column) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact a @ b.T: in floating point where every sum stays below 2**53, else in whole numbers."""
+    """Exact a @ b.T of whole numbers: in floating point where every sum stays below 2**53, in 64 bits below 2**62, else in whole numbers of any length."""
     top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    return (a.astype(float) @ b.astype(float).T).astype(np.int64) if top < 2**53 else a @ b.T
+    if top < 2**53:
+        return (a @ b.T).astype(np.int64)
+    if top < 2**62:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    long = lambda m: np.array([[int(x) for x in row] for row in m.tolist()], object).reshape(m.shape)
+    return long(a) @ long(b).T
 
 
 def pivots_of(sample: np.ndarray, most: int) -> np.ndarray:
     """Farthest-first: each next pivot is the sample's vector farthest from those so far."""
-    sample = np.unique(sample, axis=0).astype(float)
+    sample = np.unique(sample, axis=0)
     chosen, gap = [0], ((sample - sample[0]) ** 2).sum(1)
     while len(chosen) < min(most, len(sample)) and gap.max() > 0:
         chosen.append(int(gap.argmax()))
         gap = np.minimum(gap, ((sample - sample[chosen[-1]]) ** 2).sum(1))
-    return sample[chosen].astype(np.int64)
+    return sample[chosen]
 
 
 def _keyed(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """Adds the nearest pivot (numbered over all lengths of vector), its exact squared distance and the squared norm."""
+    """Adds the nearest pivot (numbered over all lengths of vector), its squared distance and the squared norm."""
     sent = vectors.sparkSession.sparkContext.broadcast(pivots)  # PIVOTS rows for each length
     first = dict(zip(pivots, np.cumsum([0, *(len(p) for p in pivots.values())]).tolist()))
 
@@ -78,14 +95,15 @@ def _keyed(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
             for dim in np.unique(dims):
                 part = b.filter(pa.array(dims == dim))
                 x, p = _matrix(part.column(2)), sent.value[int(dim)]
-                norm = (x * x).sum(1)
-                d2 = norm[:, None] + (p * p).sum(1)[None] - 2 * products(x, p)
+                # As floats: the bounds allow for their rounding.
+                norm = (x**2).sum(1)
+                d2 = np.stack([((x - row) ** 2).sum(1) for row in p], axis=1)
                 near = d2.argmin(1)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), part.column(2), pa.array(near + first[int(dim)], pa.int32()), pa.array(d2[np.arange(len(x)), near]), pa.array(norm)], ["id", "dim", "v", "pivot", "d2", "norm"]
                 )
 
-    return vectors.mapInArrow(run, "id long, dim int, v array<long>, pivot int, d2 long, norm long")
+    return vectors.mapInArrow(run, "id long, dim int, v array<double>, pivot int, d2 double, norm double")
 
 
 def index(keyed: DataFrame, annulus: int = ANNULUS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -102,36 +120,59 @@ def index(keyed: DataFrame, annulus: int = ANNULUS, block: int = BLOCK) -> tuple
     return placed, radii
 
 
-def _search(queries: DataFrame, assigned: DataFrame, placed: DataFrame, k: int, chunks: int) -> DataFrame:
+def _search(queries: DataFrame, assigned: DataFrame, placed: DataFrame, k: int, tasks: int) -> DataFrame:
     """Each query's k best of each block of the annuli that it is assigned to, but for rows of its own id."""
-    block = ["pivot", "annulus", "part"]
-    left = queries.join(assigned, "q").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("chunk", F.pmod(F.xxhash64("q"), F.lit(chunks)).cast("int"))
-    left = left.select("q", "id", "v", *block, "chunk")
-    met = left.select(*(F.col(c).alias(f"r_{c}") for c in (*block, "chunk"))).distinct()
-    right = placed.select("id", "v", *(F.col(c).alias(f"r_{c}") for c in block)).join(met, [f"r_{c}" for c in block])
-
-    def run(q: pa.Table, x: pa.Table) -> pa.Table:
-        schema = pa.schema([("q", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-        if not q.num_rows or not x.num_rows:
-            return schema.empty_table()
-        nth, qi, xi = q.column("q").to_numpy(), q.column("id").to_numpy(), x.column("id").to_numpy()
-        order = np.argsort(xi, kind="stable")
-        xi = xi[order]
-        xv = _matrix(x.column("v").combine_chunks())[order]
-        qv = _matrix(q.column("v").combine_chunks())
-        out = []
+    key = ["pivot", "annulus", "part", "chunk"]
+    # At most one row for each annulus.
+    asked = assigned.groupBy("pivot", "annulus").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("chunks"))
+    passing = queries.join(assigned, "q").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(F.broadcast(asked), ["pivot", "annulus"])
+    passing = passing.select(F.lit(1).alias("side"), "q", "id", "v", "pivot", "annulus", "part", F.pmod(F.xxhash64("q"), F.col("chunks")).cast("int").alias("chunk"))
+    held = placed.join(F.broadcast(asked), ["pivot", "annulus"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    held = held.select(F.lit(0).alias("side"), F.lit(-1).cast("long").alias("q"), "id", "v", "pivot", "annulus", "part", "chunk")
+    # Of each block its vectors come first, then the queries.
+    met = held.unionByName(passing).repartition(tasks, *key).sortWithinPartitions(*key, "side")
+
+    def best_of(nth, qi, qv, xi, xv):
         for at in range(0, len(qi), 256):
             s = products(qv[at : at + 256], xv)
             own = qi[at : at + 256, None] == xi[None]
-            s[own] = np.iinfo(np.int64).min + 1  # can be negated
-            best = np.argsort(-s, axis=1, kind="stable")[:, :k] if s.shape[1] <= 4 * k else _best(s, k)
+            wide = s.dtype == object
+            s[own] = -(2**200) if wide else LOWEST
+            best = np.argsort(-s, axis=1, kind="stable")[:, :k] if wide or s.shape[1] <= 4 * k else _best(s, k)
             rows = np.repeat(np.arange(len(s)), best.shape[1])
             cols = best.ravel()
             keep = ~own[rows, cols]
-            out.append((nth[at + rows[keep]], xi[cols[keep]], s[rows[keep], cols[keep]]))
-        return pa.table([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], schema=schema)
+            picked = s[rows[keep], cols[keep]]
+            if wide:
+                if max(picked, default=0) >= 2**63:
+                    raise OverflowError("a score among the highest doesn't fit 64 bits")
+                picked = np.array([max(int(x), LOWEST) for x in picked], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nth[at + rows[keep]]), pa.array(xi[cols[keep]]), pa.array(picked)], ["q", "vec_id", "score"])
 
-    return left.groupBy(*block, "chunk").cogroup(right.groupBy(*(f"r_{c}" for c in (*block, "chunk")))).applyInArrow(run, "q long, vec_id long, score long")
+    def run(batches):
+        now, ids, vectors = None, [], []
+        for b in batches:
+            cols = [b.column(c).to_numpy() for c in key]
+            side, qs, them = b.column("side").to_numpy(), b.column("q").to_numpy(), b.column("id").to_numpy()
+            changes = np.flatnonzero(np.any([c[1:] != c[:-1] for c in (*cols, side)], axis=0)) + 1 if b.num_rows else []
+            edges = [0, *changes, b.num_rows]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo == hi:
+                    continue
+                here = tuple(int(c[lo]) for c in cols)
+                if here != now:
+                    now, ids, vectors = here, [], []
+                v = _matrix(b.column("v").slice(lo, hi - lo))
+                if side[lo] == 0:
+                    ids.append(them[lo:hi])
+                    vectors.append(v)
+                elif ids:
+                    xi, xv = np.concatenate(ids), np.concatenate(vectors)
+                    order = np.argsort(xi, kind="stable")
+                    ids, vectors = [xi[order]], [xv[order]]
+                    yield from best_of(qs[lo:hi], them[lo:hi], v, ids[0], vectors[0])
+
+    return met.mapInArrow(run, "q long, vec_id long, score long")
 
 
 def _best(s: np.ndarray, k: int) -> np.ndarray:
@@ -171,12 +212,10 @@ def search(
         rows = base.where((F.col("dim") == dim) & (F.xxhash64("id") <= share)).select("v").limit(2 * SAMPLE).collect()  # bounded sample, for the pivots alone
         if not rows:
             rows = base.where(F.col("dim") == dim).select("v").limit(SAMPLE).collect()
-        chosen[dim] = pivots_of(np.array([r["v"] for r in rows], np.int64), pivots)
+        chosen[dim] = pivots_of(np.array([r["v"] for r in rows], float), pivots)
     keyed = save(_keyed(base, chosen), "topk-keyed")
     placed, radii = (save(df, f"topk-{name}") for df, name in zip(index(keyed, annulus, block), ("placed", "radii")))
     asked = _queries(_keyed(whole(queries, id_col, vector_col, scale).where(F.col("dim").isin(*dims)), chosen))
-    n_queries = asked.count()
-    chunks = max(1, -(-n_queries // QUERIES))
     # At most PIVOTS * (CELLS + 1) annuli for each length of vector.
     annuli = radii.orderBy("pivot", "annulus", "dim").toPandas()
     sent = spark.sparkContext.broadcast((chosen, {c: annuli[c].to_numpy() for c in annuli}))
@@ -189,15 +228,16 @@ def search(
         for b in batches:
             qs, picks = [], []
             for q, dim, v, norm, kth in zip(*(b.column(n).to_pylist() for n in ("q", "dim", "v", "norm", "kth"))):
-                d2 = ((pv[dim] - np.array(v, np.int64)).astype(float) ** 2).sum(1)
+                d2 = ((pv[dim] - np.array(v, float)) ** 2).sum(1)
                 mine = np.flatnonzero(a["dim"] == dim)
                 d = np.sqrt(d2)[a["pivot"][mine] - first[dim]]
                 gap = np.maximum(0, np.maximum(d - hi[mine], lo[mine] - d))
                 # A little more than the bound, so that rounding never rules out an annulus.
-                bound = (norm + longest[mine] - gap**2) / 2 + (norm + longest[mine] + d**2) * 1e-12 + 1
+                bound = (norm + longest[mine] - gap**2) / 2 + (norm + longest[mine] + d**2 + hi[mine] ** 2) * 1e-12 + 1
+                bound[np.isnan(bound)] = np.inf  # squares beyond all doubles bound nothing
                 order = np.argsort(-bound, kind="stable")[start:end]
                 if kth is not None:
-                    order = order[bound[order] >= kth]
+                    order = order[bound[order] >= kth - abs(kth) * 1e-15]
                 qs.append(np.full(len(order), q, np.int64))
                 picks.append(mine[order])
             pick = np.concatenate([*picks, np.empty(0, np.int64)]).astype(np.int64)
@@ -216,7 +256,7 @@ def search(
         if not computed:
             forget(assigned)
             break
-        new = _search(asked.select("q", "id", "v"), assigned, placed, k, chunks)
+        new = _search(asked.select("q", "id", "v"), assigned, placed, k, shuffle_partitions(spark))
         after = save(_top(new if found is None else found.drop("rank").unionByName(new), k), "topk-found")
         forget(assigned, *([found] if found is not None else []))
         found, start, take, rounds, scores = after, end, take * GROW, rounds + 1, scores + computed
@@ -226,7 +266,8 @@ def search(
     forget(keyed, placed, radii)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return found.join(asked.select("q", F.col("id").alias("query_id")), "q").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    told = F.when(F.col("score") == LOWEST, F.raise_error(F.lit("a score among the highest doesn't fit 64 bits")).cast("long")).otherwise(F.col("score"))
+    return found.join(asked.select("q", F.col("id").alias("query_id")), "q").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", told.alias("score"))
 
 
 ORACLE = """

@@ -381,6 +381,45 @@ def test_jaccard_hot_families(spark):
     assert got == brute(data, 4, 85, 100)
 
 
+def test_topk_of_large_vectors(spark):
+    """Sizes from far below to far above what 64 bits hold of a product; only scores that are returned need to fit."""
+    rng = np.random.default_rng(4)
+    plain = [(i, (rng.normal(size=64) * 10.0 ** rng.integers(-2, 4)).tolist()) for i in range(200)]
+    # At 64 dimensions of this size 64 bits are too few for a sum, yet every score fits.
+    large = [(200 + i, [(8e5 if i % 2 else 1e6) * (1 if (i >> (d % 5)) % 2 else -1) for d in range(64)]) for i in range(40)]
+    sparse = [(300 + i, [0.0] * i + [3e15 / (i + 1)] + [0.0] * (63 - i)) for i in range(3)]
+    low = [(310, [-1e12] * 64)]
+    given = plain + large + sparse + low
+    whole = {i: [int(np.floor(x * 256)) for x in v] for i, v in given}
+    small = {i: v for i, v in whole.items() if i not in (300, 301, 302, 310)}
+    v = spark.createDataFrame([(i, x) for i, x in given if i in small], "vec_id long, embedding array<double>")
+
+    def brute(queries, every):
+        out = []
+        for q in queries:
+            scored = sorted((-sum(a * b for a, b in zip(whole[q], every[i])), i) for i in every if i != q)[:5]
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
+        return sorted(out)
+
+    got = topk.search(v, v.where("vec_id % 50 = 0"), 5, annulus=30, block=40)
+    assert sorted(tuple(r) for r in got.collect()) == brute([q for q in small if q % 50 == 0], small)
+    # Products with 310 don't fit 64 bits, but are too low to be returned.
+    some = spark.createDataFrame([(i, x) for i, x in large + low], "vec_id long, embedding array<double>")
+    wide = {i: whole[i] for i, _ in large + low}
+    assert sorted(tuple(r) for r in topk.search(some, some.where("vec_id = 231"), 5).collect()) == brute([231], wide)
+    far = spark.createDataFrame([(1, [1e15] * 64), (2, [1e15] * 64)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="doesn't fit 64 bits"):
+        topk.search(far, far, 5).collect()
+    # Components of any size: what they meet is nought here.
+    huge = spark.createDataFrame([(1, [1e300, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 3.0])], "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.search(huge, huge, 5).collect()) == [(1, 1, 2, 0), (1, 2, 3, 0), (2, 1, 3, 196608), (2, 2, 1, 0), (3, 1, 2, 196608), (3, 2, 1, 0)]
+    beyond = spark.createDataFrame([(1, [1e307] * 4), (2, [1.0] * 4)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond all doubles"):
+        topk.search(beyond, beyond, 5).collect()
+    odd = spark.createDataFrame([(1, [1.0, float("nan")]), (2, [1.0, float("inf")]), (3, [1.0, None]), (4, [1.0, 2.0]), (5, [2.0, 1.0])], "vec_id long, embedding array<double>")
+    assert sorted(tuple(r)[:3] for r in topk.search(odd, odd, 5).collect()) == [(4, 1, 5), (5, 1, 4)]
+
+
 def test_topk(spark):
     rng = np.random.default_rng(9)
     x = np.round(rng.normal(size=(700, 8)), 3)
@@ -395,7 +434,7 @@ def test_topk(spark):
         s = sorted(((-int(whole[q] @ w), i) for i, w in whole.items() if i != q and len(w) == len(whole[q])))[:5]
         assert [got[q][k + 1] for k in range(len(s))] == [(i, -n) for n, i in s]
     assert set(got) == {i for i in whole if i % 50 == 0}
-    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 2.0]), (2, [0.0, 2.0]), (3, [1e20, 0.0]), (4, [-5e5, 0.0])], "vec_id bigint, embedding array<double>")
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 2.0]), (2, [0.0, 2.0]), (4, [-5e5, 0.0])], "vec_id bigint, embedding array<double>")
     ranked = sorted(tuple(r) for r in topk.search(twice, twice.where("vec_id = 0"), 3).collect())
     assert ranked == sorted([(0, 1, 1, 196608), (0, 2, 2, 0), (0, 3, 2, 0), (0, 1, 2, 131072), (0, 2, 2, 131072), (0, 3, 1, 0)])
     report = {}
