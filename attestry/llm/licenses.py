@@ -8,9 +8,10 @@ by its licence, so that a longer rule takes its sentences away from shorter ones
 
 An SPDX tag and the expression after it are a sentence of their own, <spdx-tag:expression>, and its licence is the expression: known
 names as they are listed, former GNU names by their present ones, others as stated. Where more words follow on the tag's line, only
-known names are believed. NONE, NOASSERTION and brackets that don't match give <spdx-tag>, which no rule takes.
+known names are believed. Beyond the known sentences, titles of licences count where they stand, and short names where the sentence speaks of
+licensing. What a sentence says isn't so, to its end or to what it says instead, is no statement. NONE, NOASSERTION and brackets that don't match give <spdx-tag>, which no rule takes.
 
-DataFrame functions only, row by row: no exchange, no join. Defined results: null text has no sentences; repeated rows give
+DataFrame functions only, row by row: no exchange, no join. Defined results: null and empty texts have no sentences; very long texts are scanned whole; repeated rows give
 repeated results; an empty table gives no rows; other columns aren't read.
 """
 
@@ -125,6 +126,32 @@ BEFORE = (
     ("cc", r"\bcc[ -](by(?:-nc)?(?:-nd|-sa)?)[ -]?([1-3]\.[0-9])(?![0-9])", " <cc-$1-$2> "),
     ("cc", r"\bcc[ -](by-nd)[ -]?(4\.0)(?![0-9])", " <cc-$1-$2> "),
 )
+#: A statement that something isn't so, to the end of its sentence or to what is said instead.
+NEGATED = (
+    r"\b(?:not|never|no longer|nor|isn t|aren t|wasn t|weren t)(?: [a-z]+){0,3}? (?:licen[sc]ed|released|available|distributed|covered|governed|offered)(?: [a-z]+){0,3}? (?:under|by)\b(?:(?! but\b| instead\b).)*"
+)
+#: Titles of licences wherever they stand, after the known sentences: (licence, pattern). What they replace is <title:licence>.
+TITLES = (
+    ("MIT", r"\b(?:the )?(?:mit|expat)(?: x11)? licen[sc]e(?: mit\b)?"),
+    *((f"BSD-{n}-Clause", rf"\b(?:the )?(?:{word}bsd[ -]{n}[ -]clause|{n}[ -]clause bsd)(?: licen[sc]e)?(?![a-z])") for n, word in (("1", ""), ("2", ""), ("3", "(?:new |modified |revised )?"))),
+    ("BSD-3-Clause", r"\b(?:new|modified|revised) bsd licen[sc]e"), ("BSD-2-Clause", r"\b(?:simplified bsd|freebsd) licen[sc]e"), ("0BSD", r"\b(?:zero[ -]clause bsd|0bsd)(?: licen[sc]e)?(?![a-z])"),
+    ("Apache-2.0", r"\b(?:the )?apache(?: software)? licen[sc]e(?: apache)?(?: version| v)? ?2(?:\.0)?(?![0-9.]*[0-9])"), ("ISC", r"\b(?:the )?isc licen[sc]e"), ("Zlib", r"\b(?:the )?zlib(?: libpng)? licen[sc]e"),
+    ("BSL-1.0", r"\b(?:the )?boost software licen[sc]e(?: -)?(?:(?: version| v)? ?1\.0)?"), ("Artistic-2.0", r"\b(?:the )?artistic licen[sc]e(?: version| v)? ?2(?:\.0)?(?![0-9])"),
+    ("PSF-2.0", r"\b(?:the )?(?:python software foundation|psf) licen[sc]e(?: agreement)?(?:(?: version| v)? ?2)?(?![0-9])"), ("EUPL-1.2", r"\b(?:the )?(?:european union public licen[sc]e|eupl)(?: eupl)?(?: version)?[ -]?(?:v\.? ?)?1\.2"),
+    ("Unlicense", r"\bthe unlicense\b"), ("WTFPL", r"\bwtfpl\b"), ("MPL-2.0", r"\bmpl[ -]?(?:v|version )?2\.0"), ("EPL-2.0", r"\bepl[ -]?(?:v|version )?2\.0"),
+)
+#: Names that are words or short, which count where a sentence speaks of licensing and they stand where a licence's name does.
+LICENSING = r"\b(?:licen[sc]ed|licen[sc]e|licen[sc]ing|released|distributed|available|published)\b"
+LEAD, TRAIL = r"(?<=\b(?:under|or|and|as|either|both|the|is|licen[sc]e|terms of) )", r"(?![a-z0-9+-]|\.[0-9])"
+SHORT = (
+    ("Apache-2.0", r"(?:apache|asl)[ -]?2(?:\.0)?"), ("BSD-3-Clause", "bsd-3-clause"), ("BSD-2-Clause", "bsd-2-clause"), ("BSL-1.0", r"bsl-1\.0"), ("Artistic-2.0", r"artistic-2\.0"), ("PSF-2.0", r"psf-2\.0"),
+    ("MIT-0", "mit-0"), ("MIT", "mit"), ("ISC", "isc"), ("Zlib", "zlib"), ("Unlicense", "unlicense"),
+)
+#: GNU names without the word GNU.
+GNU_SHORT = tuple((rf"(?<!<)\b{f}[ -]?(?:v\.? ?|version )?{_version(v)}", f" <{f}-{v}> ") for f, _, vs in FAMILIES for v in vs)
+GNU_LATER = (r"(<(?:a|l)?gpl-[0-9-]+>) *(?:\+|-or-later\b|or (?:later|newer|above|greater)\b)", "$1 <gpl-later> ")
+TITLE_RULE = (r"<title:([^<>]+)>(?:<as-is>)*", "=$1=")
+TITLE_STEMS = ("gpl", "clause", "eupl", "wtfpl", "mpl", "epl", "mit", "isc", "zlib", "0bsd")
 #: These two keep what stands between their words.
 AS_IS = ((r"\b(provided\b.{0,60}\b)as is\b", "$1 <as-is> "), (r"\bas is\b(.{0,20}\bwithout warranty)", " <as-is> $1"))
 TAIL = "(?:<as-is>|<gpl-see>|<gpl-received>)*"
@@ -135,7 +162,7 @@ GNU_RULES = tuple(
 CC_RULE = r"<cc-(by[a-z-]*-[0-9]\.[0-9])>"
 END, BLANK, OTHER = r"([.!?;:])[\x20\x09-\x0D]+", r"\n[\x20\x09-\x0D]*\n", r"[^A-Za-z0-9.+-]+"
 STEMS = "|".join(sorted({stem for _, stem, _ in SENTENCES}))
-ALL_STEMS = "|".join(sorted({stem for _, stem, _ in SENTENCES} | {stem for stem, _, _ in BEFORE} | {r"gnu\s+[al]?gpl"}))
+ALL_STEMS = "|".join(sorted({stem for _, stem, _ in SENTENCES} | {stem for stem, _, _ in BEFORE} | {r"gnu\s+[al]?gpl"}) + [rf"\b[al]?{stem}" for stem in TITLE_STEMS])
 #: A tag's expression. The first form ends its line or comment, so that names of any kind and operators of either case are believed.
 TAG, NAME = r"(?i:spdx-license-identifier):", r"[A-Za-z0-9](?:[A-Za-z0-9.+:-]*[A-Za-z0-9+])?"
 OPERAND = rf"(?:\([\x20\t]*)*{NAME}(?:[\x20\t]*\))*"
@@ -175,6 +202,7 @@ def tag_id(sentence: Column) -> Column:
 def statements(sentence: Column) -> Column:
     """All identifiers of a normalised, lower-case sentence in order of place. Each takes the place of its words, so that one that is found later,
     and says less, doesn't take them again; identifiers alone are left in angle brackets, which normalised sentences don't hold."""
+    sentence = F.regexp_replace(sentence, NEGATED, " ")
     for _, pattern, identifier in BEFORE:
         sentence = F.regexp_replace(sentence, f"(?i){pattern}", identifier)
     for pattern, identifier in AS_IS:
@@ -182,6 +210,14 @@ def statements(sentence: Column) -> Column:
     for i, _, pattern in SENTENCES:
         if i != "as-is":
             sentence = F.regexp_replace(sentence, _normal(pattern), f" <{i}> ")
+    for name, pattern in TITLES:
+        sentence = F.regexp_replace(sentence, pattern, f" <title:{name}> ")
+    named = sentence
+    for name, pattern in SHORT:
+        named = F.regexp_replace(named, f"{LEAD}(?:{pattern}){TRAIL}", f" <title:{name}> ")
+    sentence = F.when(sentence.rlike(LICENSING), named).otherwise(sentence)
+    for pattern, identifier in (*GNU_SHORT, GNU_LATER):
+        sentence = F.regexp_replace(sentence, pattern, identifier)
     return F.array_join(F.regexp_extract_all(sentence, F.lit("<[^<> ]+>"), F.lit(0)), "")
 
 
@@ -190,7 +226,8 @@ def scan(docs: DataFrame) -> DataFrame:
     appearance, joined by commas, and how many identifiers no rule took."""
     text = F.coalesce(F.col("text"), F.lit(""))
     tagged = F.regexp_replace(F.regexp_replace(F.translate(text, "\u0002\u0004", "\u0003\u0003"), WHOLE_TAG, "\u0001\u0002$1\u0001"), PART_TAG, "\u0001\u0004$1\u0001")
-    marked = F.regexp_replace(F.regexp_replace(tagged, END, "$1\u0001"), BLANK, "\u0001")
+    # The full stop of `v. 2` ends no sentence.
+    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(tagged, r"\b([vV])\.[ \t]+(?=[0-9])", "$1 "), END, "$1\u0001"), BLANK, "\u0001")
     likely = lambda s: s.rlike(f"(?i){ALL_STEMS}")
     is_tag = lambda s: s.rlike("^[\u0002\u0004]")
     sentences = F.filter(F.split(marked, "\u0001"), lambda s: likely(s) | is_tag(s))
@@ -200,7 +237,7 @@ def scan(docs: DataFrame) -> DataFrame:
     sequence = F.regexp_replace("sentence_ids", "<spdx-tag:([^<>]+)>", "=$1=")
     for name, pattern in GNU_RULES + RULES:
         sequence = F.regexp_replace(sequence, pattern, f"={name}=")
-    sequence = F.regexp_replace(sequence, CC_RULE, "=cc:$1=")
+    sequence = F.regexp_replace(F.regexp_replace(sequence, CC_RULE, "=cc:$1="), *TITLE_RULE)
     df = df.withColumn("ruled", F.when(F.col("n_sentences") > 0, sequence).otherwise(""))
     named = F.transform(F.regexp_extract_all("ruled", F.lit("=([^=<>]+)="), F.lit(1)), lambda x: F.when(x.startswith("cc:"), F.concat(F.lit("CC-"), F.upper(F.substring(x, F.lit(4), F.length(x))))).otherwise(x))
     return df.select(

@@ -580,6 +580,17 @@ def test_license_statements(spark):
     assert got[1]["n_sentences"] == 1
 
 
+def test_license_titles_and_negations(spark):
+    data = [
+        ("Apache License, Version 2.0 or the MIT License", "Apache-2.0,MIT"), ("MIT License", "MIT"), ("The MIT License (MIT)", "MIT"), ("BSD 3-Clause License", "BSD-3-Clause"), ("Licensed under Apache-2.0.", "Apache-2.0"), ("GPLv3", "GPL-3.0-only"), ("LGPL-2.1-or-later", "LGPL-2.1-or-later"),
+        ("Dual licensed under MIT and GPL v2+.", "MIT,GPL-2.0-or-later"), ("Boost Software License - Version 1.0", "BSL-1.0"), ("the zlib License", "Zlib"), ("The Artistic License 2.0", "Artistic-2.0"), ("Python Software Foundation License Version 2", "PSF-2.0"), ("EUPL-1.2", "EUPL-1.2"), ("European Union Public Licence v. 1.2", "EUPL-1.2"),
+        ("It is not licensed under the Apache License, Version 2.0.", ""), ("This isn't released under the MIT License but under the ISC License.", "ISC"), ("No longer distributed under the terms of GPLv2; licensed under MPL-2.0.", "MPL-2.0"), ("New BSD license and Simplified BSD License", "BSD-3-Clause,BSD-2-Clause"),
+        ("She studied at mit and the boost was great.", ""), ("MIT published a report in 2.0 parts", ""), ("The licence is MIT", "MIT"), ("Apache Licence 2.0", "Apache-2.0"), ("0BSD", "0BSD"), ("Mitteilung gplänkel", ""), ("Released under the terms of the MIT License " * 30_000, "MIT"), ("Released under the MIT License.", "MIT"), ("Released under the MIT License.", "MIT"),
+    ]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(data)], "doc_id bigint, text string")).collect()}
+    assert [(data[i][0][:60], got[i]) for i in range(len(data))] == [(t[:60], x) for t, x in data]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracles(spark, name):
