@@ -1,7 +1,7 @@
 """Secret scans: broad candidates, then a random forest removes false positives.
 
-Candidates are values assigned to names that contain a word such as password or token (DB_PASSWORD, clientSecret), passwords in
-addresses (user:password@host), private keys in PEM form, from BEGIN to END or to the last line of base64, and unbroken runs of
+Candidates are values of four or more characters assigned to names that contain a word such as password, Kennwort or contraseña (DB_PASSWORD,
+clientSecret), a scheme's name before the value aside, passwords in addresses (user:password@host), private keys in PEM form, from BEGIN to END or to the last line of base64, and unbroken runs of
 sixteen or more letters, digits and + / _ - that hold a digit. A private key needs no measures: its frame says what it is. Each has measures of its length, of changes between kinds of character, of how much of it dictionary
 words cover, of path-like surroundings, and of the words next to it. The forest is trained on labelled findings with Spark's own
 trainer; its trees are then written out as one SQL expression, so that scoring is part of the scan. The labelled findings are
@@ -11,7 +11,7 @@ A text is cut at its candidates, so every candidate is judged at its own place,
 
 DataFrame functions only, row by row: no exchange of texts, no join. Defined results: null text has no findings; each place of a
 value that occurs again is a finding of its own; very long texts are scanned whole, and no candidate is cut (a private key without
-its END line goes up to 400 lines; what follows is judged line by line); of candidates that overlap the first counts; repeated rows
+its END line goes to its last line of base64); of candidates that overlap the first counts; repeated rows
 give repeated results; an empty table gives no rows; other columns aren't read. `redact` returns its input's rows and columns with
 confirmed secrets replaced.
 """
@@ -23,22 +23,33 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEYS = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)"
+#: Words of keys in the languages of the corpora this was made for: English, German, French, Spanish.
+KEYS = (
+    r"(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|kennwort|passwort|zugangsschl(?:ü|ue)ssel|geheimnis|mot[ _-]?de[ _-]?passe|mdp|jeton|cl(?:é|e)[ _-](?:api|secr(?:è|e)te)"
+    r"|contrase(?:ñ|n)a|clave[ _-](?:api|secreta|de[ _-]acceso)|auth)"
+)
 #: The key is any identifier with one of the words in it; it is taken from the word on. An author is no key.
-NAMED = KEYS.replace("auth)", "auth(?!or(?!i[sz])))")
-ASSIGN = rf"(?i:{NAMED}[\w.-]*+[\"']?[ \t]{{0,3}}(?:=>|:=|[:=])[ \t]{{0,3}}[\"']?)"
+NAMED = KEYS.replace("|auth)", "|auth(?!or(?!i[sz])))")
+#: A scheme's name before the value, as in `Authorization: Bearer ...`, belongs to the key.
+SCHEME = r"(?:(?:bearer|basic|digest|token|apikey|negotiate)[ \t]++)?+"
+ASSIGN = rf"(?i:{NAMED}[\w.-]*+[\"']?[ \t]{{0,3}}(?:=>|:=|[:=])[ \t]{{0,3}}[\"']?{SCHEME})"
+#: The fewest characters of a value that is assigned or stands in an address. Shorter ones can't be told from words of the text.
+LEAST = 4
+#: How published kinds of token begin.
+PREFIX = r"(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abeprs]-|[sr]k_(?:live|test)_|sk-(?:proj|svcacct|admin)-|AIza|npm_|hf_|dop_v1_|eyJ)"
 #: What stands before the password of an address.
 USER = r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:@/\"'<>]*+:"
-ADDRESS = rf"\b{USER}[^\s@/\"'<>]{{6,}}+(?=@)"
+ADDRESS = rf"\b{USER}[^\s@/\"'<>]{{{LEAST},}}+(?=@)"
 KIND = r"(?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----"
 INSIDE = r"[A-Za-z0-9+/=:,.()\"'\\\s]++"
-PEM = rf"-----BEGIN {KIND}(?:{INSIDE}(?:-(?!-){INSIDE})*+-----END {KIND}|(?:(?:\s|\\[rn]|[\"',])*+[A-Za-z0-9+/]{{16,}}+={{0,2}}){{1,400}}+(?:\s{{1,2}}[A-Za-z0-9+/]{{1,15}}={{1,2}})?)"
-VALUE = rf"(?!{ADDRESS}|-----BEGIN )[^\s\"',;]{{6,}}"
+PEM = rf"-----BEGIN {KIND}(?:{INSIDE}(?:-(?!-){INSIDE})*+-----END {KIND}|(?:(?:\s|\\[rn]|[\"',])*+[A-Za-z0-9+/]{{16,}}+={{0,2}})++(?:\s{{1,2}}[A-Za-z0-9+/]{{1,15}}={{1,2}})?)"
+VALUE = rf"(?!{ADDRESS}|-----BEGIN )[^\s\"',;]{{{LEAST},}}"
 # A long name with a digit is not a run where it is the key of a value.
 RUN = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?![A-Za-z0-9+/_-]*?{ASSIGN}{VALUE})[A-Za-z0-9+/_-]{{16,}}+={{0,2}}"
 CANDIDATE = rf"{PEM}|{ADDRESS}|{ASSIGN}{VALUE}|{RUN}"
 #: How many characters before and after a candidate count as its neighbourhood.
 NEAR = 40
+BESIDE = -(-NEAR // LEAST)
 DICTIONARY = (
     "the and for with from this that have your here not was are name user test example sample demo change changeme dummy placeholder password secret token key value none null true false "
     "default admin root guest hello world server client standard windows linux version release build main java python index page post image file src lib com org net http https www"
@@ -73,7 +84,7 @@ def features(value: Column, key: Column, before: Column, after: Column) -> dict[
         "assigned": flag(key != ""),
         "near_secret": flag(F.concat(before, key).rlike(SECRET_WORDS)),
         "near_harmless": flag(F.concat_ws(" ", before, after).rlike(HARMLESS_WORDS)),
-        "known_prefix": flag(value.rlike(r"^(?:AKIA|ASIA|ghp_|gho_|xox[bp]-|sk_live_|AIza|eyJ)")),
+        "known_prefix": flag(value.rlike(f"^{PREFIX}")),
     }
 
 
@@ -121,10 +132,25 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         ("element_at(array('password', 'changeme', 'placeholder', 'example', 'password1'), int(pmod(id, 5)) + 1)", "'http://user:'", prose, "'@host.org/ '", 0),
         (f"concat(substr({word('9')}, 1, 6), element_at(array('.', ':', ')', ''), int(pmod(id, 4)) + 1))", f"concat({key}, ': ')", prose, "' '", 0),
     ]
+    # Kinds of token by their beginnings, short passwords beside short words.
+    shapes += [
+        (f"concat(element_at(array('ghp_', 'gho_', 'github_pat_', 'glpat-', 'sk-proj-', 'sk_live_', 'npm_', 'hf_', 'xoxb-'), int(pmod(id, 9)) + 1), substr(concat({plain('K')}, {plain('L')}), 1, int(24 + pmod(id, 40))))", "''", prose, "' '", 1),
+        (f"concat(element_at(array('ghp_', 'sk-proj-', 'glpat-', 'npm_'), int(pmod(id, 4)) + 1), substr({plain('M')}, 1, 36))", f"concat({key}, {eq})", prose, "' '", 1),
+        (f"concat('p', pmod(id, 10), substr({plain('N')}, 1, 2), element_at(array('', '!', 'x'), int(pmod(id, 3)) + 1))", "'psql://u:'", prose, "'@db/x '", 1),
+        (f"concat(substr({word('O')}, 1, 3), 10 + pmod(id, 90))", "'password='", prose, "' '", 1),
+        ("element_at(array('is', 'the', 'your', 'that', 'dans', 'para', 'oder', 'none', 'null', 'true', 'same', 'here', 'este', 'wird'), int(pmod(id, 14)) + 1)", f"concat({key}, ': ')", prose, "' '", 0),
+        (f"substr({word('P')}, 1, int(4 + pmod(id, 3)))", f"concat({key}, {eq})", prose, "' '", 0),
+    ]
     n = len(shapes)
-    pick = lambda i: "case " + " ".join(f"when shape = {k} then {s[i]}" for k, s in enumerate(shapes)) + " end"
     df = spark.range(0, rows, 1, 1).withColumn("shape", F.expr(f"pmod(id, {n})"))
-    return df.selectExpr(f"{pick(0)} as value", f"{pick(1)} as key", f"{pick(2)} as before", f"{pick(3)} as after", f"cast({pick(4)} as double) as label")
+    out = None
+    # A dozen shapes at a time, so that the expressions of each part stay within what can be compiled.
+    for lo in range(0, n, 12):
+        part = range(lo, min(lo + 12, n))
+        pick = lambda i: "case " + " ".join(f"when shape = {k} then {shapes[k][i]}" for k in part) + " end"  # noqa: B023, E731
+        some = df.where(F.col("shape").isin(*part)).selectExpr(f"{pick(0)} as value", f"{pick(1)} as key", f"{pick(2)} as before", f"{pick(3)} as after", f"cast({pick(4)} as double) as label")
+        out = some if out is None else out.unionByName(some)
+    return out
 
 
 def _tree_sql(lines: list[str]) -> str:
@@ -175,10 +201,10 @@ def _judged(pieces: Column, trees: list[str]) -> Column:
     between, matches = pieces["between"], pieces["matches"]
 
     def beside(m: Column, i: Column) -> Column:
-        # Candidates are six characters at least, so that six of them and what stands between fill the neighbourhood.
-        first, n = F.greatest(i - 5, F.lit(1)), F.least(i, F.lit(6))
+        # So many candidates, of LEAST characters each, and what stands between fill the neighbourhood.
+        first, n = F.greatest(i - (BESIDE - 1), F.lit(1)), F.least(i, F.lit(BESIDE))
         before = F.concat(_woven(F.slice(between, first, n), F.slice(matches, first, n)), F.get(between, i))
-        after = F.concat(F.get(between, i + 1), _woven(F.slice(matches, i + 2, 6), F.slice(between, i + 3, 6)))
+        after = F.concat(F.get(between, i + 1), _woven(F.slice(matches, i + 2, BESIDE), F.slice(between, i + 3, BESIDE)))
         return F.struct(m.alias("m"), F.regexp_extract(m, f"^(?:{USER}|{ASSIGN})", 0).alias("key"), F.right(before, F.lit(NEAR)).alias("before"), F.left(after, F.lit(NEAR)).alias("after"))
 
     def parted(p: Column) -> Column:
