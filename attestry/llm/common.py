@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WHITE = " \t\n\x0b\x0c\r"
 
 #: Input rows for each file of a small table beyond the least number of files.
-FILE_ROWS, LEAST_FILES = 100_000, 6
+FILE_ROWS, LEAST_FILES = 1_000_000, 6
 
 _own: dict[str, str] = {}
 
@@ -69,14 +69,6 @@ def settle(df: DataFrame, name: str, rows: int) -> DataFrame:
     return save(df.repartition(LEAST_FILES + rows // FILE_ROWS), name)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished steps now, not when the driver's heap next happens to fill."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 #: Arrow batches of whole texts: long documents come by the thousand at worst. Spark's own values, for which these stand in, are the keys' second entries.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("1000", "10000"), "spark.sql.execution.arrow.maxBytesPerBatch": (str(16 << 20), f"{64 << 20}b")}
 

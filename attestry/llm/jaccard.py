@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import forget, hold, remembered, save, settle, small_batches, sweep
+from attestry.llm.common import forget, hold, remembered, save, settle, small_batches
 
 #: Shingles met in fewer documents aren't told apart from rare ones; of others the most frequent are ranked, one for so many documents within
 #: these bounds (what is sent is then at most 64 MB). All this only shapes the order.
@@ -223,7 +223,6 @@ def _rest(n: str, num: int, den: int) -> F.Column:
 def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; two link when den * |A and B| >= num * |A or B|."""
     small_batches(docs.sparkSession)
-    spark = docs.sparkSession
     rows = docs.count()
     made = hold(_prefixes(docs, width, num, den, rows).withColumn("key", F.xxhash64("n", "prefix")))
     real = made.where("n > 0 and doc_id is not null")
@@ -234,12 +233,10 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     own = real.select(F.col("doc_id").alias("g"), "digest", "n", "prefix")
     posted = groups.select("g", "digest").join(own, ["g", "digest"]).dropDuplicates(["g", "digest"]).select("g", "n", F.posexplode("prefix").alias("pos", "h"))
     posted = hold(posted.select("h", "g", (F.col("n").cast("long") * (1 << 31) + F.col("pos")).alias("np")))
-    sweep(spark)
     counts = posted.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     posts = posted.join(counts, "h").select("h", "g", F.shiftright("np", 31).cast("int").alias("n"), F.col("np").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("pos"), "c")
     posts = save(posts, "jaccard-posts")
     posted.unpersist()
-    sweep(spark)
     # Sets of n shingles that differ share at most n - 1, which small ones can't afford.
     big = groups.where("size > 1").join(own.select("g", "digest", "n"), ["g", "digest"]).select("key", "g", (den * (F.col("n") - 1) >= num * (F.col("n") + 1)).alias("may")).distinct()
     inside = settle(big.join(reps.select("key", F.col("rep").alias("member")), "key").select("g", "member", "may"), "jaccard-inside", rows)
@@ -262,9 +259,7 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     to_hub = hot.join(hubs, "h").where((F.col("g") != F.col("hub")) & (den * F.least("n", "hub_n") >= num * F.greatest("n", "hub_n"))).select(F.least("g", "hub").alias("a"), F.greatest("g", "hub").alias("b"), "h")
     stars = inside.where("g <> member and may").select(F.col("g").alias("a"), F.col("member").alias("b"), F.xxhash64("g").alias("h"))
     first = settle(cold_pairs.unionByName(to_hub).unionByName(stars).groupBy("a", "b").agg(F.min("h").alias("h")), "jaccard-first", rows)
-    sweep(spark)
     links = _verified(docs, first, width, num, den, rows)
-    sweep(spark)
     labels = connected_components(links, rows)
 
     def labelled(df: DataFrame, node: str, out: str) -> DataFrame:
