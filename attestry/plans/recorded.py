@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from attestry.operators import locks, manifests
 from attestry.plans import evidence
 from attestry.plans.formed import _mod, _pick
 from attestry.plans.queries import _DEPTH, _DIGEST, _HASH, _TOK, _excluded, _q, _weight, query, table
+from attestry.sources import maven
 from attestry.sources.trees import TEMPLATES, document_trees, files_of
 
 # A component is a source's documents in runs of 320. Its number decides what else its tree holds and what of it can't be read.
@@ -136,3 +139,43 @@ def broken_manifests(spark, sf_dir):
     said = manifests.manifests(files_of(part)).select(F.col("component_id").cast("long").alias("p_partkey"), "path", "license")
     return said.where(~F.pmod("p_partkey", F.lit(len(_TOMLS))).isin(*(i for i, x in enumerate(_TOMLS) if x[2] is None)))
 
+
+# POMs: each part is one of a chain of up to twelve, of which only the first declares; some are missing, some name themselves, every fourth has no jar.
+def _maven(batches):
+    import pyarrow as pa
+
+    from attestry.plans.formed import _zipped
+
+    for b in batches:
+        rows = []
+        for k in b.column(0).to_pylist():
+            parent = k if k % 100 == 7 else k - 1
+            group, version = ("<groupId>org.p</groupId>", "<version>1.0</version>") if k % 2 else ("<groupId> </groupId>", "")
+            up = "" if k % 12 == 0 else f"<parent>{group}<artifactId>a{parent}</artifactId>{version}</parent>"
+            said = f"<licenses><license><name>L{k}</name></license></licenses>" if k % 12 == 0 else "<licenses><license><name> </name></license></licenses>"
+            jar = None if k % 4 == 0 else _zipped([("META-INF/LICENSE", b"terms"), ("pom.xml", b"<project/>"), ("x.class", b"")])
+            rows.append((k, None if k % 17 == 5 else (b"<project>" if k % 29 == 3 else f"<project>{up}{said}</project>".encode()), jar, hashlib.sha1(jar).hexdigest().upper() + "  x.jar" if jar and k % 3 else "0"))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.string()))], ["k", "pom", "jar", "recorded"])
+
+
+@query(f"""with recursive p as (select p_partkey as k, p_partkey % 12 = 0 and p_partkey % 29 <> 3 as declares, case when p_partkey % 12 = 0 or p_partkey % 29 = 3 then null when p_partkey % 100 = 7 then p_partkey else p_partkey - 1 end as up from part where p_partkey % 17 <> 5),
+c as (select k, k as at, 1 as n from p union all select c.k, u.k, n + 1 from c join p a on a.k = c.at and not a.declares and a.up <> c.at join p u on u.k = a.up where n < 8),
+l as (select c.k, max(n) as n, max(case when p.declares then 'L' || p.k end) as license from c join p on p.k = c.at group by 1),
+a as (select p_partkey as k, p_partkey % 4 <> 0 as jar, p_partkey % 11 = 0 as bad from part)
+select 'pkg:maven/org.p/a' || a.k || '@1.0' as purl, case when bad then 0 else coalesce(n, 0) end as poms, case when jar and not bad then 1 else 0 end as members, case when not bad then license end as license, jar and not bad and a.k % 3 <> 0 as matched,
+  case when bad then '' when jar and n is null then {_q(maven.NO_POM)} when not jar and n is not null then {_q(maven.NO_JAR)} else '' end as notes,
+  case when bad then 'group, artifact and version are needed' when not jar and n is null then 'gone: there is neither a POM nor a jar' end as error from a left join l on l.k = a.k""")
+def maven_resolution(spark, sf_dir):
+    """Components from their POM chains and jars: whatever of the two is there, with a note where one isn't."""
+    made = table(spark, sf_dir, "part").select("p_partkey").mapInArrow(_maven, "k long, pom binary, jar binary, recorded string")
+    artifact = F.concat(F.lit("a"), F.col("k").cast("string"))
+    poms = made.where("pom is not null").select(F.lit("org.p").alias("group_id"), artifact.alias("artifact_id"), F.lit("1.0").alias("version"), F.col("pom").alias("content"))
+    name = F.when(F.pmod("k", F.lit(11)) == 0, artifact).otherwise(F.concat(F.lit("org.p:"), artifact))
+    staged = made.select(F.concat(F.lit("pkg:maven/org.p/"), artifact, F.lit("@1.0")).alias("purl"), F.lit("maven").alias("ecosystem"), name.alias("name"), F.lit("1.0").alias("version"), "recorded", F.lit("x.jar").alias("file_name"), F.col("jar").alias("content"))
+    artifacts, files = maven.resolve(staged, poms)
+    pom = F.col("path").rlike("^pom")
+    held = files.groupBy(F.col("component_id").alias("purl")).agg(F.count_if(pom).alias("poms"), F.count_if(~pom).alias("members"))
+    declared = manifests.declared_license(manifests.manifests(files)).select(F.col("component_id").alias("purl"), "license")
+    out = artifacts.join(held, "purl", "left").join(declared, "purl", "left")
+    return out.select("purl", F.coalesce("poms", F.lit(0)).alias("poms"), F.coalesce("members", F.lit(0)).alias("members"), "license", "matched", F.array_join("notes", "|").alias("notes"), "error")

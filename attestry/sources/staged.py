@@ -85,18 +85,28 @@ def check_artifacts(artifacts: DataFrame, checksums: DataFrame) -> DataFrame:
     return artifacts.join(c, "purl", "left").withColumn("matched", F.coalesce(same & (F.col("digest") != ""), F.lit(False)))
 
 
+def ancestry(docs: DataFrame, most: int = POM_ANCESTRY) -> DataFrame:
+    """(gav, chain array<gav>): each POM and its ancestors, nearest first, up to the first that declares, at most `most` of them. Missing ancestors
+    and cycles end a chain.
+
+    Pointers are doubled: after each join a chain is twice as long, so `most` takes log2(most) joins. Chains that have ended join by their own name
+    behind a mark that no name has, so that they don't meet in one partition; a parent of very many is one row on its side."""
+    walk = docs.select("gav", F.array("gav").alias("chain"), F.when(~F.col("declares"), F.col("parent")).alias("next"))
+    reach = 1
+    while reach < most:
+        onward = walk.select(F.col("gav").alias("at"), F.col("chain").alias("further"), F.col("next").alias("then"))
+        joined = walk.withColumn("key", F.coalesce("next", F.concat(F.lit("\0"), "gav"))).join(onward, F.col("key") == F.col("at"), "left")
+        walk = joined.select("gav", F.when(F.col("at").isNull(), F.col("chain")).otherwise(F.concat("chain", "further")).alias("chain"), F.col("then").alias("next"))
+        reach *= 2
+    # In a cycle the names that come again are all that follow.
+    return walk.select("gav", F.slice(F.array_distinct("chain"), 1, most).alias("chain"))
+
+
 def pom_licenses(poms: DataFrame) -> DataFrame:
-    """(gav, license): each POM's own licence, or its nearest ancestor's. poms(gav, parent, license); cycles end the walk.
-
-    At most POM_ANCESTRY joins, unrolled; each carries two short columns. Rows that are settled join by their own name behind a mark
-    that no name has, so that they stay as they are and don't meet in one partition."""
-    known = poms.select(F.col("gav").alias("at"), F.col("parent").alias("up"), F.col("license").alias("own"))
-    walk = poms.select("gav", F.coalesce(F.col("license"), F.lit("")).alias("license"), F.col("parent").alias("next"), F.array("gav").alias("seen"))
-    for _ in range(POM_ANCESTRY - 1):
-        open_now = (F.col("license") == "") & F.col("next").isNotNull() & ~F.array_contains("seen", F.col("next"))
-        step = walk.withColumns({"open": F.coalesce(open_now, F.lit(False)), "key": F.when(open_now, F.col("next")).otherwise(F.concat(F.lit("\0"), F.col("gav")))}).join(known, F.col("key") == F.col("at"), "left")
-        walk = step.select("gav", F.when(F.col("open"), F.coalesce("own", F.lit(""))).otherwise(F.col("license")).alias("license"), F.when(F.col("open"), F.col("up")).alias("next"), F.when(F.col("open"), F.concat("seen", F.array("key"))).otherwise(F.col("seen")).alias("seen"))
-    return walk.select("gav", "license")
+    """(gav, license): each POM's own licence, or its nearest ancestor's, '' without one. poms(gav, parent, license)."""
+    docs = poms.select("gav", "parent", (F.coalesce("license", F.lit("")) != "").alias("declares"))
+    last = ancestry(docs).select("gav", F.element_at("chain", -1).alias("last"))
+    return last.join(poms.select(F.col("gav").alias("last"), "license"), "last").select("gav", F.coalesce("license", F.lit("")).alias("license"))
 
 
 def sink_bundles(bundles: DataFrame, path: str) -> None:

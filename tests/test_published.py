@@ -1,12 +1,13 @@
 """Readers of staged artifacts, copies and their verification, functions by name in SQL."""
 
+import hashlib
 import io
 import zipfile
 
 from pyspark.sql import functions as F
 
 from attestry.functions import digests, purl, registry, spdx
-from attestry.sources import published, staged
+from attestry.sources import maven, published, staged
 from attestry.sources.trees import files_of
 from tests.test_operators import tarred
 
@@ -96,3 +97,35 @@ def test_sql_functions_equal_the_columns(spark):
     spark.createDataFrame([("x.zip", bytearray(out)), ("y.zip", bytearray(b"bad"))], "name string, content binary").createOrReplaceTempView("registry_archives")
     got = spark.sql("select a.name, t.path, t.size_bytes, t.error is null as good from registry_archives a, lateral att_expand_archive(a.name, a.content, 'x') t").collect()
     assert sorted(tuple(r) for r in got) == [("x.zip", "LICENSE", 3, True), ("y.zip", "y.zip", 0, False)]
+
+
+def _pom(inner):
+    return f"<project>{inner}</project>".encode()
+
+
+def _up(artifact, group="org.e", version="1"):
+    return f"<parent><groupId>{group}</groupId><artifactId>{artifact}</artifactId><version>{version}</version></parent>"
+
+
+SAYS = "<licenses><license><name>Terms</name></license></licenses>"
+
+
+def test_maven_components(spark):
+    jar = zipped([("META-INF/LICENSE.txt", b"t"), ("a/B.class", b"x"), ("pom.xml", b"inner")])
+    poms = [
+        ("org.e", "own", "1", _pom(SAYS + _up("root"))), ("org.e", "root", "1", _pom(SAYS)), ("org.e", "child", "1", _pom(_up("mid", " ", ""))), ("org.e", "mid", "1", _pom(_up("root"))), ("org.e", "loop", "1", _pom(_up("loop2"))), ("org.e", "loop2", "1", _pom(_up("loop"))),
+        ("org.e", "orphan", "1", _pom(_up("nowhere"))), ("org.e", "broken", "1", b"<project><parent>"), ("org.e", "latin", "1", "<project><name>é</name></project>".encode("latin-1")), *[("org.e", f"deep{i}", "1", _pom(_up(f"deep{i + 1}"))) for i in range(12)],
+    ]
+    names = ["own", "child", "loop", "orphan", "broken", "latin", "deep0", "jar-only", "neither"]
+    staged = [(f"p:{n}", "maven", f"org.e:{n}", "1", hashlib.sha1(jar).hexdigest() + "  file", "x.jar", jar if n in ("own", "jar-only") else None) for n in names]
+    staged += [("p:bad", "maven", "no-colon", "1", None, None, jar), ("p:blank", "maven", ":x", "1", None, None, jar), ("p:other", "npm", "x", "1", None, None, jar)]
+    arts, files = maven.resolve(spark.createDataFrame(staged, STAGED), spark.createDataFrame(poms, "group_id string, artifact_id string, version string, content binary"))
+    got = {r["purl"][2:]: r for r in arts.collect()}
+    held = {}
+    for r in files.collect():
+        held.setdefault(r["component_id"][2:], set()).add(r["path"])
+    assert held["own"] == {"pom.xml", "META-INF/LICENSE.txt"} and got["own"]["matched"] and got["own"]["notes"] == []
+    assert held["child"] == {"pom.xml", "pom-parent-1.xml", "pom-parent-2.xml"} and got["child"]["notes"] == [maven.NO_JAR] and not got["child"]["matched"]
+    assert held["loop"] == {"pom.xml", "pom-parent-1.xml"} and held["orphan"] == held["broken"] == held["latin"] == {"pom.xml"}
+    assert len(held["deep0"]) == 8 and held["jar-only"] == {"META-INF/LICENSE.txt"} and got["jar-only"]["notes"] == [maven.NO_POM]
+    assert got["neither"]["error"].startswith("gone") and "neither" not in held and "bad" not in held and "needed" in got["bad"]["error"] and "needed" in got["blank"]["error"] and "other" not in got
