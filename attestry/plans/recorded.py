@@ -7,10 +7,10 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.operators import locks, manifests
+from attestry.operators import locks, manifests, ownership
 from attestry.plans import evidence
 from attestry.plans.formed import _mod, _pick
-from attestry.plans.queries import _DEPTH, _DIGEST, _HASH, _TOK, _excluded, _q, _weight, query, table
+from attestry.plans.queries import _DEPTH, _DIGEST, _HASH, _TOK, _TREE, _excluded, _q, _weight, query, table, tree
 from attestry.sources import maven
 from attestry.sources.trees import TEMPLATES, document_trees, files_of
 
@@ -179,3 +179,46 @@ def maven_resolution(spark, sf_dir):
     declared = manifests.declared_license(manifests.manifests(files)).select(F.col("component_id").alias("purl"), "license")
     out = artifacts.join(held, "purl", "left").join(declared, "purl", "left")
     return out.select("purl", F.coalesce("poms", F.lit(0)).alias("poms"), F.coalesce("members", F.lit(0)).alias("members"), "license", "matched", F.array_join("notes", "|").alias("notes"), "error")
+
+
+def _written(files: DataFrame, folder: str) -> None:
+    """The files of a files table below folder/<component>, each by the task that has it."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    def run(batches):
+        system, root = fs.FileSystem.from_uri(folder)
+        for b in batches:
+            for component, path, content in zip(*(b.column(i).to_pylist() for i in range(3))):
+                at = f"{root}/{component}/{path}"
+                system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(at) as f:
+                    f.write(content or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    files.select("component_id", "path", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+@query(f"""with {_TREE}, l as (select component_id, path, {_DIGEST} as digest from tree where ({_weight()}) is not null), h as (select component_id, {_HASH} as license_content_hash, count(*) as covered from l group by 1),
+c as (select component_id, count(*) as files, sum(strlen(text)) as bytes from tree group by 1)
+select c.component_id, files, cast(bytes as bigint) as bytes, coalesce(license_content_hash, 'v1-' || sha256('')) as license_content_hash, coalesce(covered, 0) as covered, false as missing from c left join h using (component_id)
+union all select 'no-' || component_id, 0, 0, 'v1-' || sha256(''), 0, true from c""")
+def tree_directories(spark, sf_dir):
+    """Trees written as directories and read back by the tree source; as many components are asked for that have none."""
+    from uuid import uuid4
+
+    from attestry.sources import scratch, tree_source
+
+    files = tree(spark, sf_dir)
+    folder = f"{scratch.folder(spark)}/trees-{uuid4().hex}"
+    folder = folder if "://" in folder else f"file://{folder}"
+    scratch.passing(spark, folder)
+    _written(files, folder)
+    names = [r["component_id"] for r in files.select("component_id").distinct().collect()]  # components, asked for by name
+    read = tree_source.read_directories(spark, folder, names + [f"no-{n}" for n in names])
+    subjects = tree_source.subjects_of(read)
+    there = read.where("read_error is null")
+    hashes = ownership.component_hashes(subjects, there).select("component_id", "license_content_hash", F.col("files").alias("covered"))
+    sizes = there.groupBy("component_id").agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"))
+    out = subjects.join(hashes, "component_id").join(sizes, "component_id", "left")
+    return out.select("component_id", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("bytes", F.lit(0)).alias("bytes"), "license_content_hash", "covered", F.col("source_error").isNotNull().alias("missing"))

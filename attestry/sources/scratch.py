@@ -27,6 +27,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    passing(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def passing(spark: SparkSession, path: str) -> None:
+    """What stands at the path goes when the session ends."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)

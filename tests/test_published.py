@@ -129,3 +129,47 @@ def test_maven_components(spark):
     assert held["loop"] == {"pom.xml", "pom-parent-1.xml"} and held["orphan"] == held["broken"] == held["latin"] == {"pom.xml"}
     assert len(held["deep0"]) == 8 and held["jar-only"] == {"META-INF/LICENSE.txt"} and got["jar-only"]["notes"] == [maven.NO_POM]
     assert got["neither"]["error"].startswith("gone") and "neither" not in held and "bad" not in held and "needed" in got["bad"]["error"] and "needed" in got["blank"]["error"] and "other" not in got
+
+
+def test_tree_source(spark, tmp_path):
+    """Directories that can't be listed, links that lead away, filters that reach the source."""
+    import os
+
+    from attestry.sources import tree_source
+
+    for name, text in (("a/LICENSE", "one"), ("a/src/x/deep.c", "int x;"), ("a/src/y/COPYING", "two"), ("b/README", "three"), ("outside.txt", "no")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    os.symlink(tmp_path / "a" / "LICENSE", tmp_path / "a" / "src" / "LICENSE")
+    os.symlink(tmp_path / "outside.txt", tmp_path / "a" / "LICENSE-out")
+    os.symlink(tmp_path / "a" / "nothing", tmp_path / "a" / "LICENSE-gone")
+    os.symlink(tmp_path / "a", tmp_path / "a" / "src" / "loop")
+    (tmp_path / "b" / "pipe").symlink_to("/proc/self/mem")
+    (tmp_path / "c").write_text("a file where a tree should be")
+    root = str(tmp_path)
+    files = tree_source.read_directories(spark, root, ["a", "b", "c", "d"])
+    got = {(r["component_id"], r["path"]): (bytes(r["content"]).decode() if r["content"] is not None else None, r["size_bytes"]) for r in files.where("read_error is null").collect()}
+    assert got == {("a", "LICENSE"): ("one", 3), ("a", "src/x/deep.c"): ("int x;", 6), ("a", "src/y/COPYING"): ("two", 3), ("a", "src/LICENSE"): ("one", 3), ("b", "README"): ("three", 5)}
+    lost = {r["component_id"]: r["source_error"] for r in tree_source.subjects_of(files).collect()}
+    assert lost["a"] is None and lost["b"] is None and lost["c"] and lost["d"]
+    names = tree_source.read_directories(spark, root, names="COPYING*")
+    assert sorted(r["path"] for r in names.where("content is not null").collect()) == ["src/y/COPYING"] and names.count() == 5
+
+    reader = tree_source.TreeReader({"path": root, "split": "3"})
+    list(reader.pushFilters([tree_source.EqualTo(("component_id",), "a"), tree_source.StringStartsWith(("path",), "src/y")]))
+    plan = reader.partitions()
+    assert {(p.component, p.directory) for p in plan} == {("a", ""), ("a", "src"), ("a", "src/y")}
+    assert [r["path"] for b in map(reader.read, plan) for batch in b for r in batch.to_pylist()] == ["src/y/COPYING"]
+    assert [r["path"] for r in files.where("component_id = 'a' and path like '%COPYING'").collect()] == ["src/y/COPYING"]
+
+    broken = tree_source.TreeReader({"path": root})
+    whole = broken.listed
+
+    def listed(at):
+        if at.endswith("/src/x"):
+            raise PermissionError(13, "Permission denied", at)
+        return whole(at)
+
+    broken.listed = listed
+    rows = [r for b in map(broken.read, broken.partitions()) for batch in b for r in batch.to_pylist()]
+    assert [(r["path"], r["read_error"]) for r in rows if r["read_error"]] == [("src/x/", "Permission denied")] and len(rows) == 6 - 1 + 0
