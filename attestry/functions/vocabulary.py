@@ -194,18 +194,21 @@ class Vocabulary:
 
     @classmethod
     def from_list(cls, licenses: list[dict]) -> Vocabulary:
-        """From the entries of a published list: licenseId, name, isDeprecatedLicenseId, seeAlso. An address of two licences names neither."""
+        """From the entries of a published list: licenseId, name, isDeprecatedLicenseId, seeAlso. An address or a name of two licences names neither."""
         from attestry.functions.spdx import plain_text, plain_url
 
         now = [x for x in licenses if not x.get("isDeprecatedLicenseId")]
         urls: dict[str, set[str]] = {}
+        names: dict[str, set[str]] = {}
         for x in now:
+            if n := plain_text(x.get("name") or ""):
+                names.setdefault(n, set()).add(x["licenseId"])
             for u in x.get("seeAlso", ()):
                 if p := plain_url(u):
                     urls.setdefault(p, set()).add(x["licenseId"])
         return cls(
             tuple(x["licenseId"] for x in now),
             tuple(x["licenseId"] for x in licenses if x.get("isDeprecatedLicenseId")),
-            {plain_text(x["name"]): x["licenseId"] for x in now},
+            {n: next(iter(i)) for n, i in names.items() if len(i) == 1},
             {u: next(iter(i)) for u, i in urls.items() if len(i) == 1},
         )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions import spdx
-from attestry.operators import classify, detection, notices, spans
+from attestry.operators import classify, detection, names, notices, spans
 from attestry.plans.formed import _mod, _pick, _sql_pick
 from attestry.plans.queries import _TOK, query, table
 
@@ -84,3 +84,24 @@ def _with_passages(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     text = F.concat("own", F.lit("\n\n"), "a", F.lit("\n\nnext: part,\n"), "b")
     files = turns.join(a, "ra").join(b, "rb").select("conv_id", "turn", text.alias("text"))
     return files, passages.select(F.col("item_id").cast("string").alias("id"), "text")
+
+
+# A list as long as the parts, and names that people write for its entries: by identifier, name, address, wording, base, or none of these.
+_OTHER = ("Apache License,  Version 2.0", "GPL-2.0", "KUKA")
+
+
+@query(f"""with e as (select p_partkey as k, 'Own-' || p_partkey || '-1.0' as id, p_partkey % 10 = 0 as gone, p_partkey % 8 = 3 as shared from part), a as (select *, k % 6 as form, (k // 6) % 3 as o from e)
+select k as p_partkey, case when form = 3 then case o when 0 then 'Apache-2.0' end when form = 4 then case when not gone then id end when gone or form = 5 or form = 2 and shared then null else id end as id, case when form = 3 and o = 1 then 'GPL-2.0' end as grant_base,
+  case when form = 3 and o = 1 then 'GPL-2.0-or-later' end as or_later, case when form = 5 then 'Terms ' || k when form = 3 then case o when 2 then 'KUKA' end when gone or form = 2 and shared then case form when 0 then upper(id) when 1 then 'The OWN terms, no.' || k || '!' when 2 then 'http://www.own.example/t/' || case when shared then 0 else k end || '.html' else id end end as ref from a""")
+def names_by_list(spark, sf_dir):
+    k = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("Own-"), k.cast("string"), F.lit("-1.0")).alias("licenseId"))
+    url = F.concat(F.lit("https://own.example/t/"), F.when(F.pmod(k, F.lit(8)) == 3, F.lit("0")).otherwise(k.cast("string")))
+    entries = parts.select("licenseId", F.concat(F.lit("the own terms no "), k.cast("string")).alias("name"), (F.pmod(k, F.lit(10)) == 0).alias("isDeprecatedLicenseId"), F.array(url, F.lit("not an address")).alias("seeAlso"))
+    form = _mod("p_partkey", 6)
+    said = (
+        F.when(form == 0, F.concat(F.lit(" "), F.upper("licenseId"))).when(form == 1, F.concat(F.lit("The OWN terms, no."), k.cast("string"), F.lit("!"))).when(form == 2, F.concat(F.replace(url, F.lit("https://"), F.lit("http://www.")), F.lit(".html")))
+        .when(form == 3, _pick(_OTHER, _mod("p_partkey", 3, 6))).when(form == 4, F.col("licenseId")).otherwise(F.concat(F.lit("Terms "), k.cast("string")))
+    )
+    out = names.resolve(parts.select("p_partkey", said.alias("said")), "said", names.dimension(entries))
+    return out.select("p_partkey", "resolved.id", "resolved.grant_base", "resolved.or_later", "resolved.ref")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from attestry.functions import spdx
-from attestry.operators import detection, notices, spans
+from attestry.operators import detection, names, notices, spans
 
 GNU = "# {0} is free software; you can redistribute it and/or\n# modify it under the terms of the {1} as published\n# by the Free Software Foundation; {2}\n"
 TEXTS = [
@@ -113,3 +113,25 @@ def test_two_texts_of_one_file_and_an_altered_one(spark):
     got = sorted(tuple(r) for r in spans.identify(spark.createDataFrame(files, "k int, text string"), ["k"], corpus).collect())
     assert [r[:6] for r in got] == [(1, "A", 2, 62, 0, 60), (1, "B", 63, 123, 0, 60), (2, "B-long", 0, 70, 0, 70), (3, "A", 7, 68, 3, 60)]
     assert got[-1][6] == pytest.approx(1 - 3 / 60)
+
+
+def test_names_by_dimension_are_those_of_the_plan(spark):
+    """Whatever a vocabulary in the plan answers the dimension answers too, in the same order of precedence."""
+    from pyspark.sql import functions as F
+
+    from attestry.functions.vocabulary import CLASSIFIER_NAMES, SYNONYMS, UNLISTED, Vocabulary
+
+    entries = [
+        ("MIT", "MIT License", False, ["https://opensource.org/licenses/MIT"]), ("GPL-2.0-only", "GNU General Public License v2.0 only", False, ["https://www.gnu.org/licenses/old-licenses/gpl-2.0.html"]), ("GPL-2.0-or-later", "GNU General Public License v2.0 or later", False, ["https://www.gnu.org/licenses/old-licenses/gpl-2.0.html"]),
+        ("GPL-2.0", "GNU General Public License v2.0 only", True, ["https://x.org/gone"]), ("PNG", "A name that a classifier uses too", False, []), ("Zed", None, None, None),
+    ]
+    vocabulary = Vocabulary.from_list([{"licenseId": i, "name": n or "", "isDeprecatedLicenseId": d, "seeAlso": s or ()} for i, n, d, s in entries])
+    asked = ["mit", " MIT ", "GPL-2.0", "gpl-2.0", "GNU General Public License v2.0 only", "https://www.gnu.org/licenses/old-licenses/gpl-2.0.html", "http://x.org/gone", "PNG", "png", "zed", "", "  ", None, "nobody", "MIT License!", *CLASSIFIER_NAMES, *UNLISTED[:9], *SYNONYMS]
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(asked)], "i int, said string")
+    listed = spark.createDataFrame(entries, "licenseId string, name string, isDeprecatedLicenseId boolean, seeAlso array<string>")
+    plan = df.select("i", spdx.normalize(F.col("said"), vocabulary).alias("r")).collect()
+    want = {r["i"]: r["r"] for r in plan}
+    for dim in (names.dimension(listed), names.built_in(spark, vocabulary)):
+        got = {r["i"]: r["resolved"] for r in names.resolve(df, "said", dim).collect()}
+        for i, a in enumerate(asked):
+            assert a is None and (got[i] is None or not any(got[i])) or got[i] == want[i], (a, got[i], want[i])
