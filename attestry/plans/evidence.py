@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from attestry.functions import paths, spdx
+from attestry.functions import canonical, paths, spdx
 from attestry.functions.digests import content_hash, file_digest, license_ref
 from attestry.functions.text import head_bytes, trim_space
 from attestry.operators import assess as assessing
@@ -18,13 +14,6 @@ from attestry.sources.archives import jar_coordinates
 from attestry.sources.scratch import materialise
 
 SCHEMA_VERSION = 1
-# The record's fields that stand even where they are empty.
-ALWAYS = (
-    "schema_version", "package", "name", "files", "path", "weight", "license", "confidence", "size_bytes", "digest", "ecosystem", "line", "excerpt", "notices_sampled", "source", "components", "purl", "kind", "discovered_from",
-    "root", "license_content_hash", "score", "license_files", "rationale", "project_license", "text_resolution", "relation", "detail",
-)
-
-
 #: Matches below this share of a known text are chance.
 WEAK = 0.25
 _KEY = ["component_id", "path"]
@@ -222,39 +211,47 @@ def _recorded(g: DataFrame) -> DataFrame:
     return names.withColumn("source", own).drop("name", "version", "repository", "commit", "patches")
 
 
-@F.pandas_udf(T.StringType())
-def encode(record: pd.Series) -> pd.Series:
-    """Canonical JSON from Spark's JSON: fields in declaration order, absent optional ones left out, no escapes but the needed, a newline at the end."""
-
-    def trimmed(x):
-        if isinstance(x, dict):
-            return {k: trimmed(v) for k, v in x.items() if v is not None and v != "" and v != [] and v is not False or k in ALWAYS and not (k == "digest" and "purl" in x)}
-        return [trimmed(v) for v in x] if isinstance(x, list) else x
-
-    def number(text):
-        v = float(text)
-        return int(v) if v.is_integer() and abs(v) < 1e21 else v
-
-    def one(r):
-        text = json.dumps(trimmed(json.loads(r, parse_float=number)), ensure_ascii=False, separators=(",", ":"))
-        return text.replace("\u2028", "\\u2028").replace("\u2029", "\\u2029") + "\n"
-
-    return record.map(one)
+def encoded() -> Column:
+    """A collected row as canonical JSON with a newline at the end. The source component leads the list of components."""
+    c, j = F.col, canonical
+    texts = lambda x, *names: [(n, j.text(x[n])) for n in names]
+    source = j.record(("name", j.text(c("subject.package"))), *((n, j.optional(c(f"subject.{n}"))) for n in ("version", "repository", "commit")))
+    subject = j.record(("package", j.text(c("subject.package"))), ("version", j.optional(c("subject.version"))), ("source", source), ("origin", j.optional(c("subject.origin"))))
+    match = lambda m: j.record(("name", j.text(m["name"])), ("confidence", j.number(m["confidence"])))
+    file = lambda f: j.record(
+        ("path", j.text(f["path"])), ("weight", j.number(f["weight"])), ("excluded", j.optional(f["excluded"])), ("license", j.text(f["license"])), ("confidence", j.number(f["confidence"])), ("additional_licenses", j.some(f["additional_licenses"], match)),
+        ("declared", j.optional(f["declared"])), ("size_bytes", j.integer(f["size_bytes"])), ("digest", j.text(f["digest"])), ("text", j.optional(f["text"])), ("truncated", j.unless(~f["truncated"], j.flag(f["truncated"]))), ("error", j.optional(f["err"])),
+    )
+    manifest = lambda m: j.record(*texts(m, "path", "ecosystem", "license"), ("license_file", j.optional(m["license_file"])))
+    prose = lambda p: j.record(("path", j.text(p["path"])), ("line", j.integer(p["line"])), ("excerpt", j.text(p["excerpt"])))
+    notice = lambda n: j.record(*texts(n, "path", "text"), ("truncated", j.unless(~n["truncated"], j.flag(n["truncated"]))))
+    grant = lambda g: j.record(*texts(g, "expression", "source", "path"), ("files", j.integer(g["files"])))
+
+    def component(p, license_content_hash):
+        return j.record(
+            *texts(p, "purl", "name"), ("version", j.optional(p["version"])), *texts(p, "ecosystem", "kind"), ("digest", j.optional(p["digest"])), ("digest_algo", j.optional(p["digest_algo"])), ("license_content_hash", j.text(license_content_hash)), ("discovered_from", j.text(p["discovered_from"])),
+            ("linkage", j.optional(p["linkage"])),
+        )
+
+    own = component(c("source"), c("license_content_hash"))
+    parts = F.concat(F.lit("["), F.concat_ws(",", F.array(own), F.transform("parts", lambda p: component(p, p["license_content_hash"]))), F.lit("]"))
+    conclusion = j.record(*((n, j.optional(c(n))) for n in ("expression", "reason")), ("identifiers", j.some(c("identifiers"), j.text)), *((n, j.optional(c(n))) for n in ("grant_basis", "license_ref")))
+    flags = F.when(c("flags") == "", F.expr("cast(array() as array<string>)")).otherwise(F.array_sort(F.split("flags", ",")))
+    assessment = j.record(
+        ("score", j.number(c("score"))), ("unknown", j.unless(~c("unknown"), j.flag(c("unknown")))), ("flags", j.some(flags, j.text)), ("relationship", j.optional(c("relationship"))), ("identifiers", j.some(c("detected"), j.text)), ("license_files", j.integer(c("license_files"))),
+        ("rationale", j.text(c("rationale"))), *((n, j.number(c(n))) for n in ("project_license", "text_resolution", "relation")),
+    )
+    whole = j.record(
+        ("schema_version", F.lit(str(SCHEMA_VERSION))), ("subject", subject), ("files", j.listed(c("files"), file)), ("manifests", j.some(c("manifests"), manifest)), ("prose", j.some(c("prose"), prose)), ("notices", j.some(c("notices"), notice)), ("notices_sampled", j.integer(c("sampled"))),
+        ("grants", j.some(c("grants"), grant)), ("components", parts), ("vendor_root", j.optional(c("vendor_root"))), ("vendored_copies", j.some(c("vendored_copies"), lambda v: j.record(*texts(v, "purl", "root")))), ("license_content_hash", j.text(c("license_content_hash"))), ("conclusion", conclusion),
+        ("assessment", assessment), ("gaps", j.some(c("gaps"), lambda g: j.record(*texts(g, "kind", "detail")))), ("notes", j.some(c("notes"), j.text)),
+    )
+    return F.concat(whole, F.lit("\n"))
 
 
 def bundles(collected: DataFrame) -> DataFrame:
-    """(component_id, bundle, bundle_digest): the source component leads the list of components."""
-    c, blank = F.col, F.lit("")
-    own = F.struct(*(c(f"source.{n}").alias(n) for n in ("purl", "name", "version", "ecosystem", "kind", "digest", "digest_algo")), c("license_content_hash").alias("license_content_hash"), c("source.discovered_from").alias("discovered_from"), c("source.linkage").alias("linkage"))
-    files = F.transform("files", lambda f: F.struct(*(f[n].alias(n) for n in ("path", "weight", "excluded", "license", "confidence", "additional_licenses", "declared", "size_bytes", "digest", "text", "truncated")), f["err"].alias("error")))
-    flags = F.when(c("flags") == blank, F.expr("cast(array() as array<string>)")).otherwise(F.split("flags", ","))
-    record = F.struct(
-        F.lit(SCHEMA_VERSION).alias("schema_version"), F.struct(c("subject.package").alias("package"), c("subject.version").alias("version"), F.struct(c("subject.package").alias("name"), c("subject.version").alias("version"), c("subject.repository").alias("repository"), c("subject.commit").alias("commit")).alias("source"), c("subject.origin").alias("origin")).alias("subject"),
-        files.alias("files"), F.transform("manifests", lambda m: F.struct(*(m[n].alias(n) for n in ("path", "ecosystem", "license", "license_file")))).alias("manifests"), "prose", "notices", c("sampled").alias("notices_sampled"), "grants", F.concat(F.array(own), c("parts")).alias("components"), "vendor_root", "vendored_copies", "license_content_hash",
-        F.struct("expression", "reason", "identifiers", "grant_basis", "license_ref").alias("conclusion"),
-        F.struct("score", "unknown", F.array_sort(flags).alias("flags"), "relationship", c("detected").alias("identifiers"), "license_files", "rationale", "project_license", "text_resolution", "relation").alias("assessment"), "gaps", "notes",
-    )
-    return collected.select("component_id", encode(F.to_json(record)).alias("bundle")).withColumn("bundle_digest", file_digest(F.col("bundle")))
+    """(component_id, bundle, bundle_digest): the canonical record and its address by content, in the JVM from end to end."""
+    return collected.select("component_id", encoded().alias("bundle")).withColumn("bundle_digest", file_digest(F.col("bundle")))
 
 
 def complete(collected: DataFrame) -> DataFrame:

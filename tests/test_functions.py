@@ -129,3 +129,44 @@ def test_source_addresses(spark):
 def test_refs(spark):
     assert one_column(spark, ["KUKA", " LicenseRef-x ", ""], spdx.ref) == ["LicenseRef-KUKA", "LicenseRef-x", ""]
     assert one_column(spark, ["gpl-2.0", "MIT"], spdx.is_deprecated) == [True, False]
+
+
+def test_canonical_numbers_and_texts(spark):
+    """Against the standard library, whose floats are the shortest and whose escapes are the same but for the exponent's form."""
+    import json
+    import random
+    import struct
+
+    from pyspark.sql import functions as F
+
+    from attestry.functions import canonical
+
+    rng = random.Random(1)
+    floats = [0.0, 1.0, -1.0, 0.1, 1 / 3, 0.95, 2e-3, 1e-6, 9.5e-7, 1e-7, 123456789.0, 1e20, 1e21, 1.5e300, 5e-324, 2.2250738585072014e-308, 0.30000000000000004, 100.0, 12.5, 1e15 + 0.5, -0.0007]
+    floats += [x for x in (struct.unpack("d", rng.randbytes(8))[0] for _ in range(300)) if x == x and abs(x) < 1e308] + [rng.random() for _ in range(300)]
+
+    def plain(x):
+        if x == int(x) and abs(x) < 1e21:
+            digits = repr(abs(x)).split("e")[0].replace(".", "").rstrip("0") or "0"
+            return ("-" if x < 0 else "") + digits.ljust(len(str(abs(int(x)))), "0")
+        if 1e-6 <= abs(x) < 1e-4:
+            return _positional(repr(x))
+        s = repr(x)
+        if "e" in s:
+            m, e = s.split("e")
+            return f"{m}e{'-' if e[0] == '-' else '+'}{abs(int(e))}"
+        return s
+
+    def _positional(s):
+        m, e = s.split("e")
+        sign, digits = ("-" if m[0] == "-" else ""), m.lstrip("-").replace(".", "")
+        return f"{sign}0.{'0' * (-int(e) - 1)}{digits}"
+
+    got = [r["o"] for r in spark.createDataFrame([(i, x) for i, x in enumerate(floats)], "i int, v double").select("i", canonical.number(F.col("v")).alias("o")).orderBy("i").collect()]
+    assert got == [plain(x) for x in floats]
+    texts = ["", "a", 'say "hi"', "back\\slash", "\\u001B literal", "\x1b[0m\x00\x0f\x1f", "\n\r\t\b\f", "é\u2028\u2029\U0001f600\x7f", "/</script>&", "\\\x1a\\\\\x1a"]
+    want = [json.dumps(t, ensure_ascii=False).replace("\u2028", "\\u2028").replace("\u2029", "\\u2029") for t in texts]
+    got = [r["o"] for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, v string").select("i", canonical.text(F.col("v")).alias("o")).orderBy("i").collect()]
+    assert got == want
+    bad = spark.createDataFrame([(bytearray(b"caf\xe9"),)], "v binary").select(canonical.text(F.col("v").cast("string")).alias("o")).first()["o"]
+    assert bad == '"caf\ufffd"'
