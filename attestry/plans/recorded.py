@@ -222,3 +222,55 @@ def tree_directories(spark, sf_dir):
     sizes = there.groupBy("component_id").agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"))
     out = subjects.join(hashes, "component_id").join(sizes, "component_id", "left")
     return out.select("component_id", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("bytes", F.lit(0)).alias("bytes"), "license_content_hash", "covered", F.col("source_error").isNotNull().alias("missing"))
+
+
+# A feed of three batches: of the documents of each, one in ten is removed and one in ten changed by a later batch; one in twenty that was removed comes back.
+@query(f"""with {_TREE}, l as (select component_id, path, doc_id, doc_id % 3 as b, (doc_id // 3) % 20 as k, text from tree where ({_weight()}) is not null),
+s as (select component_id, path, case when b < 2 and k in (1, 11) then 'changed ' || doc_id else text end as text from l where not (b < 2 and (k = 10 or k = 0 and b > 0))),
+d as (select component_id, path, {_DIGEST} as digest from s), h as (select component_id, {_HASH} as h, count(*) as n from d group by 1)
+select component_id, coalesce(h, 'v1-' || sha256('')) as license_content_hash, coalesce(n, 0) as files from (select distinct component_id from l) left join h using (component_id)""")
+def content_keys_by_change(spark, sf_dir):
+    """Keys kept up by a stream of changes, whose last ones are those of the trees as they are in the end."""
+    from uuid import uuid4
+
+    from attestry.sources import scratch
+    from attestry.streaming import incremental
+
+    base = f"{scratch.folder(spark)}/keys-{uuid4().hex}"
+    scratch.passing(spark, base)
+    batch, k = F.pmod("doc_id", F.lit(3)), F.pmod(F.floor(F.col("doc_id") / 3), F.lit(20))
+    files = tree(spark, sf_dir).withColumns({"b": batch, "k": k, "removed": F.lit(False), "seq": batch})
+    later = files.where("b < 2").withColumn("seq", F.col("b") + 1)
+    gone = later.where("k in (0, 10)").withColumn("removed", F.lit(True))
+    changed = later.where("k in (1, 11)").withColumn("content", F.concat(F.lit("changed "), F.col("doc_id").cast("string")).cast("binary"))
+    # Removed by the second batch, there again with the third.
+    back = files.where("b = 0 and k = 0").withColumn("seq", F.lit(2))
+    feed = files.unionByName(gone).unionByName(changed).unionByName(back)
+    changes = incremental.changes_of(feed)
+    for i in range(3):
+        changes.where(F.col("seq") == i).coalesce(1).write.mode("append").parquet(f"{base}/feed")
+    arrivals = spark.readStream.schema(incremental.CHANGE).option("maxFilesPerTrigger", 1).parquet(f"{base}/feed")
+
+    def keep(df: DataFrame, batch_id: int) -> None:
+        df.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{base}/keys/batch={batch_id}")
+
+    stream = incremental.content_keys(arrivals).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    kept = spark.read.schema("component_id string, license_content_hash string, files bigint, batch int").parquet(f"{base}/keys/batch=*")
+    return kept.groupBy("component_id").agg(F.max_by(F.struct("license_content_hash", "files"), "batch").alias("x")).select("component_id", "x.*")
+
+
+# The canonical form over rows: what is absent, what is escaped, numbers whole and not.
+@query(r"""with d as (select doc_id, coalesce(text, '') || chr(9) || '"q" \ ' || lang as text, lang, n_chars, doc_id % 4 as k from documents)
+select doc_id, sha256('{"doc_id":' || doc_id || case when k > 0 then ',"lang":' || to_json(lang) else '' end || ',"share":' || case when n_chars % 7 = 0 then cast(n_chars // 7 as varchar) else cast(cast(n_chars as double) / 7 as varchar) end
+  || ',"parts":[' || array_to_string(list_transform(range(k), lambda i: '{"i":' || i || ',"text":' || to_json(d.text) || '}'), ',') || ']' || case when k % 2 = 1 then ',"odd":true' else '' end || '}') as record_sha256 from d""")
+def canonical_records(spark, sf_dir):
+    from attestry.functions import canonical as j
+
+    k = F.pmod("doc_id", F.lit(4))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", F.concat(F.coalesce("text", F.lit("")), F.lit('\t"q" \\ '), "lang").alias("t"), F.when(k > 0, F.sequence(F.lit(0), (k - 1).cast("int"))).otherwise(F.array().cast("array<int>")).alias("parts"))
+    whole = j.record(
+        ("doc_id", j.integer(F.col("doc_id"))), ("lang", j.unless(k == 0, j.text(F.col("lang")))), ("share", j.number(F.col("n_chars").cast("double") / 7)),
+        ("parts", j.listed(F.col("parts"), lambda i: j.record(("i", j.integer(i)), ("text", j.text(F.col("t")))))), ("odd", j.unless(k % 2 == 0, j.flag(k % 2 == 1))),
+    )
+    return docs.select("doc_id", F.sha2(whole, 256).alias("record_sha256"))
