@@ -11,7 +11,7 @@ from attestry.operators import locks, manifests, ownership
 from attestry.plans import evidence
 from attestry.plans.formed import _mod, _pick
 from attestry.plans.queries import _DEPTH, _DIGEST, _HASH, _TOK, _TREE, _excluded, _q, _weight, query, table, tree
-from attestry.sources import maven
+from attestry.sources import maven, records
 from attestry.sources.trees import TEMPLATES, document_trees, files_of
 
 # A component is a source's documents in runs of 320. Its number decides what else its tree holds and what of it can't be read.
@@ -274,3 +274,35 @@ def canonical_records(spark, sf_dir):
         ("parts", j.listed(F.col("parts"), lambda i: j.record(("i", j.integer(i)), ("text", j.text(F.col("t")))))), ("odd", j.unless(k % 2 == 0, j.flag(k % 2 == 1))),
     )
     return docs.select("doc_id", F.sha2(whole, 256).alias("record_sha256"))
+
+
+@query(f"""with k as (select p_partkey as k, p_partkey % 5 as e, sha256(p_name) as h from part)
+select 'p' || k as purl, case e when 0 then case when k % 2 = 0 then 'h1:' || h else '' end when 1 then case when k % 3 <> 2 then case when k % 3 = 0 then h else '' end end when 2 then h end as recorded,
+  case when e = 3 then 'no checksum record for npm' when e = 4 then 'no checksum record for an unnamed ecosystem' when e = 1 and k % 3 = 2 then {_q(records.NO_PARSE)} end as error from k""")
+def recorded_digests(spark, sf_dir):
+    """Answers of a checksum database, a crate registry and files beside jars: with the digest, without it, and broken."""
+    k, h, eco = F.col("p_partkey").cast("string"), F.sha2("p_name", 256), _mod("p_partkey", 5)
+    other = F.when(F.pmod("p_partkey", F.lit(2)) == 0, F.concat(F.lit("m"), k)).otherwise("another")
+    sums = F.format_string("77\nm%s v1/go.mod h1:no\n%s v1\t h1:%s\r\n%s v2 h1:no\n\n-- sig\n", k, other, h, other)
+    crate = F.when(F.pmod("p_partkey", F.lit(3)) == 0, F.format_string('{"version": {"checksum": "%s", "num": "1"}}', h)).when(F.pmod("p_partkey", F.lit(3)) == 1, '{"version": {"checksum": null}}').otherwise('{"version": ')
+    body = F.when(eco == 0, sums).when(eco == 1, crate).otherwise(F.concat(F.lit("\n "), F.upper(h), F.lit("  x.jar\n")))
+    name = F.when(eco == 0, F.concat(F.lit("m"), k)).otherwise("x")
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), k).alias("purl"), _pick(("golang", "cargo", "maven", "npm", None), eco).alias("ecosystem"), name.alias("name"), F.lit("v1").alias("version"), body.alias("body"))
+    return records.recorded_checksums(rows)
+
+
+@query(f"""with b as (select p_brand, p_partkey as k, p_size, case when p_partkey % 4 = 0 and ascii(right(p_brand, 1)) % 2 = 0 then 'sdist' when p_partkey % 4 = 3 then 'bdist_egg' else 'bdist_wheel' end as t from part),
+f as (select p_brand, arg_min(k, (t <> 'sdist', case when t = 'sdist' then k else p_size end, 'x-' || k || case when t = 'sdist' then '.tar.gz' else '.whl' end)) as k, any_value(t) filter (where t <> 'bdist_egg') as some from b where t <> 'bdist_egg' group by 1)
+select p_brand as purl, 'x-' || k || case when k % 4 = 0 and ascii(right(p_brand, 1)) % 2 = 0 then '.tar.gz' else '.whl' end as filename, 'https://f.org/' || k as url, 's' || k as recorded, null as error from f
+union all select 'broken-' || p_brand, null, null, null, {_q(records.NO_PARSE)} from f union all select 'empty-' || p_brand, null, null, null, {_q(records.GONE)} from f""")
+def release_index(spark, sf_dir):
+    """A release's archives as its index lists them: the first source archive, else the smallest wheel; broken and empty entries."""
+    k = F.col("p_partkey")
+    source = (F.pmod(k, F.lit(4)) == 0) & (F.pmod(F.ascii(F.right("p_brand", F.lit(1))), F.lit(2)) == 0)
+    kind = F.when(source, "sdist").when(F.pmod(k, F.lit(4)) == 3, "bdist_egg").otherwise("bdist_wheel")
+    suffix = F.when(source, ".tar.gz").when(kind == "bdist_egg", ".egg").otherwise(".whl")
+    entry = F.struct(k.alias("k"), F.format_string('{"filename": "x-%d%s", "url": "https://f.org/%d", "packagetype": "%s", "size": %d, "digests": {"sha256": "s%d"}}', k, suffix, k, kind, F.col("p_size"), k).alias("j"))
+    listed = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("purl")).agg(F.array_sort(F.collect_list(entry)).alias("l"))
+    whole = F.concat(F.lit('{"urls": ['), F.array_join(F.transform("l", lambda x: x["j"]), ", "), F.lit("]}"))
+    forms = F.array(F.struct(F.col("purl").alias("purl"), whole.alias("body")), F.struct(F.concat(F.lit("broken-"), "purl").alias("purl"), F.lit('{"urls": [').alias("body")), F.struct(F.concat(F.lit("empty-"), "purl").alias("purl"), F.lit('{"urls": []}').alias("body")))
+    return records.release_archives(listed.select(F.explode(forms).alias("r")).select("r.*"))

@@ -159,6 +159,34 @@ def test_incremental(spark, tmp_path):
     assert seen == ["h2"]
 
 
+def test_content_keys_follow_changes(spark, tmp_path):
+    """Late, repeated and removed: after each batch the keys are those of the files that are there."""
+    from attestry.functions import digests
+    from attestry.streaming import incremental
+
+    batches = [
+        [("a", "LICENSE", "1", False, 1), ("a", "COPYING", "2", False, 1), ("b", "LICENSE", "3", False, 1), ("b", "main.c", "x", False, 1)],
+        [("a", "COPYING", "", True, 5), ("a", "LICENSE", "4\r\n", False, 5), ("a", "LICENSE", "0", False, 4)],
+        [("a", "COPYING", "2", False, 3), ("b", "LICENSE", "", True, 6), ("b", "LICENSE", "", True, 6)],
+        [("a", "LICENSE", "4\n", False, 9), ("c", "LICENSE", "5", False, 1)],
+    ]
+    want = [{"a": {"LICENSE": "1", "COPYING": "2"}, "b": {"LICENSE": "3"}}, {"a": {"LICENSE": "4\n"}}, {"b": {}}, {"c": {"LICENSE": "5"}}]
+    schema = "component_id string, path string, content string, removed boolean, seq long"
+    seen = []
+    for rows in batches:
+        incremental.changes_of(spark.createDataFrame(rows, schema).withColumn("content", F.col("content").cast("binary"))).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+        out = []
+        arrivals = spark.readStream.schema(incremental.CHANGE).parquet(str(tmp_path / "feed"))
+        query = incremental.content_keys(arrivals).writeStream.outputMode("update").foreachBatch(lambda df, _, out=out: out.extend(df.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        seen.append({r["component_id"]: (r["license_content_hash"], r["files"]) for r in out})
+    for got, components in zip(seen, want):
+        sets = [(c, [{"path": p, "digest": d} for p, d in files.items()]) for c, files in components.items()]
+        df = spark.createDataFrame(sets, "c string, f array<struct<path:string,digest:string>>")
+        hashed = F.transform("f", lambda x: F.struct(x["path"].alias("path"), digests.file_digest(x["digest"]).alias("digest")))
+        assert got == {r["c"]: (r["h"], len(components[r["c"]])) for r in df.select("c", digests.content_hash(hashed).alias("h")).collect()}
+
+
 def test_plans_stay_in_the_jvm(spark):
     tree = files(spark, [("c", "LICENSE", "x")])
     plan = ownership.component_hashes(tree.select("component_id").distinct(), tree)._jdf.queryExecution().executedPlan().toString()
