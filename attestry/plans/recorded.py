@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from attestry.operators import locks, manifests, ownership
 from attestry.plans import evidence
 from attestry.plans.formed import _mod, _pick
-from attestry.plans.queries import _DEPTH, _DIGEST, _HASH, _TOK, _TREE, _excluded, _q, _weight, query, table, tree
+from attestry.plans.queries import _DEPTH, _DIGEST, _HASH, _MANIFEST, _PROSE, _TOK, _TREE, _excluded, _q, _weight, query, table, tree
 from attestry.sources import maven, records
 from attestry.sources.trees import TEMPLATES, document_trees, files_of
 
@@ -192,7 +192,7 @@ def _written(files: DataFrame, folder: str) -> None:
             for component, path, content in zip(*(b.column(i).to_pylist() for i in range(3))):
                 at = f"{root}/{component}/{path}"
                 system.create_dir(at.rsplit("/", 1)[0], recursive=True)
-                with system.open_output_stream(at) as f:
+                with system.open_output_stream(at, compression=None) as f:
                     f.write(content or b"")
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
 
@@ -306,3 +306,37 @@ def release_index(spark, sf_dir):
     whole = F.concat(F.lit('{"urls": ['), F.array_join(F.transform("l", lambda x: x["j"]), ", "), F.lit("]}"))
     forms = F.array(F.struct(F.col("purl").alias("purl"), whole.alias("body")), F.struct(F.concat(F.lit("broken-"), "purl").alias("purl"), F.lit('{"urls": [').alias("body")), F.struct(F.concat(F.lit("empty-"), "purl").alias("purl"), F.lit('{"urls": []}').alias("body")))
     return records.release_archives(listed.select(F.explode(forms).alias("r")).select("r.*"))
+
+
+# Archives in a folder: every two hundred documents of a source are one, a zip or a tar.gz; some end too soon.
+@query(f"""with {_TREE}, a as (select component_id || '-' || cast(doc_id // 200 as varchar) as component_id, doc_id // 200 as c, path, text from tree), k as (select *, ({_weight()}) is not null or {_MANIFEST} or {_PROSE} as kept from a)
+select component_id, path, strlen(text) as size_bytes, sha256(text) as digest, false as failed from k where kept and c % 7 <> 3
+union all select distinct component_id, component_id || case when c % 2 = 0 then '.zip' else '.tar.gz' end, 0, null, true from a where c % 7 = 3""")
+def archives_by_range(spark, sf_dir):
+    from uuid import uuid4
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    from attestry.plans.formed import _tarred, _zipped
+    from attestry.sources import ranges, scratch
+
+    folder = f"{scratch.folder(spark)}/archives-{uuid4().hex}"
+    folder = folder if "://" in folder else f"file://{folder}"
+    scratch.passing(spark, folder)
+
+    def pack(group: pa.Table) -> pa.Table:
+        """At most two hundred documents."""
+        name, c = group.column("component_id")[0].as_py(), group.column("c")[0].as_py()
+        members = [(f"x-1/{p}", t or b"") for p, t in zip(group.column("path").to_pylist(), group.column("content").to_pylist())] + [("other/LICENSE", b"outside"), ("../LICENSE", b"up")]
+        body, file = (_zipped(members), f"{name}.zip") if c % 2 == 0 else (_tarred(members), f"{name}.tar.gz")
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
+        with system.open_output_stream(f"{root}/{file}", compression=None) as out:
+            out.write(body[: len(body) // 2] if c % 7 == 3 else body)
+        return pa.table({"component_id": [name], "name": [file], "uri": [f"{folder}/{file}"], "prefix": ["x-1"]})
+
+    c = F.floor(F.col("doc_id") / 200)
+    docs = tree(spark, sf_dir).select(F.concat("component_id", F.lit("-"), c.cast("string")).alias("component_id"), c.alias("c"), "path", "content")
+    staged = scratch.materialise(docs.groupBy("component_id").applyInArrow(pack, "component_id string, name string, uri string, prefix string"), "staged")
+    return ranges.expand_ranges(staged).select("component_id", "path", "size_bytes", F.sha2("content", 256).alias("digest"), F.col("read_error").isNotNull().alias("failed"))

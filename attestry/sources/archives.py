@@ -61,18 +61,17 @@ def _members(content: bytes, name: str):
         return
     if not lower.endswith(TAR_SUFFIXES):
         raise Refused(f"{name} is no archive that can be read")
-    with tarfile.open(fileobj=_Bounded(content), mode="r|") as t:
+    with tarfile.open(fileobj=_Bounded(io.BytesIO(content)), mode="r|") as t:
         for m in t:
             if m.isreg():
                 yield m.name, lambda m=m: t.extractfile(m).read(MAX_RETAINED + 1)
 
 
 class _Bounded(io.RawIOBase):
-    """Decompresses as it is read, to a bound in all."""
+    """Decompresses a gzip file as it is read, to a bound in all; of the file no more than a piece is held."""
 
-    def __init__(self, content: bytes):
-        self.given, self.inflate, self.left, self.ready = memoryview(content), zlib.decompressobj(31), MAX_DECOMPRESSED, b""
-        self.at = 0
+    def __init__(self, source):
+        self.source, self.inflate, self.left, self.ready, self.pending = source, zlib.decompressobj(31), MAX_DECOMPRESSED, b"", b""
 
     def readable(self) -> bool:
         return True
@@ -82,11 +81,11 @@ class _Bounded(io.RawIOBase):
         while len(out) < n:
             if not self.ready:
                 if self.inflate.eof:  # another member may follow
-                    self.at -= len(self.inflate.unused_data)
+                    self.pending = self.inflate.unused_data + self.pending
                     self.inflate = zlib.decompressobj(31)
-                feed = self.inflate.unconsumed_tail or bytes(self.given[self.at : self.at + 65536])
-                if not self.inflate.unconsumed_tail:
-                    self.at += len(feed)
+                feed = self.inflate.unconsumed_tail
+                if not feed:
+                    feed, self.pending = self.pending or self.source.read(65536), b""
                 if not feed or not feed.strip(b"\0"):  # zeros may fill the rest
                     break
                 self.ready = self.inflate.decompress(feed, 1 << 20)

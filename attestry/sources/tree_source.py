@@ -156,7 +156,7 @@ class TreeReader(DataSourceReader):
         if size > self.max_bytes or (self.names and not any(fnmatch.fnmatchcase(name, n) for n in self.names)):
             return component, path, None, size, "larger than the bound" if size > self.max_bytes else None
         try:
-            with self._opened()[0].open_input_stream(f"{base}/{path}") as f:
+            with self._opened()[0].open_input_stream(f"{base}/{path}", compression=None) as f:
                 return component, path, f.read(), size, None
         except OSError as e:
             return component, path, None, size, _said(e)

@@ -173,3 +173,37 @@ def test_tree_source(spark, tmp_path):
     broken.listed = listed
     rows = [r for b in map(broken.read, broken.partitions()) for batch in b for r in batch.to_pylist()]
     assert [(r["path"], r["read_error"]) for r in rows if r["read_error"]] == [("src/x/", "Permission denied")] and len(rows) == 6 - 1 + 0
+
+
+def test_archives_by_ranges(spark, tmp_path):
+    """The same members as from whole contents, whatever an archive is packed with; refused archives are one row."""
+    from attestry.sources import archives, ranges
+
+    def packed(kind, members):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", kind) as z:
+            for n, c in members:
+                z.writestr(n, c)
+        return out.getvalue()
+
+    members = [("x-1/LICENSE", b"one" * 50_000), ("x-1/a/COPYING", b""), ("x-1/src/m.c", b"int"), ("other/LICENSE", b"no"), ("../LICENSE", b"up"), ("x-1/LICENSE", b"one" * 50_000)]
+    bodies = {
+        "s.zip": packed(zipfile.ZIP_STORED, members), "d.jar": packed(zipfile.ZIP_DEFLATED, members), "l.whl": packed(zipfile.ZIP_LZMA, members), "t.tar.gz": tarred(members), "late.tgz": tarred([("other/LICENSE", b"no"), *members]), "none.tgz": tarred(members[3:4]),
+        "cut.zip": packed(zipfile.ZIP_DEFLATED, members)[:400], "cut.tgz": tarred(members)[:100], "two.zip": packed(zipfile.ZIP_DEFLATED, [("LICENSE", b"1"), ("LICENSE", b"2")]), "odd.rar": b"x", "plain.zip": b"", "empty.zip": packed(zipfile.ZIP_STORED, []),
+    }
+    damaged = bytearray(packed(zipfile.ZIP_STORED, [("LICENSE", b"terms of use")]))
+    damaged[45] ^= 1
+    bodies["bit.zip"] = bytes(damaged)
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    staged_ = spark.createDataFrame([(n, n, f"file://{tmp_path}/{n}", "x-1") for n in [*bodies, "gone.zip"]], "component_id string, name string, uri string, prefix string")
+    got = {}
+    for r in ranges.expand_ranges(staged_).collect():
+        got.setdefault(r["component_id"], {})[r["path"]] = bytes(r["content"]) if r["read_error"] is None else "!"
+    for name, body in bodies.items():
+        try:
+            want = archives.expand(name, body, "x-1")
+        except archives.DAMAGED:
+            want = {name: "!"}
+        assert got.get(name, {}) == want, name
+    assert got["gone.zip"] == {"gone.zip": "!"} and got["bit.zip"] == {"bit.zip": "!"} and set(got["late.tgz"]) == {"LICENSE", "a/COPYING"}
