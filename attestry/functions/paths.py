@@ -65,7 +65,7 @@ def depth(path: Column) -> Column:
     return F.size(F.split(normalize_path(path), "/")) - 1
 
 
-def license_weight(path: Column) -> Column:
+def terms_weight(path: Column) -> Column:
     """The weight of a licence file's name, null for other files. Only the name counts, not the place."""
     name = base_name(path)
     extension = F.regexp_extract(name, r"\.[^.]*\z", 0)
@@ -73,8 +73,8 @@ def license_weight(path: Column) -> Column:
     return F.when(~extension.isin(*IGNORED_EXTENSIONS), F.coalesce(*weights))
 
 
-def is_license_file(path: Column) -> Column:
-    return license_weight(path).isNotNull()
+def is_terms_file(path: Column) -> Column:
+    return terms_weight(path).isNotNull()
 
 
 def _segments(path: Column) -> Column:
@@ -113,7 +113,7 @@ def is_notice_source(path: Column) -> Column:
 
 def retained(path: Column) -> Column:
     """What is kept of an archive: licence files, manifests, prose."""
-    return is_license_file(path) | is_manifest_file(path) | is_prose_file(path)
+    return is_terms_file(path) | is_manifest_file(path) | is_prose_file(path)
 
 
 def outside_project(path: Column) -> Column:

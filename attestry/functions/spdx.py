@@ -106,14 +106,14 @@ def without_grant(s: Column) -> Column:
 
 def family(s: Column) -> Column:
     """What precedes the first version segment; '' for references and for names that begin with a version."""
-    license_part = F.regexp_replace(trim_space(F.get(F.split(trim_space(s), " WITH ", 2), F.lit(0))), r"\+\z", "")
-    segments = F.split(license_part, "-")
+    named_part = F.regexp_replace(trim_space(F.get(F.split(trim_space(s), " WITH ", 2), F.lit(0))), r"\+\z", "")
+    segments = F.split(named_part, "-")
     numeric = F.transform(segments, lambda x: x.rlike(r"^\d+(\.\d+)*\z"))
     at = F.array_position(numeric, True)
     return (
-        F.when((license_part == "") | is_ref(license_part), "")
-        .when(license_part == "0BSD", "BSD")
-        .when(at == 0, license_part)
+        F.when((named_part == "") | is_ref(named_part), "")
+        .when(named_part == "0BSD", "BSD")
+        .when(at == 0, named_part)
         .otherwise(F.array_join(F.slice(segments, F.lit(1), F.greatest((at - 1).cast("int"), F.lit(0))), "-"))
     )
 

@@ -11,7 +11,7 @@ _NONE = "cast(array() as array<string>)"
 
 
 def assess(inputs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row a component of inputs(component_id, files array<struct<path, license, confidence, excluded, err, ids>>, manifest_license,
+    """One row a component of inputs(component_id, files array<struct<path, license, confidence, excluded, err, ids>>, manifest_terms,
     manifest_sets array<array<string>> (the names in each manifest that parses), has_manifest, has_prose, states_choice,
     declared array<string>, incomplete int): score and its three terms, flags joined by commas, unknown, relationship.
 
@@ -30,7 +30,7 @@ def assess(inputs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     unknown = (F.col("readable") == 0) & ~F.col("has_manifest") & ~F.col("has_prose") & ((F.col("incomplete") > 0) | (failed > 0))
     df = df.withColumn("unknown", unknown)
     known = lambda c: F.when(F.col("unknown"), F.lit(0.0)).otherwise(c)
-    project = F.coalesce("best", F.when(F.coalesce("manifest_license", F.lit("")) != "", F.lit(MANIFEST_CREDIT)), F.when(F.col("has_prose"), F.lit(PROSE_CREDIT)), F.lit(0.0))
+    project = F.coalesce("best", F.when(F.coalesce("manifest_terms", F.lit("")) != "", F.lit(MANIFEST_CREDIT)), F.when(F.col("has_prose"), F.lit(PROSE_CREDIT)), F.lit(0.0))
     resolution = F.when(F.col("total") == 0, 1.0).otherwise(F.col("resolved") / F.col("total"))
     composed = F.exists(F.coalesce("manifest_sets", F.array().cast("array<array<string>>")), lambda s: F.size(F.array_except(F.col("detected"), s)) == 0)
     relation = F.when((F.size("detected") < 2) | composed, 1.0).when(F.col("states_choice"), F.lit(CHOICE_CREDIT)).otherwise(0.0)

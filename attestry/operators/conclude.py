@@ -69,7 +69,7 @@ def settle(identifiers: Column, unrecognized: Column, granted: Column, sampled:
     return {"expression": expression, "reason": reason, "grant_basis": basis}
 
 
-def license_ref_of(files: DataFrame) -> DataFrame:
+def reference_of(files: DataFrame) -> DataFrame:
     """(component_id, license_ref): from the first in-scope file, in discovery order, that nothing recognised."""
     from attestry.functions.digests import license_ref
 

@@ -23,7 +23,7 @@ CHOICE = (
 
 def discover(files: DataFrame, scope: str = "tree") -> DataFrame:
     """Licence files with weight and exclusion; `project` scope keeps to the top. Names decide before any content is read."""
-    found = files.withColumn("weight", paths.license_weight(F.col("path"))).where("weight is not null")
+    found = files.withColumn("weight", paths.terms_weight(F.col("path"))).where("weight is not null")
     if scope == "project":
         found = found.where(~paths.outside_project(F.col("path")))
     bonus = F.when(paths.depth(F.col("path")) == 0, F.lit(paths.ROOT_BONUS)).otherwise(0.0)
@@ -77,7 +77,7 @@ def is_choice(excerpt: Column) -> Column:
     return out
 
 
-def choice_of_license(hints: DataFrame) -> DataFrame:
+def choice_of_terms(hints: DataFrame) -> DataFrame:
     """(component_id, excerpt): the first hint that states a choice."""
     return hints.where(is_choice(F.col("excerpt"))).groupBy("component_id").agg(F.min_by("excerpt", F.struct("path", "line")).alias("excerpt"))
 
@@ -85,7 +85,7 @@ def choice_of_license(hints: DataFrame) -> DataFrame:
 def notice_paths(files: DataFrame) -> DataFrame:
     """(component_id, path, i): an even sample of source files: the places that a fixed stride gives over the sorted paths. Paths alone are numbered."""
     p = F.col("path")
-    candidates = files.where(paths.is_notice_source(p) & (paths.dir_exclusion(paths.directory(p)) == "") & ~paths.is_license_file(p)).select("component_id", "path")
+    candidates = files.where(paths.is_notice_source(p) & (paths.dir_exclusion(paths.directory(p)) == "") & ~paths.is_terms_file(p)).select("component_id", "path")
     by_path = Window.partitionBy("component_id").orderBy("path")
     numbered = candidates.withColumns({"i": F.row_number().over(by_path) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("component_id"))})
     stride = F.when(F.col("n") > MAX_NOTICE_FILES, F.floor(F.col("n") / MAX_NOTICE_FILES)).otherwise(1)

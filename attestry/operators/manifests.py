@@ -38,7 +38,7 @@ def _json_field(doc: Column, field: str) -> Column:
     )
 
 
-def package_json_license(content: Column) -> Column:
+def package_json_terms(content: Column) -> Column:
     doc = F.try_parse_json(content)
     return F.coalesce(empty_to_null(_json_field(doc, "license")), _json_field(doc, "licenses"), F.lit(""))
 
@@ -51,14 +51,14 @@ def _table(doc, key: str) -> dict:
     return doc[key] if isinstance(doc, dict) and isinstance(doc.get(key), dict) else {}
 
 
-def cargo_license(doc: dict) -> tuple[str, str]:
+def cargo_terms(doc: dict) -> tuple[str, str]:
     """The declared licence, else the file named in its place."""
     package = _table(doc, "package")
     declared = _said(package.get("license"))
     return (declared, "") if declared else ("", _said(package.get("license-file")))
 
 
-def pyproject_license(doc: dict) -> tuple[str, str]:
+def pyproject_terms(doc: dict) -> tuple[str, str]:
     """The project table's licence as text or table, else poetry's."""
     value = _table(doc, "project").get("license")
     if _said(value):
@@ -69,7 +69,7 @@ def pyproject_license(doc: dict) -> tuple[str, str]:
 
 
 @F.pandas_udf(LICENSE_AND_FILE)
-def toml_license(name: pd.Series, content: pd.Series) -> pd.DataFrame:
+def toml_terms(name: pd.Series, content: pd.Series) -> pd.DataFrame:
     """Spark reads no TOML. What isn't text or doesn't parse declares nothing."""
 
     def one(name, content):
@@ -77,12 +77,12 @@ def toml_license(name: pd.Series, content: pd.Series) -> pd.DataFrame:
             doc = tomllib.loads(bytes(content or b"").decode("utf-8"))
         except (ValueError, RecursionError):
             return "", ""
-        return (cargo_license if name == "Cargo.toml" else pyproject_license)(doc)
+        return (cargo_terms if name == "Cargo.toml" else pyproject_terms)(doc)
 
     return pd.DataFrame([one(n, c) for n, c in zip(name, content)], columns=["license", "license_file"])
 
 
-def setup_cfg_license(content: Column) -> Column:
+def setup_cfg_terms(content: Column) -> Column:
     """The value may stand on a later line than its key; `file:` in lower case names a file instead."""
     white = r"[\t\n\f\r ]"
     value = trim_space(F.regexp_extract(content, rf"(?dmi)^{white}*license(?:_expression)?{white}*={white}*(.+?){white}*$", 1))
@@ -99,13 +99,13 @@ def metadata_headers(content: Column) -> Column:
     return F.map_from_entries(first)
 
 
-def metadata_license(content: Column) -> Column:
+def metadata_terms(content: Column) -> Column:
     headers = metadata_headers(content)
     expression, legacy = (F.coalesce(F.try_element_at(headers, F.lit(k)), F.lit("")) for k in ("license-expression", "license"))
     return F.when(expression != "", expression).when(F.octet_length(legacy) > MAX_DECLARED, "").otherwise(legacy)
 
 
-def pom_license(content: Column) -> Column:
+def pom_terms(content: Column) -> Column:
     """Each entry's name, else its address, as a choice."""
     doc = F.from_xml(content, "licenses struct<license:array<struct<name:string,url:string>>>")
     entries = F.transform(doc["licenses"]["license"], lambda x: F.coalesce(empty_to_null(trim_space(F.coalesce(x["name"], F.lit("")))), x["url"], F.lit("")))
@@ -126,10 +126,10 @@ def manifest(name: Column, content: Column) -> Column:
     # Bytes that are no UTF-8 don't get further than here.
     text = F.make_valid_utf8(content.cast("string"))
     ecosystem = F.when(name == "package.json", "npm").when(name == "go.mod", "golang").when(name == "Cargo.toml", "cargo").when(name.startswith("pom"), "maven").otherwise("pypi")
-    toml = toml_license(name, F.when(name.isin(*TOML), content))
+    toml = toml_terms(name, F.when(name.isin(*TOML), content))
     declared = (
-        F.when(name == "package.json", package_json_license(text)).when(name == "setup.cfg", setup_cfg_license(text)).when(name.startswith("pom"), pom_license(text))
-        .when(name.isin("METADATA", "PKG-INFO"), metadata_license(text)).when(name.isin(*TOML), toml["license"]).otherwise("")
+        F.when(name == "package.json", package_json_terms(text)).when(name == "setup.cfg", setup_cfg_terms(text)).when(name.startswith("pom"), pom_terms(text))
+        .when(name.isin("METADATA", "PKG-INFO"), metadata_terms(text)).when(name.isin(*TOML), toml["license"]).otherwise("")
     )
     return F.struct(ecosystem.alias("ecosystem"), F.coalesce(declared, F.lit("")).alias("license"), F.coalesce(F.when(name.isin(*TOML), toml["license_file"]), F.lit("")).alias("license_file"))
 
@@ -139,7 +139,7 @@ def manifests(files: DataFrame) -> DataFrame:
     return files.where(is_manifest()).withColumn("m", manifest(F.col("path"), F.col("content"))).select("component_id", "path", "m.*")
 
 
-def declared_license(found: DataFrame) -> DataFrame:
+def declared_terms(found: DataFrame) -> DataFrame:
     """(component_id, ecosystem, license): the first manifest of each ecosystem that declares one; of POMs the nearest."""
     nearness = F.struct(F.coalesce(F.regexp_extract("path", r"pom-parent-(\d)", 1), F.lit("")).alias("a"), F.col("path").alias("b"))
     return found.where("license <> ''").groupBy("component_id", "ecosystem").agg(F.min_by("license", nearness).alias("license"))

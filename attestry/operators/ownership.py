@@ -18,31 +18,31 @@ def owners(files: DataFrame, roots: DataFrame) -> DataFrame:
 def vendored_roots(components: DataFrame, files: DataFrame) -> DataFrame:
     """components(component_id, purl, name, vendor_root) that have licence files under vendor_root/name, with that root."""
     wanted = components.where("name <> '' and vendor_root <> ''").withColumn("root", F.concat(F.regexp_replace("vendor_root", r"/\z", ""), F.lit("/"), F.col("name")))
-    above = files.where(paths.is_license_file(F.col("path"))).select("component_id", F.explode(paths.ancestors(F.col("path"))).alias("root")).distinct()
+    above = files.where(paths.is_terms_file(F.col("path"))).select("component_id", F.explode(paths.ancestors(F.col("path"))).alias("root")).distinct()
     return wanted.join(above, ["component_id", "root"], "left_semi")
 
 
 def component_hashes(components: DataFrame, files: DataFrame) -> DataFrame:
-    """(component_id, license_content_hash, files, error): a component without files has the empty set's hash. One with a file that
+    """(component_id, terms_content_hash, files, error): a component without files has the empty set's hash. One with a file that
     can't be read has no key at all, as any would stand for another set; `error` names the first such file."""
-    covered = files.where(paths.is_license_file(F.col("path"))).select("component_id", "path", digests.file_digest(F.col("content")).alias("digest"), F.when(F.col("read_error").isNotNull(), F.concat("path", F.lit(": "), "read_error")).alias("e"))
+    covered = files.where(paths.is_terms_file(F.col("path"))).select("component_id", "path", digests.file_digest(F.col("content")).alias("digest"), F.when(F.col("read_error").isNotNull(), F.concat("path", F.lit(": "), "read_error")).alias("e"))
     hashed = covered.groupBy("component_id").agg(digests.content_hash_agg(F.col("path"), F.col("digest")).alias("h"), F.count(F.lit(1)).alias("n"), F.min("e").alias("error"))
     empty = digests.content_hash(F.array().cast("array<struct<path:string,digest:string>>"))
-    return components.select("component_id").join(hashed, "component_id", "left").select("component_id", F.when(F.col("error").isNull(), F.coalesce("h", empty)).alias("license_content_hash"), F.coalesce("n", F.lit(0)).cast("long").alias("files"), "error")
+    return components.select("component_id").join(hashed, "component_id", "left").select("component_id", F.when(F.col("error").isNull(), F.coalesce("h", empty)).alias("terms_content_hash"), F.coalesce("n", F.lit(0)).cast("long").alias("files"), "error")
 
 
 def own_files(files: DataFrame, roots: DataFrame) -> DataFrame:
     """Licence files that are the component's own: in nobody else's tree and under no vendored root."""
-    mine = owners(files.where(paths.is_license_file(F.col("path"))), roots).where("root is null").drop("root")
+    mine = owners(files.where(paths.is_terms_file(F.col("path"))), roots).where("root is null").drop("root")
     return mine.where(~paths.belongs_to_another(paths.exclusion(F.col("path"))))
 
 
 def vendored_hashes(files: DataFrame, roots: DataFrame) -> DataFrame:
-    """(component_id, root, license_content_hash): by path below the root, without what a deeper root owns."""
-    owned = owners(files.where(paths.is_license_file(F.col("path"))), roots).where("root is not null")
+    """(component_id, root, terms_content_hash): by path below the root, without what a deeper root owns."""
+    owned = owners(files.where(paths.is_terms_file(F.col("path"))), roots).where("root is not null")
     relative = F.expr("substring(path, length(root) + 2)")
     records = owned.select("component_id", "root", relative.alias("path"), digests.file_digest(F.col("content")).alias("digest"))
-    return records.groupBy("component_id", "root").agg(digests.content_hash_agg(F.col("path"), F.col("digest")).alias("license_content_hash"))
+    return records.groupBy("component_id", "root").agg(digests.content_hash_agg(F.col("path"), F.col("digest")).alias("terms_content_hash"))
 
 
 def verify(local: DataFrame, published: DataFrame, asked: DataFrame | None = None) -> DataFrame:

@@ -29,7 +29,7 @@ def named_files(files: DataFrame, declarations: DataFrame | None = None) -> Data
     manifests (manifest), prose (hints), and directories that couldn't be listed. What a row isn't is null. A declared file that isn't there
     is a row with its error."""
     p = F.col("path")
-    weight = paths.license_weight(p) + F.when(paths.depth(p) == 0, F.lit(paths.ROOT_BONUS)).otherwise(0.0)
+    weight = paths.terms_weight(p) + F.when(paths.depth(p) == 0, F.lit(paths.ROOT_BONUS)).otherwise(0.0)
     rows = files.select(*_KEY, "content", "size_bytes", "read_error", weight.alias("weight"))
     if declarations is None:
         rows = rows.withColumn("declared", F.lit(None).cast("string"))
@@ -139,25 +139,25 @@ def collect(subjects: DataFrame, files: DataFrame, corpus: DataFrame, installed:
 
 def _owned(g: DataFrame) -> DataFrame:
     """Whose files are whose: a copy of a package under the vendor root, with licence files in it, owns what no deeper copy does."""
-    covered = F.filter("files", lambda f: (f["digest"] != "") & paths.is_license_file(f["path"]))
+    covered = F.filter("files", lambda f: (f["digest"] != "") & paths.is_terms_file(f["path"]))
     g = g.withColumn("covered", F.transform(covered, lambda f: F.struct(f["path"].alias("path"), f["digest"].alias("digest"), f["excluded"].alias("excluded"), paths.ancestors(f["path"]).alias("above"))))
     at = lambda name: F.concat("vendor_root", F.lit("/"), name)
     named = F.transform(F.filter("parts", lambda p: (p["name"] != "") & (F.col("vendor_root") != "")), lambda p: at(p["name"]))
     # Files without a digest mark a copy as being there all the same.
-    above = F.flatten(F.transform(F.filter("files", lambda f: paths.is_license_file(f["path"])), lambda f: paths.ancestors(f["path"])))
+    above = F.flatten(F.transform(F.filter("files", lambda f: paths.is_terms_file(f["path"])), lambda f: paths.ancestors(f["path"])))
     g = g.withColumn("roots", F.array_intersect(named, above))
     owner = lambda c: F.array_max(F.transform(F.array_intersect(c["above"], F.col("roots")), lambda r: F.struct(F.length(r).alias("n"), r.alias("root"))))["root"]
     g = g.withColumn("covered", F.transform("covered", lambda c: F.struct(c["path"].alias("path"), c["digest"].alias("digest"), c["excluded"].alias("excluded"), owner(c).alias("root"))))
     record = lambda path, c: F.struct(path.alias("path"), c["digest"].alias("digest"))
     mine = F.filter("covered", lambda c: c["root"].isNull() & ~paths.belongs_to_another(c["excluded"]))
     below = lambda r: F.transform(F.filter("covered", lambda c: c["root"] == r), lambda c: record(F.substring(c["path"], F.length(r) + 2, F.length(c["path"])), c))
-    g = g.withColumns({"license_content_hash": content_hash(F.transform(mine, lambda c: record(c["path"], c))), "copies": F.transform("roots", lambda r: F.struct(r.alias("root"), content_hash(below(r)).alias("h")))})
+    g = g.withColumns({"terms_content_hash": content_hash(F.transform(mine, lambda c: record(c["path"], c))), "copies": F.transform("roots", lambda r: F.struct(r.alias("root"), content_hash(below(r)).alias("h")))})
     copy_of = lambda p: F.get(F.filter("copies", lambda k: k["root"] == at(p["name"])), F.lit(0))
     fields = [c for c in components.FIELDS if c != "component_id"]
-    order = (*fields[:7], "license_content_hash", *fields[7:])
-    whole = lambda p: F.struct(*((F.coalesce(copy_of(p)["h"], F.lit("")) if c == "license_content_hash" else p[c]).alias(c) for c in order))
+    order = (*fields[:7], "terms_content_hash", *fields[7:])
+    whole = lambda p: F.struct(*((F.coalesce(copy_of(p)["h"], F.lit("")) if c == "terms_content_hash" else p[c]).alias(c) for c in order))
     g = g.withColumn("parts", F.transform("parts", whole))
-    held = F.filter("parts", lambda p: p["license_content_hash"] != "")
+    held = F.filter("parts", lambda p: p["terms_content_hash"] != "")
     return g.withColumn("vendored_copies", F.array_sort(F.array_distinct(F.transform(held, lambda p: F.struct(p["purl"].alias("purl"), at(p["name"]).alias("root")))))).drop("covered", "copies")
 
 
@@ -186,7 +186,7 @@ def _recorded(g: DataFrame) -> DataFrame:
     declared = F.filter(F.array_distinct(F.transform("said", lambda s: s["license"])), lambda x: x != "")
     stated = F.filter("manifests", lambda m: m["license"] != "")
     g = g.withColumns({
-        "gaps": gaps, "notes": notes, "purls": F.array_sort(F.transform("parts", lambda p: p["purl"])), "manifest_license": F.get(stated, F.lit(0))["license"], "manifest_sets": F.transform(F.filter(stated, lambda m: m["names"].isNotNull()), lambda m: m["names"]),
+        "gaps": gaps, "notes": notes, "purls": F.array_sort(F.transform("parts", lambda p: p["purl"])), "manifest_terms": F.get(stated, F.lit(0))["license"], "manifest_sets": F.transform(F.filter(stated, lambda m: m["names"].isNotNull()), lambda m: m["names"]),
         "has_manifest": F.size("manifests") > 0, "states_choice": F.exists("prose", lambda p: detection.is_choice(p["excerpt"])),
         "declared_expression": F.coalesce(F.when(F.size(declared) > 0, F.array_join(declared, " AND ")), F.get(stated, F.lit(0))["license"], blank), "unreadable": unreadable,
         "grants": F.transform("granted", lambda x: F.struct(*(x[c].alias(c) for c in ("expression", "source", "path", "files")))), "notices": F.transform("notices", lambda n: F.struct(*(n[c].alias(c) for c in ("path", "text", "truncated")))),
@@ -201,7 +201,7 @@ def _recorded(g: DataFrame) -> DataFrame:
         *(f[c].alias(c) for c in ("declared", "size_bytes", "digest", "text", "truncated", "err", "ids")),
     )
     g = g.withColumn("files", F.transform("files", listed))
-    kept = ("subject", "files", "manifests", "prose", "notices", "sampled", "grants", "parts", "purls", "vendor_root", "vendored_copies", "license_content_hash", "expression", "reason", "identifiers", "grant_basis", "license_ref", "declared_expression", "unreadable", "gaps", "notes")
+    kept = ("subject", "files", "manifests", "prose", "notices", "sampled", "grants", "parts", "purls", "vendor_root", "vendored_copies", "terms_content_hash", "expression", "reason", "identifiers", "grant_basis", "license_ref", "declared_expression", "unreadable", "gaps", "notes")
     done = assessing.assess(g, kept)
     s = lambda c: F.coalesce(F.col(f"subject.{c}"), blank).alias(c)
     about = F.struct(F.coalesce("subject.name", "component_id").alias("package"), s("version"), s("repository"), s("commit"), s("origin"))
@@ -227,14 +227,14 @@ def encoded() -> Column:
     notice = lambda n: j.record(*texts(n, "path", "text"), ("truncated", j.unless(~n["truncated"], j.flag(n["truncated"]))))
     grant = lambda g: j.record(*texts(g, "expression", "source", "path"), ("files", j.integer(g["files"])))
 
-    def component(p, license_content_hash):
+    def component(p, terms_content_hash):
         return j.record(
-            *texts(p, "purl", "name"), ("version", j.optional(p["version"])), *texts(p, "ecosystem", "kind"), ("digest", j.optional(p["digest"])), ("digest_algo", j.optional(p["digest_algo"])), ("license_content_hash", j.text(license_content_hash)), ("discovered_from", j.text(p["discovered_from"])),
+            *texts(p, "purl", "name"), ("version", j.optional(p["version"])), *texts(p, "ecosystem", "kind"), ("digest", j.optional(p["digest"])), ("digest_algo", j.optional(p["digest_algo"])), ("license_content_hash", j.text(terms_content_hash)), ("discovered_from", j.text(p["discovered_from"])),
             ("linkage", j.optional(p["linkage"])),
         )
 
-    own = component(c("source"), c("license_content_hash"))
-    parts = F.concat(F.lit("["), F.concat_ws(",", F.array(own), F.transform("parts", lambda p: component(p, p["license_content_hash"]))), F.lit("]"))
+    own = component(c("source"), c("terms_content_hash"))
+    parts = F.concat(F.lit("["), F.concat_ws(",", F.array(own), F.transform("parts", lambda p: component(p, p["terms_content_hash"]))), F.lit("]"))
     conclusion = j.record(*((n, j.optional(c(n))) for n in ("expression", "reason")), ("identifiers", j.some(c("identifiers"), j.text)), *((n, j.optional(c(n))) for n in ("grant_basis", "license_ref")))
     flags = F.when(c("flags") == "", F.expr("cast(array() as array<string>)")).otherwise(F.array_sort(F.split("flags", ",")))
     assessment = j.record(
@@ -243,7 +243,7 @@ def encoded() -> Column:
     )
     whole = j.record(
         ("schema_version", F.lit(str(SCHEMA_VERSION))), ("subject", subject), ("files", j.listed(c("files"), file)), ("manifests", j.some(c("manifests"), manifest)), ("prose", j.some(c("prose"), prose)), ("notices", j.some(c("notices"), notice)), ("notices_sampled", j.integer(c("sampled"))),
-        ("grants", j.some(c("grants"), grant)), ("components", parts), ("vendor_root", j.optional(c("vendor_root"))), ("vendored_copies", j.some(c("vendored_copies"), lambda v: j.record(*texts(v, "purl", "root")))), ("license_content_hash", j.text(c("license_content_hash"))), ("conclusion", conclusion),
+        ("grants", j.some(c("grants"), grant)), ("components", parts), ("vendor_root", j.optional(c("vendor_root"))), ("vendored_copies", j.some(c("vendored_copies"), lambda v: j.record(*texts(v, "purl", "root")))), ("license_content_hash", j.text(c("terms_content_hash"))), ("conclusion", conclusion),
         ("assessment", assessment), ("gaps", j.some(c("gaps"), lambda g: j.record(*texts(g, "kind", "detail")))), ("notes", j.some(c("notes"), j.text)),
     )
     return F.concat(whole, F.lit("\n"))

@@ -110,7 +110,7 @@ def declared_by_ecosystem(spark, sf_dir):
         file("pom.xml", F.when(F.pmod("k", F.lit(2)) == 0, pom(a)).otherwise("<project/>")), file("pom-parent-1.xml", pom(F.concat(F.lit("Parent-"), a))), file("pom-parent-2.xml", pom(F.lit("Far"))),
         file("PKG-INFO", F.concat(F.lit("License: "), a, F.lit("\n"))), file("setup.cfg", F.concat(F.lit("license = "), a)),
     )
-    return manifests.declared_license(manifests.manifests(files_of(first.select("component_id", F.explode(rows).alias("r")).select("component_id", "r.*"))))
+    return manifests.declared_terms(manifests.manifests(files_of(first.select("component_id", F.explode(rows).alias("r")).select("component_id", "r.*"))))
 
 
 # Lockfiles: each brand's parts are the dependencies of one component, in one of four kinds of lockfile.
@@ -277,7 +277,7 @@ select component_id, path, 'LicenseRef-v1-' || substr(sha256(replace(text, chr(1
 def unrecognised_texts(spark, sf_dir):
     """The name of the first text, in discovery order, that nothing recognised."""
     files = _fine_files(spark, sf_dir)
-    named = conclude.license_ref_of(files).withColumnRenamed("license_ref", "reference")
+    named = conclude.reference_of(files).withColumnRenamed("license_ref", "reference")
     return published.unrecognised_text(files).where("error is null").join(named, "component_id").select("component_id", "path", "reference")
 
 
@@ -303,7 +303,7 @@ def pom_chains(spark, sf_dir):
     k = F.col("p_partkey")
     top = F.pmod(k, F.lit(12)) == 0
     name = lambda n: F.concat(F.lit("g"), n.cast("string"))
-    return staged.pom_licenses(table(spark, sf_dir, "part").select(name(k).alias("gav"), F.when(~top, name(k - 1)).alias("parent"), F.when(top, F.concat(F.lit("L"), k.cast("string"))).alias("license")))
+    return staged.inherited_terms(table(spark, sf_dir, "part").select(name(k).alias("gav"), F.when(~top, name(k - 1)).alias("parent"), F.when(top, F.concat(F.lit("L"), k.cast("string"))).alias("license")))
 
 
 @query("select page_id, page_id % 7 in (0, 6) as valid from pages")

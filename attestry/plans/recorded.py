@@ -71,7 +71,7 @@ h as (select component_id, {_HASH} as h from found where err is null and exclude
 j as (select c.*, coalesce(a.ids, []) as ids, coalesce(open, false) as open, coalesce(ref, '') as ref, coalesce(total, 0) as total, coalesce(readable, 0) as readable, coalesce(resolved, 0) as resolved, coalesce(detected, []) as detected, coalesce(h, 'v1-' || sha256('')) as h
   from c left join a using (component_id) left join s using (component_id) left join h using (component_id)),
 t as (select *, readable = 0 and k <> 1 as unknown, case when len(detected) > 0 then 1.0 when k = 1 then 0.8 else 0.0 end as project, case when total = 0 then 1.0 else resolved / total end as resolution, case when len(detected) < 2 then 1.0 else 0.0 end as relation from j)
-select component_id, h as license_content_hash, case when len(ids) = 1 then ids[1] else '' end as expression, case when len(ids) = 0 and open then 'unrecognized-license-text' when len(ids) = 0 then 'no-license-text' when len(ids) > 1 then 'several-licenses' else '' end as reason,
+select component_id, h as terms_content_hash, case when len(ids) = 1 then ids[1] else '' end as expression, case when len(ids) = 0 and open then 'unrecognized-license-text' when len(ids) = 0 then 'no-license-text' when len(ids) > 1 then 'several-licenses' else '' end as reason,
   array_to_string(ids, ',') as identifiers, '' as grant_basis, ref as license_ref, case when unknown and i <> 1 or unknown and k in (0, 2, 3) then 0.0 else round(project * resolution * relation, 9) end as score,
   case when unknown and (i <> 1 or k in (0, 2, 3)) then '' else array_to_string(list_filter([case when k = 1 and len(detected) > 0 then 'declared-conflict' end, case when relation = 0 then 'relationship-ambiguous' end, case when resolved < total then 'unidentified-text' end], lambda f: f is not null), ',') end as flags,
   unknown and (i <> 1 or k in (0, 2, 3)) as unknown, total as license_files,
@@ -85,7 +85,7 @@ def collect_evidence(spark, sf_dir):
     gaps = F.array_join(F.transform("gaps", lambda g: F.concat(g["kind"], F.lit(": "), g["detail"])), "|")
     counts = (F.size("parts").cast("long").alias("parts"), F.size("vendored_copies").cast("long").alias("copies"))
     return out.select(
-        "component_id", "license_content_hash", "expression", "reason", F.array_join("identifiers", ",").alias("identifiers"), "grant_basis", "license_ref", F.round("score", 9).alias("score"), "flags", "unknown", "license_files", gaps.alias("gaps"), *counts
+        "component_id", "terms_content_hash", "expression", "reason", F.array_join("identifiers", ",").alias("identifiers"), "grant_basis", "license_ref", F.round("score", 9).alias("score"), "flags", "unknown", "license_files", gaps.alias("gaps"), *counts
     )
 
 
@@ -176,7 +176,7 @@ def maven_resolution(spark, sf_dir):
     artifacts, files = maven.resolve(staged, poms)
     pom = F.col("path").rlike("^pom")
     held = files.groupBy(F.col("component_id").alias("purl")).agg(F.count_if(pom).alias("poms"), F.count_if(~pom).alias("members"))
-    declared = manifests.declared_license(manifests.manifests(files)).select(F.col("component_id").alias("purl"), "license")
+    declared = manifests.declared_terms(manifests.manifests(files)).select(F.col("component_id").alias("purl"), "license")
     out = artifacts.join(held, "purl", "left").join(declared, "purl", "left")
     return out.select("purl", F.coalesce("poms", F.lit(0)).alias("poms"), F.coalesce("members", F.lit(0)).alias("members"), "license", "matched", F.array_join("notes", "|").alias("notes"), "error")
 
@@ -199,9 +199,9 @@ def _written(files: DataFrame, folder: str) -> None:
     files.select("component_id", "path", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
-@query(f"""with {_TREE}, l as (select component_id, path, {_DIGEST} as digest from tree where ({_weight()}) is not null), h as (select component_id, {_HASH} as license_content_hash, count(*) as covered from l group by 1),
+@query(f"""with {_TREE}, l as (select component_id, path, {_DIGEST} as digest from tree where ({_weight()}) is not null), h as (select component_id, {_HASH} as terms_content_hash, count(*) as covered from l group by 1),
 c as (select component_id, count(*) as files, sum(strlen(text)) as bytes from tree group by 1)
-select c.component_id, files, cast(bytes as bigint) as bytes, coalesce(license_content_hash, 'v1-' || sha256('')) as license_content_hash, coalesce(covered, 0) as covered, false as missing from c left join h using (component_id)
+select c.component_id, files, cast(bytes as bigint) as bytes, coalesce(terms_content_hash, 'v1-' || sha256('')) as terms_content_hash, coalesce(covered, 0) as covered, false as missing from c left join h using (component_id)
 union all select 'no-' || component_id, 0, 0, 'v1-' || sha256(''), 0, true from c""")
 def tree_directories(spark, sf_dir):
     """Trees written as directories and read back by the tree source; as many components are asked for that have none."""
@@ -218,17 +218,17 @@ def tree_directories(spark, sf_dir):
     read = tree_source.read_directories(spark, folder, names + [f"no-{n}" for n in names])
     subjects = tree_source.subjects_of(read)
     there = read.where("read_error is null")
-    hashes = ownership.component_hashes(subjects, there).select("component_id", "license_content_hash", F.col("files").alias("covered"))
+    hashes = ownership.component_hashes(subjects, there).select("component_id", "terms_content_hash", F.col("files").alias("covered"))
     sizes = there.groupBy("component_id").agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"))
     out = subjects.join(hashes, "component_id").join(sizes, "component_id", "left")
-    return out.select("component_id", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("bytes", F.lit(0)).alias("bytes"), "license_content_hash", "covered", F.col("source_error").isNotNull().alias("missing"))
+    return out.select("component_id", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("bytes", F.lit(0)).alias("bytes"), "terms_content_hash", "covered", F.col("source_error").isNotNull().alias("missing"))
 
 
 # A feed of three batches: of the documents of each, one in ten is removed and one in ten changed by a later batch; one in twenty that was removed comes back.
 @query(f"""with {_TREE}, l as (select component_id, path, doc_id, doc_id % 3 as b, (doc_id // 3) % 20 as k, text from tree where ({_weight()}) is not null),
 s as (select component_id, path, case when b < 2 and k in (1, 11) then 'changed ' || doc_id else text end as text from l where not (b < 2 and (k = 10 or k = 0 and b > 0))),
 d as (select component_id, path, {_DIGEST} as digest from s), h as (select component_id, {_HASH} as h, count(*) as n from d group by 1)
-select component_id, coalesce(h, 'v1-' || sha256('')) as license_content_hash, coalesce(n, 0) as files from (select distinct component_id from l) left join h using (component_id)""")
+select component_id, coalesce(h, 'v1-' || sha256('')) as terms_content_hash, coalesce(n, 0) as files from (select distinct component_id from l) left join h using (component_id)""")
 def content_keys_by_change(spark, sf_dir):
     """Keys kept up by a stream of changes, whose last ones are those of the trees as they are in the end."""
     from uuid import uuid4
@@ -256,8 +256,8 @@ def content_keys_by_change(spark, sf_dir):
 
     stream = incremental.content_keys(arrivals).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     stream.awaitTermination()
-    kept = spark.read.schema("component_id string, license_content_hash string, files bigint, batch int").parquet(f"{base}/keys/batch=*")
-    return kept.groupBy("component_id").agg(F.max_by(F.struct("license_content_hash", "files"), "batch").alias("x")).select("component_id", "x.*")
+    kept = spark.read.schema("component_id string, terms_content_hash string, files bigint, batch int").parquet(f"{base}/keys/batch=*")
+    return kept.groupBy("component_id").agg(F.max_by(F.struct("terms_content_hash", "files"), "batch").alias("x")).select("component_id", "x.*")
 
 
 # The canonical form over rows: what is absent, what is escaped, numbers whole and not.

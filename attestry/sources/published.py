@@ -131,7 +131,7 @@ def published_files(staged: DataFrame, by: dict[str, Reader] | None = None, max_
 
 def local_files(files: DataFrame, vendored: DataFrame) -> DataFrame:
     """(component_id, purl, path, digest): each vendored copy's own files by name, below its root, less what a deeper root owns."""
-    owned = ownership.owners(files.where(paths.is_license_file(F.col("path"))).select("component_id", "path", digests.file_digest(F.col("content")).alias("digest")), vendored).where("root is not null")
+    owned = ownership.owners(files.where(paths.is_terms_file(F.col("path"))).select("component_id", "path", digests.file_digest(F.col("content")).alias("digest")), vendored).where("root is not null")
     return owned.join(vendored.select("component_id", "purl", "root").distinct(), ["component_id", "root"]).select("component_id", "purl", F.expr("substring(path, length(root) + 2)").alias("path"), "digest")
 
 
@@ -139,13 +139,13 @@ def verified_copies(files: DataFrame, vendored: DataFrame, staged: DataFrame, by
     """(purl, verdict, reason) of every copy that the trees hold. One purl vendored into several trees is verified over all of them: a
     path below its root counts by its first digest that isn't the published one."""
     local = local_files(files, vendored).select("purl", "path", "digest").distinct()
-    there = published_files(staged, by).where(F.col("read_error").isNull() & paths.is_license_file(F.col("path"))).select(F.col("component_id").alias("purl"), "path", digests.file_digest(F.col("content")).alias("digest"), F.lit(0).alias("ord"))
+    there = published_files(staged, by).where(F.col("read_error").isNull() & paths.is_terms_file(F.col("path"))).select(F.col("component_id").alias("purl"), "path", digests.file_digest(F.col("content")).alias("digest"), F.lit(0).alias("ord"))
     return ownership.verify(local, there, vendored.select("purl"))
 
 
 def unrecognised_text(files: DataFrame) -> DataFrame:
     """(component_id, path, text, error): the first in-scope file, in discovery order, whose text nothing recognised. A text that wasn't
-    retained is an error, as its name would be that of the empty text. files as in conclude.license_ref_of."""
+    retained is an error, as its name would be that of the empty text. files as in conclude.reference_of."""
     from attestry.operators.conclude import prefer_root
 
     waiting = prefer_root(files).where("read_error is null and size_bytes > 0 and size(coalesce(names, array())) = 0")

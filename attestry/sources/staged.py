@@ -102,7 +102,7 @@ def ancestry(docs: DataFrame, most: int = POM_ANCESTRY) -> DataFrame:
     return walk.select("gav", F.slice(F.array_distinct("chain"), 1, most).alias("chain"))
 
 
-def pom_licenses(poms: DataFrame) -> DataFrame:
+def inherited_terms(poms: DataFrame) -> DataFrame:
     """(gav, license): each POM's own licence, or its nearest ancestor's, '' without one. poms(gav, parent, license)."""
     docs = poms.select("gav", "parent", (F.coalesce("license", F.lit("")) != "").alias("declares"))
     last = ancestry(docs).select("gav", F.element_at("chain", -1).alias("last"))

@@ -15,8 +15,8 @@ from attestry.functions import digests, paths
 
 
 def undetermined(hashes: DataFrame, determinations: DataFrame) -> DataFrame:
-    """hashes(component_id, license_content_hash) that no row of determinations(license_content_hash) answers."""
-    return hashes.join(determinations.select("license_content_hash").distinct(), "license_content_hash", "left_anti")
+    """hashes(component_id, terms_content_hash) that no row of determinations(terms_content_hash) answers."""
+    return hashes.join(determinations.select("terms_content_hash").distinct(), "terms_content_hash", "left_anti")
 
 
 def watch(arrivals: DataFrame, determinations: Callable[[], DataFrame], audit: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -24,13 +24,13 @@ def watch(arrivals: DataFrame, determinations: Callable[[], DataFrame], audit: C
     holds which arrivals were seen, so `audit` must be idempotent by batch id."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        audit(undetermined(df.dropDuplicates(["license_content_hash"]), determinations()), batch_id)
+        audit(undetermined(df.dropDuplicates(["terms_content_hash"]), determinations()), batch_id)
 
     return arrivals.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 CHANGE = "component_id string, path string, digest string, seq bigint"
-KEYS = "component_id string, license_content_hash string, files bigint"
+KEYS = "component_id string, terms_content_hash string, files bigint"
 _STATE = "paths array<string>, digests array<string>, seqs array<bigint>"
 
 
@@ -45,7 +45,7 @@ def content_key(records: list[tuple[str, str]]) -> str:
 
 def changes_of(files: DataFrame, removed: str = "removed", seq: str = "seq") -> DataFrame:
     """changes(component_id, path, digest, seq) of a feed of files(component_id, path, content, removed, seq): licence files only; a removal has no digest."""
-    covered = files.where(paths.is_license_file(F.col("path")))
+    covered = files.where(paths.is_terms_file(F.col("path")))
     return covered.select("component_id", "path", F.when(~F.col(removed), digests.file_digest(F.col("content"))).alias("digest"), F.col(seq).cast("long").alias("seq"))
 
 
@@ -62,10 +62,10 @@ def _applied(key: tuple, feed: Iterator[pd.DataFrame], state: GroupState) -> Ite
     state.update(([*order], [held[p][1] for p in order], [held[p][0] for p in order]))
     now = {p: d for p, (_, d) in held.items() if d is not None}
     if now != before or not before:
-        yield pd.DataFrame({"component_id": [key[0]], "license_content_hash": [content_key(list(now.items()))], "files": [len(now)]})
+        yield pd.DataFrame({"component_id": [key[0]], "terms_content_hash": [content_key(list(now.items()))], "files": [len(now)]})
 
 
 def content_keys(changes: DataFrame) -> DataFrame:
-    """(component_id, license_content_hash, files): of a stream of changes the new key of each component that they touch. The state is one component's paths and
+    """(component_id, terms_content_hash, files): of a stream of changes the new key of each component that they touch. The state is one component's paths and
     digests, so a batch rehashes what it touches and nothing else; changes may come late, twice and in any order within and between batches."""
     return changes.groupBy("component_id").applyInPandasWithState(_applied, KEYS, _STATE, "update", GroupStateTimeout.NoTimeout)

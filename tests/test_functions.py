@@ -25,9 +25,9 @@ EXCLUDED = {
 }
 
 
-def test_license_names(spark):
-    assert one_column(spark, list(LICENSE_NAMES), paths.is_license_file) == list(LICENSE_NAMES.values())
-    assert one_column(spark, list(WEIGHTS), paths.license_weight) == list(WEIGHTS.values())
+def test_names_of_files(spark):
+    assert one_column(spark, list(LICENSE_NAMES), paths.is_terms_file) == list(LICENSE_NAMES.values())
+    assert one_column(spark, list(WEIGHTS), paths.terms_weight) == list(WEIGHTS.values())
 
 
 def test_exclusion(spark):
@@ -58,7 +58,7 @@ def test_content_hash_ignores_order_and_covers_the_empty_set(spark):
     assert one == "v1-" + hashlib.sha256(framed).hexdigest()
 
 
-def test_license_ref_golden(spark):
+def test_reference_golden(spark):
     assert one_column(spark, ["End User License Agreement\n", "", "End User License Agreement\r\n"], digests.license_ref) == ["LicenseRef-v1-8bae776427bb3b18", "", "LicenseRef-v1-8bae776427bb3b18"]
 
 

@@ -101,7 +101,7 @@ def test_collect(spark):
     out = evidence.collect(tree.select("component_id").distinct(), tree, corpus)
     row = {r["component_id"]: r for r in out.collect()}
     assert row["c"]["expression"] == "MIT" and row["c"]["score"] == 1.0 and row["c"]["purls"] == ["pkg:golang/github.com/a/b@v1.0.0"] and row["c"]["flags"] == ""
-    assert row["e"]["reason"] == "no-license-text" and row["e"]["license_content_hash"].startswith("v1-e3b0c442")
+    assert row["e"]["reason"] == "no-license-text" and row["e"]["terms_content_hash"].startswith("v1-e3b0c442")
     bundle = evidence.bundles(out).where("component_id = 'c'").first()
     assert bundle["bundle"].startswith('{"schema_version":1,"subject"') and bundle["bundle"].endswith("\n")
 
@@ -149,13 +149,13 @@ def test_read_trees(spark, tmp_path):
 
 
 def test_incremental(spark, tmp_path):
-    hashes = spark.createDataFrame([("a", "h1"), ("b", "h2")], "component_id string, license_content_hash string")
-    known = spark.createDataFrame([("h1",)], "license_content_hash string")
+    hashes = spark.createDataFrame([("a", "h1"), ("b", "h2")], "component_id string, terms_content_hash string")
+    known = spark.createDataFrame([("h1",)], "terms_content_hash string")
     assert [r["component_id"] for r in undetermined(hashes, known).collect()] == ["b"]
     hashes.write.parquet(str(tmp_path / "in"))
     seen = []
     arrivals = spark.readStream.schema(hashes.schema).parquet(str(tmp_path / "in"))
-    watch(arrivals, lambda: known, lambda df, i: seen.extend(r["license_content_hash"] for r in df.collect()), str(tmp_path / "ck")).awaitTermination(60)
+    watch(arrivals, lambda: known, lambda df, i: seen.extend(r["terms_content_hash"] for r in df.collect()), str(tmp_path / "ck")).awaitTermination(60)
     assert seen == ["h2"]
 
 
@@ -179,7 +179,7 @@ def test_content_keys_follow_changes(spark, tmp_path):
         arrivals = spark.readStream.schema(incremental.CHANGE).parquet(str(tmp_path / "feed"))
         query = incremental.content_keys(arrivals).writeStream.outputMode("update").foreachBatch(lambda df, _, out=out: out.extend(df.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
         query.awaitTermination(120)
-        seen.append({r["component_id"]: (r["license_content_hash"], r["files"]) for r in out})
+        seen.append({r["component_id"]: (r["terms_content_hash"], r["files"]) for r in out})
     for got, components in zip(seen, want):
         sets = [(c, [{"path": p, "digest": d} for p, d in files.items()]) for c, files in components.items()]
         df = spark.createDataFrame(sets, "c string, f array<struct<path:string,digest:string>>")
@@ -225,7 +225,7 @@ def test_verify_without_either_side(spark):
 def test_unreadable_files_leave_no_key(spark):
     rows = [("a", "LICENSE", b"x", 1, None), ("a", "COPYING", None, 0, "denied"), ("b", "LICENSE", b"x", 1, None), ("c", "main.c", None, 0, "denied")]
     tree = spark.createDataFrame(rows, "component_id string, path string, content binary, size_bytes bigint, read_error string")
-    got = {r["component_id"]: (r["license_content_hash"], r["error"]) for r in ownership.component_hashes(tree.select("component_id").distinct(), tree).collect()}
+    got = {r["component_id"]: (r["terms_content_hash"], r["error"]) for r in ownership.component_hashes(tree.select("component_id").distinct(), tree).collect()}
     assert got["a"] == (None, "COPYING: denied") and got["b"][0].startswith("v1-") and got["b"][1] is None and got["c"][0].startswith("v1-e3b0c442")
 
 
@@ -253,10 +253,10 @@ def test_prose_is_trimmed_of_all_white_space(spark):
 
 
 def test_setup_cfg_across_lines(spark):
-    from attestry.operators.manifests import setup_cfg_license
+    from attestry.operators.manifests import setup_cfg_terms
     from tests.conftest import one_column
 
-    assert one_column(spark, ["[metadata]\nlicense =\n    MIT\nname = x", "license = File: x", "LICENSE= BSD \r\n", "license_expression = MIT", "license = file: x", "other = 1"], setup_cfg_license) == ["MIT", "File: x", "BSD", "MIT", "", ""]
+    assert one_column(spark, ["[metadata]\nlicense =\n    MIT\nname = x", "license = File: x", "LICENSE= BSD \r\n", "license_expression = MIT", "license = file: x", "other = 1"], setup_cfg_terms) == ["MIT", "File: x", "BSD", "MIT", "", ""]
 
 
 def test_last_line_of_a_checksum_file_holds(spark):
@@ -284,7 +284,7 @@ def test_whole_record(spark):
     assert [f["path"] for f in r["files"]][0] == "LICENSE" and listed["odd-terms.rst"]["declared"] == "ISC" and 0.4 < listed["odd-terms.rst"]["confidence"] < 0.5 and listed["gone.txt"]["error"]
     assert listed["LICENSE"]["text"] == mit and listed["vendor/a.org/b/LICENSE"]["excluded"] == "vendored"
     assert [p["purl"] for p in r["components"]] == ["pkg:apk/thing@1.2", "pkg:golang/a.org/b@v1.0.0", "pkg:pypi/z@1"] and r["components"][0]["kind"] == "package-source"
-    assert r["components"][1]["license_content_hash"].startswith("v1-") and "license_content_hash" in r["components"][0] and r["components"][1]["license_content_hash"] != r["license_content_hash"]
+    assert r["components"][1]["terms_content_hash"].startswith("v1-") and "terms_content_hash" in r["components"][0] and r["components"][1]["terms_content_hash"] != r["terms_content_hash"]
     assert r["vendor_root"] == "vendor" and r["vendored_copies"] == [{"purl": "pkg:golang/a.org/b@v1.0.0", "root": "vendor/a.org/b"}]
     assert r["manifests"] == [{"path": "go.mod", "ecosystem": "golang", "license": ""}, {"path": "package.json", "ecosystem": "npm", "license": "MIT"}] and r["prose"][0]["line"] == 1 and r["notices_sampled"] == 1 and r["grants"][0]["expression"] == "MIT"
     assert [g["kind"] for g in r["gaps"]] == ["dependencies", "dependencies", "license-file"] and "1 of 1 jars" in r["gaps"][0]["detail"] and "1 dist-info" in r["gaps"][1]["detail"] and "gone.txt" in r["gaps"][2]["detail"]
