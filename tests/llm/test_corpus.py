@@ -535,7 +535,7 @@ def test_secrets_by_brute_force(spark):
         assert r["text"] == text
 
 
-def test_licenses(spark, docs, none):
+def test_sentences(spark, docs, none):
     data = [
         (1, "Some words.\nLicensed under the Apache License, Version 2.0.\nMore words."), (2, "Released under the MIT License. Released under the MIT License."), (3, "This work is licensed under the GNU General Public License, version 3.\nx"),
         (4, "Licensed under CC BY-NC 4.0."), (5, "no licence here"), (6, None), (7, "licensed under the GNU General Public License, version 2; either that or any later version. The software is provided as is."), (8, "All rights reserved."),
@@ -548,7 +548,7 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(docs).count() == len(rows()) and licenses.scan(none).count() == 0
 
 
-def test_license_tags(spark):
+def test_tags_of_texts(spark):
     data = [
         ("SPDX-License-Identifier: MIT", "MIT"), ("// SPDX-License-Identifier: apache-2.0 OR mit\n#include <x.h>", "Apache-2.0 OR MIT"), ("/* SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note */ int x;", "GPL-2.0-only WITH Linux-syscall-note"),
         ("# SPDX-License-Identifier: (GPL-2.0+ AND BSD-2-Clause)\n# Released under the MIT License.", "(GPL-2.0-or-later AND BSD-2-Clause),MIT"), ("x\nSPDX-License-Identifier: LicenseRef-Own-1.0 and Beerware.\n\ny", "LicenseRef-Own-1.0 AND Beerware"),
@@ -561,7 +561,7 @@ def test_license_tags(spark):
     assert got[1]["sentence_ids"] == "<spdx-tag:Apache-2.0 OR MIT>"
 
 
-def test_license_statements(spark):
+def test_statements(spark):
     notice = lambda name, version: (
         f"This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version.\n\n"
         f"It is distributed WITHOUT ANY WARRANTY. See the {name} for more details.\n\nYou should have received a copy of the {name} along with this program. If not, see <https://www.gnu.org/licenses/>."
@@ -603,7 +603,7 @@ def test_planted_secrets(spark):
         assert clean[i] == (t if not found else t.replace(found[0], secrets.MARK))
 
 
-def test_license_titles_and_negations(spark):
+def test_titles_and_negations(spark):
     data = [
         ("Apache License, Version 2.0 or the MIT License", "Apache-2.0,MIT"), ("MIT License", "MIT"), ("The MIT License (MIT)", "MIT"), ("BSD 3-Clause License", "BSD-3-Clause"), ("Licensed under Apache-2.0.", "Apache-2.0"), ("GPLv3", "GPL-3.0-only"), ("LGPL-2.1-or-later", "LGPL-2.1-or-later"),
         ("Dual licensed under MIT and GPL v2+.", "MIT,GPL-2.0-or-later"), ("Boost Software License - Version 1.0", "BSL-1.0"), ("the zlib License", "Zlib"), ("The Artistic License 2.0", "Artistic-2.0"), ("Python Software Foundation License Version 2", "PSF-2.0"), ("EUPL-1.2", "EUPL-1.2"), ("European Union Public Licence v. 1.2", "EUPL-1.2"),
