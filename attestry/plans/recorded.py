@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from attestry.operators import locks, manifests, ownership
 from attestry.plans import evidence
-from attestry.plans.formed import _mod, _pick
+from attestry.plans.formed import _mod, _pick, _sql_pick
 from attestry.plans.queries import _DEPTH, _DIGEST, _HASH, _MANIFEST, _PROSE, _TOK, _TREE, _excluded, _q, _weight, query, table, tree
 from attestry.sources import maven, records
 from attestry.sources.trees import TEMPLATES, document_trees, files_of
@@ -340,3 +340,26 @@ def archives_by_range(spark, sf_dir):
     docs = tree(spark, sf_dir).select(F.concat("component_id", F.lit("-"), c.cast("string")).alias("component_id"), c.alias("c"), "path", "content")
     staged = scratch.materialise(docs.groupBy("component_id").applyInArrow(pack, "component_id string, name string, uri string, prefix string"), "staged")
     return ranges.expand_ranges(staged).select("component_id", "path", "size_bytes", F.sha2("content", 256).alias("digest"), F.col("read_error").isNotNull().alias("failed"))
+
+
+# The functions by name over what parts are said to be licensed under, against the columns' own specification.
+_SAID = ("MIT", " apache license,  Version 2.0", "GPL-2.0", "KUKA", "MIT/Apache-2.0", "zlib or ISC", "(MIT or ISC)", "https://www.apache.org/licenses/LICENSE-2.0.txt", "BSD-0-Clause", "house rules", "", "EPL 2.0 and house rules")
+_SAID_ROWS = (  # id, grant_base, only, ref, canonical, satisfied by MIT and Zlib
+    ("MIT", None, None, None, "MIT", True), ("Apache-2.0", None, None, None, "Apache-2.0", False), (None, "GPL-2.0", "GPL-2.0-only", None, "GPL-2.0", False), (None, None, None, "KUKA", "KUKA", False), (None, None, None, "MIT/Apache-2.0", "MIT OR Apache-2.0", True),
+    (None, None, None, "zlib or ISC", "Zlib OR ISC", True), (None, None, None, "(MIT or ISC)", "(MIT or ISC)", True), ("Apache-2.0", None, None, None, "Apache-2.0", False), ("0BSD", None, None, None, "BSD-0-Clause", False), (None, None, None, "house rules", "house rules", None),
+    (None, None, None, None, "", None), (None, None, None, "EPL 2.0 and house rules", "EPL-2.0 AND house rules", None),
+)
+
+
+@query(f"""select p_partkey, {', '.join(f"{_sql_pick(tuple(r[i] for r in _SAID_ROWS), f'p_partkey % {len(_SAID)}')} as {n}" for i, n in enumerate(('id', 'grant_base', 'only_form', 'ref', 'canonical', 'satisfied')))},
+case when p_partkey % 2 = 0 then 'GPL-2.0-only WITH Some-exception' end as tag from part""")
+def sql_names(spark, sf_dir):
+    """Names, expressions and tags resolved from SQL text."""
+    from attestry.functions import registry
+
+    registry.register(spark)
+    said = _pick(_SAID, _mod("p_partkey", len(_SAID)))
+    note = F.when(_mod("p_partkey", 2) == 0, "// SPDX-License-Identifier: GPL-2.0-only WITH Some-exception\nint x;").otherwise("no tag")
+    table(spark, sf_dir, "part").select("p_partkey", said.alias("said"), note.alias("note")).createOrReplaceTempView("attestry_said")
+    return spark.sql("""with n as (select p_partkey, note, att_normalize(said) as r, att_canonicalize(said) as canonical from attestry_said)
+        select p_partkey, r.id, r.grant_base, r.only as only_form, r.ref, canonical, att_satisfies(att_parse_expression(canonical), array('MIT', 'Zlib')) as satisfied, att_tag(note) as tag from n""")
