@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # What a declaration without text, prose alone, and a stated choice are worth; the confidence that counts.
 MANIFEST_CREDIT, PROSE_CREDIT, CHOICE_CREDIT, CONFIDENT = 0.8, 0.5, 0.95, 0.9
+# Fixed value: what stands in a file's place of a name where nothing matched.
+NO_ASSERTION = "NOASSERTION"
 _NONE = "cast(array() as array<string>)"
 
 
@@ -23,7 +25,7 @@ def assess(inputs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             "readable": F.size(F.filter("scope", lambda f: F.coalesce(f["err"], F.lit("")) == "")),
             "resolved": F.size(F.filter("scope", lambda f: F.size(F.coalesce(f["ids"], F.expr(_NONE))) > 0)),
             "detected": F.array_sort(F.array_distinct(F.flatten(F.transform("scope", lambda f: F.coalesce(f["ids"], F.expr(_NONE)))))),
-            "best": F.array_max(F.transform(F.filter("scope", lambda f: F.coalesce(f["license"], F.lit("")) != ""), lambda f: f["confidence"])),
+            "best": F.array_max(F.transform(F.filter("scope", lambda f: ~F.coalesce(f["license"], F.lit("")).isin("", NO_ASSERTION)), lambda f: f["confidence"])),
         }
     )
     failed = F.col("total") - F.col("readable")

@@ -24,6 +24,13 @@ def is_unread_directory() -> Column:
     return F.col("path").endswith("/") & F.col("read_error").isNotNull()
 
 
+def _declared(declarations: DataFrame) -> DataFrame:
+    """(component_id, path, license, override, ord), '' for what is absent: override names the match that a declaration knowingly disagrees with."""
+    override = F.col("override") if "override" in declarations.columns else F.lit(None).cast("string")
+    blank = lambda x: F.coalesce(x, F.lit(""))
+    return declarations.select("component_id", blank(F.col("path")).alias("path"), blank(F.col("license")).alias("license"), blank(override).alias("override"), "ord")
+
+
 def named_files(files: DataFrame, declarations: DataFrame | None = None) -> DataFrame:
     """One pass over contents for all that names decide: licence files and those that are declared only (weight, excluded, digest, text, truncated, declared),
     manifests (manifest), prose (hints), and directories that couldn't be listed. What a row isn't is null. A declared file that isn't there
@@ -32,19 +39,21 @@ def named_files(files: DataFrame, declarations: DataFrame | None = None) -> Data
     weight = paths.terms_weight(p) + F.when(paths.depth(p) == 0, F.lit(paths.ROOT_BONUS)).otherwise(0.0)
     rows = files.select(*_KEY, "content", "size_bytes", "read_error", weight.alias("weight"))
     if declarations is None:
-        rows = rows.withColumn("declared", F.lit(None).cast("string"))
+        rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("declared", "override")})
     else:
-        latest = declarations.groupBy(*_KEY).agg(F.max_by("license", "ord").alias("declared"))
+        # A declaration without a path speaks for the component as a whole.
+        of_files = _declared(declarations).where("path <> ''")
+        latest = of_files.groupBy(*_KEY).agg(F.max_by(F.struct(F.col("license").alias("declared"), "override"), "ord").alias("d")).select(*_KEY, "d.*")
         # Contents of files that neither names nor declarations ask for stay out of the join.
         there = rows.join(latest, _KEY, "left")
-        missing = latest.join(files.select(*_KEY), _KEY, "left_anti").select(*_KEY, F.lit(None).cast("binary").alias("content"), F.lit(0).cast("long").alias("size_bytes"), F.lit("declared, but not in the tree").alias("read_error"), F.lit(None).cast("double").alias("weight"), "declared")
+        missing = latest.join(files.select(*_KEY), _KEY, "left_anti").select(*_KEY, F.lit(None).cast("binary").alias("content"), F.lit(0).cast("long").alias("size_bytes"), F.lit("declared, but not in the tree").alias("read_error"), F.lit(None).cast("double").alias("weight"), "declared", "override")
         rows = there.unionByName(missing)
     licence = F.col("weight").isNotNull() | F.col("declared").isNotNull()
     rows = rows.where(licence | manifests.is_manifest() | detection.is_prose() | is_unread_directory())
     ok = licence & F.col("read_error").isNull()
     is_manifest = manifests.is_manifest()
     read = rows.select(
-        *_KEY, "size_bytes", "read_error", "declared", licence.alias("is_licence"), F.when(licence, F.coalesce("weight", F.lit(0.0))).alias("weight"), F.when(licence, paths.exclusion(p)).alias("excluded"), F.when(ok, file_digest(F.col("content"))).alias("digest"),
+        *_KEY, "size_bytes", "read_error", "declared", "override", licence.alias("is_licence"), F.when(licence, F.coalesce("weight", F.lit(0.0))).alias("weight"), F.when(licence, paths.exclusion(p)).alias("excluded"), F.when(ok, file_digest(F.col("content"))).alias("digest"),
         F.when(ok, head_bytes(F.col("content"), detection.MAX_TEXT_BYTES).cast("string")).alias("text"), (ok & (F.col("size_bytes") > detection.MAX_TEXT_BYTES)).alias("truncated"),
         F.when(detection.is_prose(), detection.hints(F.col("content"))).alias("hints"), is_manifest.alias("is_manifest"), manifests.manifest(p, F.when(is_manifest, F.col("content"))).alias("m"),
     )
@@ -85,7 +94,7 @@ def observations(subjects: DataFrame, files: DataFrame, corpus: DataFrame, insta
     names = F.transform(F.filter(matches, lambda m: m["confidence"] >= classify.THRESHOLD), lambda m: m["name"])
     ids = F.array_sort(F.array_distinct(F.transform(names, conclude.identifier_of)))
     file = F.struct(
-        (-F.col("weight")).alias("w"), "path", "weight", "excluded", matches.alias("matches"), F.coalesce("declared", F.lit("")).alias("declared"), "size_bytes", F.coalesce("digest", F.lit("")).alias("digest"), F.coalesce("text", F.lit("")).alias("text"),
+        (-F.col("weight")).alias("w"), "path", "weight", "excluded", matches.alias("matches"), F.coalesce("declared", F.lit("")).alias("declared"), F.coalesce("override", F.lit("")).alias("override"), "size_bytes", F.coalesce("digest", F.lit("")).alias("digest"), F.coalesce("text", F.lit("")).alias("text"),
         "truncated", F.coalesce("read_error", F.lit("")).alias("err"), ids.alias("ids"),
     )
     prose = F.transform("hints", lambda h: F.struct(F.col("path").alias("path"), h["line"].alias("line"), h["excerpt"].alias("excerpt")))
@@ -105,7 +114,7 @@ def observations(subjects: DataFrame, files: DataFrame, corpus: DataFrame, insta
     if installed is not None:
         streams.append(installed.groupBy("component_id").agg(F.lit(True).alias("has_installed")))
     if declarations is not None:
-        streams.append(declarations.select("component_id", F.struct("ord", trim_space(F.col("license")).alias("license")).alias("said")))
+        streams.append(_declared(declarations).select("component_id", F.struct("ord", "license", "path", "override").alias("said")))
     known = [c if c in subjects.columns else F.lit(None).cast("string").alias(c) for c in ("name", "version", "repository", "commit", "origin", "source_error", "installed_error")]
     out = subjects.select("component_id", F.struct(*(F.col(c).cast("string").alias(c) if isinstance(c, str) else c for c in known)).alias("subject"))
     for s in streams:
@@ -121,7 +130,7 @@ def collect(subjects: DataFrame, files: DataFrame, corpus: DataFrame, installed:
     manifests, packages and sampled notices."""
     none = lambda c, kind: F.coalesce(F.col(c), F.expr(f"cast(array() as array<{kind}>)"))
     seen = observations(subjects, files, corpus, installed, declarations)
-    for c, kind in (("has_installed", "boolean"), ("said", "struct<ord:int,license:string>")):
+    for c, kind in (("has_installed", "boolean"), ("said", "struct<ord:int,license:string,path:string,override:string>")):
         if c not in seen.columns:
             seen = seen.withColumn(c, F.lit(None).cast(kind))
     lists = ("file", "manifest", "prose", "granted", "notice", "part", "note", "lost", "unlisted", "said")
@@ -183,7 +192,7 @@ def _recorded(g: DataFrame) -> DataFrame:
     cut, copies = F.size(F.filter("files", lambda f: f["truncated"])), F.size("vendored_copies")
     made = lambda n, text: F.when(n > 0, F.format_string(text, n))
     notes = F.filter(F.concat(F.array(made(cut, f"%d texts cut at {detection.MAX_TEXT_BYTES} bytes")), F.col("noted"), F.array(made(copies, "%d components have a vendored copy in the tree, hashed for verification"))), lambda n: n.isNotNull())
-    declared = F.filter(F.array_distinct(F.transform("said", lambda s: s["license"])), lambda x: x != "")
+    declared = F.filter(F.array_distinct(F.transform("said", lambda s: trim_space(s["license"]))), lambda x: x != "")
     stated = F.filter("manifests", lambda m: m["license"] != "")
     g = g.withColumns({
         "gaps": gaps, "notes": notes, "purls": F.array_sort(F.transform("parts", lambda p: p["purl"])), "manifest_terms": F.get(stated, F.lit(0))["license"], "manifest_sets": F.transform(F.filter(stated, lambda m: m["names"].isNotNull()), lambda m: m["names"]),
@@ -197,15 +206,15 @@ def _recorded(g: DataFrame) -> DataFrame:
     first = lambda f: F.get(f["matches"], F.lit(0))
     rest = lambda f: F.slice(f["matches"], F.lit(2), F.greatest(F.size(f["matches"]) - 1, F.lit(0)))
     listed = lambda f: F.struct(
-        *(f[c].alias(c) for c in ("path", "weight", "excluded")), F.coalesce(first(f)["name"], blank).alias("license"), F.coalesce(first(f)["confidence"], F.lit(0.0)).alias("confidence"), rest(f).alias("additional_licenses"),
-        *(f[c].alias(c) for c in ("declared", "size_bytes", "digest", "text", "truncated", "err", "ids")),
+        *(f[c].alias(c) for c in ("path", "weight", "excluded")), F.coalesce(first(f)["name"], F.lit(assessing.NO_ASSERTION)).alias("license"), F.coalesce(first(f)["confidence"], F.lit(0.0)).alias("confidence"), rest(f).alias("additional_licenses"),
+        *(f[c].alias(c) for c in ("declared", "override", "size_bytes", "digest", "text", "truncated", "err", "ids")),
     )
     g = g.withColumn("files", F.transform("files", listed))
-    kept = ("subject", "files", "manifests", "prose", "notices", "sampled", "grants", "parts", "purls", "vendor_root", "vendored_copies", "terms_content_hash", "expression", "reason", "identifiers", "grant_basis", "license_ref", "declared_expression", "unreadable", "gaps", "notes")
+    kept = ("subject", "said", "files", "manifests", "prose", "notices", "sampled", "grants", "parts", "purls", "vendor_root", "vendored_copies", "terms_content_hash", "expression", "reason", "identifiers", "grant_basis", "license_ref", "declared_expression", "unreadable", "gaps", "notes")
     done = assessing.assess(g, kept)
     s = lambda c: F.coalesce(F.col(f"subject.{c}"), blank).alias(c)
-    about = F.struct(F.coalesce("subject.name", "component_id").alias("package"), s("version"), s("repository"), s("commit"), s("origin"))
-    done = done.withColumn("subject", about)
+    about = F.struct(F.coalesce("subject.name", "component_id").alias("package"), s("version"), s("repository"), s("commit"), s("origin"), F.col("said").alias("declared"))
+    done = done.withColumn("subject", about).drop("said")
     names = done.select("*", F.col("subject.package").alias("name"), "subject.version", "subject.repository", "subject.commit", F.expr("cast(array() as array<struct<path:string,digest:string>>)").alias("patches"))
     own = components.source_of()
     return names.withColumn("source", own).drop("name", "version", "repository", "commit", "patches")
@@ -216,11 +225,13 @@ def encoded() -> Column:
     c, j = F.col, canonical
     texts = lambda x, *names: [(n, j.text(x[n])) for n in names]
     source = j.record(("name", j.text(c("subject.package"))), *((n, j.optional(c(f"subject.{n}"))) for n in ("version", "repository", "commit")))
-    subject = j.record(("package", j.text(c("subject.package"))), ("version", j.optional(c("subject.version"))), ("source", source), ("origin", j.optional(c("subject.origin"))))
-    match = lambda m: j.record(("name", j.text(m["name"])), ("confidence", j.number(m["confidence"])))
+    said = lambda d: j.record(("license", j.text(d["license"])), ("path", j.optional(d["path"])), ("override", j.optional(d["override"])))
+    subject = j.record(("package", j.text(c("subject.package"))), ("version", j.optional(c("subject.version"))), ("source", source), ("declared", j.some(c("subject.declared"), said)), ("origin", j.optional(c("subject.origin"))))
+    # The names of these two fields begin with capitals, unlike all others.
+    match = lambda m: j.record(("Name", j.text(m["name"])), ("Confidence", j.number(m["confidence"])))
     file = lambda f: j.record(
         ("path", j.text(f["path"])), ("weight", j.number(f["weight"])), ("excluded", j.optional(f["excluded"])), ("license", j.text(f["license"])), ("confidence", j.number(f["confidence"])), ("additional_licenses", j.some(f["additional_licenses"], match)),
-        ("declared", j.optional(f["declared"])), ("size_bytes", j.integer(f["size_bytes"])), ("digest", j.text(f["digest"])), ("text", j.optional(f["text"])), ("truncated", j.unless(~f["truncated"], j.flag(f["truncated"]))), ("error", j.optional(f["err"])),
+        ("declared", j.optional(f["declared"])), ("override", j.optional(f["override"])), ("size_bytes", j.integer(f["size_bytes"])), ("digest", j.text(f["digest"])), ("text", j.optional(f["text"])), ("truncated", j.unless(~f["truncated"], j.flag(f["truncated"]))), ("error", j.optional(f["err"])),
     )
     manifest = lambda m: j.record(*texts(m, "path", "ecosystem", "license"), ("license_file", j.optional(m["license_file"])))
     prose = lambda p: j.record(("path", j.text(p["path"])), ("line", j.integer(p["line"])), ("excerpt", j.text(p["excerpt"])))

@@ -115,7 +115,7 @@ def test_every_kind_of_gap_and_note(spark):
     files = spark.createDataFrame([(c, p, b, len(b or b""), e) for c, p, b, e in rows], "component_id string, path string, content binary, size_bytes bigint, read_error string")
     subjects = spark.createDataFrame([("c", "1.0", None, "denied"), ("lost", None, "no tree", None), ("bare", None, None, None)], "component_id string, version string, source_error string, installed_error string")
     corpus = spark.createDataFrame([("MIT", mit)], "id string, text string")
-    said = spark.createDataFrame([("c", "LICENSE", "MIT", 0), ("c", "TERMS", "Own", 1), ("c", "src/notes.c", " MIT ", 2)], "component_id string, path string, license string, ord int")
+    said = spark.createDataFrame([("c", "LICENSE", "MIT", 0, "ISC"), ("c", "TERMS", "Own", 1, None), ("c", "src/notes.c", " MIT ", 2, None), ("c", None, "MIT", 3, None)], "component_id string, path string, license string, ord int, override string")
     collected = evidence.collect(subjects, files, corpus, declarations=said)
     got = {r["component_id"]: r for r in collected.collect()}
     gaps = {c: [(g["kind"], g["detail"]) for g in r["gaps"]] for c, r in got.items()}
@@ -129,6 +129,8 @@ def test_every_kind_of_gap_and_note(spark):
     ]
     assert got["c"]["declared_expression"] == "MIT AND Own" and got["c"]["subject"]["version"] == "1.0" and [p["excerpt"] for p in got["c"]["prose"]] == ["Licensed � as you like"]
     made = {r["component_id"]: r["bundle"] for r in evidence.bundles(collected).collect()}
+    assert '"declared":[{"license":"MIT","path":"LICENSE","override":"ISC"},{"license":"Own","path":"TERMS"},{"license":" MIT ","path":"src/notes.c"},{"license":"MIT"}]' in made["c"]
+    assert '"license":"MIT","confidence":1,"declared":"MIT","override":"ISC","size_bytes"' in made["c"] and '"path":"TERMS","weight":0,"license":"NOASSERTION","confidence":0,"declared":"Own"' in made["c"]
     assert '"relationship"' not in made["lost"] and '"gaps":[{"kind":"source","detail":"no tree"}' in made["lost"]
 
 
@@ -284,7 +286,7 @@ def test_whole_record(spark):
     assert [f["path"] for f in r["files"]][0] == "LICENSE" and listed["odd-terms.rst"]["declared"] == "ISC" and 0.4 < listed["odd-terms.rst"]["confidence"] < 0.5 and listed["gone.txt"]["error"]
     assert listed["LICENSE"]["text"] == mit and listed["vendor/a.org/b/LICENSE"]["excluded"] == "vendored"
     assert [p["purl"] for p in r["components"]] == ["pkg:apk/thing@1.2", "pkg:golang/a.org/b@v1.0.0", "pkg:pypi/z@1"] and r["components"][0]["kind"] == "package-source"
-    assert r["components"][1]["terms_content_hash"].startswith("v1-") and "terms_content_hash" in r["components"][0] and r["components"][1]["terms_content_hash"] != r["terms_content_hash"]
+    assert r["components"][1]["license_content_hash"].startswith("v1-") and "license_content_hash" in r["components"][0] and r["components"][1]["license_content_hash"] != r["license_content_hash"]
     assert r["vendor_root"] == "vendor" and r["vendored_copies"] == [{"purl": "pkg:golang/a.org/b@v1.0.0", "root": "vendor/a.org/b"}]
     assert r["manifests"] == [{"path": "go.mod", "ecosystem": "golang", "license": ""}, {"path": "package.json", "ecosystem": "npm", "license": "MIT"}] and r["prose"][0]["line"] == 1 and r["notices_sampled"] == 1 and r["grants"][0]["expression"] == "MIT"
     assert [g["kind"] for g in r["gaps"]] == ["dependencies", "dependencies", "license-file"] and "1 of 1 jars" in r["gaps"][0]["detail"] and "1 dist-info" in r["gaps"][1]["detail"] and "gone.txt" in r["gaps"][2]["detail"]
