@@ -34,6 +34,62 @@ def test_run(spark, tmp_path):
     want = packing.pieces(spark.createDataFrame(left, "doc_id bigint, text string"), vocabulary(WORD_BPE)).collect()
     assert sorted(tuple(r)[:5] for r in got) == sorted(tuple(r) for r in want)
     assert any(i == 400 for i, *_ in got)
+    sequences(got)
+
+
+def sequences(got, capacity=2048):
+    """Every piece lies in one sequence, side by side with others from place 0 on, and none holds more than it may."""
+    placed = {}
+    for r in got:
+        placed.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in placed.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at and length > 0
+            at += length
+        assert at <= capacity
+    # Two sequences that would fit into one aren't left apart.
+    used = sorted(sum(n for _, n in p) for p in placed.values())
+    assert len(used) < 2 or used[0] + used[1] > capacity
+
+
+def test_run_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows and ids, long and empty texts, columns whose names operators use themselves."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    good = [(i, words(rng, 130)) for i in range(120)]
+    data = [*good, (5, good[5][1]), (5, good[5][1]), (6, words(rng, 140)), (None, words(rng, 150)), (None, None), (130, None), (131, ""), (132, " \n\t"), (133, words(rng, 60_000)), (134, good[7][1]), (135, good[7][1] + " more")]
+    full = [(i, t, None if n % 3 else "en", None if n % 2 else "s", None if n % 5 else len(t or "")) for n, (i, t) in enumerate(data)]
+    docs = spark.createDataFrame(full, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    clashing = ("label", "score", "predicted", "kept", "component_id", "c", "rows", "piece", "length", "group_docs", "h", "n")
+    docs.selectExpr("*", *(f"7 as {c}" for c in clashing)).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1 if i % 4 else 0, 0) for i in range(100)] + [(3, 1, 0), (3, 0, 0), (None, 1, 0), (50, None, None)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    sequences(got)
+    texts = {i for i, t in data if t and t.strip()}
+    assert {r["doc_id"] for r in got} <= texts and got
+    # What the last stage was given: each document's pieces follow each other and none comes twice.
+    of = {}
+    for r in got:
+        of.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"]))
+    for i, pieces in of.items():
+        if i is None:
+            continue
+        at = 0
+        for piece, start, length in sorted(pieces):
+            assert start == at or i == 6
+            at += length
+    assert not {134, 7} <= set(of)
+
+
+def test_run_on_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_stages_keep_the_columns(spark, tmp_path):
