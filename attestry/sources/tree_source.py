@@ -3,8 +3,8 @@
     spark.dataSource.register(TreeSource)
     spark.read.format("attestry_tree").option("components", "a,b").load("file:///fleet")
 
-The first directory below the root names the component. The driver lists only the upper `split` levels; each directory there is a partition that one task
-walks. Filters on component_id and on the path's beginning or end reach the source: partitions and files that can't pass are neither listed nor
+The first directory below the root names the component. The driver lists only the upper `split` levels (components alone, unless more are asked for, as for
+one huge tree); each directory of the last one is a partition that one task walks. Filters on component_id and on the path's beginning or end reach the source: partitions and files that can't pass are neither listed nor
 read. `names` (shell patterns, joined by commas) limits which files' contents are read; the others are rows without content. Any file system that Arrow
 opens by its address will do; links are followed where they stay below their component, as far as the file system has any.
 """
@@ -24,7 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from attestry.sources.trees import FILES
 
 #: Bytes of content in a batch, levels that the driver lists, and bytes beyond which a file's content isn't read.
-BATCH_BYTES, SPLIT, MAX_BYTES = 16 << 20, 2, 256 << 20
+BATCH_BYTES, SPLIT, MAX_BYTES = 16 << 20, 1, 256 << 20
 SCHEMA = pa.schema([("component_id", pa.string()), ("path", pa.string()), ("content", pa.binary()), ("size_bytes", pa.int64()), ("read_error", pa.string())])
 
 
