@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from attestry.functions.vocabulary import HEADER_VARIANTS
 from attestry.operators.classify import tokens
 
-GAP, EXCEPTION_GAP, BROADCAST_PHRASES = 14, 130, 100_000
+GAP, EXCEPTION_GAP, BROADCAST_PHRASES, MOST_HEADS = 14, 130, 100_000, 1000
 #: Comment signs that are words.
 LINE_SIGNS = r"(?im)^[^\w\n]*(?:dnl|rem)\b"
 HEADERS = "name string, variant string, gap int, wording string"
@@ -77,7 +77,7 @@ def _phrases(headers_: DataFrame) -> DataFrame:
     parsed = F.transform(
         said, lambda p, i: F.struct(i.alias("no"), F.split(F.btrim(F.translate(p, "[]!", "")), " +").alias("words"), p.startswith("[").alias("optional"), p.startswith("!").alias("forbidden"))
     )
-    full = F.transform(parsed, lambda p: F.struct(p["no"].alias("no"), F.size(p["words"]).alias("n"), p["optional"].alias("optional"), p["forbidden"].alias("forbidden"), F.xxhash64(F.array_join(p["words"], " ")).alias("g")))
+    full = F.transform(parsed, lambda p: F.struct(p["no"].alias("no"), F.size(p["words"]).alias("n"), p["optional"].alias("optional"), p["forbidden"].alias("forbidden"), F.get(p["words"], F.lit(0)).alias("head"), F.xxhash64(F.array_join(p["words"], " ")).alias("g")))
     out = headers_.select("name", "variant", "gap", full.alias("phrases")).withColumn("header", F.xxhash64("name", "variant", F.to_json("phrases")))
     wanted = F.filter("phrases", lambda p: ~p["forbidden"])
     total = F.aggregate(wanted, F.lit(0), lambda a, p: a + p["n"])
@@ -114,15 +114,19 @@ def identify_headers(notices: DataFrame, key: list[str], headers_: DataFrame, te
 
     Null and empty texts match nothing; texts are taken whole; a key that repeats is one text's key or its matches are mixed."""
     index = _phrases(headers_)
-    phrases = index.select("header", F.explode("phrases").alias("p")).select("header", F.col("p.no").alias("no"), F.col("p.n").alias("n"), F.col("p.g").alias("g"))
-    lengths = [r["n"] for r in phrases.select("n").distinct().collect()]  # as many as there are lengths of phrases
+    phrases = index.select("header", F.explode("phrases").alias("p")).select("header", F.col("p.no").alias("no"), F.col("p.n").alias("n"), F.col("p.head").alias("head"), F.col("p.g").alias("g"))
     small = phrases.count() <= BROADCAST_PHRASES
+    # Of each length the words that phrases begin with, unless they are too many to be told apart here: no other run is hashed.
+    heads = {r["n"]: r["heads"] for r in phrases.groupBy("n").agg(F.slice(F.collect_set("head"), 1, MOST_HEADS + 1).alias("heads")).collect()}
     words = notices.select(*key, tokens(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), LINE_SIGNS, " ")).alias("w"))
-    run = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct((i - 1).alias("at"), F.lit(n).alias("n"), F.xxhash64(F.array_join(F.slice("w", i, F.lit(n)), " ")).alias("g")))
-    runs = F.flatten(F.array(*(F.when(F.size("w") >= n, run(n)).otherwise(F.array().cast("array<struct<at:int,n:int,g:bigint>>")) for n in lengths)))
+    starts = lambda n: F.sequence(F.lit(1), F.size("w") - n + 1)
+    likely = lambda n: F.filter(starts(n), lambda i: F.get("w", i - 1).isin(*heads[n])) if len(heads[n]) <= MOST_HEADS else starts(n)
+    run = lambda n: F.transform(likely(n), lambda i: F.struct((i - 1).alias("at"), F.lit(n).alias("n"), F.xxhash64(F.array_join(F.slice("w", i, F.lit(n)), " ")).alias("g")))
+    runs = F.flatten(F.array(*(F.when(F.size("w") >= n, run(n)).otherwise(F.array().cast("array<struct<at:int,n:int,g:bigint>>")) for n in sorted(heads))))
     # An outer explode, filtered after: see classify.shingles.
     places = words.select(*key, runs.alias("r")).select(*key, F.explode_outer("r").alias("r")).where("r is not null").select(*key, "r.*")
-    met = places.join(F.broadcast(phrases) if small else phrases, ["g", "n"])
+    listed = phrases.drop("head")
+    met = places.join(F.broadcast(listed) if small else listed, ["g", "n"])
     hits = met.groupBy(*key, "header").agg(F.collect_list(F.struct("no", "at", (F.col("at") + F.col("n")).alias("end"))).alias("hits"))
     held = hits.join(F.broadcast(index) if small else index, "header").withColumn("chain", _chained()).where("chain is not null")
     found = held.select(*key, "name", "variant", (F.col("chain.words") / F.col("total")).alias("confidence"), F.col("chain.words").alias("words"), F.col("chain.start").alias("first"), F.col("chain.end").alias("last"))
