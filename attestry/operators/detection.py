@@ -11,6 +11,7 @@ from attestry.functions.spdx import header_grant, tag
 from attestry.functions.text import head_bytes, trim_space
 from attestry.operators.notices import header_grants
 from attestry.operators.notices import headers as headers_of
+from attestry.sources.scratch import materialise
 
 # Bounds.
 MAX_TEXT_BYTES, MAX_NOTICE_FILES, MAX_NOTICE_BYTES, MAX_HINTS, MAX_EXCERPT, MAX_MANIFEST = 131072, 24, 2048, 10, 300, 4 << 20
@@ -83,11 +84,16 @@ def choice_of_terms(hints: DataFrame) -> DataFrame:
 
 
 def notice_paths(files: DataFrame) -> DataFrame:
-    """(component_id, path, i): an even sample of source files: the places that a fixed stride gives over the sorted paths. Paths alone are numbered."""
+    """(component_id, path, i): an even sample of source files: the places that a fixed stride gives over the sorted paths. Paths alone are numbered: they
+    are exchanged by range and numbered within tasks, so a component of very many sources is several tasks' work; one count a task and component is added up."""
     p = F.col("path")
     candidates = files.where(paths.is_notice_source(p) & (paths.dir_exclusion(paths.directory(p)) == "") & ~paths.is_terms_file(p)).select("component_id", "path")
-    by_path = Window.partitionBy("component_id").orderBy("path")
-    numbered = candidates.withColumns({"i": F.row_number().over(by_path) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("component_id"))})
+    by_range = candidates.repartitionByRange("component_id", "path").sortWithinPartitions("component_id", "path").withColumn("at", F.monotonically_increasing_id())
+    placed = materialise(by_range.withColumn("task", F.shiftright("at", 33)), "notice-paths")
+    counts = placed.groupBy("component_id", "task").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("m"))
+    component = Window.partitionBy("component_id")
+    begins = counts.select("component_id", "task", "first", (F.sum("m").over(component.orderBy("task")) - F.col("m")).alias("begin"), F.sum("m").over(component).alias("n"))
+    numbered = placed.join(begins, ["component_id", "task"]).withColumn("i", (F.col("begin") + F.col("at") - F.col("first")).cast("int"))
     stride = F.when(F.col("n") > MAX_NOTICE_FILES, F.floor(F.col("n") / MAX_NOTICE_FILES)).otherwise(1)
     return numbered.where(F.col("i") % stride == 0).select("component_id", "path", "i")
 
