@@ -151,7 +151,9 @@ SHORT = (
 GNU_SHORT = tuple((rf"(?<!<)\b{f}[ -]?(?:v\.? ?|version )?{_version(v)}", f" <{f}-{v}> ") for f, _, vs in FAMILIES for v in vs)
 GNU_LATER = (r"(<(?:a|l)?gpl-[0-9-]+>) *(?:\+|-or-later\b|or (?:later|newer|above|greater)\b)", "$1 <gpl-later> ")
 TITLE_RULE = (r"<title:([^<>]+)>(?:<as-is>)*", "=$1=")
-TITLE_STEMS = ("gpl", "clause", "eupl", "wtfpl", "mpl", "epl", "mit", "isc", "zlib", "0bsd")
+TITLE_STEMS = ("gpl", "clause", "eupl", "wtfpl", "mpl", "epl", "0bsd")
+#: Words that are names of licences too: alone they would make every German text a likely one.
+SHORT_STEM = r"\b(?:under|as)\s+(?:the\s+)?(?:mit|isc|zlib)\b"
 #: These two keep what stands between their words.
 AS_IS = ((r"\b(provided\b.{0,60}\b)as is\b", "$1 <as-is> "), (r"\bas is\b(.{0,20}\bwithout warranty)", " <as-is> $1"))
 TAIL = "(?:<as-is>|<gpl-see>|<gpl-received>)*"
@@ -162,7 +164,7 @@ GNU_RULES = tuple(
 CC_RULE = r"<cc-(by[a-z-]*-[0-9]\.[0-9])>"
 END, BLANK, OTHER = r"([.!?;:])[\x20\x09-\x0D]+", r"\n[\x20\x09-\x0D]*\n", r"[^A-Za-z0-9.+-]+"
 STEMS = "|".join(sorted({stem for _, stem, _ in SENTENCES}))
-ALL_STEMS = "|".join(sorted({stem for _, stem, _ in SENTENCES} | {stem for stem, _, _ in BEFORE} | {r"gnu\s+[al]?gpl"}) + [rf"\b[al]?{stem}" for stem in TITLE_STEMS])
+ALL_STEMS = "|".join(sorted({stem for _, stem, _ in SENTENCES} | {stem for stem, _, _ in BEFORE} | {r"gnu\s+[al]?gpl"}) + [rf"\b[al]?{stem}" for stem in TITLE_STEMS] + [SHORT_STEM])
 #: A tag's expression. The first form ends its line or comment, so that names of any kind and operators of either case are believed.
 TAG, NAME = r"(?i:spdx-license-identifier):", r"[A-Za-z0-9](?:[A-Za-z0-9.+:-]*[A-Za-z0-9+])?"
 OPERAND = rf"(?:\([\x20\t]*)*{NAME}(?:[\x20\t]*\))*"
