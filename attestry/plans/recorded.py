@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from attestry.operators import locks, manifests, ownership
 from attestry.plans import evidence
 from attestry.plans.formed import _mod, _pick, _sql_pick
-from attestry.plans.queries import _DEPTH, _DIGEST, _HASH, _MANIFEST, _PROSE, _TOK, _TREE, _excluded, _q, _weight, query, table, tree
-from attestry.sources import maven, records
+from attestry.plans.queries import _DEPTH, _DIGEST, _FINE, _HASH, _MANIFEST, _PROSE, _TOK, _TREE, _excluded, _fine_files, _q, _weight, query, table, tree
+from attestry.sources import maven, published, records
 from attestry.sources.trees import TEMPLATES, document_trees, files_of
 
 # A component is a source's documents in runs of 320. Its number decides what else its tree holds and what of it can't be read.
@@ -363,3 +363,12 @@ def sql_names(spark, sf_dir):
     table(spark, sf_dir, "part").select("p_partkey", said.alias("said"), note.alias("note")).createOrReplaceTempView("attestry_said")
     return spark.sql("""with n as (select p_partkey, note, att_normalize(said) as r, att_canonicalize(said) as canonical from attestry_said)
         select p_partkey, r.id, r.grant_base, r.only as only_form, r.ref, canonical, att_satisfies(att_parse_expression(canonical), array('MIT', 'Zlib')) as satisfied, att_tag(note) as tag from n""")
+
+
+@query(f"""with {_FINE}, w as (select component_id, path, weight, doc_id from pref where id is null and text <> ''), f as (select component_id, arg_min(path, (-weight, path)) as path, arg_min(doc_id, (-weight, path)) as doc_id from w group by 1)
+select component_id, path, case when doc_id % 3 = 0 then 'the text of ' || path || ' wasn''t retained' end as error from f""")
+def unretained_texts(spark, sf_dir):
+    """The first text of each component that nothing recognised, an error where it wasn't kept."""
+    files = _fine_files(spark, sf_dir)
+    kept = files.withColumn("text", F.when(F.pmod("doc_id", F.lit(3)) != 0, F.col("text")))
+    return published.unrecognised_text(kept).select("component_id", "path", "error")
