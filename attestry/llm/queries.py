@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import bpe, fim, jaccard, langid, licenses, linededup, merkle, packing, quality_model, quality_rules, secrets, sharding, topk
+from attestry.llm import bpe, fim, jaccard, langid, linededup, merkle, packing, quality_model, quality_rules, secrets, sharding, statements, topk
 from attestry.llm.common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -20,7 +20,7 @@ def vocabulary(name: str) -> str:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return statements.scan(table(spark, sf_dir, "documents"))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,5 +89,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_license_scan, op2_best_fit_packing, op3_bpe_round_trip, op4_quality_rules, op5_histogram_sharding, op6_language_id, op7_quality_classifier, op8_jaccard_join, op9_topk_search, op10_secret_scan, op11_line_dedup, op12_fill_in_middle, op13_merkle_manifest, pipeline)
 }
-ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle(), "op4_quality_rules": quality_rules.ORACLE, "op8_jaccard_join": jaccard.ORACLE, "op9_topk_search": topk.ORACLE}
+ORACLES: dict[str, str] = {"op1_license_scan": statements.oracle(), "op4_quality_rules": quality_rules.ORACLE, "op8_jaccard_join": jaccard.ORACLE, "op9_topk_search": topk.ORACLE}
 ORACLES |= {"op11_line_dedup": linededup.ORACLE, "op12_fill_in_middle": fim.ORACLE, "op13_merkle_manifest": merkle.ORACLE}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 
-from attestry.llm import bpe, jaccard, langid, licenses, packing, quality_model, quality_rules, secrets, sharding, topk  # noqa: E402
+from attestry.llm import bpe, jaccard, langid, packing, quality_model, quality_rules, secrets, sharding, statements, topk  # noqa: E402
 from attestry.llm.queries import BYTE_BPE, ORACLES, QUERIES, WORD_BPE, vocabulary  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -540,12 +540,12 @@ def test_sentences(spark, docs, none):
         (1, "Some words.\nLicensed under the Apache License, Version 2.0.\nMore words."), (2, "Released under the MIT License. Released under the MIT License."), (3, "This work is licensed under the GNU General Public License, version 3.\nx"),
         (4, "Licensed under CC BY-NC 4.0."), (5, "no licence here"), (6, None), (7, "licensed under the GNU General Public License, version 2; either that or any later version. The software is provided as is."), (8, "All rights reserved."),
     ]
-    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(data, "doc_id bigint, text string")).collect()}
+    got = {r["doc_id"]: r for r in statements.scan(spark.createDataFrame(data, "doc_id bigint, text string")).collect()}
     assert {i: r["licenses"] for i, r in got.items()} == {1: "Apache-2.0", 2: "MIT", 3: "GPL-3.0-only", 4: "CC-BY-NC-4.0", 5: "", 6: "", 7: "GPL-2.0-or-later", 8: ""}
     assert got[2]["n_sentences"] == 2 and got[8]["unmatched"] == 1
-    for _, stem, pattern in licenses.SENTENCES:
+    for _, stem, pattern in statements.SENTENCES:
         assert stem in pattern.replace(r"\b", "").replace("[sc]", "c").replace("[ -]", " ").replace("licence", "license"), (stem, pattern)
-    assert licenses.scan(docs).count() == len(rows()) and licenses.scan(none).count() == 0
+    assert statements.scan(docs).count() == len(rows()) and statements.scan(none).count() == 0
 
 
 def test_tags_of_texts(spark):
@@ -555,7 +555,7 @@ def test_tags_of_texts(spark):
         ("(SPDX-License-Identifier: MIT) and more", "MIT"), ("SPDX-License-Identifier: MIT Copyright 2020", "MIT"), ("SPDX-License-Identifier: ISC. SPDX-License-Identifier: Zlib", "ISC,Zlib"),
         ("(SPDX-License-Identifier: (MIT OR ISC)) x", "(MIT OR ISC)"), ("SPDX-License-Identifier: see the file", ""), ("SPDX-License-Identifier: NONE", ""), ("SPDX-License-Identifier: (MIT OR ISC", ""), ("SPDX-License-Identifier: ", ""), ("SPDX-License-Identifier: MIT or later words", "MIT"),
     ]
-    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(data)], "doc_id bigint, text string")).collect()}
+    got = {r["doc_id"]: r for r in statements.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(data)], "doc_id bigint, text string")).collect()}
     assert [got[i]["licenses"] for i in range(len(data))] == [x for _, x in data]
     assert [got[i]["unmatched"] for i in range(len(data))] == [int(not x) for _, x in data]
     assert got[1]["sentence_ids"] == "<spdx-tag:Apache-2.0 OR MIT>"
@@ -574,7 +574,7 @@ def test_statements(spark):
         ("CC BY-SA 3.0 or CC BY-ND 4.0", "CC-BY-SA-3.0,CC-BY-ND-4.0"), ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "CC-BY-NC-SA-4.0"), ("https://creativecommons.org/licenses/by-nc/2.5/", "CC-BY-NC-2.5"), ("CC0 1.0 Universal", "CC0-1.0"),
         ("Released under the MIT License, which is provided as is, or released under the BSD license", "MIT,BSD"), ("CC BY 4.0 and CC0", "CC-BY-4.0,CC0-1.0"),
     ]
-    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(data)], "doc_id bigint, text string")).collect()}
+    got = {r["doc_id"]: r for r in statements.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(data)], "doc_id bigint, text string")).collect()}
     assert [got[i]["licenses"] for i in range(len(data))] == [x for _, x in data]
     assert {i: got[i]["sentence_ids"] for i in range(len(data)) if got[i]["unmatched"]} == {}
     assert got[1]["n_sentences"] == 1
@@ -647,7 +647,7 @@ def test_titles_and_negations(spark):
         ("It is not licensed under the Apache License, Version 2.0.", ""), ("This isn't released under the MIT License but under the ISC License.", "ISC"), ("No longer distributed under the terms of GPLv2; licensed under MPL-2.0.", "MPL-2.0"), ("New BSD license and Simplified BSD License", "BSD-3-Clause,BSD-2-Clause"),
         ("She studied at mit and the boost was great.", ""), ("MIT published a report in 2.0 parts", ""), ("The licence is MIT", "MIT"), ("Apache Licence 2.0", "Apache-2.0"), ("0BSD", "0BSD"), ("Mitteilung gplänkel", ""), ("Released under the terms of the MIT License " * 30_000, "MIT"), ("Released under the MIT License.", "MIT"), ("Released under the MIT License.", "MIT"),
     ]
-    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(data)], "doc_id bigint, text string")).collect()}
+    got = {r["doc_id"]: r["licenses"] for r in statements.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(data)], "doc_id bigint, text string")).collect()}
     assert [(data[i][0][:60], got[i]) for i in range(len(data))] == [(t[:60], x) for t, x in data]
 
 
