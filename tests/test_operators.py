@@ -293,3 +293,16 @@ def test_whole_record(spark):
     assert len(r["notes"]) == 3 and r["assessment"]["rationale"].startswith("project ") and "declared-conflict" in r["assessment"]["flags"]
     assert records["empty"]["files"] == [] and records["empty"]["conclusion"]["reason"] == "no-license-text" and len(records["empty"]["components"]) == 1
 
+
+def test_gzip_files_cut_anywhere():
+    """Whatever a cut leaves whole, an archive that ends too soon is refused; what follows the last member is left out."""
+    import gzip
+
+    whole = tarred([("x/LICENSE", b"l"), ("x/src/main.c", b"int x;"), ("x/docs/README.md", b"read me")])
+    for n in range(20, len(whole)):
+        with pytest.raises(archives.DAMAGED):
+            archives.expand("c.tgz", whole[:n], "x")
+    assert set(archives.expand("c.tgz", whole + b"more", "x")) == {"LICENSE", "docs/README.md"}
+    # A piece of nothing but zeros within a member isn't its end.
+    stored = gzip.compress(gzip.decompress(tarred([("LICENSE", bytes(400_000)), ("COPYING", b"c")])), 0)
+    assert {p: len(c) for p, c in archives.expand("s.tgz", stored).items()} == {"LICENSE": 400_000, "COPYING": 1}
