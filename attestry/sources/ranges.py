@@ -130,7 +130,7 @@ def _streamed(uri: str, prefix: str):
     keep, prefix = _retained(), prefix.strip("/") + "/" if prefix.strip("/") else ""
     entries = total = 0
     outside, met = [], not prefix
-    with _open(uri) as f, tarfile.open(fileobj=_Bounded(f), mode="r|") as t:
+    with _open(uri) as f, tarfile.open(fileobj=(unpacked := _Bounded(f)), mode="r|") as t:
         for m in t:
             entries += 1
             if entries > MAX_ENTRIES:
@@ -152,6 +152,7 @@ def _streamed(uri: str, prefix: str):
                 yield name, body
             else:
                 outside.append((name, body))
+        unpacked.finish()
     yield from outside
 
 

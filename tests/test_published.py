@@ -4,6 +4,7 @@ import hashlib
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from attestry.functions import digests, purl, registry, spdx
@@ -207,3 +208,14 @@ def test_archives_by_ranges(spark, tmp_path):
             want = {name: "!"}
         assert got.get(name, {}) == want, name
     assert got["gone.zip"] == {"gone.zip": "!"} and got["bit.zip"] == {"bit.zip": "!"} and set(got["late.tgz"]) == {"LICENSE", "a/COPYING"}
+
+
+def test_streamed_archives_cut_anywhere(tmp_path):
+    """A tar.gz that ends too soon is refused, though all that was met before is whole."""
+    from attestry.sources import archives, ranges
+
+    whole = tarred([("x/LICENSE", b"l"), ("x/src/main.c", b"int x;"), ("x/docs/README.md", b"read me")])
+    for n in range(20, len(whole)):
+        (tmp_path / "c.tgz").write_bytes(whole[:n])
+        with pytest.raises(archives.DAMAGED):
+            list(ranges._streamed(f"file://{tmp_path}/c.tgz", "x"))
