@@ -306,3 +306,10 @@ def test_gzip_files_cut_anywhere():
     # A piece of nothing but zeros within a member isn't its end.
     stored = gzip.compress(gzip.decompress(tarred([("LICENSE", bytes(400_000)), ("COPYING", b"c")])), 0)
     assert {p: len(c) for p, c in archives.expand("s.tgz", stored).items()} == {"LICENSE": 400_000, "COPYING": 1}
+
+
+def test_manifests_that_declare_nothing_are_no_evidence(spark):
+    tree = files(spark, [("silent", "go.mod", "module x"), ("silent", "package.json", "{}"), ("says", "package.json", '{"license": "MIT"}'), ("points", "Cargo.toml", '[package]\nlicense-file = "T"\n')])
+    corpus = spark.createDataFrame([("MIT", "one two three four five six")], "id string, text string")
+    out = evidence.collect(tree.select("component_id").distinct(), tree, corpus).select("component_id", "unknown", F.size("manifests").alias("n"))
+    assert {r["component_id"]: (r["unknown"], r["n"]) for r in out.collect()} == {"silent": (True, 2), "says": (False, 1), "points": (False, 1)}
