@@ -219,3 +219,26 @@ def test_streamed_archives_cut_anywhere(tmp_path):
         (tmp_path / "c.tgz").write_bytes(whole[:n])
         with pytest.raises(archives.DAMAGED):
             list(ranges._streamed(f"file://{tmp_path}/c.tgz", "x"))
+
+
+def against_sql(spark, folder, name, documents):
+    """(rows of the query, rows of its SQL) over documents(doc_id, source, text)."""
+    import duckdb
+
+    from attestry.plans.queries import ORACLES, QUERIES
+
+    spark.createDataFrame(documents, "doc_id long, source string, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    ran = QUERIES[name](spark, str(folder))
+    with duckdb.connect() as con:
+        con.execute(f"create view documents as select * from read_parquet('{folder}/documents.parquet/*.parquet')")
+        want = con.execute(f"select {', '.join(ran.columns)} from ({ORACLES[name]})").fetchall()
+    return sorted(map(tuple, ran.collect())), sorted(want)
+
+
+def test_grants_of_sources_without_tags(spark, tmp_path):
+    """Sources (doc_id 240 to 279) that state a licence in words, at the end of the sampled head and behind it."""
+    said = "Licensed under the GNU General Public License, version 3.\n"
+    texts = {241: said, 242: "x " * 900 + said, 244: "é " * 662 + "x" * 10 + said, 245: "x " * 1100 + said, 261: said, 262: "none"}
+    rows = [(k, f"src{k % 3}" if k < 260 else "one", texts.get(k, said)) for k in range(240, 280)]
+    got, want = against_sql(spark, tmp_path, "spdx_tag_grants", rows)
+    assert got == want and any(r[2] == "header" for r in got)
