@@ -33,6 +33,14 @@ def _mod(c: str, n: int, by: int = 1) -> Column:
     return F.pmod(F.floor(F.col(c) / by), F.lit(n))
 
 
+#: Rows of a table for each task that makes their forms; a few files or row groups would be as few tasks.
+_TASK_ROWS = 5000
+
+
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    return rows.repartition(1 + rows.count() // _TASK_ROWS, key)
+
+
 _NAMES = ("MIT", "Apache-2.0", "ISC", "Zlib", "BSD-3-Clause")
 
 
@@ -188,7 +196,7 @@ def _jars(batches):
 @query("""select p_brand as component_id, 'pkg:maven/org.p/a' || p_partkey || '@1.' || p_partkey as purl, 'usr/share/j' || p_partkey || case when p_partkey % 2 = 1 then '.JAR' else '.jar' end as discovered_from from part where p_partkey % 13 <> 0
 union all select p_brand, 'pkg:maven/org.p/shaded' || p_partkey || '@1.' || p_partkey, 'usr/share/j' || p_partkey || case when p_partkey % 2 = 1 then '.JAR' else '.jar' end from part where p_partkey % 13 <> 0 and p_partkey % 5 = 0""")
 def jar_components(spark, sf_dir):
-    jars = table(spark, sf_dir, "part").select("p_partkey", "p_brand").mapInArrow(_jars, "component_id string, path string, content binary")
+    jars = _spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_partkey").mapInArrow(_jars, "component_id string, path string, content binary")
     return components.finalize(components.enumerate_java(files_of(jars))).select("component_id", "purl", "discovered_from")
 
 
@@ -219,7 +227,7 @@ def _staged(batches):
 
 
 def _staged_parts(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", "p_name").mapInArrow(_staged, "purl string, ecosystem string, name string, version string, recorded string, file_name string, content binary")
+    return _spread(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey").mapInArrow(_staged, "purl string, ecosystem string, name string, version string, recorded string, file_name string, content binary")
 
 
 @query(f"""with k as (select p_partkey as k, {_sql_pick(_KINDS, 'p_partkey % 6')} as ecosystem from part)

@@ -124,9 +124,7 @@ def published_files(staged: DataFrame, by: dict[str, Reader] | None = None, max_
     by = by or readers()
     rows = staged.withColumn("error", _refusal(by, max_bytes))
     prefix = F.coalesce(*(F.when(F.col("ecosystem") == e, r.prefix(F.col("name"), F.col("version"), F.col("file_name"))) for e, r in by.items()), F.lit(""))
-    read = expand_all(rows.where("error is null").select(F.col("purl").alias("component_id"), F.col("file_name").alias("name"), "content", prefix.alias("prefix")))
-    lost = rows.where("error is not null").select(F.col("purl").alias("component_id"), F.coalesce("file_name", F.lit("")).alias("path"), F.lit(None).cast("binary").alias("content"), F.lit(0).cast("long").alias("size_bytes"), F.col("error").alias("read_error"))
-    return read.unionByName(lost)
+    return expand_all(rows.select(F.col("purl").alias("component_id"), F.col("file_name").alias("name"), "content", prefix.alias("prefix"), "error"))
 
 
 def local_files(files: DataFrame, vendored: DataFrame) -> DataFrame:

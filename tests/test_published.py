@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+import attestry.plans.recorded  # noqa: F401 - registers its queries
 from attestry.functions import digests, purl, registry, spdx
 from attestry.sources import maven, published, staged
 from attestry.sources.trees import files_of
@@ -242,3 +243,23 @@ def test_grants_of_sources_without_tags(spark, tmp_path):
     rows = [(k, f"src{k % 3}" if k < 260 else "one", texts.get(k, said)) for k in range(240, 280)]
     got, want = against_sql(spark, tmp_path, "spdx_tag_grants", rows)
     assert got == want and any(r[2] == "header" for r in got)
+
+
+def parts_table(spark, folder, n=24):
+    names = [(k, f"part {k}", f"Brand#{k % 3}") for k in range(n)]
+    spark.createDataFrame(names, "p_partkey long, p_name string, p_brand string").coalesce(1).write.parquet(f"{folder}/part.parquet")
+    return str(folder)
+
+
+def python_steps(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+
+
+def test_staged_files_are_read_in_one_pass(spark, tmp_path):
+    from attestry.plans import formed
+    from attestry.plans.queries import QUERIES
+
+    folder = parts_table(spark, tmp_path)
+    assert python_steps(QUERIES["staged_files"](spark, folder)) == 2  # made, expanded
+    spread = formed._spread(spark.range(3 * formed._TASK_ROWS).coalesce(1), "id")
+    assert spread.rdd.getNumPartitions() == 4
