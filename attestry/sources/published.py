@@ -61,7 +61,7 @@ def lockfile_integrity(content: Column, recorded: Column) -> Column:
 
 @dataclass(frozen=True)
 class Reader:
-    """How one ecosystem's artifacts are read. `digest` takes (content, recorded), `prefix` (name, version, file name)."""
+    """How one ecosystem's artifacts are read. `digest` takes (content, recorded), content null in rows of others, `prefix` (name, version, file name)."""
 
     ecosystem: str
     algorithm: str
@@ -105,18 +105,15 @@ def artifacts(staged: DataFrame, by: dict[str, Reader] | None = None, max_bytes:
     recorded one. Without a recorded digest nothing matches; Maven's are compared without case."""
     by = by or readers()
     rows = staged.withColumn("error", _refusal(by, max_bytes))
-    good = rows.where("error is null")
+    good, eco = F.col("error").isNull(), F.col("ecosystem")
     recorded = trim_space(F.coalesce("recorded", F.lit("")))
-    # Each reader sees its own rows only: Python runs for module zips alone.
-    parts = [good.where(F.col("ecosystem") == e).withColumns({"digest": r.digest(F.col("content"), recorded), "digest_algo": F.lit(r.algorithm)}).drop("content") for e, r in by.items()]
-    done = parts[0]
-    for p in parts[1:]:
-        done = done.unionByName(p)
-    same = F.when(F.col("ecosystem") == "maven", F.lower(recorded) == F.lower("digest")).otherwise(recorded == F.col("digest"))
-    done = done.withColumns({"matched": F.coalesce((recorded != "") & same, F.lit(False)), "error": F.when(F.col("digest").isNull(), "it can't be hashed")})
-    bad = rows.where("error is not null").withColumns({"digest": F.lit(None).cast("string"), "digest_algo": F.lit(None).cast("string"), "matched": F.lit(False)})
-    columns = ("purl", "ecosystem", "digest", "digest_algo", "matched", "error")
-    return done.select(*columns).unionByName(bad.select(*columns))
+    # One pass over the artifacts: each reader sees its own rows' contents and null for others, so Python gets those of module zips alone.
+    own = lambda e: good & (eco == e)
+    one = lambda of: F.coalesce(*(F.when(own(e), of(e, r)) for e, r in by.items()))
+    done = rows.withColumns({"digest": one(lambda e, r: r.digest(F.when(own(e), F.col("content")), recorded)), "digest_algo": one(lambda e, r: F.lit(r.algorithm))})
+    same = F.when(eco == "maven", F.lower(recorded) == F.lower("digest")).otherwise(recorded == F.col("digest"))
+    done = done.withColumns({"matched": F.coalesce((recorded != "") & same, F.lit(False)), "error": F.coalesce("error", F.when(F.col("digest").isNull(), "it can't be hashed"))})
+    return done.select("purl", "ecosystem", "digest", "digest_algo", "matched", "error")
 
 
 def published_files(staged: DataFrame, by: dict[str, Reader] | None = None, max_bytes: int = MAX_ARTIFACT) -> DataFrame:

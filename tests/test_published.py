@@ -255,6 +255,17 @@ def python_steps(df):
     return df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
 
 
+def test_staged_artifacts_are_made_and_read_once(spark, tmp_path):
+    """One pass, however many readers there are; a row that isn't read reaches neither reader nor archive."""
+    from attestry.plans.queries import QUERIES
+
+    folder = parts_table(spark, tmp_path)
+    assert python_steps(QUERIES["staged_artifacts"](spark, folder)) == 1
+    rows = [("p1", "cargo", "a", "1", "a-1.crate", bytearray(tarred([("a-1/LICENSE", b"l")]))), ("p2", "gem", "b", "1", "b.gem", bytearray(b"x")), ("p3", "cargo", "c", "1", None, bytearray(b"y"))]
+    df = spark.createDataFrame(rows, "purl string, ecosystem string, name string, version string, file_name string, content binary").withColumn("recorded", F.lit(""))
+    assert {r["purl"]: (r["digest_algo"], r["error"]) for r in published.artifacts(df).collect()} == {"p1": ("sha256", None), "p2": (None, "no reader for gem"), "p3": (None, "not an archive of its kind: ")}
+
+
 def test_staged_files_are_read_in_one_pass(spark, tmp_path):
     from attestry.plans import formed
     from attestry.plans.queries import QUERIES
