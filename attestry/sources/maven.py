@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from attestry.functions import purl
 from attestry.functions.text import empty_to_null, trim_space
 from attestry.sources.archives import expand_all
+from attestry.sources.scratch import materialise
 from attestry.sources.staged import ancestry
 
 _POM = "licenses struct<license:array<struct<name:string,url:string>>>, parent struct<groupId:string,artifactId:string,version:string>"
@@ -44,9 +45,9 @@ def resolve(staged: DataFrame, poms: DataFrame) -> tuple[DataFrame, DataFrame]:
     blank = lambda x: F.coalesce(trim_space(x), F.lit("")) == ""
     whole = c.isNotNull() & ~blank(c["group_id"]) & ~blank(c["artifact_id"]) & ~blank(F.col("version"))
     asked = maven.withColumn("gav", F.when(whole, gav(c["group_id"], c["artifact_id"], F.col("version"))))
-    docs = documents(poms)
-    chains = ancestry(docs)
-    found = asked.select("purl", "gav", "recorded", F.sha1("content").alias("digest")).join(chains, "gav", "left")
+    # Each POM is parsed once and each chain made once; several branches read them.
+    docs = materialise(documents(poms), "poms")
+    found = materialise(asked.select("purl", "gav", "recorded", F.sha1("content").alias("digest")).join(ancestry(docs), "gav", "left"), "chains")
     has_pom, has_jar, complete = F.col("chain").isNotNull(), F.col("digest").isNotNull(), F.col("gav").isNotNull()
     # A checksum file holds the digest and sometimes a name.
     recorded = F.lower(F.coalesce(F.get(F.split(trim_space(F.coalesce("recorded", F.lit(""))), r"\p{IsWhite_Space}+"), F.lit(0)), F.lit("")))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions.digests import subresource_integrity
+from attestry.sources.scratch import materialise
 
 #: The most parents of a POM that are followed.
 POM_ANCESTRY = 8
@@ -98,6 +99,8 @@ def ancestry(docs: DataFrame, most: int = POM_ANCESTRY) -> DataFrame:
         joined = walk.withColumn("key", F.coalesce("next", F.concat(F.lit("\0"), "gav"))).join(onward, F.col("key") == F.col("at"), "left")
         walk = joined.select("gav", F.when(F.col("at").isNull(), F.col("chain")).otherwise(F.concat("chain", "further")).alias("chain"), F.col("then").alias("next"))
         reach *= 2
+        if reach < most:  # each step reads the one before it twice
+            walk = materialise(walk, "ancestry")
     # In a cycle the names that come again are all that follow.
     return walk.select("gav", F.slice(F.array_distinct("chain"), 1, most).alias("chain"))
 

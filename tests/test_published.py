@@ -274,3 +274,10 @@ def test_staged_files_are_read_in_one_pass(spark, tmp_path):
     assert python_steps(QUERIES["staged_files"](spark, folder)) == 2  # made, expanded
     spread = formed._spread(spark.range(3 * formed._TASK_ROWS).coalesce(1), "id")
     assert spread.rdd.getNumPartitions() == 4
+
+
+def test_poms_are_made_once(spark, tmp_path):
+    from attestry.plans.queries import QUERIES
+
+    out = QUERIES["maven_resolution"](spark, parts_table(spark, tmp_path))
+    assert python_steps(out) == 0 and out.count() == 24
