@@ -281,3 +281,16 @@ def test_poms_are_made_once(spark, tmp_path):
 
     out = QUERIES["maven_resolution"](spark, parts_table(spark, tmp_path))
     assert python_steps(out) == 0 and out.count() == 24
+
+
+def test_changes_are_written_by_many_tasks(spark, tmp_path):
+    import glob
+
+    from attestry.sources import scratch
+
+    base = scratch.folder(spark).removeprefix("file://")
+    before = set(glob.glob(f"{base}/keys-*"))
+    rows = [(k, f"src{k % 3}", f"text {k}") for k in range(400)]
+    got, want = against_sql(spark, tmp_path, "content_keys_by_change", rows)
+    (mine,) = set(glob.glob(f"{base}/keys-*")) - before
+    assert got == want and len(glob.glob(f"{mine}/feed/*.parquet")) > 3
