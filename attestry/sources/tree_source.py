@@ -15,6 +15,7 @@ import fnmatch
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 from pyarrow import fs
@@ -24,7 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from attestry.sources.trees import FILES
 
 #: Bytes of content in a batch, levels that the driver lists, and bytes beyond which a file's content isn't read.
-BATCH_BYTES, SPLIT, MAX_BYTES = 16 << 20, 1, 256 << 20
+BATCH_BYTES, SPLIT, MAX_BYTES = 2 << 20, 1, 256 << 20
 SCHEMA = pa.schema([("component_id", pa.string()), ("path", pa.string()), ("content", pa.binary()), ("size_bytes", pa.int64()), ("read_error", pa.string())])
 
 
@@ -54,7 +55,7 @@ class TreeReader(DataSourceReader):
         self.exact: set[str] | None = None
 
     def _opened(self) -> tuple[fs.FileSystem, str]:
-        return fs.FileSystem.from_uri(self.root if "://" in self.root else "file://" + os.path.abspath(self.root))
+        return _system(self.root if "://" in self.root else "file://" + os.path.abspath(self.root))
 
     def pushFilters(self, filters: list[Filter]):
         """Takes what tests of component_id and path it can; Spark still evaluates all of them."""
@@ -77,7 +78,9 @@ class TreeReader(DataSourceReader):
     def listed(self, at: str) -> list[fs.FileInfo]:
         """The entries of one directory in order."""
         system, _ = self._opened()
-        return sorted(system.get_file_info(fs.FileSelector(at)), key=lambda i: i.base_name)
+        found = system.get_file_info(fs.FileSelector(at))
+        found.sort(key=lambda i: i.base_name)
+        return found
 
     def partitions(self) -> list[Subtree]:
         _, root = self._opened()
@@ -162,6 +165,12 @@ class TreeReader(DataSourceReader):
             return component, path, None, size, _said(e)
 
 
+@cache
+def _system(uri: str) -> tuple[fs.FileSystem, str]:
+    """Opened once a worker, not for every file."""
+    return fs.FileSystem.from_uri(uri)
+
+
 def _said(e: OSError) -> str:
     """What went wrong, without the place, which is the row's own."""
     import errno

@@ -294,3 +294,14 @@ def test_changes_are_written_by_many_tasks(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "content_keys_by_change", rows)
     (mine,) = set(glob.glob(f"{base}/keys-*")) - before
     assert got == want and len(glob.glob(f"{mine}/feed/*.parquet")) > 3
+
+
+def test_tree_batches_are_small(tmp_path):
+    from attestry.sources import tree_source
+
+    (tmp_path / "c").mkdir()
+    for i in range(8):
+        (tmp_path / "c" / f"f{i}").write_bytes(bytes(1 << 20))
+    reader = tree_source.TreeReader({"path": str(tmp_path)})
+    sizes = [b.nbytes for p in reader.partitions() for b in reader.read(p)]
+    assert len(sizes) > 2 and max(sizes) < 4 << 20
