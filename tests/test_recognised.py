@@ -135,3 +135,14 @@ def test_names_by_dimension_are_those_of_the_plan(spark):
         got = {r["i"]: r["resolved"] for r in names.resolve(df, "said", dim).collect()}
         for i, a in enumerate(asked):
             assert a is None and (got[i] is None or not any(got[i])) or got[i] == want[i], (a, got[i], want[i])
+
+
+def test_words_of_notices_are_looked_at_once(spark):
+    """Not once for each length of phrase; wordings that lack a phrase are dropped before they are chained."""
+    from attestry.operators import notices
+
+    df = spark.createDataFrame([(1, "Part of it, under the GNU GPL v3 only."), (2, "GNU GPL, as in gnu gpl"), (3, None)], "k int, text string")
+    found = notices.identify_headers(df, ["k"], notices.headers(spark))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and "array_except(must" in plan
+    assert [(r["k"], r["name"], r["variant"]) for r in found.collect()] == [(1, "GPL-3.0", "b.txt")]
